@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, license_scan, line_dedup
+from . import bpe, chat, license_scan, line_dedup, minmax
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
+    "op2_minmax": minmax.op2_minmax,
     "op4_bpe": bpe.op4_bpe,
     "op7_chat": chat.op7_chat,
     "op10_license_scan": license_scan.op10_license_scan,
