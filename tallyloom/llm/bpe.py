@@ -16,23 +16,20 @@ import re
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .chunks import gather, slices, split_chunks
 from .common import quoted, without
 
-#: White space as the vocabulary's own pattern takes it (the Unicode property); str.split() would take these four too.
-_EXTRA_SPLIT = re.compile("[\x1c-\x1f]")
-_SPACE = regex.compile(r"\s+")
 _CODECS: dict[str, "WordBpe"] = {}
 
 
-def newer_characters() -> str:
-    """Letters and digits that the regex module knows and Python's own, older Unicode tables don't; the library's don't either."""
-    known = regex.compile(r"[\p{L}\p{N}]")
-    return "".join(c for c in map(chr, range(0x110000)) if unicodedata.category(c) == "Cn" and known.match(c))
+def _unassigned(c: str) -> bool:
+    return c > "\u02ff" and unicodedata.category(c) == "Cn"
 
 
 def byte_symbols() -> list[str]:
@@ -84,13 +81,16 @@ class Remembered(dict):
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
+        self.keep(key, value)
+        return value
+
+    def keep(self, key, value) -> None:
         if len(key) > 256:
-            return value
+            return
         if len(self) >= self.size:
             self.old = dict(self)
             self.clear()
         self[key] = value
-        return value
 
 
 class WordBpe:
@@ -105,15 +105,14 @@ class WordBpe:
         self.vocab: dict[str, int] = model["vocab"]
         self.ranks = {tuple(m) if isinstance(m, list) else tuple(m.split(" ")): r for r, m in enumerate(model["merges"])}
         self.suffix = model.get("end_of_word_suffix") or ""
-        self.pattern = steps[0]["pattern"]["Regex"]
-        self.split = regex.compile(self.pattern)
-        self.exact_split: regex.Pattern | None = None
+        self.split = regex.compile(steps[0]["pattern"]["Regex"])
+        self.path, self.library = path, None
         self.special = {x["content"]: x["id"] for x in spec.get("added_tokens", [])}
         self.special_re = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.tokens = {i: t for t, i in {**self.vocab, **self.special}.items()}
         self.bytes = byte_symbols()
         self.words = Remembered(self._word, remember)
-        #: chunk -> (ids joined by a blank, tokens joined by a blank, number of ids)
+        #: chunk -> (each id and a blank, each token and a blank, number of ids)
         self.chunks = Remembered(self._chunk, remember)
 
     @classmethod
@@ -129,46 +128,55 @@ class WordBpe:
         return tuple(self.vocab[s] for s in merge_word(symbols, self.ranks))
 
     def _chunk_ids(self, chunk: str) -> list[int]:
+        if not chunk.isascii() and any(map(_unassigned, chunk)):
+            return self._by_library(chunk)
         text = unicodedata.normalize("NFC", chunk)
         text = text.lower() if "Σ" not in text else "".join(c.lower() for c in text)  # a final sigma is not special here
-        return [i for w in self._splitter(text).findall(text) for i in self.words[w]]
-
-    def _splitter(self, text: str) -> regex.Pattern:
-        if text.isascii() or max(text) < "\u0530":
-            return self.split
-        if self.exact_split is None:
-            newer = regex.escape(newer_characters(), special_only=True)
-            exact = self.pattern
-            for c in (r"\p{L}", r"\p{N}"):
-                exact = exact.replace(c, f"[{c}--[{newer}]]")
-            self.exact_split = regex.compile(exact, regex.V1)
-        return self.exact_split
-
-    def _chunk(self, chunk: str) -> tuple[str, str, int]:
-        ids = self._chunk_ids(chunk)
-        return " ".join(map(str, ids)), self.decode(ids), len(ids)
-
-    def _pieces(self, text: str) -> Iterator[tuple[str, str, int]]:
-        parts = self.special_re.split(text) if self.special_re and any(s in text for s in self.special) else [text]
-        for part in parts:
-            if part in self.special:
-                yield str(self.special[part]), part, 1
-            else:
-                split = _SPACE.split(part) if _EXTRA_SPLIT.search(part) else part.split()
-                for c in split:
-                    if c:
-                        yield self.chunks[c]
+        return [i for w in self.split.findall(text) for i in self.words[w]]
+
+    def _by_library(self, chunk: str) -> list[int]:
+        """For characters that this Python's Unicode tables don't know: normal form and split as the library has them."""
+        if self.library is None:
+            from tokenizers import Tokenizer
+
+            self.library = Tokenizer.from_file(self.path)
+        ids = []
+        for w, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(chunk)):
+            ids += [self.vocab[s] for s in merge_word([*w[:-1], w[-1] + self.suffix], self.ranks)]
+        return ids
+
+    def _chunk(self, chunk: str) -> tuple[bytes, bytes, int]:
+        if not chunk:
+            return b"", b"", 0
+        if self.special_re and "<" in chunk and any(s in chunk for s in self.special):
+            ids = []
+            for part in self.special_re.split(chunk):
+                ids += [self.special[part]] if part in self.special else self._chunk_ids(part)
+        else:
+            ids = self._chunk_ids(chunk)
+        if not ids:
+            return b"", b"", 0
+        return (" ".join(map(str, ids)) + " ").encode(), (self.decode(ids) + " ").encode(), len(ids)
 
     def encode_joined(self, text: str) -> tuple[str, str, int]:
         """(ids joined by a blank, decoded text, number of ids) of a whole text."""
-        if "<" not in text and not _EXTRA_SPLIT.search(text):
-            found = list(map(self.chunks.__getitem__, text.split()))
-        else:
-            found = list(self._pieces(text))
-        if not found:
-            return "", "", 0
-        ids, tokens, counts = zip(*found, strict=True)
-        return " ".join(ids), " ".join(tokens), sum(counts)
+        n, ids, decoded = next(self.encode_many(pa.array([text], pa.large_string())))
+        return ids.decode(), decoded.decode(), n
+
+    def encode_many(self, texts: pa.Array) -> Iterator[tuple[int, bytes, bytes]]:
+        """(number of ids, ids joined by a blank, decoded text) of each text, in UTF-8; distinct chunks are looked up once."""
+        offsets, codes, distinct = split_chunks(texts)
+        found = [self.chunks[c] for c in distinct]
+        both = []
+        for k in (0, 1):
+            pieces = [x[k] for x in found]
+            flat = np.frombuffer(b"".join(pieces), np.uint8)
+            both.append(gather(codes, flat, np.fromiter(map(len, pieces), np.int64, len(pieces))))
+        counts = np.concatenate([[0], np.cumsum(np.array([x[2] for x in found], np.int64)[codes])]) if found else np.zeros(1, np.int64)
+        (ids, ids_at), (text, text_at) = both
+        for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+            n = int(counts[b] - counts[a])
+            yield n, ids[ids_at[a] : max(ids_at[a], ids_at[b] - 1)].tobytes(), text[text_at[a] : max(text_at[a], text_at[b] - 1)].tobytes()
 
     def encode(self, text: str) -> list[int]:
         ids, _, n = self.encode_joined(text)
@@ -199,10 +207,10 @@ def encode_documents(docs: DataFrame, text_col: str = "text", vocabulary: str |
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = WordBpe.shared(path)
         for batch in batches:
-            found = [codec.encode_joined(t or "") for t in batch.column(batch.schema.get_field_index(text_col)).to_pylist()]
-            ids = pa.array([list(map(int, x[0].split())) for x in found], pa.list_(pa.int32()))
+            found = [x for part in slices(batch.column(batch.schema.get_field_index(text_col))) for x in codec.encode_many(part)]
+            ids = pa.array([np.fromstring(i, np.int32, sep=" ") if i else np.zeros(0, np.int32) for _, i, _ in found], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array([x[2] for x in found], pa.int64()), ids, pa.array([x[1] for x in found], pa.string())],
+                [*batch.columns, pa.array([x[0] for x in found], pa.int64()), ids, pa.array([x[2].decode() for x in found], pa.string())],
                 names=[*batch.schema.names, *own],
             )
 
@@ -217,11 +225,11 @@ def encode_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         codec = WordBpe.shared(path)
         for batch in batches:
             n, ids, decoded = [], [], []
-            for t in batch.column(1).to_pylist():
-                i, d, k = codec.encode_joined(t or "")
-                n.append(k)
-                ids.append(hashlib.sha256(i.encode()).hexdigest())
-                decoded.append(hashlib.sha256(d.encode()).hexdigest())
+            for part in slices(batch.column(1)):
+                for k, i, d in codec.encode_many(part):
+                    n.append(k)
+                    ids.append(hashlib.sha256(i).hexdigest())
+                    decoded.append(hashlib.sha256(d).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     rows = docs.select(F.col(quoted(id_col)).cast("long").alias("doc_id"), F.col(quoted(text_col)).alias("text"))

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, license_scan, line_dedup, minmax
+from . import bpe, chat, license_scan, line_dedup, minmax, token_store
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
     "op2_minmax": minmax.op2_minmax,
     "op4_bpe": bpe.op4_bpe,
+    "op5_token_store": token_store.op5_token_store,
     "op7_chat": chat.op7_chat,
     "op10_license_scan": license_scan.op10_license_scan,
 }
