@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, license_scan, line_dedup, minmax, token_store
+from . import bpe, chat, license_scan, line_dedup, minmax, token_store, topk, warc
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
     "op2_minmax": minmax.op2_minmax,
     "op4_bpe": bpe.op4_bpe,
     "op5_token_store": token_store.op5_token_store,
+    "op6_warc": warc.op6_warc,
     "op7_chat": chat.op7_chat,
+    "op8_topk": topk.op8_topk,
     "op10_license_scan": license_scan.op10_license_scan,
 }
 ORACLES = {
     "op1_line_dedup": line_dedup.ORACLE,
+    "op6_warc": warc.ORACLE,
     "op7_chat": chat.ORACLE,
+    "op8_topk": topk.ORACLE,
     "op10_license_scan": license_scan.oracle(),
 }
