@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, license_scan, line_dedup, minmax, token_store, topk, warc
+from . import bpe, chat, license_scan, line_dedup, minmax, token_store, topk, toxicity, warc
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_warc": warc.op6_warc,
     "op7_chat": chat.op7_chat,
     "op8_topk": topk.op8_topk,
+    "op9_toxicity": toxicity.op9_toxicity,
     "op10_license_scan": license_scan.op10_license_scan,
 }
 ORACLES = {

@@ -15,6 +15,8 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BLANK = np.zeros(256, bool)
 _BLANK[[32, 9, 10, 11, 12, 13]] = True
+#: Separators that leave words of ASCII letters and digits and of any other bytes from 0x80 on.
+PUNCTUATED = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _tables: dict[str, np.ndarray] = {}
 
 
@@ -37,9 +39,9 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def _hash_chunk(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _hash_chunk(raw: np.ndarray, blank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     up, down = _powers()
-    word = ~_BLANK[raw]
+    word = ~blank[raw]
     edge = np.diff(word.view(np.int8), prepend=np.int8(0), append=np.int8(0))
     start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     total = np.zeros(len(raw) + 1, U64)
@@ -48,25 +50,26 @@ def _hash_chunk(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return mix(h ^ (end - start).astype(U64) * U64(0xD6E8FEB86659FD93)), start
 
 
-def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words ``[^\\x20\\x09-\\x0D]+`` of UTF-8 bytes, A-Z lower-cased, and their byte positions."""
+def word_hashes(data: bytes, blank: np.ndarray = _BLANK) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of UTF-8 bytes, A-Z lower-cased, and their byte positions. Words are what stands between
+    ``blank`` bytes, by default ``[^\\x20\\x09-\\x0D]+``."""
     raw = np.frombuffer(data, np.uint8)
     hashes, starts, pos = [], [], 0
     while pos < len(raw):
         end = min(pos + CHUNK, len(raw))
-        if end < len(raw) and not _BLANK[raw[end]]:
-            blanks = np.flatnonzero(_BLANK[raw[pos:end]])
+        if end < len(raw) and not blank[raw[end]]:
+            blanks = np.flatnonzero(blank[raw[pos:end]])
             if len(blanks):
                 end = pos + int(blanks[-1]) + 1
             else:  # one word longer than a chunk
-                while end < len(raw) and not _BLANK[raw[end]]:
+                while end < len(raw) and not blank[raw[end]]:
                     end += 1
                 d = hashlib.blake2b(_LOWER[raw[pos:end]].tobytes(), digest_size=8).digest()
                 hashes.append(np.frombuffer(d, U64))
                 starts.append(np.array([pos]))
                 pos = end
                 continue
-        h, s = _hash_chunk(raw[pos:end])
+        h, s = _hash_chunk(raw[pos:end], blank)
         hashes.append(h)
         starts.append(s + pos)
         pos = end
@@ -89,9 +92,9 @@ def grouped(texts: list[str | None], bytes_at_once: int = 1 << 20) -> Iterator[t
         yield first, group
 
 
-def texts_word_hashes(group: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def texts_word_hashes(group: list[bytes], blank: np.ndarray = _BLANK) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes of several texts one after another, and where each text's words begin (one more at the end)."""
-    h, at = word_hashes(b" ".join(group))
+    h, at = word_hashes(b" ".join(group), blank)
     ends = np.cumsum([len(b) + 1 for b in group])
     return h, np.concatenate([[0], np.searchsorted(at, ends)])
 
