@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, license_scan, line_dedup, minmax, token_store, topk, toxicity, warc
+from . import bpe, chat, decontaminate, license_scan, line_dedup, minmax, token_store, topk, toxicity, warc
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
     "op2_minmax": minmax.op2_minmax,
+    "op3_decontaminate": decontaminate.op3_decontaminate,
     "op4_bpe": bpe.op4_bpe,
     "op5_token_store": token_store.op5_token_store,
     "op6_warc": warc.op6_warc,
