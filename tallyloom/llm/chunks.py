@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text split at once.
-SLICE = 32 << 20
+SLICE = 4 << 20
 
 
 def slices(texts: pa.Array) -> Iterator[pa.Array]:

@@ -26,7 +26,7 @@ class ChunkEncoder:
     of its chunks one after another. Chunks are remembered in two bounded generations.
     """
 
-    def __init__(self, path: str, remember: int = 300_000):
+    def __init__(self, path: str, remember: int = 100_000):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -45,8 +45,8 @@ class ChunkEncoder:
         new, old = self.chunks, self.chunks.old
         out = [new.get(c) or old.get(c) for c in distinct]
         missing = [i for i, x in enumerate(out) if x is None]
-        for a in range(0, len(missing), 50_000):
-            part = missing[a : a + 50_000]
+        for a in range(0, len(missing), 4_000):
+            part = missing[a : a + 4_000]
             for i, e in zip(part, self.library.encode_batch_fast([distinct[i] for i in part], add_special_tokens=False), strict=True):
                 out[i] = np.array(e.ids, "<u4").tobytes()
         for c, x in zip(distinct, out, strict=True):
