@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import os
+import tempfile
 import zipfile
 from pathlib import Path
 
@@ -31,6 +32,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors see: spark.checkpoint.dir, or one set here where that is unset (local tests)."""
+    sc = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if not found:
+        found = sc.getCheckpointDir()
+        if not found:
+            if not sc.master.startswith("local[") and sc.master != "local":
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            sc.setCheckpointDir(tempfile.mkdtemp(prefix="tallyloom-shared-"))
+            found = sc.getCheckpointDir()
+    return found.rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df as written to the shared folder: what follows plans from there, and a lost executor costs no more than that."""
+    spark = df.sparkSession
+    folder = shared_dir(spark)
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(folder)
+    return df.checkpoint()
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors' Python workers, once a session.
 
@@ -44,8 +68,6 @@ def ship(spark: SparkSession) -> None:
     with zipfile.ZipFile(data, "w") as z:
         for f in sorted(root.rglob("*.py")):
             z.write(f, str(f.relative_to(root.parent)))
-    import tempfile
-
     folder = tempfile.mkdtemp(prefix="tallyloom-")  # on the driver only; Spark serves it to the executors
     path = os.path.join(folder, "tallyloom_pkg.zip")
     Path(path).write_bytes(data.getvalue())
