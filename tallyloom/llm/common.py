@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_dir
+
 #: What ``\\s``-free byte classes mean in every contract here: blank, tab, LF, VT, FF, CR.
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -34,20 +35,6 @@ def without(df: DataFrame, *names: str) -> list[Column]:
     return [F.col(quoted(c)) for c in df.columns if c.lower() not in gone]
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see: spark.checkpoint.dir, or one set here where that is unset (local tests)."""
-    sc = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = sc.getCheckpointDir()
-        if not found:
-            if not sc.master.startswith("local[") and sc.master != "local":
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            sc.setCheckpointDir(tempfile.mkdtemp(prefix="tallyloom-shared-"))
-            found = sc.getCheckpointDir()
-    return found.rstrip("/")
-
-
 class Workspace:
     """A folder of written tables under the shared one. Tables cut lineage: a lost executor costs only the running step.
 
