@@ -21,9 +21,10 @@ def first_wins(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
     One aggregation with map-side combining (a least struct), not a window, so a frequent key moves one row a task.
     """
+    q = lambda names: [F.col(f"`{x}`") for x in names]
     rest = [x for x in df.columns if x not in order]
-    least = F.min_by(F.struct(*[F.col(f"`{x}`") for x in df.columns]), F.struct(*order, *[F.hash(*rest)] if rest else [])).alias("r")
-    return df.groupBy(*keys).agg(least).select("r.*").select(*[f"`{x}`" for x in df.columns])
+    least = F.min_by(F.struct(*q(df.columns)), F.struct(*q(order), *[F.hash(*q(rest))] if rest else [])).alias("r")
+    return df.groupBy(*[x.alias(f"k{i}") for i, x in enumerate(q(keys))]).agg(least).select("r.*").select(*[f"`{x}`" for x in df.columns])
 
 
 def best_row(df: DataFrame, keys: list[str], ref: str = "ref_id", confidence: str = "classification_confidence", time: str = "event_time", row_id: str = "row_id") -> DataFrame:
