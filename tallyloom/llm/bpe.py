@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .chunks import gather, slices, split_chunks
+from .chunks import folded, gather, slices, split_chunks
 from .common import quoted, without
 
 _CODECS: dict[str, "WordBpe"] = {}
@@ -70,31 +70,32 @@ def merge_word(symbols: list[str], ranks: dict[tuple[str, str], int]) -> list[st
     return [s for s in sym if s is not None]
 
 
-class Remembered(dict):
-    """A dict that fills itself by ``make``, in two generations of at most ``size`` entries; long keys aren't kept."""
+class Remembered:
+    """What keys stand for, in two generations of about ``size`` entries: a full one ages, and what is asked for again
+    comes back. Keys of over 256 characters aren't kept."""
 
-    def __init__(self, make, size: int):
-        super().__init__()
-        self.make, self.size, self.old = make, size, {}
+    def __init__(self, size: int):
+        self.size, self.new, self.old = size, {}, {}
 
-    def __missing__(self, key):
-        value = self.old.get(key)
-        if value is None:
-            value = self.make(key)
-        self.keep(key, value)
-        return value
-
-    def keep(self, key, value) -> None:
-        if len(key) > 256:
-            return
-        if len(self) >= self.size:
-            self.old = dict(self)
-            self.clear()
-        self[key] = value
+    def all(self, keys: list[str], make) -> list:
+        """The values of distinct keys; ``make`` gives those of a list of unknown ones."""
+        out = list(map(self.new.get, keys))
+        missing = []
+        for i, x in enumerate(out):
+            if x is None:
+                out[i] = self.old.get(keys[i])
+                if out[i] is None:
+                    missing.append(i)
+        for i, x in zip(missing, make([keys[i] for i in missing]), strict=True):
+            out[i] = x
+        if len(self.new) + len(keys) > self.size:
+            self.old, self.new = self.new, {}
+        self.new.update((k, x) for k, x in zip(keys, out, strict=True) if len(k) <= 256)
+        return out
 
 
 class WordBpe:
-    def __init__(self, path: str, remember: int = 200_000):
+    def __init__(self, path: str, remember: int = 300_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -111,9 +112,10 @@ class WordBpe:
         self.special_re = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.tokens = {i: t for t, i in {**self.vocab, **self.special}.items()}
         self.bytes = byte_symbols()
-        self.words = Remembered(self._word, remember)
+        self.words: dict[str, tuple[int, ...]] = {}
+        self.remember = remember
         #: chunk -> (each id and a blank, each token and a blank, number of ids)
-        self.chunks = Remembered(self._chunk, remember)
+        self.chunks = Remembered(remember)
 
     @classmethod
     def shared(cls, path: str) -> "WordBpe":
@@ -123,16 +125,23 @@ class WordBpe:
         return _CODECS[path]
 
     def _word(self, word: str) -> tuple[int, ...]:
-        symbols = [self.bytes[b] for b in word.encode("utf-8")]
-        symbols[-1] += self.suffix
-        return tuple(self.vocab[s] for s in merge_word(symbols, self.ranks))
+        found = self.words.get(word)
+        if found is None:
+            symbols = list(word) if word.isascii() and word.isalpha() else [self.bytes[b] for b in word.encode("utf-8")]
+            symbols[-1] += self.suffix
+            found = tuple([self.vocab[s] for s in merge_word(symbols, self.ranks)])
+            if len(self.words) >= self.remember:
+                self.words.clear()
+            if len(word) <= 256:
+                self.words[word] = found
+        return found
 
     def _chunk_ids(self, chunk: str) -> list[int]:
         if not chunk.isascii() and any(map(_unassigned, chunk)):
             return self._by_library(chunk)
         text = unicodedata.normalize("NFC", chunk)
         text = text.lower() if "Σ" not in text else "".join(c.lower() for c in text)  # a final sigma is not special here
-        return [i for w in self.split.findall(text) for i in self.words[w]]
+        return [i for w in self.split.findall(text) for i in self._word(w)]
 
     def _by_library(self, chunk: str) -> list[int]:
         """For characters that this Python's Unicode tables don't know: normal form and split as the library has them."""
@@ -152,6 +161,8 @@ class WordBpe:
             ids = []
             for part in self.special_re.split(chunk):
                 ids += [self.special[part]] if part in self.special else self._chunk_ids(part)
+        elif chunk.isascii() and chunk.isalpha():
+            ids = self._word(chunk.lower())
         else:
             ids = self._chunk_ids(chunk)
         if not ids:
@@ -165,8 +176,8 @@ class WordBpe:
 
     def encode_many(self, texts: pa.Array) -> Iterator[tuple[int, bytes, bytes]]:
         """(number of ids, ids joined by a blank, decoded text) of each text, in UTF-8; distinct chunks are looked up once."""
-        offsets, codes, distinct = split_chunks(texts)
-        found = [self.chunks[c] for c in distinct]
+        offsets, codes, distinct = split_chunks(folded(texts))
+        found = self.chunks.all(distinct, lambda new: map(self._chunk, new))
         both = []
         for k in (0, 1):
             pieces = [x[k] for x in found]

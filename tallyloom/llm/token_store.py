@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import Remembered, default_vocabulary
-from .chunks import gather, slices, split_chunks
+from .chunks import folded, gather, slices, split_chunks
 from .common import Workspace, quoted
 
 SCHEMA = "doc_id long, n_tokens long, shard int, start_in_shard long, token_ids array<int>"
@@ -26,13 +26,13 @@ class ChunkEncoder:
     of its chunks one after another. Chunks are remembered in two bounded generations.
     """
 
-    def __init__(self, path: str, remember: int = 100_000):
+    def __init__(self, path: str, remember: int = 200_000):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.chunks = Remembered(None, remember)
+        self.chunks = Remembered(remember)
 
     @classmethod
     def shared(cls, path: str) -> "ChunkEncoder":
@@ -40,24 +40,16 @@ class ChunkEncoder:
             _ENCODERS[path] = cls(path)
         return _ENCODERS[path]
 
-    def _found(self, distinct: list[str]) -> list[bytes]:
+    def _encode(self, chunks: list[str]) -> Iterator[bytes]:
         """Each chunk's ids as little-endian 32-bit integers."""
-        new, old = self.chunks, self.chunks.old
-        out = [new.get(c) or old.get(c) for c in distinct]
-        missing = [i for i, x in enumerate(out) if x is None]
-        for a in range(0, len(missing), 4_000):
-            part = missing[a : a + 4_000]
-            for i, e in zip(part, self.library.encode_batch_fast([distinct[i] for i in part], add_special_tokens=False), strict=True):
-                out[i] = np.array(e.ids, "<u4").tobytes()
-        for c, x in zip(distinct, out, strict=True):
-            if c not in new:
-                new.keep(c, x)
-        return out
+        for a in range(0, len(chunks), 4_000):
+            for e in self.library.encode_batch_fast(chunks[a : a + 4_000], add_special_tokens=False):
+                yield np.array(e.ids, "<u4").tobytes()
 
     def encode_many(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each followed by end_id; where each text's ids begin, one more at the end)."""
-        offsets, codes, distinct = split_chunks(texts)
-        found = self._found(distinct)
+        offsets, codes, distinct = split_chunks(folded(texts))
+        found = self.chunks.all(distinct, self._encode)
         lengths = np.fromiter(map(len, found), np.int64, len(found)) // 4
         ids, at = gather(codes, np.frombuffer(b"".join(found), "<u4"), lengths) if len(codes) else (np.zeros(0, "<u4"), np.zeros(1, np.int64))
         ends = at[offsets[1:]]

@@ -295,6 +295,8 @@ class WarcRecords(DataSource):
 
 
 def read_warc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
+    """Records of the archives under ``path``. Call it anew for each filter: in Spark 4.1 filters that one query pushed
+    stay with the source that its frame holds."""
     spark.dataSource.register(WarcRecords)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     return spark.read.format(NAME).option("payload", str(payload).lower()).load(path)
