@@ -525,3 +525,177 @@ def stream_session_dedup(spark, d):
 
     rows = table(spark, d, "events").select(F.col("event_id").cast("string").alias("id"), F.col("user_id").cast("double").alias("amount"), F.lit("DEBIT").alias("direction"), F.col("ts").alias("event_time"), F.lit(None).cast("string").alias("ref_id"), F.lit("x").alias("recipient_name"), F.lit("s").alias("sender"), F.col("props").alias("body"), F.lit(True).alias("is_financial"), F.lit(0.9).alias("classification_confidence"))
     return session_transactions(rows, "6 hours").select("run_start", "amount", "id")
+
+
+# ---- more of the single operators ----------------------------------------------------------------------------------
+@query(f"SELECT replace(name, ' ', '') AS canonical, string_agg(DISTINCT name, '|' ORDER BY name) AS names FROM ({_NAMES}) GROUP BY 1 HAVING count(DISTINCT name) > 1")
+def name_variants(spark, d):
+    rows = _names(spark, d).withColumn("canonical", F.replace("name", F.lit(" "), F.lit("")))
+    return RES.variants(rows, "name", "canonical").select("canonical", F.array_join("names", "|").alias("names"))
+
+
+_CELLS = "SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN '1,2.5' WHEN 1 THEN 'x1' WHEN 2 THEN NULL ELSE '7' END AS num, CASE o_orderkey % 3 WHEN 0 THEN ' ' ELSE o_orderstatus END AS txt FROM orders"
+
+
+@query(f"SELECT o_orderkey, concat_ws('; ', CASE WHEN o_orderkey % 4 = 1 THEN 'invalid number: num' END, CASE WHEN trim(coalesce(txt, '')) = '' THEN 'empty: txt' END) AS errors FROM ({_CELLS})")
+def row_errors(spark, d):
+    table(spark, d, "orders").createOrReplaceTempView("orders")
+    return spark.sql(_CELLS).select("o_orderkey", F.array_join(R.row_errors(["num"], ["txt"]), "; ").alias("errors"))
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'DEBIT' ELSE 'CREDIT' END AS direction, CAST(round(o_totalprice, 2) AS DOUBLE) AS amount,
+CASE WHEN round(o_totalprice, 2) >= 100000 THEN 'HIGH' WHEN round(o_totalprice, 2) >= 10000 THEN 'MEDIUM' ELSE 'LOW' END AS size FROM orders""")
+def transaction_logic(spark, d):
+    a, even = F.round("o_totalprice", 2), F.col("o_orderkey") % 2 == 0
+    rows = table(spark, d, "orders").select("o_orderkey", F.when(even, -a).otherwise(a).alias("amount"), F.when(even, a).otherwise(F.lit(0.0)).alias("debit"), F.when(even, F.lit(0.0)).otherwise(a).alias("credit"))
+    return ST.describe_transaction(rows).select("o_orderkey", "direction", F.col("effective_amount").cast("double").alias("amount"), F.col("size_bucket").alias("size"))
+
+
+_PARSED = "SELECT o_orderkey, CAST(o_custkey % 50 AS DOUBLE) + 0.25 AS amount, CASE WHEN o_orderkey % 2 = 0 THEN 'DEBIT' ELSE 'CREDIT' END AS direction, CASE o_custkey % 3 WHEN 0 THEN 'SBI' WHEN 1 THEN 'HDFC' END AS bank, CASE WHEN o_orderkey % 4 > 0 THEN 'R' || CAST(o_orderkey % 900 AS STRING) END AS ref_id, CASE o_orderkey % 5 WHEN 0 THEN 'upi' WHEN 1 THEN 'WIRE' ELSE 'NEFT' END AS transaction_mode, 'Alda' AS recipient_name, CAST(NULL AS STRING) AS upi_id, o_orderdate AS event_time, o_orderkey % 7 > 0 AS is_financial FROM orders"
+
+
+def _ledger_rows(spark: SparkSession, d: str) -> DataFrame:
+    table(spark, d, "orders").createOrReplaceTempView("orders")
+    return ST.to_transactions(spark.sql(_PARSED), F.lit("2026-01-01").cast("timestamp"))
+
+
+@query(f"""SELECT transaction_reference, strftime(event_time, '%Y-%m-%d') AS day, CAST(CASE WHEN direction = 'DEBIT' THEN -amount ELSE amount END AS DOUBLE) AS amount, CASE WHEN upper(transaction_mode) IN ('UPI', 'NEFT') THEN upper(transaction_mode) ELSE 'OTHER' END AS mode,
+CASE WHEN direction = 'DEBIT' THEN 'DR' ELSE 'CR' END AS sign, count(*) AS n FROM (SELECT *, ref_id AS transaction_reference FROM ({_PARSED}) WHERE is_financial) GROUP BY ALL""")
+def ledger_insert(spark, d):
+    rows = _ledger_rows(spark, d).select("transaction_reference", F.col("transaction_date").cast("string").alias("day"), F.col("amount").cast("double").alias("amount"), F.col("transaction_mode").alias("mode"), F.col("dr_cr_indicator").alias("sign"))
+    return rows.groupBy("transaction_reference", "day", "amount", "mode", "sign").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH p AS (SELECT coalesce(bank, 'UNKNOWN') AS b, ref_id, amount, direction, CAST(event_time AS DATE) AS day, event_time < TIMESTAMP '1997-01-01' AS known FROM ({_PARSED}) WHERE is_financial),
+a AS (SELECT DISTINCT b, ref_id, NULL::DOUBLE AS amount, NULL::VARCHAR AS direction, NULL::DATE AS day FROM p x WHERE NOT known AND ref_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM p y WHERE y.known AND y.b = x.b AND y.ref_id = x.ref_id)),
+c AS (SELECT DISTINCT b, ref_id, amount, direction, day FROM p x WHERE NOT known AND ref_id IS NULL AND NOT EXISTS (SELECT 1 FROM p y WHERE y.known AND y.b = x.b AND y.amount = x.amount AND y.direction = x.direction AND y.day = x.day))
+SELECT count(*) AS new_rows FROM (SELECT * FROM a UNION ALL SELECT * FROM c)""")
+def ledger_dedup(spark, d):
+    rows = _ledger_rows(spark, d)
+    known = F.col("transaction_date") < F.lit("1997-01-01").cast("date")
+    return ST.new_transactions(rows.filter(~known), rows.filter(known)).agg(F.count("*").alias("new_rows"))
+
+
+_IN = "SELECT o_orderkey AS k, CAST(o_custkey % 20 AS STRING) AS user_id, CASE WHEN o_orderkey % 2 = 0 THEN CAST(o_orderkey % 300 AS STRING) END AS ref_norm, CAST(o_orderdate AS DATE) AS date, o_orderstatus AS details, CAST(o_custkey % 5 AS DECIMAL(14, 2)) AS balance, CAST(o_custkey % 6 AS DECIMAL(14, 2)) AS amount, 'DEBIT' AS direction, CASE o_orderkey % 3 WHEN 0 THEN 'statement' ELSE 'sms' END AS source, o_orderkey % 5 = 0 AS is_reconciled, o_orderkey % 4 = 1 AS incoming FROM orders"
+
+
+@query(f"""WITH t AS ({_IN}), i AS (SELECT * FROM t WHERE incoming), s AS (SELECT * FROM t WHERE NOT incoming AND source = 'statement'), m AS (SELECT * FROM t WHERE NOT incoming AND source = 'sms' AND NOT is_reconciled)
+SELECT k, CASE WHEN EXISTS (SELECT 1 FROM s WHERE s.user_id = i.user_id AND s.ref_norm = i.ref_norm) OR (i.ref_norm IS NULL AND EXISTS (SELECT 1 FROM s WHERE s.ref_norm IS NULL AND s.user_id = i.user_id AND s.date = i.date AND s.details = i.details AND s.balance = i.balance)) THEN 'skip'
+WHEN EXISTS (SELECT 1 FROM m WHERE m.user_id = i.user_id AND m.ref_norm = i.ref_norm) OR EXISTS (SELECT 1 FROM m WHERE m.user_id = i.user_id AND m.date = i.date AND m.amount = i.amount AND m.direction = i.direction) THEN 'update' ELSE 'insert' END AS action FROM i""")
+def live_reconcile(spark, d):
+    table(spark, d, "orders").createOrReplaceTempView("orders")
+    rows = spark.sql(_IN)
+    return L.reconcile(rows.filter("incoming").drop("is_reconciled", "incoming"), rows.filter("NOT incoming")).select("k", "action")
+
+
+@query(_band_sql("SELECT count(*) AS n, count(right_id) AS matched, round(count(right_id) * 100.0 / count(*), 2) AS match_percent, count(*) FILTER (WHERE reason = 'low_confidence') AS low FROM m"))
+def match_metrics(spark, d):
+    return R.match_metrics(_band(spark, d)[2]).select("n", "matched", "match_percent", F.col("low_confidence").alias("low"))
+
+
+@query("SELECT band, count(*) AS n FROM (SELECT CASE WHEN o_custkey % 100 >= 90 THEN 'high' WHEN o_custkey % 100 >= 75 THEN 'medium' ELSE 'low' END AS band FROM orders) GROUP BY 1")
+def confidence_bands(spark, d):
+    return R.confidence_bands(table(spark, d, "orders").select((F.col("o_custkey") % 100 / 100.0).alias("c")), "c")
+
+
+@query("SELECT count(*) AS total, count(*) FILTER (WHERE o_orderstatus = 'F') AS financial, count(*) FILTER (WHERE o_orderstatus <> 'F') AS other FROM orders")
+def service_stats(spark, d):
+    return R.service_stats(table(spark, d, "orders").select((F.col("o_orderstatus") == "F").alias("is_financial")))
+
+
+@query("SELECT o_orderpriority, count(*) AS n FROM orders GROUP BY 1")
+def value_counts(spark, d):
+    return R.value_counts(table(spark, d, "orders"), "o_orderpriority")
+
+
+_PROMO_HITS = " + ".join(f"CAST(contains(lower(body), '{w}') AS INTEGER)" for w in S.PROMO_WORDS)
+_COARSE = CHECK.case([
+    (CHECK.rlike("body", P.OTP, True), "'OTP'"), (f"({CHECK.rlike('body', P.GAMBLING, True)} OR {CHECK.rlike('body', P.SHORT_LINK, True)} OR {CHECK.rlike('sender', P.PHONE_SENDER)})", "'SPAM'"), (f"({_PROMO_HITS}) >= 2", "'PROMOTIONAL'"),
+    (CHECK.rlike("body", P.FAILED, True), "'FAILED_TRANSACTION'"), (f"({CHECK.rlike('body', P.ALERT, True)} OR {CHECK.rlike('body', P.BILL, True)})", "'SERVICE_NOTIFICATION'"), (f"({CHECK.rlike('body', P.AMOUNT, True)} AND {CHECK.rlike('body', P.CONTEXT, True)})", "'TRANSACTION'"),
+], "'UNKNOWN'")
+
+
+@query(f"SELECT o_orderkey, {_COARSE} AS label FROM {_MESSAGES}")
+def coarse_labels(spark, d):
+    return messages(spark, d).select("o_orderkey", S.coarse_label("body", "sender").alias("label"))
+
+
+@query()
+def coarse_entities(spark, d):
+    rows = S.coarse_entities(messages(spark, d))
+    return rows.select("o_orderkey", *[x for x in rows.columns if x.startswith("e_")])
+
+
+@query("SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN 'Homes' WHEN contains(c_mktsegment, 'AUTO') THEN 'Cars' ELSE upper(c_mktsegment) END AS kb_name FROM customer")
+def knowledge_base(spark, d):
+    kb = spark.createDataFrame([("building", "Homes", 0), ("auto", "Cars", 1), ("autom", "Later", 2)], "alias string, canonical string, position int")
+    return RES.knowledge_base_match(table(spark, d, "customer"), kb, "c_mktsegment").select("c_custkey", "kb_name")
+
+
+@query("SELECT o_orderkey, concat_ws('; ', CASE WHEN o_orderkey % 3 = 0 THEN 'empty description' END, CASE WHEN o_orderkey % 3 = 1 THEN 'long description' END, CASE WHEN o_orderkey % 2 = 0 THEN 'negative amount' END, CASE WHEN o_orderkey % 5 = 0 THEN 'unknown sign' END) AS errors FROM orders")
+def request_errors(spark, d):
+    k = F.col("o_orderkey")
+    rows = table(spark, d, "orders").select(k, F.when(k % 3 == 0, " ").when(k % 3 == 1, F.repeat(F.lit("x"), 501)).otherwise("ok").alias("description"), F.when(k % 2 == 0, -1).otherwise(1).alias("amount"), F.when(k % 5 == 0, "XX").otherwise("DR").alias("dr_cr"))
+    return rows.select("o_orderkey", F.array_join(CAT.request_errors(), "; ").alias("errors"))
+
+
+@query(f"SELECT o_orderkey, nullif(regexp_extract(body, '\\b(9\\d{{9}})\\b', 1), '') AS phone FROM {_MESSAGES}")
+def recharge_phones(spark, d):
+    return messages(spark, d).select("o_orderkey", D.recharge_phone("body").alias("phone"))
+
+
+@query("SELECT o_orderkey, CAST(o_orderkey * 1000 + 5 AS BIGINT) AS seconds FROM orders")
+def timestamp_normalize(spark, d):
+    k = F.col("o_orderkey") * 1000 + 5
+    text = F.when(F.col("o_orderkey") % 2 == 0, (k * 1000).cast("string")).otherwise(F.date_format(F.timestamp_seconds(k), "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+    return table(spark, d, "orders").select("o_orderkey", T.parse_timestamp(text).cast("long").alias("seconds"))
+
+
+@query(f"SELECT o_orderkey, sha256(upper(trim(sender)) || '|' || trim(body)) AS h FROM {_MESSAGES}")
+def body_hashes(spark, d):
+    return messages(spark, d).select("o_orderkey", T.body_hash("sender", "body").alias("h"))
+
+
+@query("SELECT min(event_id) AS event_id FROM events GROUP BY CAST(ts + INTERVAL 330 MINUTES AS DATE), user_id, md5(event_type)")
+def legacy_dedup(spark, d):
+    rows = table(spark, d, "events").select("event_id", F.col("user_id").cast("string").alias("sender"), F.col("event_type").alias("body"), F.unix_millis(F.col("ts").cast("timestamp")).cast("string").alias("timestamp_ms"), F.col("event_id").alias("row_id"))
+    return D.legacy_dedup(rows).select("event_id")
+
+
+@query("SELECT o_orderkey, CAST(o_orderkey AS DOUBLE) AS amount, CASE o_orderkey % 3 WHEN 0 THEN 'DEBIT' WHEN 1 THEN 'CREDIT' END AS direction, right(CAST(o_orderkey + 100000 AS VARCHAR), 4) AS account_suffix, least(1.0::DOUBLE, greatest(0.0::DOUBLE, (o_orderkey % 5 - 1) / 2)) AS confidence FROM orders")
+def coerced_input(spark, d):
+    k = F.col("o_orderkey")
+    rows = table(spark, d, "orders").select(k, k.cast("string").alias("amount"), F.when(k % 3 == 0, " dr").when(k % 3 == 1, "Credit").otherwise("?").alias("direction"), (k + 100000).cast("string").alias("account_suffix"), ((k % 5 - 1) / 2).alias("classification_confidence"))
+    return ST.coerce(rows).withColumnRenamed("classification_confidence", "confidence")
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")
+def membership_semi(spark, d):
+    keys = table(spark, d, "customer").filter("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("o_custkey"))
+    return table(spark, d, "orders").join(keys, "o_custkey", "left_semi").select("o_orderkey")
+
+
+@query(f"SELECT o_orderkey, contains(lower(n), 'building') OR contains(lower(n), 'machinery') AS own FROM {_NARRATED}")
+def self_transfer(spark, d):
+    return narrated(spark, d).select("o_orderkey", T.is_self_transfer("n", ["Building", "of", "Machinery"]).alias("own"))
+
+
+@query("SELECT c_custkey, regexp_replace(c_name || ' /x', '[^A-Za-z0-9._-]+', '_', 'g') AS name FROM customer")
+def safe_file_names(spark, d):
+    return table(spark, d, "customer").select("c_custkey", T.safe_file_name(F.concat("c_name", F.lit(" /x"))).alias("name"))
+
+
+@query("SELECT 'dd/MM/yyyy' AS format")
+def date_detect(spark, d):
+    from .plans.statements import detect_date_format
+
+    rows = table(spark, d, "orders").select(F.date_format("o_orderdate", "dd/MM/yyyy").alias("t"))
+    return spark.createDataFrame([(detect_date_format(rows, "t", T.DATE_FORMATS[1:] + T.DATE_FORMATS[:1]),)], "format string")
+
+
+@query("SELECT o_custkey, max_by(o_orderstatus, o_orderkey) AS name FROM orders GROUP BY 1")
+def last_write_wins(spark, d):
+    o = table(spark, d, "orders")
+    linked = o.select(F.col("o_custkey").alias("matched_id"), F.col("o_orderstatus").alias("recipient_name"), F.lit("backfilled").alias("outcome"), F.col("o_orderkey").alias("event_time"), F.col("o_orderkey").alias("row_id"))
+    right = o.select(F.col("o_custkey").alias("right_id")).distinct().withColumn("Recipient_Name", F.lit(None).cast("string"))
+    return L.backfill_names(right, linked).select(F.col("right_id").alias("o_custkey"), F.col("Recipient_Name").alias("name"))
