@@ -95,7 +95,7 @@ class Remembered:
 
 
 class WordBpe:
-    def __init__(self, path: str, remember: int = 300_000):
+    def __init__(self, path: str, remember: int = 100_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -218,12 +218,12 @@ def encode_documents(docs: DataFrame, text_col: str = "text", vocabulary: str |
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = WordBpe.shared(path)
         for batch in batches:
-            found = [x for part in slices(batch.column(batch.schema.get_field_index(text_col))) for x in codec.encode_many(part)]
-            ids = pa.array([np.fromstring(i, np.int32, sep=" ") if i else np.zeros(0, np.int32) for _, i, _ in found], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array([x[0] for x in found], pa.int64()), ids, pa.array([x[2].decode() for x in found], pa.string())],
-                names=[*batch.schema.names, *own],
-            )
+            first = 0
+            for part in slices(batch.column(batch.schema.get_field_index(text_col))):
+                n, ids, decoded = zip(*codec.encode_many(part), strict=True)
+                lists = pa.array([np.fromstring(i, np.int32, sep=" ") if i else np.zeros(0, np.int32) for i in ids], pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([*batch.slice(first, len(part)).columns, pa.array(n, pa.int64()), lists, pa.array(decoded, pa.binary()).cast(pa.string())], names=[*batch.schema.names, *own])
+                first += len(part)
 
     return df.mapInArrow(run, schema)
 

@@ -9,20 +9,19 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text split at once.
-SLICE = 8 << 20
+SLICE = 2 << 20
 
 
 def slices(texts: pa.Array) -> Iterator[pa.Array]:
     """Consecutive parts of about SLICE bytes; a longer text is a part of its own."""
-    texts = pc.fill_null(texts.cast(pa.large_string()), "")
     if not len(texts):
         return
-    ends = np.cumsum(pc.binary_length(texts).to_numpy())
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(), dtype=np.int64)
     first = 0
     while first < len(texts):
         before = ends[first - 1] if first else 0
         last = max(first + 1, int(np.searchsorted(ends, before + SLICE, "right")))
-        yield texts.slice(first, last - first)
+        yield pc.fill_null(texts.slice(first, last - first), "")
         first = last
 
 

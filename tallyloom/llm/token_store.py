@@ -26,7 +26,7 @@ class ChunkEncoder:
     of its chunks one after another. Chunks are remembered in two bounded generations.
     """
 
-    def __init__(self, path: str, remember: int = 200_000):
+    def __init__(self, path: str, remember: int = 150_000):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
