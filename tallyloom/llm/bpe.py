@@ -80,17 +80,15 @@ class Remembered:
     def all(self, keys: list[str], make) -> list:
         """The values of distinct keys; ``make`` gives those of a list of unknown ones."""
         out = list(map(self.new.get, keys))
-        missing = []
-        for i, x in enumerate(out):
-            if x is None:
-                out[i] = self.old.get(keys[i])
-                if out[i] is None:
-                    missing.append(i)
+        for i in [i for i, x in enumerate(out) if x is None]:
+            out[i] = self.old.get(keys[i])
+        missing = [i for i, x in enumerate(out) if x is None]
         for i, x in zip(missing, make([keys[i] for i in missing]), strict=True):
             out[i] = x
         if len(self.new) + len(keys) > self.size:
             self.old, self.new = self.new, {}
-        self.new.update((k, x) for k, x in zip(keys, out, strict=True) if len(k) <= 256)
+        both = zip(keys, out, strict=True)
+        self.new.update(both if max(map(len, keys), default=0) <= 256 else (x for x in both if len(x[0]) <= 256))
         return out
 
 

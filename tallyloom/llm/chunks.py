@@ -12,15 +12,15 @@ import pyarrow.compute as pc
 SLICE = 2 << 20
 
 
-def slices(texts: pa.Array) -> Iterator[pa.Array]:
-    """Consecutive parts of about SLICE bytes; a longer text is a part of its own."""
+def slices(texts: pa.Array, size: int = SLICE) -> Iterator[pa.Array]:
+    """Consecutive parts of about ``size`` bytes; a longer text is a part of its own."""
     if not len(texts):
         return
     ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(), dtype=np.int64)
     first = 0
     while first < len(texts):
         before = ends[first - 1] if first else 0
-        last = max(first + 1, int(np.searchsorted(ends, before + SLICE, "right")))
+        last = max(first + 1, int(np.searchsorted(ends, before + size, "right")))
         yield pc.fill_null(texts.slice(first, last - first), "")
         first = last
 

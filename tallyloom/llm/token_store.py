@@ -16,6 +16,8 @@ from .chunks import folded, gather, slices, split_chunks
 from .common import Workspace, quoted
 
 SCHEMA = "doc_id long, n_tokens long, shard int, start_in_shard long, token_ids array<int>"
+#: Bytes of text split at once; ids take little room, and larger slices repeat more of their chunks.
+SLICE = 6 << 20
 _ENCODERS: dict[str, "ChunkEncoder"] = {}
 
 
@@ -26,12 +28,15 @@ class ChunkEncoder:
     of its chunks one after another. Chunks are remembered in two bounded generations.
     """
 
-    def __init__(self, path: str, remember: int = 150_000):
+    def __init__(self, path: str, remember: int = 250_000):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        self.mark = next(((t.content, i) for i, t in self.library.get_added_tokens_decoder().items() if t.content.startswith("<|") and not (t.lstrip or t.rstrip or t.single_word)), None)
+        if self.mark is None:
+            raise ValueError(f"{path}: no special token to set chunks apart")
         self.chunks = Remembered(remember)
 
     @classmethod
@@ -41,10 +46,21 @@ class ChunkEncoder:
         return _ENCODERS[path]
 
     def _encode(self, chunks: list[str]) -> Iterator[bytes]:
-        """Each chunk's ids as little-endian 32-bit integers."""
-        for a in range(0, len(chunks), 4_000):
-            for e in self.library.encode_batch_fast(chunks[a : a + 4_000], add_special_tokens=False):
-                yield np.array(e.ids, "<u4").tobytes()
+        """Each chunk's ids as little-endian 32-bit integers. Many chunks go through the library as one text with a
+        special token between two; chunks that hold one go alone."""
+        mark, mark_id = self.mark
+        for a in range(0, len(chunks), 8_000):
+            part = chunks[a : a + 8_000]
+            joined = mark.join(part)
+            if joined.count("<|") == len(part) - 1:
+                ids = np.array(self.library.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
+                ends = [0, *(4 * (np.flatnonzero(ids == mark_id) + 1)).tolist(), 4 * len(ids) + 4]
+                raw = ids.tobytes()
+                for i, j in zip(ends[:-1], ends[1:], strict=True):
+                    yield raw[i : j - 4]
+            else:
+                for e in self.library.encode_batch_fast(part, add_special_tokens=False):
+                    yield np.array(e.ids, "<u4").tobytes()
 
     def encode_many(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each followed by end_id; where each text's ids begin, one more at the end)."""
@@ -73,7 +89,7 @@ def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
         encoder, shard, before = ChunkEncoder.shared(vocab), TaskContext.get().partitionId(), 0
         for batch in batches:
             first = 0
-            for part in slices(batch.column(1)):
+            for part in slices(batch.column(1), SLICE):
                 ids, at = encoder.encode_many(part, end_id)
                 n = np.diff(at)
                 lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids.view(np.int32)))
