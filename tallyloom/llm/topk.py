@@ -139,10 +139,10 @@ def _run(k: int):
                 queries.append(r[3])
                 query_ids.append(r[2])
                 r = following()
+            if not queries:
+                continue  # r is a candidate of a block without queries
             if r is not None:
                 held.append(r)
-            if not queries:
-                continue
             d = max(m.shape[1] for m in queries)
             q, q_ids = np.concatenate([fit(m, d) for m in queries]), np.concatenate(query_ids)
 
