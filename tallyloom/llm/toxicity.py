@@ -122,7 +122,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     model = ready.repartition(1).sortWithinPartitions("o", "id").select("id", "y", "x").mapInArrow(learn, "i long, w double").toPandas()
     model = model.sort_values("i")
     i, w = model["i"].to_numpy(), model["w"].to_numpy()
-    return float(w[0]), i[1:], w[1:]
+    return (float(w[0]), i[1:], w[1:]) if len(w) else (float("-inf"), i.astype(np.int64), w.astype(float))
 
 
 def score_texts(docs: DataFrame, model: tuple[float, np.ndarray, np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
