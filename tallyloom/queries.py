@@ -302,12 +302,19 @@ def outcome_tally(spark, d):
     return R.outcome_tally(link_outcomes(spark, d))
 
 
+#: Every lineitem row with an id of its own (order and line number repeat); the whole tables meet in the queries named ..._all.
+_LINES = "SELECT *, (l_orderkey * 10 + l_linenumber) * 1000 + row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_shipdate, l_extendedprice, l_quantity, l_discount, l_tax, l_returnflag, l_linestatus) AS right_id FROM lineitem"
 _OFF = "abs(abs(l.amount) - abs(r.amount))"
 
 
-def _band_sql(last: str) -> str:
-    return f"""WITH l AS (SELECT o_orderkey AS left_id, o_totalprice AS amount, CAST(o_orderdate AS DATE) AS day, CASE WHEN o_orderkey % 2 = 0 THEN 'DEBIT' ELSE 'CREDIT' END AS direction, CAST(o_custkey % 5 AS VARCHAR) AS name FROM orders WHERE o_orderkey % 4 = 0),
-r AS (SELECT o_orderkey AS right_id, o_totalprice AS amount, CAST(o_orderdate AS DATE) AS day, CASE WHEN o_orderkey % 3 = 0 THEN 'DEBIT' ELSE 'CREDIT' END AS direction, CAST(o_custkey % 5 AS VARCHAR) AS name FROM orders WHERE o_orderkey % 4 = 1),
+_BAND_LEFT = "SELECT o_orderkey AS left_id, o_totalprice AS amount, CAST(o_orderdate AS DATE) AS day, CASE WHEN o_orderkey % 2 = 0 THEN 'DEBIT' ELSE 'CREDIT' END AS direction, CAST(o_custkey % 5 AS VARCHAR) AS name FROM orders"
+_BAND_RIGHT = "SELECT o_orderkey AS right_id, o_totalprice AS amount, CAST(o_orderdate AS DATE) AS day, CASE WHEN o_orderkey % 3 = 0 THEN 'DEBIT' ELSE 'CREDIT' END AS direction, CAST(o_custkey % 5 AS VARCHAR) AS name FROM orders WHERE o_orderkey % 4 = 1"
+_BAND_LINES = f"SELECT right_id, l_extendedprice AS amount, CAST(l_shipdate AS DATE) AS day, CASE WHEN l_partkey % 3 = 0 THEN 'DEBIT' ELSE 'CREDIT' END AS direction, CAST(l_suppkey % 5 AS STRING) AS name FROM ({_LINES})"
+
+
+def _band_sql(last: str, left: str = f"{_BAND_LEFT} WHERE o_orderkey % 4 = 0", right: str = _BAND_RIGHT) -> str:
+    return f"""WITH l AS ({left}),
+r AS ({right}),
 s AS (SELECT left_id, right_id, round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, (CASE WHEN {_OFF} < 0.01 THEN 1.0::DOUBLE WHEN {_OFF} < 1 THEN 0.95::DOUBLE WHEN {_OFF} / greatest(abs(r.amount), 0.01) < 0.05 THEN 0.8::DOUBLE ELSE 0.0::DOUBLE END) * 0.30::DOUBLE
  + (CASE abs(date_diff('day', l.day, r.day)) WHEN 0 THEN 1.0::DOUBLE WHEN 1 THEN 0.8::DOUBLE ELSE 0.6::DOUBLE END) * 0.25::DOUBLE + CASE WHEN l.name = r.name THEN 0.20::DOUBLE ELSE 0.0::DOUBLE END + CASE WHEN l.direction = r.direction THEN 0.15::DOUBLE ELSE 0.0::DOUBLE END + 0.10::DOUBLE)), 6) AS score
  FROM l JOIN r ON r.day BETWEEN l.day - 2 AND l.day + 2 AND ({_OFF} < 5 OR {_OFF} < 0.05 * abs(r.amount))),
@@ -334,6 +341,29 @@ def unmatched_anti(spark, d):
     return L.unmatched(r, m).select("right_id")
 
 
+def _band_all_sql(last: str) -> str:
+    return _band_sql(last, _BAND_LEFT, _BAND_LINES)
+
+
+def _band_all(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Every lineitem row, and the best of them for every order."""
+    for t in ("orders", "lineitem"):
+        table(spark, d, t).createOrReplaceTempView(t)
+    r = spark.sql(_BAND_LINES)
+    l = spark.sql(_BAND_LEFT.replace("VARCHAR", "STRING"))  # noqa: E741
+    return r, L.band_match(l, r)
+
+
+@query(_band_all_sql("SELECT * FROM m"))
+def band_match_all(spark, d):
+    return _band_all(spark, d)[1]
+
+
+@query(_band_all_sql("SELECT right_id FROM r WHERE right_id NOT IN (SELECT right_id FROM m WHERE right_id IS NOT NULL)"))
+def unmatched_anti_all(spark, d):
+    return L.unmatched(*_band_all(spark, d)).select("right_id")
+
+
 @query("""WITH a AS (SELECT DISTINCT o_orderkey AS k FROM orders WHERE o_orderkey % 3 < 2), b AS (SELECT DISTINCT l_orderkey AS k FROM lineitem WHERE l_orderkey % 3 > 0)
 SELECT CASE WHEN a.k IS NOT NULL AND b.k IS NOT NULL THEN 'both' WHEN a.k IS NOT NULL THEN 'first' ELSE 'second' END AS part, count(*) AS n FROM a FULL JOIN b ON a.k = b.k GROUP BY 1""")
 def reference_overlap(spark, d):
@@ -588,11 +618,19 @@ def live_reconcile(spark, d):
     return L.reconcile(rows.filter("incoming").drop("is_reconciled", "incoming"), rows.filter("NOT incoming")).select("k", "action")
 
 
-@query(_band_sql("SELECT count(*) AS n, count(right_id) AS matched, round(count(right_id) * 100.0 / count(*), 2) AS match_percent, count(*) FILTER (WHERE reason = 'low_confidence') AS low FROM m"))
+_METRICS = "SELECT count(*) AS n, count(right_id) AS matched, round(count(right_id) * 100.0 / count(*), 2) AS match_percent, count(*) FILTER (WHERE reason = 'low_confidence') AS low FROM m"
+
+
+@query(_band_sql(_METRICS))
 def match_metrics(spark, d):
     return R.match_metrics(_band(spark, d)[2]).select("n", "matched", "match_percent", F.col("low_confidence").alias("low"))
 
 
+@query(_band_all_sql(_METRICS))
+def match_metrics_all(spark, d):
+    return R.match_metrics(_band_all(spark, d)[1]).select("n", "matched", "match_percent", F.col("low_confidence").alias("low"))
+
+
 @query("SELECT band, count(*) AS n FROM (SELECT CASE WHEN o_custkey % 100 >= 90 THEN 'high' WHEN o_custkey % 100 >= 75 THEN 'medium' ELSE 'low' END AS band FROM orders) GROUP BY 1")
 def confidence_bands(spark, d):
     return R.confidence_bands(table(spark, d, "orders").select((F.col("o_custkey") % 100 / 100.0).alias("c")), "c")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import decimal
 
 import duckdb
@@ -46,3 +47,25 @@ def test_entry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_band_match_all_leaves_no_row_out(spark, tmp_path):
+    day, later = dt.datetime(2026, 1, 1), dt.datetime(2026, 1, 9)
+    orders = [(k, k, "O", 100.0 * k, day, "1") for k in range(1, 9)]
+    # two rows of one order and line number are two right rows
+    lines = [(k, 1, k, 1, 1.0, 100.0 * k, 0.0, 0.0, "N", "O", day) for k in range(1, 9)] + [(8, 1, 9, 1, 1.0, 9999.0, 0.0, 0.0, "N", "O", later)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp").write.parquet(f"{tmp_path}/lineitem.parquet")
+
+    def score(o, i):
+        same = (o[0] % 2 == 0) == (i[2] % 3 == 0)
+        return round(0.30 + 0.25 + 0.20 * (o[1] % 5 == i[3] % 5) + 0.15 * same + 0.10, 6)
+
+    want = {o[0]: score(o, lines[o[0] - 1]) for o in orders}
+    ids = {k: (k * 10 + 1) * 1000 + 1 for k in want}
+    got = {r.left_id: (r.right_id, r.score) for r in QUERIES["band_match_all"](spark, str(tmp_path)).collect()}
+    assert got == {k: (ids[k] if v >= 0.75 else None, v) for k, v in want.items()}
+    unmatched = sorted(r.right_id for r in QUERIES["unmatched_anti_all"](spark, str(tmp_path)).collect())
+    assert unmatched == sorted([*(ids[k] for k, v in want.items() if v < 0.75), 81002])
+    m = QUERIES["match_metrics_all"](spark, str(tmp_path)).collect()[0]
+    assert (m.n, m.matched) == (8, sum(v >= 0.75 for v in want.values())) and 0 < m.matched
