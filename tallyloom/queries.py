@@ -275,13 +275,19 @@ _LEFT = "SELECT o_orderkey AS left_id, CASE WHEN o_orderkey % 3 = 0 THEN CAST(o_
 _RIGHT = "SELECT l_orderkey * 10 + l_linenumber AS right_id, CAST(l_orderkey AS STRING) AS ref_norm, CAST(l_shipdate AS DATE) AS day, CAST(l_suppkey % 7 AS DECIMAL(14, 2)) AS amount, CASE WHEN l_partkey % 2 = 0 THEN 'DEBIT' ELSE 'CREDIT' END AS direction, 'Shop ' || CAST(l_partkey % 9 AS STRING) AS Recipient_Name FROM lineitem WHERE l_linenumber <= 2"
 
 
-def _sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+#: Every lineitem row with an id of its own (order and line number repeat); the whole tables meet in the queries named ..._all.
+_LINES = "SELECT *, (l_orderkey * 10 + l_linenumber) * 1000 + row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_shipdate, l_extendedprice, l_quantity, l_discount, l_tax, l_returnflag, l_linestatus) AS right_id FROM lineitem"
+_RIGHT_ALL = f"SELECT right_id, CAST(l_orderkey AS STRING) AS ref_norm, CAST(l_shipdate AS DATE) AS day, CAST(l_suppkey % 7 AS DECIMAL(14, 2)) AS amount, CASE WHEN l_partkey % 2 = 0 THEN 'DEBIT' ELSE 'CREDIT' END AS direction, 'Shop ' || CAST(l_partkey % 9 AS STRING) AS Recipient_Name FROM ({_LINES})"
+
+
+def _sides(spark: SparkSession, d: str, right: str = _RIGHT) -> tuple[DataFrame, DataFrame]:
     for t in ("orders", "lineitem"):
         table(spark, d, t).createOrReplaceTempView(t)
-    return spark.sql(_LEFT), spark.sql(_RIGHT)
+    return spark.sql(_LEFT), spark.sql(right)
 
 
-_LINK_SQL = f"""WITH l AS ({_LEFT}), r AS ({_RIGHT}),
+def _link_sql(right: str) -> str:
+    return f"""WITH l AS ({_LEFT}), r AS ({right}),
 ex AS (SELECT DISTINCT day, amount, direction FROM l WHERE left_id % 50 = 0), hi AS (SELECT DISTINCT day, amount, direction FROM l WHERE left_id % 7 = 0),
 a AS (SELECT ref_norm, min(right_id) AS rid FROM r GROUP BY 1 HAVING count(*) = 1),
 b AS (SELECT day, amount, direction, count(*) AS n, min(right_id) AS rid, min(CASE WHEN regexp_matches(Recipient_Name, '(?i)shop [34]') THEN right_id END) AS hid, count(CASE WHEN regexp_matches(Recipient_Name, '(?i)shop [34]') THEN 1 END) AS hn FROM r GROUP BY 1, 2, 3),
@@ -290,20 +296,31 @@ f AS (SELECT *, CASE WHEN ra IS NOT NULL THEN ra WHEN NOT e AND n = 1 THEN rb WH
 SELECT left_id, matched_id, CASE WHEN matched_id IS NOT NULL THEN CASE WHEN recipient_name IS NOT NULL THEN 'backfilled' ELSE 'no_name' END WHEN NOT e AND n > 1 THEN 'ambiguous' ELSE 'new' END AS outcome FROM f"""
 
 
-@query(_LINK_SQL)
-def link_outcomes(spark, d):
-    l, r = _sides(spark, d)  # noqa: E741
+def _linked(l: DataFrame, r: DataFrame) -> DataFrame:  # noqa: E741
     hints = l.filter("left_id % 7 = 0").select("day", "amount", "direction").distinct().withColumn("pattern", F.lit("shop [34]"))
     return L.link_outcomes(l, r, l.filter("left_id % 50 = 0"), hints).select("left_id", "matched_id", "outcome")
 
 
-@query(f"SELECT outcome, count(*) AS n FROM ({_LINK_SQL}) GROUP BY outcome")
+@query(_link_sql(_RIGHT))
+def link_outcomes(spark, d):
+    return _linked(*_sides(spark, d))
+
+
+@query(f"SELECT outcome, count(*) AS n FROM ({_link_sql(_RIGHT)}) GROUP BY outcome")
 def outcome_tally(spark, d):
     return R.outcome_tally(link_outcomes(spark, d))
 
 
-#: Every lineitem row with an id of its own (order and line number repeat); the whole tables meet in the queries named ..._all.
-_LINES = "SELECT *, (l_orderkey * 10 + l_linenumber) * 1000 + row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_shipdate, l_extendedprice, l_quantity, l_discount, l_tax, l_returnflag, l_linestatus) AS right_id FROM lineitem"
+@query(_link_sql(_RIGHT_ALL))
+def link_outcomes_all(spark, d):
+    return _linked(*_sides(spark, d, _RIGHT_ALL))
+
+
+@query(f"SELECT outcome, count(*) AS n FROM ({_link_sql(_RIGHT_ALL)}) GROUP BY outcome")
+def outcome_tally_all(spark, d):
+    return R.outcome_tally(link_outcomes_all(spark, d))
+
+
 _OFF = "abs(abs(l.amount) - abs(r.amount))"
 
 

@@ -49,13 +49,17 @@ def test_entry(spark):
     assert set(e.oracle_sql()) <= set(e.queries())
 
 
+def write_tables(spark, path, orders, lines):
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp, o_orderpriority string").write.parquet(f"{path}/orders.parquet")
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp").write.parquet(f"{path}/lineitem.parquet")
+
+
 def test_band_match_all_leaves_no_row_out(spark, tmp_path):
     day, later = dt.datetime(2026, 1, 1), dt.datetime(2026, 1, 9)
     orders = [(k, k, "O", 100.0 * k, day, "1") for k in range(1, 9)]
     # two rows of one order and line number are two right rows
     lines = [(k, 1, k, 1, 1.0, 100.0 * k, 0.0, 0.0, "N", "O", day) for k in range(1, 9)] + [(8, 1, 9, 1, 1.0, 9999.0, 0.0, 0.0, "N", "O", later)]
-    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
-    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp").write.parquet(f"{tmp_path}/lineitem.parquet")
+    write_tables(spark, tmp_path, orders, lines)
 
     def score(o, i):
         same = (o[0] % 2 == 0) == (i[2] % 3 == 0)
@@ -69,3 +73,14 @@ def test_band_match_all_leaves_no_row_out(spark, tmp_path):
     assert unmatched == sorted([*(ids[k] for k, v in want.items() if v < 0.75), 81002])
     m = QUERIES["match_metrics_all"](spark, str(tmp_path)).collect()[0]
     assert (m.n, m.matched) == (8, sum(v >= 0.75 for v in want.values())) and 0 < m.matched
+
+
+def test_link_outcomes_all_sees_every_line(spark, tmp_path):
+    day, ship = dt.datetime(2026, 1, 1), dt.datetime(2026, 1, 9)
+    line = lambda key, number, part: (key, number, part, 1, 1.0, 1.0, 0.0, 0.0, "N", "O", ship)
+    orders = [(k, 3, "O", 1.0, day, "1") for k in (3, 6, 9)]
+    # order 3: one of two lines has number 3; order 6: its only line has number 3; order 9: two rows of one number
+    write_tables(spark, tmp_path, orders, [line(3, 1, 1), line(3, 3, 2), line(6, 3, 3), line(9, 1, 4), line(9, 1, 5)])
+    got = {r.left_id: (r.matched_id, r.outcome) for r in QUERIES["link_outcomes_all"](spark, str(tmp_path)).collect()}
+    assert got == {3: (None, "new"), 6: (63001, "backfilled"), 9: (None, "new")}
+    assert {r.outcome: r.n for r in QUERIES["outcome_tally_all"](spark, str(tmp_path)).collect()} == {"new": 2, "backfilled": 1}
