@@ -389,6 +389,14 @@ def reference_overlap(spark, d):
     return L.reference_overlap(a, b)
 
 
+@query("""WITH a AS (SELECT DISTINCT o_orderkey AS k FROM orders), b AS (SELECT DISTINCT l_orderkey AS k FROM lineitem)
+SELECT CASE WHEN a.k IS NOT NULL AND b.k IS NOT NULL THEN 'both' WHEN a.k IS NOT NULL THEN 'first' ELSE 'second' END AS part, count(*) AS n FROM a FULL JOIN b ON a.k = b.k GROUP BY 1""")
+def reference_overlap_all(spark, d):
+    a = table(spark, d, "orders").select(F.col("o_orderkey").alias("ref_norm"))
+    b = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("ref_norm"))
+    return L.reference_overlap(a, b)
+
+
 @query("SELECT o_orderkey, 'statement' AS _source, o_totalprice AS amount, NULL::VARCHAR AS note FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT o_orderkey, 'sms_only', NULL, o_orderstatus FROM orders WHERE o_orderkey % 2 = 1")
 def union_sources(spark, d):
     o = table(spark, d, "orders")

@@ -84,3 +84,10 @@ def test_link_outcomes_all_sees_every_line(spark, tmp_path):
     got = {r.left_id: (r.matched_id, r.outcome) for r in QUERIES["link_outcomes_all"](spark, str(tmp_path)).collect()}
     assert got == {3: (None, "new"), 6: (63001, "backfilled"), 9: (None, "new")}
     assert {r.outcome: r.n for r in QUERIES["outcome_tally_all"](spark, str(tmp_path)).collect()} == {"new": 2, "backfilled": 1}
+
+
+def test_reference_overlap_all_sees_every_key(spark, tmp_path):
+    day = dt.datetime(2026, 1, 1)
+    orders = [(k, 1, "O", 1.0, day, "1") for k in range(1, 7)]
+    write_tables(spark, tmp_path, orders, [(k, 1, 1, 1, 1.0, 1.0, 0.0, 0.0, "N", "O", day) for k in (2, 3, 3, 5, 6, 7, 8, 9)])
+    assert {r.part: r.n for r in QUERIES["reference_overlap_all"](spark, str(tmp_path)).collect()} == {"both": 4, "first": 2, "second": 3}
