@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.sms import parse_messages
-from ..functions.text import parse_timestamp
-from ..operators.dedup import recharge_phone
+from ..functions.text import clean_ref, parse_timestamp
+from ..operators.dedup import dedup_transactions, recharge_phone, structural_clean
+from ..operators.link import reconcile
 from ..operators.store import Ledger, checkpoint
 
 RAW_SCHEMA = "id string, sender string, body string, timestamp_ms string, timestamp_human string, device_id string"
@@ -19,6 +20,59 @@ def message_stream(spark: SparkSession, path: str, kind: str = "json", most_file
     return rows.withColumn("event_time", parse_timestamp("timestamp_ms"))
 
 
+def split_late(rows: DataFrame, path: str, late: str = "1 day", once: bool = True):
+    """Raw messages with event_time to ``path``/on_time, those older than ``late`` before the newest seen (their own
+    batch counts), or without a time, to ``path``/late: each message to one of them.
+
+    Streams over ``on_time`` whose watermark is ``late`` or more drop nothing: no batch they make of these files runs
+    ahead of the newest message that the split was made by. A batch that runs again leaves what it has written.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        jvm_path = spark._jvm.org.apache.hadoop.fs.Path
+        done = jvm_path(f"{path}/on_time/batch={batch_id}/_SUCCESS")
+        if done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+            return
+        batch = batch.persist()
+        try:
+            seen = batch.select(F.col("event_time").alias("newest"))
+            if batch_id:
+                seen = seen.unionByName(spark.read.schema("newest timestamp").parquet(f"{path}/newest/batch={batch_id - 1}"))
+            seen.agg(F.max("newest").alias("newest")).write.mode("overwrite").parquet(f"{path}/newest/batch={batch_id}")
+            newest = spark.read.schema("newest timestamp").parquet(f"{path}/newest/batch={batch_id}")
+            fresh = F.coalesce(F.col("event_time") >= F.expr(f"newest - INTERVAL {late}"), F.lit(False))
+            told = batch.crossJoin(F.broadcast(newest)).withColumn("__fresh", fresh).drop("newest")
+            # on_time last: its mark says that the batch is whole
+            for name, keep in (("late", ~F.col("__fresh")), ("on_time", F.col("__fresh"))):
+                told.filter(keep).drop("__fresh").write.mode("overwrite").parquet(f"{path}/{name}/batch={batch_id}")
+        finally:
+            batch.unpersist()
+
+    writer = rows.writeStream.foreachBatch(write).option("checkpointLocation", f"{path}/checkpoint")
+    return (writer.trigger(availableNow=True) if once else writer).start()
+
+
+def on_time(spark: SparkSession, path: str) -> DataFrame:
+    """The messages that ``split_late`` found on time, as a stream."""
+    return spark.readStream.schema(f"{RAW_SCHEMA}, event_time timestamp, batch long").parquet(f"{path}/on_time").drop("batch")
+
+
+def late_table(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(f"{RAW_SCHEMA}, event_time timestamp, batch long").parquet(f"{path}/late").drop("batch")
+
+
+def reconcile_late(late: DataFrame, ledger: DataFrame) -> DataFrame:
+    """The transactions of late messages (device_id as the user) with the ``action`` that ``reconcile`` gives them."""
+    rows = parse_messages(structural_clean(late.withColumn("row_id", F.col("id"))))
+    fin = dedup_transactions(rows.filter("is_financial"))
+    incoming = fin.select(
+        F.col("device_id").alias("user_id"), F.lit("sms").alias("source"), clean_ref("ref_id").alias("ref_norm"), "date", F.col("body").alias("details"),
+        F.col("balance_after").cast("decimal(14,2)").alias("balance"), F.col("amount").cast("decimal(14,2)").alias("amount"), "direction", "id",
+    )
+    return reconcile(incoming, ledger)
+
+
 def without_resends(rows: DataFrame, late: str = "1 day") -> DataFrame:
     """One message of each body and time stamp; state is kept as long as ``late``."""
     return rows.filter("event_time IS NOT NULL").withWatermark("event_time", late).dropDuplicatesWithinWatermark(["body", "timestamp_ms"])

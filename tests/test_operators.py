@@ -197,3 +197,25 @@ def test_stream_sessions_match_batch(spark, tmp_path):
     stream = STR.session_transactions(spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in"))
     stream.writeStream.format("memory").queryName("sessions").outputMode("append").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start().awaitTermination()
     assert sorted(r.id for r in spark.table("sessions").collect()) == ["0", "1", "3"]  # the last run waits for the watermark
+
+
+def test_late_messages_are_kept_and_reconciled(spark, tmp_path):
+    src, path = tmp_path / "in", f"file://{tmp_path}/split"
+    src.mkdir()
+    ms = lambda days: str(1767225600000 + int(days * 86_400_000))
+
+    def arrive(name, rows):
+        lines = [f'{{"id":"{i}","sender":"JD-SBIUPI-S","body":"A/c X1234 debited by {a}.0 on 1Jan trf to Alda Refno 12345678901{i}","timestamp_ms":"{t}","timestamp_human":"","device_id":"d1"}}' for i, a, t in rows]
+        (src / name).write_text("\n".join(lines))
+        STR.split_late(STR.message_stream(spark, str(src)), path).awaitTermination()
+        out = STR.without_resends(STR.on_time(spark, path)).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/cp")
+        out.trigger(availableNow=True).start().awaitTermination()
+
+    arrive("a.json", [(0, 120, ms(10)), (1, 130, ms(9.5))])
+    arrive("b.json", [(2, 140, ms(10.2)), (3, 150, ms(3)), (4, 160, ms(4)), (5, 170, "none")])
+    arrive("c.json", [(6, 180, ms(9.4)), (7, 190, ms(9.0)), (3, 150, ms(3))])
+    assert sorted(r.id for r in spark.read.parquet(f"{tmp_path}/out").collect()) == ["0", "1", "2", "6"]
+    assert sorted(r.id for r in STR.late_table(spark, path).collect()) == ["3", "3", "4", "5", "7"]
+    s = "user_id string, source string, ref_norm string, date date, details string, balance decimal(14,2), amount decimal(14,2), direction string, is_reconciled boolean"
+    ledger = spark.createDataFrame([("d1", "statement", "123456789014", dt.date(2026, 1, 5), "a", None, Decimal(160), "DEBIT", True), ("d1", "sms", "123456789017", dt.date(2026, 1, 10), None, None, Decimal(190), "DEBIT", False)], s)
+    assert {r.id: r.action for r in STR.reconcile_late(STR.late_table(spark, path), ledger).collect()} == {"3": "insert", "4": "skip", "7": "update"}
