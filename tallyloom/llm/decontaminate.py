@@ -44,6 +44,12 @@ def _shingles(h: np.ndarray, k: int) -> np.ndarray:
     return np.unique(mix(s + U64(k)))
 
 
+def _width(n: int) -> int:
+    """Shingle width for an answer of n words: narrow enough that one changed word leaves ``OVERLAP`` of the shingles
+    (of three words or more), at most ``SHINGLE``."""
+    return min(SHINGLE, max(1, (n + 1) * 2 // 7)) if n else 0
+
+
 def _words(text: str) -> np.ndarray:
     return texts_word_hashes([text.encode("utf-8", "surrogatepass")], PUNCTUATED)[0]
 
@@ -59,8 +65,8 @@ class BlockMaxIndex:
             if not len(words):
                 continue
             self.item_ids.append(item_id)
-            #: (shingle width, shingles) of question and answer; a part of fewer words is one shingle
-            self.parts.append([(k, _shingles(w, k)) for w in (question, answer) for k in (min(SHINGLE, len(w)),)])
+            #: (shingle width, shingles) of question and answer; a question of fewer words is one shingle
+            self.parts.append([(k, _shingles(w, k)) for w, k in ((question, min(SHINGLE, len(question))), (answer, _width(len(answer))))])
             n = -(-len(words) // UNIT)
             units += [(len(self.item_ids) - 1, w) for w in np.array_split(words, n)]
         self.unit_item = np.array([i for i, _ in units], np.int64)
@@ -218,10 +224,11 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
 
     ``score``: the best passage's BM25 score as a share of the score that the item's unit gives itself, at least
     ``RETRIEVE``. Overlaps: shares of the distinct 5-word shingles of the item's question and answer (its last sentence
-    or line) that occur in the whole document; both must be ``OVERLAP`` or more. Words are runs of ASCII letters and
-    digits or non-ASCII characters, A-Z in lower case. Null or wordless texts and items match nothing; rows that repeat
-    an id are each searched. Documents are scanned once an index and never shuffled; an index is broadcast and bounded
-    by ``INDEX_BYTES``, and statistics such as idf are those of one index.
+    or line; of an answer below 17 words, narrower shingles) that occur in the whole document; both must be ``OVERLAP``
+    or more. Words are runs of ASCII letters and digits or non-ASCII characters, A-Z in lower case. Null or wordless
+    texts and items match nothing; rows that repeat an id are each searched. Documents are scanned once an index and
+    never shuffled; an index is broadcast and bounded by ``INDEX_BYTES``, and statistics such as idf are those of one
+    index.
     """
     spark = docs.sparkSession
     schema = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"

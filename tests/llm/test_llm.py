@@ -177,6 +177,16 @@ def test_long_item_and_block_max_against_full_scores():
     assert long_item[0] in {m[1] for m in decontaminate.BlockMaxIndex(items).matches([f"junk {long_item[1]} junk"])}
 
 
+def test_short_answer_with_one_word_changed_is_still_a_leak():
+    question = "which of the seven rivers that cross the northern plain carries the most water in spring and why is that so?"
+    for n in (3, 4, 5, 6, 9, 12, 13, 17):
+        answer = [f"reply{i}" for i in range(n)]
+        index = decontaminate.BlockMaxIndex([(7, f"{question} {' '.join(answer)}."), (8, "an unrelated item about bread. It needs salt.")])
+        copies = [f"before {question} {' '.join([*answer[:i], 'other', *answer[i + 1 :]])}. after" for i in range(n)]
+        assert [(m[0], m[1]) for m in index.matches(copies)] == [(i, 7) for i in range(n)]
+        assert not list(index.matches([f"before {question} after", f"before {' '.join(answer)} after"]))
+
+
 # ---- tokens ----
 def test_bpe_equals_library(spark):
     from tokenizers import Tokenizer
