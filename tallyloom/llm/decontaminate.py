@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import quoted
+from .common import Workspace, quoted
 from .words import PUNCTUATED, U64, grouped, mix, texts_word_hashes
 
 UNIT, STRIDE, BLOCK = 48, 48, 64
@@ -54,10 +54,19 @@ def _words(text: str) -> np.ndarray:
     return texts_word_hashes([text.encode("utf-8", "surrogatepass")], PUNCTUATED)[0]
 
 
+def _units(words: np.ndarray) -> list[np.ndarray]:
+    """An item's words in units of about equal length, at most ``UNIT``."""
+    return np.array_split(words, -(-len(words) // UNIT)) if len(words) else []
+
+
 class BlockMaxIndex:
-    """Postings of (unit, relative impact) by term, in blocks with their greatest impact."""
+    """Postings of (unit, relative impact) by term, in blocks with their greatest impact.
 
-    def __init__(self, items: list[tuple[int, str]], retrieve: float = RETRIEVE):
+    ``statistics``: (number of units, mean length, terms in order, units with each) of all items, of which ``items``
+    are a part that holds those terms; by default those of ``items``.
+    """
+
+    def __init__(self, items: list[tuple[int, str]], retrieve: float = RETRIEVE, statistics: tuple[int, float, np.ndarray, np.ndarray] | None = None):
         self.retrieve, self.item_ids, self.parts, units = retrieve, [], [], []
         for item_id, text in items:
             question, answer = map(_words, split_item(text))
@@ -67,13 +76,15 @@ class BlockMaxIndex:
             self.item_ids.append(item_id)
             #: (shingle width, shingles) of question and answer; a question of fewer words is one shingle
             self.parts.append([(k, _shingles(w, k)) for w, k in ((question, min(SHINGLE, len(question))), (answer, _width(len(answer))))])
-            n = -(-len(words) // UNIT)
-            units += [(len(self.item_ids) - 1, w) for w in np.array_split(words, n)]
+            units += [(len(self.item_ids) - 1, w) for w in _units(words)]
         self.unit_item = np.array([i for i, _ in units], np.int64)
         tf = [np.unique(w, return_counts=True) for _, w in units]
         terms, df = np.unique(np.concatenate([t for t, _ in tf]) if tf else np.zeros(0, U64), return_counts=True)
-        idf = np.log1p((len(units) - df + 0.5) / (df + 0.5))
-        mean = np.mean([len(w) for _, w in units]) if units else 1.0
+        count, mean = len(units), np.mean([len(w) for _, w in units]) if units else 1.0
+        if statistics is not None:
+            count, mean, known, all_df = statistics
+            df = all_df[np.searchsorted(known, terms)]
+        idf = np.log1p((count - df + 0.5) / (df + 0.5))
         rows = []
         for u, ((t, c), (_, w)) in enumerate(zip(tf, units, strict=True)):
             at = np.searchsorted(terms, t)
@@ -219,6 +230,29 @@ def _indexes(items: DataFrame, item_col: str, text_col: str) -> Iterator[list[tu
         yield lot
 
 
+def _terms(texts: DataFrame) -> DataFrame:
+    """(term, units, words) of a column of item texts: each term's units, and under a null term all units and words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            units = [u for t in b.column(0).to_pylist() for u in _units(np.concatenate([_words(x) for x in split_item(t)]))]
+            terms, df = np.unique(np.concatenate([np.unique(u) for u in units]) if units else np.zeros(0, U64), return_counts=True)
+            columns = ([None, *terms.view(np.int64).tolist()], [len(units), *df.tolist()], [sum(map(len, units)), *[0] * len(terms)])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["term", "units", "words"])
+
+    return texts.mapInArrow(run, "term long, units long, words long").groupBy("term").agg(F.sum("units").alias("units"), F.sum("words").alias("words"))
+
+
+def _statistics(known: DataFrame, lot: list[tuple[int, str]]) -> tuple[int, float, np.ndarray, np.ndarray]:
+    """What ``BlockMaxIndex`` takes of all items' terms for the terms of one lot."""
+    units, words = known.filter("term IS NULL").select("units", "words").first()
+    here = _terms(known.sparkSession.createDataFrame([(t,) for _, t in lot], "t string")).filter("term IS NOT NULL").select("term")
+    found = known.join(here, "term").select("term", "units").toArrow()
+    terms, df = found["term"].to_numpy().view(U64), found["units"].to_numpy()
+    order = np.argsort(terms)
+    return units, words / max(units, 1), terms[order], df[order]
+
+
 def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, item_id, score, question_overlap, answer_overlap): one row for each document text and item that it holds.
 
@@ -227,18 +261,21 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     or line; of an answer below 17 words, narrower shingles) that occur in the whole document; both must be ``OVERLAP``
     or more. Words are runs of ASCII letters and digits or non-ASCII characters, A-Z in lower case. Null or wordless
     texts and items match nothing; rows that repeat an id are each searched. Documents are scanned once an index and
-    never shuffled; an index is broadcast and bounded by ``INDEX_BYTES``, and statistics such as idf are those of one
-    index.
+    never shuffled; an index is broadcast and bounded by ``INDEX_BYTES``, and statistics such as idf are those of all
+    items, however many indexes they make.
     """
     spark = docs.sparkSession
     schema = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
     rows = docs.select(F.col(quoted(id_col)).cast("long").alias("doc_id"), F.col(quoted(text_col)).alias("text"))
+    texts = items.filter(F.col(quoted(item_col)).cast("long").isNotNull() & F.col(quoted(item_text)).isNotNull()).select(F.col(quoted(item_text)).alias("t"))
+    size = texts.agg(F.sum(F.octet_length("t"))).first()[0] or 0
+    known = Workspace(spark, "leaks").table(_terms(texts), "terms") if size > INDEX_BYTES else None  # one lot has all statistics itself
     out = None
     for lot in _indexes(items, item_col, item_text):
-        held = spark.sparkContext.broadcast(lot)
+        held = spark.sparkContext.broadcast((lot, None if known is None else _statistics(known, lot)))
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            index = BlockMaxIndex(held.value)
+            index = BlockMaxIndex(held.value[0], statistics=held.value[1])
             for b in batches:
                 ids, found = b.column(0).to_pylist(), list(index.matches(b.column(1).to_pylist()))
                 columns = list(zip(*found, strict=True)) or [()] * 5

@@ -187,6 +187,21 @@ def test_short_answer_with_one_word_changed_is_still_a_leak():
         assert not list(index.matches([f"before {question} after", f"before {' '.join(answer)} after"]))
 
 
+def test_scores_do_not_depend_on_lots(spark, monkeypatch):
+    r = random.Random(5)
+    vocab = [f"v{i}" for i in range(400)]
+    text = lambda k: " ".join(r.choices(vocab, weights=range(400, 0, -1), k=k))
+    items = [(i, f"{text(r.choice([20, 60]))}. {text(12)}.") for i in range(40)]
+    edited = [" ".join(w if r.random() > 0.04 else "edit" for w in t.split()) for _, t in items]
+    df, its = docs(spark, [f"{text(30)} {t} {text(30)}" for t in edited]), spark.createDataFrame(items, "item_id long, text string")
+    find = lambda: sorted((x.doc_id, x.item_id, round(x.score, 9)) for x in decontaminate.find_leaks(df, its).collect())
+    whole = find()
+    assert len(whole) > 20
+    monkeypatch.setattr(decontaminate, "INDEX_BYTES", 1500)
+    assert len(list(decontaminate._indexes(its, "item_id", "text"))) > 3
+    assert find() == whole
+
+
 # ---- tokens ----
 def test_bpe_equals_library(spark):
     from tokenizers import Tokenizer
