@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from importlib import resources
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,8 +55,23 @@ def normal_form(text: Column) -> Column:
     return F.btrim(F.regexp_replace(t, _PUNCTUATION, " "), F.lit(" "))
 
 
+#: Titles that stand above some whole texts.
+TITLES = {"BSD-2-Clause": "BSD 2-Clause License", "BSD-3-Clause": "BSD 3-Clause License"}
+
+
+def whole_licences() -> list[tuple[str, str]]:
+    """(licence, whole text) of the files in ``licences``, read on the driver: <licence>.txt or <licence>.regents.txt,
+    with and without the title of ``TITLES``. The SQL knows those of ``KNOWN`` only."""
+    found = []
+    for f in sorted(resources.files(__package__).joinpath("licences").iterdir(), key=lambda f: f.name):
+        if f.name.endswith(".txt"):
+            name, text = f.name.removesuffix(".txt").removesuffix(".regents"), f.read_text("utf-8")
+            found += [(name, text), *[(name, f"{title}\n\n{text}") for title in (TITLES.get(name),) if title]]
+    return found
+
+
 def known_licences(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(KNOWN, "license_id string, text string")
+    return spark.createDataFrame(KNOWN + whole_licences(), "license_id string, text string")
 
 
 def scan_licences(docs: DataFrame, known: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -385,6 +385,15 @@ def test_licences(spark):
     assert license_scan.scan_licences(docs(spark, texts).limit(0)).count() == 0
 
 
+def test_whole_texts_of_common_licences(spark):
+    whole = license_scan.whole_licences()
+    texts = [f"Copyright (c) 2020 Someone\n\n{t.upper().replace('LICENSE', 'LICENCE')}" for _, t in whole]
+    bsd = dict(whole)["BSD-2-Clause"].replace("``AS IS''", '"AS IS"')
+    rows = {r.doc_id: r.license_id for r in license_scan.scan_licences(docs(spark, [*texts, bsd, texts[0] + " and more"])).collect()}
+    assert [rows[i] for i in range(len(rows))] == [*[name for name, _ in whole], "BSD-2-Clause", None]
+    assert {"Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0"} <= {name for name, _ in whole}
+
+
 def test_query_results_do_not_depend_on_partitions(spark, sf):
     counts = collections.Counter(r.component_id for r in QUERIES["op2_minmax"](spark, sf).collect())
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
