@@ -57,6 +57,12 @@ def parse_timestamp(x: Column | str) -> Column:
     return F.coalesce(F.timestamp_millis(s.try_cast("double").cast("bigint")), F.try_to_timestamp(s))
 
 
+def is_valid_year(x: Column | str, year: int = 2026) -> Column:
+    """Whether a time is of the year; of an unreadable one, whether its text holds the year. Never null."""
+    raw = c(x).cast("string")
+    return F.coalesce(F.year(parse_timestamp(x)) == year, F.contains(raw, F.lit(str(year))), F.lit(False))
+
+
 #: Spellings of a date, in the order they are tried for a column.
 DATE_FORMATS = ["dd/MM/yyyy", "dd-MM-yyyy", "yyyy-MM-dd", "dd MMM yyyy", "dd-MMM-yyyy", "dd/MM/yy", "dd-MM-yy", "MM/dd/yyyy"]
 

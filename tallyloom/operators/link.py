@@ -40,6 +40,17 @@ def link_outcomes(left: DataFrame, right: DataFrame, exclusions: DataFrame | Non
     return rows.select(*left.columns, found.alias("matched_id"), outcome.alias("outcome"))
 
 
+def cross_check(left: DataFrame, right: DataFrame) -> DataFrame:
+    """One row of counts of ``left``: total; reference_match if any right row has the reference; else date_match,
+    ambiguous or absent as one, several or no right rows have its day, amount and direction. Columns as in
+    ``link_outcomes``; right keys are made distinct first."""
+    key = ["day", "amount", "direction"]
+    refs = right.filter("ref_norm IS NOT NULL").select("ref_norm").distinct().withColumn("__ref", F.lit(True))
+    rows = left.join(refs, "ref_norm", "left").join(right.groupBy(*key).agg(F.count("*").alias("__n")), key, "left")
+    ref, n = F.col("__ref").isNotNull(), F.coalesce("__n", F.lit(0))
+    return rows.agg(F.count("*").alias("total"), F.count_if(ref).alias("reference_match"), F.count_if(~ref & (n == 1)).alias("date_match"), F.count_if(~ref & (n > 1)).alias("ambiguous"), F.count_if(~ref & (n == 0)).alias("absent"))
+
+
 def backfill_names(right: DataFrame, linked: DataFrame) -> DataFrame:
     """Names of ``backfilled`` rows written to their matches; of several the latest (event_time, row_id) counts."""
     names = linked.filter("outcome = 'backfilled'").groupBy(F.col("matched_id").alias("right_id")).agg(F.max_by("recipient_name", F.struct("event_time", "row_id")).alias("__new"))

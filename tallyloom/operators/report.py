@@ -107,5 +107,13 @@ def service_stats(df: DataFrame) -> DataFrame:
     return df.agg(F.count("*").alias("total"), F.count_if(F.col("is_financial")).alias("financial"), (F.count("*") - F.count_if(F.col("is_financial"))).alias("other"))
 
 
+def latest_financial(df: DataFrame, n: int = 5, device_id: str | None = None) -> DataFrame:
+    """The latest financial messages (of one device) by event_time, then id."""
+    rows = df.filter("is_financial")
+    if device_id is not None:
+        rows = rows.filter(F.col("device_id") == F.lit(device_id))
+    return rows.orderBy(F.desc("event_time"), "id").limit(n)
+
+
 def as_json(df: DataFrame) -> DataFrame:
     return df.select(F.to_json(F.struct(*df.columns)).alias("json"))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
+from ..functions.sms import PARSED, parse_messages
 from .dedup import first_wins
 
 SCHEMAS = {
@@ -128,6 +129,14 @@ def lookup(df: DataFrame, key: str, value: object) -> DataFrame:
     return df.filter(F.col(key) == F.lit(value)).limit(1)
 
 
+def reparse(records: DataFrame, ids: list[str] | None = None) -> DataFrame:
+    """``records`` with the parsed columns of these ids (all: None) computed anew from body and sender; the others, and
+    all other columns, as they were."""
+    hit = F.lit(True) if ids is None else F.coalesce(F.col("id").isin(ids), F.lit(False))
+    fresh = parse_messages(records.filter(hit).drop(*PARSED)).select(*[F.col(f.name).cast(f.dataType) for f in records.schema])
+    return records.filter(~hit).unionByName(fresh)
+
+
 def coerce(df: DataFrame) -> DataFrame:
     """Loose input made regular: numbers from text, DR and CR as words, last four of a suffix, confidence in 0 to 1."""
     d = F.upper(F.trim("direction"))

@@ -219,3 +219,29 @@ def test_late_messages_are_kept_and_reconciled(spark, tmp_path):
     s = "user_id string, source string, ref_norm string, date date, details string, balance decimal(14,2), amount decimal(14,2), direction string, is_reconciled boolean"
     ledger = spark.createDataFrame([("d1", "statement", "123456789014", dt.date(2026, 1, 5), "a", None, Decimal(160), "DEBIT", True), ("d1", "sms", "123456789017", dt.date(2026, 1, 10), None, None, Decimal(190), "DEBIT", False)], s)
     assert {r.id: r.action for r in STR.reconcile_late(STR.late_table(spark, path), ledger).collect()} == {"3": "insert", "4": "skip", "7": "update"}
+
+
+def test_year_latest_cross_check_and_reparse(spark):
+    from tallyloom.functions.sms import PARSED, parse_messages
+    from tallyloom.functions.text import is_valid_year
+
+    times = ["1767225600000", "1767225599000", "2026-05-01T00:00:00", "May 2026 or so", "May 2025", "", None]
+    assert [r.ok for r in spark.createDataFrame([(i, t) for i, t in enumerate(times)], "i int, t string").orderBy("i").select(is_valid_year("t").alias("ok")).collect()] == [True, False, True, True, False, False, False]
+
+    rows = [(str(i), "ab"[i % 2], AT + dt.timedelta(minutes=i), i != 8) for i in range(9)]
+    df = spark.createDataFrame(rows, "id string, device_id string, event_time timestamp, is_financial boolean")
+    assert [r.id for r in R.latest_financial(df).collect()] == ["7", "6", "5", "4", "3"]
+    assert [r.id for r in R.latest_financial(df, 2, "a").collect()] == ["6", "4"]
+
+    d, s = dt.date(2026, 1, 1), "ref_norm string, day date, amount decimal(14,2), direction string"
+    left = spark.createDataFrame([("R1", d, Decimal(5), "DEBIT"), ("R2", d, Decimal(9), "DEBIT"), (None, d, Decimal(7), "DEBIT"), ("R9", d, Decimal(8), "DEBIT"), (None, None, Decimal(7), "DEBIT")], s)
+    right = spark.createDataFrame([("R1", d, Decimal(1), "DEBIT"), ("R1", d, Decimal(1), "DEBIT"), (None, d, Decimal(9), "DEBIT"), (None, d, Decimal(7), "DEBIT"), (None, d, Decimal(7), "DEBIT")], s)
+    assert L.cross_check(left, right).collect()[0].asDict() == {"total": 5, "reference_match": 1, "date_match": 1, "ambiguous": 1, "absent": 2}
+
+    body = "A/c X1234 debited by 120.0 on 1Jan trf to Alda Refno 123456789012"
+    raw = spark.createDataFrame([("1", "JD-SBIUPI-S", body), ("2", "JD-SBIUPI-S", body), (None, "JD-SBIUPI-S", body)], "id string, sender string, body string")
+    want = parse_messages(raw)
+    stale = want.withColumns({"amount": F.lit(1.0), "ref_id": F.lit(None).cast("string")})
+    got = {r.id: r for r in ST.reparse(stale, ["2"]).collect()}
+    assert [got[k].amount for k in ("1", "2", None)] == [1.0, 120.0, 1.0] and got["2"].ref_id == "123456789012"
+    assert ST.reparse(stale).select(want.columns).exceptAll(want).count() == 0 and set(PARSED) <= set(got["1"].asDict())
