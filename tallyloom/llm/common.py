@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import atexit
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +21,16 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
+def named(df: DataFrame, name: str) -> str:
+    """The column of df that ``name`` means: the one spelt so, else the only one that differs in case alone."""
+    if name in df.columns:
+        return name
+    same = [c for c in df.columns if c.lower() == name.lower()]
+    if len(same) != 1:
+        raise ValueError(f"{name}: {'several columns' if same else 'no column'} of that name among {df.columns}")
+    return same[0]
+
+
 def whole_text(name: str) -> Column:
     """The column as string, null as empty."""
     return F.coalesce(F.col(quoted(name)).cast("string"), F.lit(""))
@@ -38,14 +49,24 @@ def without(df: DataFrame, *names: str) -> list[Column]:
 class Workspace:
     """A folder of written tables under the shared one. Tables cut lineage: a lost executor costs only the running step.
 
-    What a returned plan still reads must stay until it has run, so folders go at the end of the driver, and
-    ``drop`` frees superseded tables before that.
+    What a returned plan still reads must stay until it has run. ``drop`` frees superseded tables before that, the end
+    of a ``scope`` all that were made in it, and the end of the driver's JVM whatever is left.
     """
 
+    _open: list[list["Workspace"]] = []
+
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.path = f"{shared_dir(spark)}/tallyloom-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
-        atexit.register(self.close)
+        fs, p = self._hadoop(self.path)
+        fs.mkdirs(p)
+        fs.deleteOnExit(p)
+        if self._open:
+            self._open[-1].append(self)
+
+    def _hadoop(self, path: str) -> tuple:
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
     def at(self, name: str) -> str:
         return f"{self.path}/{name}"
@@ -62,14 +83,24 @@ class Workspace:
         return self.spark.read.schema(like.schema).parquet(self.at(name))
 
     def drop(self, *names: str) -> None:
-        jvm = self.spark._jvm
         for n in names:
-            p = jvm.org.apache.hadoop.fs.Path(self.at(n))
-            p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+            fs, p = self._hadoop(self.at(n))
+            fs.delete(p, True)
 
     def close(self) -> None:
-        try:
-            p = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-            p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
-        except Exception:  # the session has ended already; the shared folder's owner clears it
-            return
+        fs, p = self._hadoop(self.path)
+        fs.delete(p, True)
+        fs.cancelDeleteOnExit(p)
+
+
+@contextmanager
+def scope() -> Iterator[None]:
+    """Frees, at its end, the workspaces that operators made within: write what is to last before."""
+    made: list[Workspace] = []
+    Workspace._open.append(made)
+    try:
+        yield
+    finally:
+        Workspace._open.pop()
+        for ws in made:
+            ws.close()
