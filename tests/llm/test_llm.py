@@ -322,20 +322,61 @@ def test_archives(spark, tmp_path):
     back = {(r.record_id, r.record_type): r for r in whole.collect()}
     assert bytes(back["<urn:page:7>", "response"].payload).decode() == rows[-1][2] and back["<urn:page:9>", "revisit"].refers_to == "<urn:page:2>"
     assert back["<urn:page:1>", "response"].refers_to is None
-    pushed = warc.read_warc(spark, path).filter("record_type = 'revisit'")
-    assert pushed.count() == 3 and warc.read_warc(spark, path, payload=False).filter("target_uri LIKE 'u%'").count() == 8
+    # filters of one query never stay for the next, within one query or over several
+    assert [whole.filter("record_type = 'revisit'").count(), whole.filter("record_type = 'response'").count(), whole.count()] == [3, 6, 9]
+    assert whole.filter("record_type = 'revisit'").union(whole.filter("record_type = 'response'")).count() == 9
+    read = lambda *tests, payload=True: warc.read_warc(spark, path, payload, tests)
+    assert read(("record_type", "=", "revisit")).count() == 3 and read(("target_uri", "prefix", "u"), payload=False).count() == 8
+    assert read(("target_uri", "in", ["u1", "u3", "no"])).count() == 2 and read(("target_uri", "=", "u1"), ("record_type", "=", "revisit")).count() == 0
+    for bad in (("payload_length", "=", 3), ("target_uri", "like", "x")):
+        with pytest.raises(Exception, match="no such test"):
+            read(bad).count()
     files = sorted((tmp_path / "w").glob("*.warc.gz"))
     joined = b"".join(f.read_bytes() for f in files)
-    (tmp_path / "plain").mkdir()
-    (tmp_path / "plain" / "a.warc").write_bytes(gzip.decompress(joined))
-    (tmp_path / "plain" / "b.warc.gz").write_bytes(joined)
-    assert warc.read_warc(spark, f"file://{tmp_path}/plain").filter("record_type = 'response'").count() == 2 * 6
+    plain_dir = tmp_path / "plain"
+    plain_dir.mkdir()
+    (plain_dir / "a.warc").write_bytes(gzip.decompress(joined))
+    (plain_dir / "b.warc.gz").write_bytes(joined)
+    assert warc.read_warc(spark, f"file://{plain_dir}", where=[("record_type", "=", "response")]).count() == 2 * 6
+    both = sorted(bytes(r.payload) for r in warc.read_warc(spark, f"file://{plain_dir}").collect() if r.payload is not None)
+    assert both == sorted(2 * [bytes(r.payload) for r in whole.collect() if r.payload is not None])
     (files[0].parent / "part-lost.warc.gz").write_bytes(joined)  # what a lost task left is never read
     assert whole.count() == len(rows)
+    small = warc.read_warc(spark, path).sparkSession.read.format(warc.NAME).option("splitBytes", "200").load(path)
+    assert small.count() == len(rows)
     warc.archive_pages(df.limit(0), f"file://{tmp_path}/none")
     assert warc.read_warc(spark, f"file://{tmp_path}/none").count() == 0
 
 
+def test_cut_archives_are_errors(spark, tmp_path):
+    r = random.Random(1)
+    html = "".join(chr(r.randrange(33, 120)) for _ in range(12_000))
+    df = spark.createDataFrame([(1, "u", html)], "page_id long, url string, html string")
+    warc.archive_pages(df, f"file://{tmp_path}/w")
+    (file,) = (tmp_path / "w").glob("*.warc.gz")
+    data = file.read_bytes()
+    for name, raw in (("a.warc.gz", data), ("a.warc", gzip.decompress(data))):
+        for payload in (True, False):
+            for cut in (len(raw) * 2 // 3, 60, len(raw) - 9):
+                folder = tmp_path / f"{name}-{payload}-{cut}"
+                folder.mkdir()
+                (folder / name).write_bytes(raw[:cut])
+                with pytest.raises(Exception, match="ends"):
+                    warc.read_warc(spark, f"file://{folder}", payload).collect()
+    file.write_bytes(data[: len(data) * 2 // 3])
+    with pytest.raises(Exception, match="ends within|cut short"):
+        warc.read_warc(spark, f"file://{tmp_path}/w").collect()
+
+
+def test_pages_without_an_id_or_with_the_same(spark, tmp_path):
+    same = "y" * 200
+    df = spark.createDataFrame([(None, "n", same), (3, "a", same), (3, "b", same), (8, "c", same), (None, "m", "z" * 200), (None, "m", "z" * 200)], "Page_ID long, url string, html string")
+    warc.archive_pages(df, f"{tmp_path}/w")
+    rows = sorted((r.record_id, r.record_type, r.refers_to or "") for r in warc.read_warc(spark, f"{tmp_path}/w", payload=False).collect())
+    three, none = "<urn:page:3>", "<urn:page:>"
+    assert rows == sorted([(none, "revisit", three), (three, "response", ""), (three, "response", ""), ("<urn:page:8>", "revisit", three), (none, "response", ""), (none, "response", "")])
+
+
 # ---- conversations ----
 def test_fold_events(spark):
     e = [
