@@ -14,10 +14,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, quoted
+from .common import Workspace, named, quoted
 from .words import PUNCTUATED, U64, grouped, mix, texts_word_hashes
 
 UNIT, STRIDE, BLOCK = 48, 48, 64
@@ -94,7 +95,7 @@ class BlockMaxIndex:
         order = np.lexsort((unit, term))
         self.terms, self.post_unit, self.post_impact = terms, unit[order], impact[order].astype(float)
         self.starts = np.searchsorted(term[order], np.arange(len(terms) + 1))
-        self.greatest = np.array([self.post_impact[a:b].max() for a, b in zip(self.starts[:-1], self.starts[1:], strict=True)])
+        self.greatest = np.maximum.reduceat(self.post_impact, self.starts[:-1]) if len(terms) else np.zeros(0)
         self._essential()
 
     def _essential(self) -> None:
@@ -253,6 +254,17 @@ def _statistics(known: DataFrame, lot: list[tuple[int, str]]) -> tuple[int, floa
     return units, words / max(units, 1), terms[order], df[order]
 
 
+def _held_indexes(items: DataFrame, item_col: str, text_col: str) -> Iterator[Broadcast]:
+    """Each lot's index, built once on the driver and broadcast as arrays; a worker process unpacks it once."""
+    spark = items.sparkSession
+    item_col, text_col = named(items, item_col), named(items, text_col)
+    texts = items.filter(F.col(quoted(item_col)).cast("long").isNotNull() & F.col(quoted(text_col)).isNotNull()).select(F.col(quoted(text_col)).alias("t"))
+    size = texts.agg(F.sum(F.octet_length("t"))).first()[0] or 0
+    known = Workspace(spark, "leaks").table(_terms(texts), "terms") if size > INDEX_BYTES else None  # one lot has all statistics itself
+    for lot in _indexes(items, item_col, text_col):
+        yield spark.sparkContext.broadcast(BlockMaxIndex(lot, statistics=None if known is None else _statistics(known, lot)))
+
+
 def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, item_id, score, question_overlap, answer_overlap): one row for each document text and item that it holds.
 
@@ -260,24 +272,19 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     ``RETRIEVE``. Overlaps: shares of the distinct 5-word shingles of the item's question and answer (its last sentence
     or line; of an answer below 17 words, narrower shingles) that occur in the whole document; both must be ``OVERLAP``
     or more. Words are runs of ASCII letters and digits or non-ASCII characters, A-Z in lower case. Null or wordless
-    texts and items match nothing; rows that repeat an id are each searched. Documents are scanned once an index and
-    never shuffled; an index is broadcast and bounded by ``INDEX_BYTES``, and statistics such as idf are those of all
-    items, however many indexes they make.
+    texts and items match nothing; rows that repeat an id are each searched, items that repeat one each count.
+    Documents are scanned once an index and never shuffled; an index is built once and broadcast, bounded by
+    ``INDEX_BYTES``, and statistics such as idf are those of all items, however many indexes they make.
     """
     spark = docs.sparkSession
     schema = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
-    rows = docs.select(F.col(quoted(id_col)).cast("long").alias("doc_id"), F.col(quoted(text_col)).alias("text"))
-    texts = items.filter(F.col(quoted(item_col)).cast("long").isNotNull() & F.col(quoted(item_text)).isNotNull()).select(F.col(quoted(item_text)).alias("t"))
-    size = texts.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    known = Workspace(spark, "leaks").table(_terms(texts), "terms") if size > INDEX_BYTES else None  # one lot has all statistics itself
+    rows = docs.select(F.col(quoted(named(docs, id_col))).cast("long").alias("doc_id"), F.col(quoted(named(docs, text_col))).cast("string").alias("text"))
     out = None
-    for lot in _indexes(items, item_col, item_text):
-        held = spark.sparkContext.broadcast((lot, None if known is None else _statistics(known, lot)))
+    for held in _held_indexes(items, item_col, item_text):
 
-        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            index = BlockMaxIndex(held.value[0], statistics=held.value[1])
+        def run(batches: Iterator[pa.RecordBatch], held: Broadcast = held) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                ids, found = b.column(0).to_pylist(), list(index.matches(b.column(1).to_pylist()))
+                ids, found = b.column(0).to_pylist(), list(held.value.matches(b.column(1).to_pylist()))
                 columns = list(zip(*found, strict=True)) or [()] * 5
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([ids[i] for i in columns[0]], pa.int64()), pa.array(columns[1], pa.int64()), *(pa.array(c, pa.float64()) for c in columns[2:])],
@@ -289,10 +296,24 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     return spark.createDataFrame([], schema) if out is None else out
 
 
-def drop_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the documents that hold a benchmark item; rows with a null id stay."""
-    gone = find_leaks(docs, items, id_col, text_col).filter("doc_id IS NOT NULL").select(F.col("doc_id").alias("__dc_id")).distinct()
-    return docs.join(gone, F.col(quoted(id_col)) == F.col("__dc_id"), "left_anti")
+def drop_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """``docs`` without the rows whose text holds a benchmark item (see ``find_leaks``); each row goes by its own text,
+    whatever its id. Rows are left out in the task that reads them: nothing is shuffled."""
+    at = docs.columns.index(named(docs, text_col))
+    text = docs.schema.fields[at].dataType.simpleString()
+    if text != "string":
+        raise ValueError(f"{text_col} is {text}, not string")
+    out = docs
+    for held in _held_indexes(items, item_col, item_text):
+
+        def run(batches: Iterator[pa.RecordBatch], held: Broadcast = held) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                keep = np.ones(b.num_rows, bool)
+                keep[[m[0] for m in held.value.matches(b.column(at).to_pylist())]] = False
+                yield b.filter(pa.array(keep))
+
+        out = out.mapInArrow(run, docs.schema)
+    return out
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

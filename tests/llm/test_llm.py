@@ -200,6 +200,63 @@ def test_leaks(spark):
     assert decontaminate.find_leaks(docs(spark, texts), items.limit(0)).count() == 0
 
 
+def leaks_by_force(texts, items):
+    """(document, item, score) by plain BM25 of every passage against every unit, and plain shingle sets."""
+    split = lambda t: re.findall(r"[a-z0-9\x80-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    parts = {i: tuple(map(split, decontaminate.split_item(t))) for i, t in items if i is not None and t and split(t)}
+    units = []
+    for i, (q, a) in parts.items():
+        w = q + a
+        n = -(-len(w) // decontaminate.UNIT)
+        cuts = [len(w) // n * k + min(k, len(w) % n) for k in range(n + 1)]
+        units += [(i, w[x:y]) for x, y in zip(cuts[:-1], cuts[1:])]
+    df = collections.Counter(t for _, w in units for t in set(w))
+    mean = sum(len(w) for _, w in units) / max(1, len(units))
+    impacts = []
+    for i, w in units:
+        idf = {t: math.log1p((len(units) - df[t] + 0.5) / (df[t] + 0.5)) for t in w}
+        raw = {t: idf[t] * c * 2.2 / (c + 1.2 * (0.25 + 0.75 * len(w) / mean)) for t, c in collections.Counter(w).items()}
+        impacts.append((i, {t: x / sum(raw.values()) for t, x in raw.items()}))
+    grams = lambda w, k: {tuple(w[j : j + k]) for j in range(len(w) - k + 1)}
+    found = []
+    for d, text in texts:
+        words = split(text)
+        best = {}
+        for start in range(0, max(1, len(words)), 48):
+            passage = set(words[start : start + 96])
+            for i, x in impacts:
+                score = sum(v for t, v in x.items() if t in passage)
+                if score >= 0.5 - 1e-9:
+                    best[i] = max(best.get(i, 0), score)
+        for i, score in best.items():
+            q, a = parts[i]
+            widths = min(5, len(q)), min(5, max(1, (len(a) + 1) * 2 // 7)) if a else 0
+            share = [len(grams(w, k) & grams(words, k)) / len(grams(w, k)) if k else 1.0 for w, k in zip((q, a), widths)]
+            if min(share) >= 0.6:
+                found.append((d, i, round(score, 6), *(round(s, 6) for s in share)))
+    return sorted(found)
+
+
+def test_leak_query_on_whole_table(spark, sf):
+    sf = sf.replace("sf0.001", "sf0.01")
+    read = lambda t, i: [(r[i], r.text) for r in spark.read.parquet(f"{sf}/{t}.parquet").collect()]
+    want = leaks_by_force(read("documents", "doc_id"), read("benchmark", "item_id"))
+    got = sorted((r.doc_id, r.item_id, *(round(x, 6) for x in r[2:])) for r in QUERIES["op3_decontaminate"](spark, sf).collect())
+    assert got == want and len(want) > 20
+
+
+def test_leaks_are_dropped_by_row(spark, monkeypatch):
+    other = "A very different item about the making of slow blue cheese in caves. It takes nine months."
+    rows = [(1, f"so {ITEM} so", 1), (1, "clean", 2), (None, f"{ITEM}", 3), (None, None, 4), (2, other, 5), (2, "", 6), (3, "clean", 7)]
+    df = spark.createDataFrame(rows, "doc_id long, TEXT string, score int")
+    items = spark.createDataFrame([(1, ITEM), (1, other)], "item_id long, text string")
+    for lots in (1 << 20, 50):
+        monkeypatch.setattr(decontaminate, "INDEX_BYTES", lots)
+        out = decontaminate.drop_leaks(df, items)
+        assert out.columns == df.columns and sorted(r.score for r in out.collect()) == [2, 4, 6, 7]
+    assert decontaminate.drop_leaks(df, items.limit(0)).count() == 7 and decontaminate.drop_leaks(df.limit(0), items).count() == 0
+
+
 def test_long_item_and_block_max_against_full_scores():
     r = random.Random(3)
     vocab = [f"v{i}" for i in range(300)]
