@@ -7,7 +7,7 @@ from importlib import resources
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, quoted, whole_text, without
+from .common import Workspace, ascii_lower, named, quoted, whole_text, without
 
 # Licence texts and notices as their publishers word them.
 _PERMISSION = (
@@ -43,16 +43,31 @@ EQUIVALENT = [("licence", "license"), ("sub-licens", "sublicens"), ("sub licens"
 _COPYRIGHT_LINE = r"(?:^|\n)[ \t]*(?:copyright[ \t]|\(c\)[ \t]|©|all rights reserved)[^\n]*"
 #: Runs of ASCII that is neither letter nor digit, no-break blanks, and typographic quotes and dashes.
 _PUNCTUATION = "[\\x00-\\x2f\\x3a-\\x60\\x7b-\\x7f ‐-‟]+"
+#: The same but for line feeds.
+_PUNCTUATION_IN_LINE = "[\\x00-\\x09\\x0b-\\x2f\\x3a-\\x60\\x7b-\\x7f\u00a0\u2010-\u201f]+"
+#: Up to so many different lengths of known texts are looked at; with more, a line is short enough or too long.
+LENGTHS = 1_000
 #: The largest table of known texts that is broadcast; a larger one meets the texts in a shuffled hash join.
 BROADCAST_ROWS = 50_000
 
 
-def normal_form(text: Column) -> Column:
-    """Lower case (A-Z), without copyright lines, one spelling, words with one blank between."""
+def _spelt(text: Column) -> Column:
+    """Lower case (A-Z), without copyright lines, one spelling; lines stay."""
     t = F.regexp_replace(ascii_lower(text), _COPYRIGHT_LINE, "\n")
     for a, b in EQUIVALENT:
         t = F.replace(t, F.lit(a), F.lit(b))
-    return F.btrim(F.regexp_replace(t, _PUNCTUATION, " "), F.lit(" "))
+    return t
+
+
+def normal_form(text: Column) -> Column:
+    """Lower case (A-Z), without copyright lines, one spelling, words with one blank between."""
+    return F.btrim(F.regexp_replace(_spelt(text), _PUNCTUATION, " "), F.lit(" "))
+
+
+def normal_lines(text: Column) -> Column:
+    """array<string>: the normal forms of a text's lines, in one pass over the text. Only copyright lines and
+    punctuation look beyond a character, and neither beyond a line's end."""
+    return F.transform(F.split(F.regexp_replace(_spelt(text), _PUNCTUATION_IN_LINE, " "), "\n", -1), lambda x: F.btrim(x, F.lit(" ")))
 
 
 #: Titles that stand above some whole texts.
@@ -86,15 +101,26 @@ def scan_licences(docs: DataFrame, known: DataFrame | None = None, id_col: str =
     known = known_licences(spark) if known is None else known
     digests = (
         known.select(F.col("license_id"), normal_form(whole_text("text")).alias("n")).filter("n <> '' AND license_id IS NOT NULL")
-        .groupBy(F.sha2("n", 256).alias("digest")).agg(F.min("license_id").alias("license_id"))
+        .groupBy(F.sha2("n", 256).alias("digest")).agg(F.min("license_id").alias("license_id"), F.min(F.char_length("n")).alias("length"))
     )
-    if known.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        digests = F.broadcast(digests)
+    digests = Workspace(spark, "licences").table(digests, "digests")
+    lengths = [r["length"] for r in digests.select("length").distinct().limit(LENGTHS + 1).collect()]
+    longest = digests.agg(F.coalesce(F.max("length"), F.lit(0))).first()[0]
+    # an equal text has an equal length: others need no digest
+    fits = (lambda x: F.char_length(x).isin(lengths or [-1])) if len(lengths) <= LENGTHS else (lambda x: (F.char_length(x) > 0) & (F.char_length(x) <= longest))
+    few = digests.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    digests = digests.select("digest", "license_id")
+    digests = F.broadcast(digests) if few else digests
+    id_col, text_col = named(docs, id_col), named(docs, text_col)
     text = whole_text(text_col)
     row = [F.col(quoted(id_col)).alias("__ls_id"), F.xxhash64(text).alias("__ls_row")]
-    lines = F.array_distinct(F.split(text, "\n", -1))
-    units = docs.select(*row, F.explode(F.concat(F.array(F.struct(F.lit(True).alias("whole"), text.alias("t"))), F.transform(lines, lambda x: F.struct(F.lit(False).alias("whole"), x.alias("t"))))).alias("u"))
-    units = units.select("__ls_id", "__ls_row", "u.whole", F.sha2(normal_form(F.col("u.t")), 256).alias("digest"))
+    lines = docs.select(*row, normal_lines(text).alias("l"))
+    whole = F.array_join(F.filter("l", lambda x: x != ""), " ")
+    found = F.concat(
+        F.transform(F.filter(F.array(whole), fits), lambda x: F.struct(F.lit(True).alias("whole"), x.alias("t"))),
+        F.transform(F.array_distinct(F.filter("l", fits)), lambda x: F.struct(F.lit(False).alias("whole"), x.alias("t"))),
+    )
+    units = lines.select("__ls_id", "__ls_row", F.explode(found).alias("u")).select("__ls_id", "__ls_row", "u.whole", F.sha2("u.t", 256).alias("digest"))
     found = (
         units.join(digests, "digest").groupBy("__ls_id", "__ls_row")
         .agg(F.min(F.when(F.col("whole"), F.col("license_id"))).alias("license_id"), F.sort_array(F.collect_set(F.when(~F.col("whole"), F.col("license_id")))).alias("notice_ids"))

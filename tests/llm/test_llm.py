@@ -525,6 +525,20 @@ def test_licences(spark):
     assert license_scan.scan_licences(docs(spark, texts).limit(0)).count() == 0
 
 
+def test_known_table_of_any_size(spark, monkeypatch):
+    """Own known texts with nulls and ties, lengths told apart or not, digests broadcast or shuffled; columns in any case."""
+    known = spark.createDataFrame([("B", "One Notice, here"), ("A", "one notice here"), (None, "lost text"), ("C", None), ("D", "..."), ("E", "first line\nand second")], "license_id string, text string")
+    texts = ["ONE NOTICE... HERE", "x\n one  notice-here\r\ny", "lost text", "...", "", None, "First line,\n\n(c) 2020 them\nand second!", "first line and second", "a\nFirst  line and second\nb"]
+    want = [("A", ["A"]), (None, ["A"]), (None, []), (None, []), (None, []), (None, []), ("E", []), ("E", ["E"]), (None, ["E"])]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "Doc_ID long, TEXT string")
+    for name, limit in ((None, 0), ("LENGTHS", 1), ("BROADCAST_ROWS", 1)):
+        if name:
+            monkeypatch.setattr(license_scan, name, limit)
+        rows = license_scan.scan_licences(df, known).orderBy("Doc_ID").collect()
+        assert [(r.license_id, r.notice_ids) for r in rows] == want
+    assert all(r.license_id is None and r.notice_ids == [] for r in license_scan.scan_licences(df, known.limit(0)).collect())
+
+
 def test_whole_texts_of_common_licences(spark):
     whole = license_scan.whole_licences()
     texts = [f"Copyright (c) 2020 Someone\n\n{t.upper().replace('LICENSE', 'LICENCE')}" for _, t in whole]
