@@ -120,10 +120,11 @@ def linked(sets: list[np.ndarray], percent: int) -> np.ndarray:
     shared = np.repeat(counts > 1, counts)
     column, owner = column[shared], owner[shared]
     inter = np.zeros((m, m), np.float64)
-    width = max(1, (1 << 22) // m)
-    for a in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+    columns = int(column[-1]) + 1 if len(column) else 0
+    width = max(1, min((1 << 22) // m, columns))
+    for a in range(0, columns, width):
         i, j = np.searchsorted(column, [a, a + width])
-        part = np.zeros((m, width), np.float32)
+        part = np.zeros((m, min(width, columns - a)), np.float32)
         part[owner[i:j], column[i:j] - a] = 1
         inter += part @ part.T
     inter = inter.astype(np.int64)
