@@ -13,11 +13,15 @@ from pyspark.sql import functions as F
 
 from .bpe import Remembered, default_vocabulary
 from .chunks import folded, gather, slices, split_chunks
-from .common import Workspace, quoted
+from .common import Workspace, named, quoted
 
 SCHEMA = "doc_id long, n_tokens long, shard int, start_in_shard long, token_ids array<int>"
 #: Bytes of text split at once; ids take little room, and larger slices repeat more of their chunks.
 SLICE = 6 << 20
+#: Bytes of input a range, and the most ranges (so many files, and rows that are broadcast to read them).
+RANGE_BYTES, MOST_RANGES = 32 << 20, 1_000_000
+#: Estimates from here on mean that the planner knows nothing.
+UNKNOWN = 1 << 55
 _ENCODERS: dict[str, "ChunkEncoder"] = {}
 
 
@@ -100,22 +104,36 @@ def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
                 first += len(part)
                 before += int(at[-1])
 
-    rows = docs.select(F.col(quoted(id_col)).cast("long").alias("doc_id"), F.col(quoted(text_col)).cast("string").alias("text"))
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    rows = docs.select(F.col(quoted(named(docs, id_col))).cast("long").alias("doc_id"), F.col(quoted(named(docs, text_col))).cast("string").alias("text"))
+    # the beginning of a text sorts as the text does, so rows of one id may lie in several ranges
+    keys = ["doc_id", F.substring("text", 1, 32)]
+    ranges = _ranges(rows)
+    ordered = (rows.repartitionByRange(ranges, *keys) if ranges else rows.repartitionByRange(*keys)).sortWithinPartitions("doc_id", "text")
     writer = ordered.mapInArrow(run, SCHEMA).write.mode("overwrite")
     writer = writer.option("parquet.block.size", row_group_bytes).option("parquet.page.row.count.limit", page_rows).option("parquet.writer.version", "v2")
     writer.option("parquet.enable.dictionary", str(encoding == "dictionary").lower()).parquet(path)
 
 
+def _ranges(rows: DataFrame) -> int | None:
+    """Ranges of about ``RANGE_BYTES`` by the planner's estimate of the input, measured where it has none; None if the
+    session's default is enough."""
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size >= UNKNOWN:
+        size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    wanted = min(-(-size // RANGE_BYTES), MOST_RANGES)
+    return wanted if wanted > int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) else None
+
+
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
-    """``SCHEMA`` rows plus ``start``, the number of ids of all documents before (from the counts' pages alone)."""
+    """``SCHEMA`` rows plus ``start``, the number of ids of all documents before (from the counts' pages alone). The rows
+    stay where they are read: what meets them is one row a file."""
     rows = spark.read.schema(SCHEMA).parquet(path)
     totals = [(r["shard"], r["n"]) for r in rows.groupBy("shard").agg(F.sum("n_tokens").alias("n")).orderBy("shard").toLocalIterator()]  # one row a file
     base, before = [], 0
     for shard, n in totals:
         base.append((shard, before))
         before += n
-    bases = spark.createDataFrame(base, "shard int, base long")
+    bases = F.broadcast(spark.createDataFrame(base, "shard int, base long"))  # 12 bytes a file
     return rows.join(bases, "shard").withColumn("start", F.col("base") + F.col("start_in_shard")).drop("base")
 
 
