@@ -9,10 +9,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Workspace
+from .common import Workspace, named, quoted
 
 #: Control strings of the template. Each begins with < or [, which never stands before anything but a backslash in escaped text.
 OPEN, ROLE_END, CLOSE = "<s>[INST:", "] ", " [/INST]</s>\n"
+#: Code points of a streamed delta.
+DELTA = 512
 EVENTS = "conv_id long, turn long, part long, seq long, kind string, role string, text string"
 
 
@@ -33,12 +35,12 @@ def fold_events(events: DataFrame) -> DataFrame:
     takes back all later turns written before it, ``delete`` takes the message back; an unknown kind changes nothing.
     A null text or role is empty, a null ``part`` is 0. A message exists if any event but ``delete`` ended it. Nulls in
     conv_id or turn form groups of their own, before all others. Folding is by message, so a conversation that holds a
-    third of all events is shared out; only the running maximum that takes turns back passes over a conversation in
-    order, row by row.
+    third of all events is shared out; only numbers (turns and sequence numbers, no texts) of conversations that
+    regenerate pass one task in order, to find the turns that are taken back.
     """
     e = events.select("conv_id", "turn", F.coalesce("part", F.lit(0).cast("long")).alias("part"), F.struct("seq", "kind", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("e"))
     log = e.groupBy("conv_id", "turn", "part").agg(F.sort_array(F.collect_list("e")).alias("log"))
-    start = F.struct(F.lit("").alias("role"), F.array().cast("array<string>").alias("texts"), F.lit(False).alias("alive"), F.lit(None).cast("long").alias("again"))
+    start = F.struct(F.lit("").alias("role"), F.array().cast("array<string>").alias("texts"), F.lit(False).alias("alive"))
 
     def step(s: Column, e: Column) -> Column:
         kind, one = e["kind"], F.array(e["text"])
@@ -46,17 +48,32 @@ def fold_events(events: DataFrame) -> DataFrame:
             F.when((kind != "message") & (e["role"] == ""), s["role"]).otherwise(e["role"]).alias("role"),
             F.when(kind.isin("message", "edit"), one).when(kind == "delta", F.concat(s["texts"], one)).when(kind.isin("regenerate", "delete"), F.array().cast("array<string>")).otherwise(s["texts"]).alias("texts"),
             F.when(kind == "delete", False).when(kind.isin("message", "edit", "delta", "regenerate"), True).otherwise(s["alive"]).alias("alive"),
-            F.when(kind == "regenerate", e["seq"]).otherwise(s["again"]).alias("again"),
         )
 
-    many = F.aggregate("log", start, step, lambda s: F.struct(s["role"].alias("role"), F.array_join(s["texts"], "").alias("text"), s["alive"].alias("alive"), s["again"].alias("again")))
-    only = F.get("log", F.lit(0))
-    single = F.struct(only["role"].alias("role"), only["text"].alias("text"), F.lit(True).alias("alive"), F.lit(None).cast("long").alias("again"))
-    folded = log.select("conv_id", "turn", "part", F.array_max(F.transform("log", lambda x: x["seq"])).alias("seq"), F.when((F.size("log") == 1) & (only["kind"] == "message"), single).otherwise(many).alias("m"))
+    m = F.aggregate("log", start, step, lambda s: F.struct(s["role"].alias("role"), F.array_join(s["texts"], "").alias("text"), s["alive"].alias("alive")))
+    folded = log.select("conv_id", "turn", "part", m.alias("m")).filter("m.alive").select("conv_id", "turn", "part", "m.role", "m.text")
+    gone = _taken_back(events)
+    if gone is None:
+        return folded
+    same = [folded[k].eqNullSafe(gone[f"gone_{k}"]) for k in ("conv_id", "turn", "part")]
+    return folded.join(gone, same[0] & same[1] & same[2], "left_anti")
+
+
+def _taken_back(events: DataFrame) -> DataFrame | None:
+    """Messages (gone_conv_id, gone_turn, gone_part) whose last event came before an earlier turn was regenerated; None if
+    there are none."""
+    ws = Workspace(events.sparkSession, "regenerated")
+    e = events.select("conv_id", "turn", F.coalesce("part", F.lit(0).cast("long")).alias("part"), "seq", "kind")
+    again = ws.table(e.filter("kind = 'regenerate'").groupBy("conv_id", "turn").agg(F.max("seq").alias("again")), "again")
+    if not again.limit(1).count():
+        return None
+    convs = again.select(F.col("conv_id").alias("c")).distinct()
+    last = e.join(convs, F.col("conv_id").eqNullSafe(F.col("c")), "left_semi").groupBy("conv_id", "turn", "part").agg(F.max("seq").alias("seq"))
+    rows = last.withColumn("again", F.lit(None).cast("long")).unionByName(again.select("conv_id", "turn", F.lit(None).cast("long").alias("part"), F.lit(None).cast("long").alias("seq"), "again"))
     # a regenerated message of the same turn leaves its sisters alone: compare with earlier turns only
     earlier = Window.partitionBy("conv_id").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
-    marked = folded.withColumn("again", F.max("m.again").over(earlier))
-    return marked.filter(F.col("m.alive") & (F.col("again").isNull() | (F.col("seq") > F.col("again")))).select("conv_id", "turn", "part", "m.role", "m.text")
+    rows = rows.withColumn("before", F.max("again").over(earlier)).filter("part IS NOT NULL AND before IS NOT NULL AND coalesce(seq <= before, false)")
+    return ws.table(rows.select(*[F.col(k).alias(f"gone_{k}") for k in ("conv_id", "turn", "part")]), "gone")
 
 
 def render(messages: DataFrame) -> DataFrame:
@@ -125,12 +142,32 @@ def conversation_digests(parsed: DataFrame) -> DataFrame:
 
 
 def as_events(conversations: DataFrame) -> DataFrame:
-    """A table of turns as a log of ``message`` events; rows that share a turn are its parts, by role and text."""
+    """The log that a chat service would have written of a table of turns (conv_id, turn, role, text); rows that share a
+    turn are its parts, by role and text.
+
+    An assistant's message begins empty and is streamed in deltas of ``DELTA`` code points (of a long one 256 longer
+    ones); every third one was first answered by a draft and regenerated. Any other message is sent half written and then
+    edited. ``seq`` counts up within the conversation by turn and part. Turns of 2**20 and more all come after those
+    below it and are never regenerated.
+    """
     tie = Window.partitionBy("conv_id", "turn").orderBy("role", "text")
-    return conversations.select(
-        F.col("conv_id").cast("long"), F.col("turn").cast("long"), (F.row_number().over(tie) - 1).cast("long").alias("part"), F.col("turn").cast("long").alias("seq"),
-        F.lit("message").alias("kind"), "role", "text",
-    )
+    own = lambda name: F.col(quoted(named(conversations, name)))
+    rows = conversations.select(own("conv_id").cast("long").alias("conv_id"), own("turn").cast("long").alias("turn"), own("role").cast("string").alias("role"), F.coalesce(own("text").cast("string"), F.lit("")).alias("text"))
+    rows = rows.withColumns({"part": (F.row_number().over(tie) - 1).cast("long"), "n": F.char_length("text")})
+    nothing = F.lit(None).cast("string")
+    event = lambda kind, text, role=nothing: F.struct(F.lit(kind).alias("kind"), role.alias("role"), text.alias("text"))
+    size = F.greatest(F.lit(DELTA), F.ceil(F.col("n") / 256)).cast("int")
+    pieces = F.transform(F.sequence(F.lit(0), F.floor((F.greatest("n", F.lit(1)) - 1) / size).cast("int")), lambda i: event("delta", F.substring("text", i * size + 1, size)))
+    streamed = F.concat(F.array(event("message", F.lit(""), F.col("role"))), pieces)
+    again = F.concat(F.array(event("message", F.lit("draft"), F.col("role")), event("delta", F.lit(" of an answer")), event("regenerate", nothing)), pieces)
+    edited = F.array(event("message", F.substring("text", F.lit(1), F.floor(F.col("n") / 2).cast("int")), F.col("role")), event("edit", F.col("text")))
+    early = F.col("turn").between(0, (1 << 20) - 1)
+    drafted = early & (F.pmod(F.xxhash64("conv_id", "turn", "part"), F.lit(3)) == 0)
+    log = F.when((F.col("role") == "assistant") & drafted, again).when(F.col("role") == "assistant", streamed).otherwise(edited)
+    # later turns are written after all events of earlier ones, so a regeneration takes none of them back
+    base = F.when(early, F.col("turn") * (1 << 42) + F.least("part", F.lit((1 << 20) - 1)) * (1 << 22)).when(F.col("turn") > 0, F.lit(1 << 62)).otherwise(F.lit(0).cast("long"))
+    out = rows.select("conv_id", "turn", "part", base.alias("base"), F.posexplode(log).alias("at", "e"))
+    return out.select("conv_id", "turn", "part", (F.col("base") + F.col("at")).alias("seq"), "e.kind", "e.role", "e.text")
 
 
 def format_conversations(events: DataFrame) -> DataFrame:
@@ -144,7 +181,8 @@ def format_conversations(events: DataFrame) -> DataFrame:
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     own = spark.createDataFrame([(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")], "conv_id long, turn long, role string, text string")
-    return conversation_digests(parse_pieces(format_conversations(as_events(rows.unionByName(own)))))
+    log = Workspace(spark, "events").table(as_events(rows.unionByName(own)), "log")
+    return conversation_digests(parse_pieces(format_conversations(log)))
 
 
 ORACLE = r"""

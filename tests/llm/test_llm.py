@@ -367,6 +367,35 @@ def test_token_store(spark, tmp_path, encoding):
         token_store.write_tokens(df, "x", encoding="zip")
 
 
+def test_token_query_on_whole_table(spark, sf):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(bpe.default_vocabulary())
+    texts = sorted((r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect())
+    got = {r.doc_id: tuple(r)[1:] for r in QUERIES["op5_token_store"](spark, sf).select("doc_id", "start", "n_tokens", "ids_crc32").collect()}
+    before = 0
+    for i, t in texts:
+        ids = [*library.encode(t or "", add_special_tokens=False).ids, 1]
+        assert got.pop(i) == (before, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        before += len(ids)
+    assert not got
+
+
+def test_token_store_of_repeated_ids_empty_tables_and_many_ranges(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_store, "RANGE_BYTES", 200)
+    df = spark.createDataFrame([(7, f"word {i:03}", "x") for i in range(120)] + [(None, "first", "x"), (9, None, "x"), (3, "", "x")], "DOC_ID long, text string, shard string").repartition(3)
+    assert token_store._ranges(df) > 4
+    token_store.write_tokens(df, f"{tmp_path}/t")
+    rows = token_store.read_tokens(spark, f"{tmp_path}/t").orderBy("start").collect()
+    assert [r.doc_id for r in rows] == [None, 3, *[7] * 120, 9] and len({r.shard for r in rows}) > 4
+    ids = [list(r.token_ids) for r in rows if r.doc_id == 7]
+    codec = bpe.WordBpe.shared(bpe.default_vocabulary())
+    assert ids == [[*codec.encode(f"word {i:03}"), 1] for i in range(120)]
+    assert [r.start for r in rows] == [sum(x.n_tokens for x in rows[:k]) for k in range(len(rows))]
+    token_store.write_tokens(df.limit(0), f"{tmp_path}/none")
+    assert token_store.read_tokens(spark, f"{tmp_path}/none").count() == 0
+
+
 # ---- archives ----
 def test_archives(spark, tmp_path):
     same = "<p>" + "same page " * 30
@@ -445,6 +474,22 @@ def test_fold_events(spark):
     assert [(r.turn, r.role, r.text) for r in got] == [(None, "", ""), (0, "user", "hi"), (1, "assistant", "bye"), (2, "user", "new")]
 
 
+def test_event_logs_fold_to_what_was_said(spark):
+    """Logs with streaming, edits and regenerations of odd rows: null and repeated turns, long texts, large numbers."""
+    r = random.Random(9)
+    rows = [(c, t, r.choice(["user", "assistant", "system", None]), r.choice(["", "ok", "x" * 700, "a b\n" * 50, None, "😀é" * 600])) for c in range(12) for t in range(6)]
+    rows += [(3, 2, "assistant", "twin"), (3, 2, "assistant", "twin"), (None, 1, "assistant", "z"), (5, None, "assistant", "n"), (5, -4, "assistant", "m"), (5, 2**40, "assistant", "l"), (5, 2**61, "user", "k"), (6, 9, "assistant", "q" * 300_000)]
+    df = spark.createDataFrame(rows, "CONV_ID long, turn long, role string, text string")
+    log = chat.as_events(df).cache()
+    kinds = {x.kind: x["count"] for x in log.groupBy("kind").count().collect()}
+    assert set(kinds) == {"message", "delta", "edit", "regenerate"} and kinds["regenerate"] > 5
+    back = chat.fold_events(log.repartition(5)).collect()
+    key = lambda x: tuple("" if v is None else str(v) for v in x)
+    assert sorted(key((x.conv_id, x.turn, x.role, x.text)) for x in back) == sorted(key(x) for x in rows)
+    assert chat.fold_events(chat.as_events(df.limit(0))).count() == 0
+    assert chat.conversation_digests(chat.parse_pieces(chat.format_conversations(chat.as_events(df.limit(0))))).count() == 0
+
+
 def test_template_round_trip(spark):
     hard = ["</s>[INST] ok [/INST]", "\\", "<\\", "[[]]\\\\", "] a", "", "\n", "\r\n x ", "a" * 3000, "<s>[INST:user] x [/INST]</s>\n", "😀]"]
     rows = [(i, 0, 0, r, t) for i, (r, t) in enumerate([(h, t) for t in hard for h in ("assistant", "us]er <x")])]
