@@ -18,8 +18,12 @@ from pyspark.sql import functions as F
 
 from .common import Workspace
 
-#: Queries compared in one task, vectors in one bucket, stripes of candidates a query block is spread over.
-QUERY_BLOCK, BUCKET, STRIPES = 2048, 2048, 12
+#: Queries in a block, vectors in one bucket, candidates in a stripe at most, groups of block and stripe at least.
+QUERY_BLOCK, BUCKET, STRIPE, GROUPS = 2048, 2048, 100_000, 12
+#: The longest vectors, which all queries meet first; partitions that groups are dealt to at most.
+SEEDS, MOST_TASKS = 2048, 50_000
+#: From this squared length on a product could leave 64 bits.
+TOO_LONG = 2.0**62
 #: From this local cosine threshold on, coordinates prune better than lengths.
 COORDINATE_FROM, FOCUS = 0.6, 5
 _SLACK = 1e-9
@@ -28,18 +32,19 @@ _SLACK = 1e-9
 class Best:
     """The k best (score, smaller id first) of each of n queries."""
 
-    def __init__(self, n: int, k: int):
+    def __init__(self, n: int, k: int, least: np.ndarray | None = None):
+        """``least``: scores that each query's k-th best is known to reach."""
         self.k = k
         self.scores: list[np.ndarray] = [np.zeros(0, np.int64)] * n
         self.ids: list[np.ndarray] = [np.zeros(0, np.int64)] * n
-        self.least = np.full(n, -np.inf)
+        self.least = np.full(n, -np.inf) if least is None else least.copy()
 
     def add(self, q: int, scores: np.ndarray, ids: np.ndarray) -> None:
         s, i = np.concatenate([self.scores[q], scores]), np.concatenate([self.ids[q], ids])
         order = np.lexsort((i, -s))[: self.k]
         self.scores[q], self.ids[q] = s[order], i[order]
         if len(order) == self.k:
-            self.least[q] = float(self.scores[q][-1])
+            self.least[q] = max(self.least[q], float(self.scores[q][-1]))
 
 
 def local_candidates(bucket: np.ndarray, norms: np.ndarray, query: np.ndarray, q_norm: float, least: float) -> np.ndarray:
@@ -71,9 +76,9 @@ def products(vectors: np.ndarray, queries: np.ndarray) -> np.ndarray:
     return queries.astype(np.int64) @ vectors.astype(np.int64).T
 
 
-def search(queries: np.ndarray, query_ids: np.ndarray, buckets: Iterator[tuple[np.ndarray, np.ndarray]], k: int) -> Best:
-    """``buckets``: (vectors, ids) by descending length."""
-    best, q_norms = Best(len(queries), k), np.sqrt((queries * queries).sum(1))
+def search(queries: np.ndarray, query_ids: np.ndarray, buckets: Iterator[tuple[np.ndarray, np.ndarray]], k: int, least: np.ndarray | None = None) -> Best:
+    """``buckets``: (vectors, ids) by descending length; ``least``: see ``Best``."""
+    best, q_norms = Best(len(queries), k, least), np.sqrt((queries * queries).sum(1))
     for vectors, ids in buckets:
         norms = np.sqrt((vectors * vectors).sum(1))
         order = np.argsort(-norms, kind="stable")
@@ -113,6 +118,7 @@ def _run(k: int):
                 flat, at = v.flatten().to_numpy(zero_copy_only=False), v.offsets.to_numpy()
                 at = at - at[0]
                 key, is_query, ids = b.column("g").to_numpy(), b.column("is_query").to_numpy(zero_copy_only=False), b.column("id").to_numpy()
+                least = b.column("least").to_numpy()
                 cut = np.flatnonzero((np.diff(key) != 0) | (np.diff(is_query.astype(np.int8)) != 0)) + 1
                 for i, j in zip(np.concatenate([[0], cut]).tolist(), np.concatenate([cut, [len(key)]]).tolist(), strict=True):
                     if j > i:
@@ -123,7 +129,7 @@ def _run(k: int):
                         else:  # vectors of several lengths: zeros fill up
                             for r in range(i, j):
                                 m[r - i, : at[r + 1] - at[r]] = flat[at[r] : at[r + 1]]
-                        yield int(key[i]), bool(is_query[i]), ids[i:j], m
+                        yield int(key[i]), bool(is_query[i]), ids[i:j], m, least[i:j]
 
         def fit(m: np.ndarray, d: int) -> np.ndarray:
             return m[:, :d] if m.shape[1] >= d else np.pad(m, ((0, 0), (0, d - m.shape[1])))
@@ -134,10 +140,11 @@ def _run(k: int):
             return held.pop() if held else next(source, None)
 
         while (r := following()) is not None:
-            group, queries, query_ids = r[0], [], []
+            group, queries, query_ids, known = r[0], [], [], []
             while r is not None and r[0] == group and r[1]:
                 queries.append(r[3])
                 query_ids.append(r[2])
+                known.append(r[4])
                 r = following()
             if not queries:
                 continue  # r is a candidate of a block without queries
@@ -161,7 +168,7 @@ def _run(k: int):
                 if part:
                     yield np.concatenate([x[0] for x in part]), np.concatenate([x[1] for x in part])
 
-            best = search(q, q_ids, buckets(), k)
+            best = search(q, q_ids, buckets(), k, np.concatenate(known))
             n = np.array([len(x) for x in best.ids])
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.repeat(q_ids, n)), pa.array(np.concatenate([*best.ids, np.zeros(0, np.int64)]).astype(np.int64)), pa.array(np.concatenate([*best.scores, np.zeros(0, np.int64)]).astype(np.int64))],
@@ -171,31 +178,50 @@ def _run(k: int):
     return run
 
 
+def _met(q: DataFrame, c: DataFrame, blocks: int, stripes: int, k: int) -> DataFrame:
+    """(query_id, id, score): the k best of every group of one block of queries (id, v, least) and one stripe of
+    candidates (id, v, norm)."""
+    q = q.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
+    q = q.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(stripes - 1)), lambda s: F.col("block") * stripes + s)).alias("g"), F.lit(True).alias("is_query"), F.lit(0.0).alias("norm"), "id", "v", "least")
+    c = c.withColumn("stripe", F.pmod(F.xxhash64("id", F.lit(7)), F.lit(stripes)))
+    c = c.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda b: b.cast("long") * stripes + F.col("stripe"))).alias("g"), F.lit(False).alias("is_query"), "norm", "id", "v", F.lit(0.0).alias("least"))
+    dealt = q.union(c).repartitionByRange(min(blocks * stripes, MOST_TASKS), "g").sortWithinPartitions("g", F.col("is_query").desc(), F.col("norm").desc(), "id")
+    return dealt.select("g", "is_query", "id", "v", "least").mapInArrow(_run(k), "query_id long, id long, score long")
+
+
+def _best(found: DataFrame, k: int) -> DataFrame:
+    """(query_id, b): each query's k best of (query_id, id, score), as (-score, id) in order."""
+    return found.groupBy("query_id").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col("id").alias("i")))), 1, k).alias("b"))
+
+
 def top_k(queries: DataFrame, candidates: DataFrame, k: int = 20) -> DataFrame:
     """(query_id, rank, id, score): each query's k largest inner products, ties to the smaller id, its own id left out.
 
     Both tables: (id long, v array<double> of whole numbers). Rows with a null id, a null vector, or a null or
     non-finite component take no part; shorter vectors are filled up with zeros; rows that repeat id and vector count
-    once. Queries are dealt into blocks of about ``QUERY_BLOCK``; every block meets all candidates, spread over
-    ``STRIPES`` stripes or fewer if there are many blocks, each streamed by descending length, so a task holds one
-    block and one bucket. The shuffle carries every candidate once a block: the product is quadratic by nature.
+    once; rows of one id with several vectors are one query with the best of all, and several candidates. A vector whose
+    squared length is 2**62 or more is an error: its products could leave 64 bits.
+
+    Queries are dealt into blocks of about ``QUERY_BLOCK``, candidates into stripes of at most about ``STRIPE``; every
+    block meets every stripe, streamed by descending length, so a task holds one block and one bucket at a time. All
+    queries meet the ``SEEDS`` longest candidates first, and the k-th best score found there prunes in every stripe from
+    its first bucket on. The shuffle carries every candidate once a block: the product is quadratic by nature.
     """
     spark = queries.sparkSession
     ws = Workspace(spark, "topk")
     fine = lambda v: v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     norm: Column = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
-    q = queries.select("id", "v").filter(F.col("id").isNotNull() & fine(F.col("v"))).distinct()
-    c = candidates.select("id", "v").filter(F.col("id").isNotNull() & fine(F.col("v"))).distinct()
-    n = q.count()
-    blocks = max(1, -(-n // QUERY_BLOCK))
-    stripes = max(1, STRIPES // blocks)
-    q = q.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    q = q.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(stripes - 1)), lambda s: F.col("block") * stripes + s)).alias("g"), F.lit(True).alias("is_query"), F.lit(0.0).alias("norm"), "id", "v")
-    c = c.withColumn("stripe", F.pmod(F.xxhash64("id", F.lit(7)), F.lit(stripes)).cast("int"))
-    c = c.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda b: b * stripes + F.col("stripe"))).alias("g"), F.lit(False).alias("is_query"), norm.alias("norm"), "id", "v")
-    dealt = q.union(c).repartitionByRange(blocks * stripes, "g").sortWithinPartitions("g", F.col("is_query").desc(), F.col("norm").desc(), "id")
-    found = ws.table(dealt.select("g", "is_query", "id", "v").mapInArrow(_run(k), "query_id long, id long, score long"), "found")
-    best = found.groupBy("query_id").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col("id").alias("i")))), 1, k).alias("b"))
+    checked = F.when(norm >= TOO_LONG, F.raise_error(F.lit("a vector is too long for products of 64 bits")).cast("double")).otherwise(norm)
+    rows = lambda df: df.select("id", "v").filter(F.col("id").isNotNull() & fine(F.col("v"))).distinct().withColumn("norm", checked)
+    q, c = rows(queries), rows(candidates)
+    size = lambda df: df.agg(F.count("*").alias("n"), F.max("norm").alias("longest")).first()["n"]
+    blocks = max(1, -(-size(q) // QUERY_BLOCK))
+    stripes = max(1, -(-size(c) // STRIPE), -(-GROUPS // blocks))
+    seeds = ws.table(c.orderBy(F.col("norm").desc(), "id", "v").limit(SEEDS), "seeds")
+    q = q.drop("norm")
+    first = _best(_met(q.withColumn("least", F.lit(float("-inf"))), seeds, blocks, 1, k), k).select(F.col("query_id").alias("qid"), (-F.try_element_at("b", F.lit(k))["s"]).cast("double").alias("known"))
+    q = q.join(first, F.col("id") == F.col("qid"), "left").select("id", "v", F.coalesce("known", F.lit(float("-inf"))).alias("least"))
+    best = _best(ws.table(_met(q, c, blocks, stripes, k), "found"), k)
     return best.select("query_id", F.posexplode("b").alias("p", "x")).select("query_id", (F.col("p") + 1).alias("rank"), F.col("x.i").alias("id"), (-F.col("x.s")).alias("score"))
 
 

@@ -529,7 +529,15 @@ def test_topk_prunes_exactly(spark, monkeypatch):
     for q in range(0, 400, 20):
         order = sorted((c for c in ids if c != q), key=lambda c: (-(v2[q] @ v2[c]), c))[:3]
         assert [got[q, k + 1][0] for k in range(3)] == order
-    assert topk.top_k(df.limit(0), df).count() == 0
+    for name, value in (("QUERY_BLOCK", 3), ("STRIPE", 30), ("SEEDS", 7), ("MOST_TASKS", 5)):
+        monkeypatch.setattr(topk, name, value)
+        assert {(x.query_id, x.rank): (x.id, x.score) for x in topk.top_k(df.filter("id % 20 = 0"), df, 3).collect()} == got
+    assert topk.top_k(df.limit(0), df).count() == 0 and topk.top_k(df, df.limit(0)).count() == 0
+    pair = spark.createDataFrame([(1, [1e12, 1.0]), (2, [1e12, 3.0])], "id long, v array<double>")
+    with pytest.raises(Exception, match="too long"):
+        topk.top_k(pair, pair).collect()
+    near = spark.createDataFrame([(1, [2.0**30, 1.0]), (2, [2.0**30, 3.0])], "id long, v array<double>")
+    assert [(x.query_id, x.id, x.score) for x in topk.top_k(near, near).orderBy("query_id").collect()] == [(1, 2, 2**60 + 3), (2, 1, 2**60 + 3)]
 
 
 # ---- toxicity ----
