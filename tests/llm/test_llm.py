@@ -61,13 +61,51 @@ def test_lines_runs_levels_and_odd_rows(spark):
     assert got == [(-1, 1), (1, 1), (1, 1), (2, 0)]
 
 
-def test_runs_take_batches_in_any_order(spark):
-    ws = Workspace(spark, "test")
-    runs = line_dedup.LineRuns(ws, 3, 2)
+def test_columns_in_any_case(spark):
+    line = "a line that is shared by some rows"
+    df = spark.createDataFrame([(i, line, "x") for i in range(4)], "DOC_ID long, Text string, N_Lines string")
+    out = line_dedup.dedup_lines(df)
+    assert out.columns == ["DOC_ID", "Text", "n_lines", "n_dropped"] and sorted(tuple(r) for r in out.collect()) == [(0, "", 1, 1), (1, "", 1, 1), (2, "", 1, 1), (3, line, 1, 0)]
+    with pytest.raises(ValueError, match="no column"):
+        line_dedup.dedup_lines(df.drop("Text"))
+
+
+def test_runs_take_batches_in_any_order(spark, tmp_path):
+    path = f"{tmp_path}/runs"
+    batch = lambda ids, *more: spark.createDataFrame([(b"k", i) for i in ids] + list(more), "h binary, id long")
+    runs = line_dedup.LineRuns(spark, path, 3, 2)
     for ids in ([9], [5, 1], [3], [12]):
-        runs.add(spark.createDataFrame([(b"k", i) for i in ids] + [(b"once", ids[0])][: ids[0] == 9], "h binary, id long"))
+        runs.add(batch(ids, *[(b"once", ids[0])][: ids[0] == 9]))
     assert [(bytes(r.h), r.last) for r in runs.repeated().collect()] == [(b"k", 12)]
     assert len(runs.levels) >= 2 and len(runs.names()) <= 3
+    # another session, some days later: the same store by its path alone
+    for n in runs.names():
+        spark.sql(f"DROP TABLE {n}")
+    later = line_dedup.LineRuns(spark.newSession(), path, 3, 2, buckets=99)
+    assert later.levels == runs.levels and later.buckets == runs.buckets
+    later.add(later.spark.createDataFrame([(b"once", 20), (b"once", 21), (b"k", 2)], "h binary, id long"))
+    assert sorted((bytes(r.h), r.last) for r in later.repeated().collect()) == [(b"k", 12), (b"once", 21)]
+    with pytest.raises(ValueError, match="settles"):
+        line_dedup.LineRuns(spark, path, 4, 2)
+    later.clear()
+    assert line_dedup.LineRuns(spark, path, 3, 2).repeated().count() == 0
+
+
+def test_a_batch_reads_settled_keys_only_and_no_run_is_shuffled(spark, tmp_path):
+    runs = line_dedup.LineRuns(spark, f"{tmp_path}/runs", 3, 8)
+    for k in range(3):
+        rows = [(f"own {k} {i}".encode(), i) for i in range(500)] + [(b"common", k * 10 + i) for i in range(3)]
+        runs.add(spark.createDataFrame(rows, "h binary, id long"))
+    files = runs.settled().inputFiles()
+    assert files and all("settled=true" in f for f in files) and len(files) < 6
+    for plan in (runs.repeated(), runs._merged(runs._read(runs.names()))):
+        assert "Exchange" not in plan._jdf.queryExecution().executedPlan().toString()
+    # a settled key with a larger id is left out, one with a smaller id is written again
+    runs.add(spark.createDataFrame([(b"common", 1)], "h binary, id long"))
+    assert spark.table(runs.names()[-1]).count() == 0
+    runs.add(spark.createDataFrame([(b"common", 99)], "h binary, id long"))
+    assert [(bytes(r.h), r.last) for r in runs.repeated().collect()] == [(b"common", 99)]
+    runs.clear()
 
 
 # ---- near copies ----
