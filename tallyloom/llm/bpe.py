@@ -22,8 +22,8 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .chunks import folded, gather, slices, split_chunks
-from .common import quoted, without
+from .chunks import folded, gather, may_fold, slices, split_chunks
+from .common import named, quoted, without
 
 _CODECS: dict[str, "WordBpe"] = {}
 
@@ -114,6 +114,7 @@ class WordBpe:
         self.remember = remember
         #: chunk -> (each id and a blank, each token and a blank, number of ids)
         self.chunks = Remembered(remember)
+        self.folds = may_fold(lambda text: [i for chunk in text.split() for i in self._chunk_ids(chunk)], self.special)
 
     @classmethod
     def shared(cls, path: str) -> "WordBpe":
@@ -174,7 +175,7 @@ class WordBpe:
 
     def encode_many(self, texts: pa.Array) -> Iterator[tuple[int, bytes, bytes]]:
         """(number of ids, ids joined by a blank, decoded text) of each text, in UTF-8; distinct chunks are looked up once."""
-        offsets, codes, distinct = split_chunks(folded(texts))
+        offsets, codes, distinct = split_chunks(folded(texts) if self.folds else texts)
         found = self.chunks.all(distinct, lambda new: map(self._chunk, new))
         both = []
         for k in (0, 1):
@@ -211,13 +212,14 @@ def encode_documents(docs: DataFrame, text_col: str = "text", vocabulary: str |
     path = vocabulary or default_vocabulary()
     own = ("n_tokens", "token_ids", "decoded")
     df = docs.select(*without(docs, *own))
+    place = df.columns.index(named(df, text_col))
     schema = df.select("*", F.lit(0).cast("long").alias("n_tokens"), F.array().cast("array<int>").alias("token_ids"), F.lit("").alias("decoded")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = WordBpe.shared(path)
         for batch in batches:
             first = 0
-            for part in slices(batch.column(batch.schema.get_field_index(text_col))):
+            for part in slices(batch.column(place)):
                 n, ids, decoded = zip(*codec.encode_many(part), strict=True)
                 lists = pa.array([np.fromstring(i, np.int32, sep=" ") if i else np.zeros(0, np.int32) for i in ids], pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([*batch.slice(first, len(part)).columns, pa.array(n, pa.int64()), lists, pa.array(decoded, pa.binary()).cast(pa.string())], names=[*batch.schema.names, *own])
@@ -241,7 +243,7 @@ def encode_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     decoded.append(hashlib.sha256(d).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    rows = docs.select(F.col(quoted(id_col)).cast("long").alias("doc_id"), F.col(quoted(text_col)).alias("text"))
+    rows = docs.select(F.col(quoted(named(docs, id_col))).cast("long").alias("doc_id"), F.col(quoted(named(docs, text_col))).cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 

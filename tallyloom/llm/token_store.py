@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import Remembered, default_vocabulary
-from .chunks import folded, gather, slices, split_chunks
+from .chunks import folded, gather, may_fold, slices, split_chunks
 from .common import Workspace, named, quoted
 
 SCHEMA = "doc_id long, n_tokens long, shard int, start_in_shard long, token_ids array<int>"
@@ -38,7 +38,9 @@ class ChunkEncoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.mark = next(((t.content, i) for i, t in self.library.get_added_tokens_decoder().items() if t.content.startswith("<|") and not (t.lstrip or t.rstrip or t.single_word)), None)
+        special = self.library.get_added_tokens_decoder()
+        self.folds = may_fold(lambda text: self.library.encode(text, add_special_tokens=False).ids, [t.content for t in special.values()])
+        self.mark = next(((t.content, i) for i, t in special.items() if t.content.startswith("<|") and not (t.lstrip or t.rstrip or t.single_word)), None)
         if self.mark is None:
             raise ValueError(f"{path}: no special token to set chunks apart")
         self.chunks = Remembered(remember)
@@ -68,7 +70,7 @@ class ChunkEncoder:
 
     def encode_many(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each followed by end_id; where each text's ids begin, one more at the end)."""
-        offsets, codes, distinct = split_chunks(folded(texts))
+        offsets, codes, distinct = split_chunks(folded(texts) if self.folds else texts)
         found = self.chunks.all(distinct, self._encode)
         lengths = np.fromiter(map(len, found), np.int64, len(found)) // 4
         ids, at = gather(codes, np.frombuffer(b"".join(found), "<u4"), lengths) if len(codes) else (np.zeros(0, "<u4"), np.zeros(1, np.int64))

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import quoted, without
+from .common import named, quoted, without
 from .words import PUNCTUATED, U64, grouped, mix, texts_word_hashes
 
 #: 2**BITS coordinates bound the weights that are broadcast (at most 12 bytes each).
@@ -93,19 +93,20 @@ def sigmoid(x):
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = MAX_ROWS, epochs: int = 4) -> tuple[float, np.ndarray, np.ndarray]:
     """(bias, coordinates, weights) learnt from at most ``max_rows`` labelled texts.
 
-    Rows with a null id or a label other than 0 and 1 are left out; of several labels of an id the largest counts. The
+    Rows with a null id or a label other than 0 and 1 are left out, texts that repeat an id are each learnt from; of several labels of an id the largest counts. The
     sample is the first rows by a hash of the id, so it is the same in every run; learning is sequential in that order,
     in one task that holds the sample's features and no texts. Without labelled texts the bias is minus infinity:
     every score is 0.
     """
-    given = labels.filter(F.col(quoted(label_col)).isin(0, 1) & F.col(quoted(id_col)).isNotNull()).groupBy(F.col(quoted(id_col)).cast("long").alias("id")).agg(F.max(F.col(quoted(label_col))).cast("int").alias("y"))
+    id_col, text_col, of, label_col = named(docs, id_col), named(docs, text_col), named(labels, id_col), named(labels, label_col)
+    given = labels.filter(F.col(quoted(label_col)).isin(0, 1) & F.col(quoted(of)).isNotNull()).groupBy(F.col(quoted(of)).cast("long").alias("id")).agg(F.max(F.col(quoted(label_col))).cast("int").alias("y"))
     chosen = given.orderBy(F.xxhash64("id"), "id").limit(max_rows)  # at most max_rows of (id, label)
     texts = docs.select(F.col(quoted(id_col)).cast("long").alias("id"), F.col(quoted(text_col)).alias("text")).join(F.broadcast(chosen), "id")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = pa.array([x.astype(np.int32) for x in text_features(b.column(1).to_pylist())], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), found], names=["id", "y", "x"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), found, b.column(3)], names=["id", "y", "x", "t"])
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [(y, x.values.to_numpy(zero_copy_only=False).copy()) for b in batches for y, x in zip(b.column(1).to_pylist(), b.column(2), strict=True)]
@@ -118,17 +119,19 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         bias = model.bias if rows else float("-inf")
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1), pa.int64()), pa.array(np.append(w[at], bias))], names=["i", "w"])
 
-    ready = texts.mapInArrow(features, "id long, y int, x array<int>").withColumn("o", F.xxhash64("id"))
-    model = ready.repartition(1).sortWithinPartitions("o", "id").select("id", "y", "x").mapInArrow(learn, "i long, w double").toPandas()
+    ready = texts.withColumn("t", F.xxhash64("text")).select("id", "text", "y", "t").mapInArrow(features, "id long, y int, x array<int>, t long").withColumn("o", F.xxhash64("id"))
+    model = ready.repartition(1).sortWithinPartitions("o", "id", "t").select("id", "y", "x").mapInArrow(learn, "i long, w double").toPandas()
     model = model.sort_values("i")
     i, w = model["i"].to_numpy(), model["w"].to_numpy()
     return (float(w[0]), i[1:], w[1:]) if len(w) else (float("-inf"), i.astype(np.int64), w.astype(float))
 
 
 def score_texts(docs: DataFrame, model: tuple[float, np.ndarray, np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` plus ``toxicity`` in 0 to 1, from the whole text alone (null or blank: the bias). No shuffle."""
+    """``docs`` plus ``toxicity`` in 0 to 1, from the whole text alone (null or blank: the bias). Every row is scored by its
+    own text, whatever its id; a column named ``toxicity`` (in any case) is replaced. No shuffle."""
     bias, at, weights = model
     df = docs.select(*without(docs, "toxicity"))
+    place = df.columns.index(named(df, text_col))
     schema = df.select("*", F.lit(0.0).alias("toxicity")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,7 +140,7 @@ def score_texts(docs: DataFrame, model: tuple[float, np.ndarray, np.ndarray], id
         weighs = table != 0
         for b in batches:
             out = []
-            for _, group in grouped(b.column(b.schema.get_field_index(text_col)).to_pylist()):
+            for _, group in grouped(b.column(place).to_pylist()):
                 h, cut = texts_word_hashes(group, PUNCTUATED)
                 found = [(o[k] << BITS) | c[k] for o, c in coordinates(h, _owners(cut)) for k in (np.flatnonzero(weighs[c]),)]
                 both = np.unique(np.concatenate(found))

@@ -365,6 +365,23 @@ def test_bpe_query_on_whole_table(spark, sf):
         assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(e.ids), hashlib.sha256(" ".join(map(str, e.ids)).encode()).hexdigest(), hashlib.sha256(library.decode(e.ids, skip_special_tokens=False).encode()).hexdigest())
 
 
+def test_vocabularies_that_must_not_be_folded(tmp_path):
+    import json
+
+    path = bpe.default_vocabulary()
+    assert bpe.WordBpe(path).folds and token_store.ChunkEncoder(path).folds
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    first = spec["pre_tokenizer"]["pretokenizers"][0]
+    first["pattern"]["Regex"] = r"[^\s]+"  # words keep their marks
+    other = tmp_path / "other.json"
+    other.write_text(json.dumps(spec), encoding="utf-8")
+    own, library = bpe.WordBpe(str(other)), token_store.ChunkEncoder(str(other))
+    assert not own.folds and not library.folds
+    for text in ("The end. Of it, all", "A b. c"):
+        assert own.encode(text) == library.library.encode(text, add_special_tokens=False).ids
+
+
 def test_merge_queue_against_rescan():
     r = random.Random(1)
     ranks = {(a, b): i for i, (a, b) in enumerate([("a", "b"), ("b", "a"), ("ab", "a"), ("a", "a"), ("ab", "ab"), ("aa", "b"), ("c", "ab")])}
@@ -604,6 +621,73 @@ def test_toxicity_learns_and_holds_out(spark):
     assert model[0] == again[0] and (model[2] == again[2]).all()
 
 
+def test_ftrl_against_a_plain_loop():
+    r = random.Random(6)
+    model = toxicity.FtrlProximal(1 << toxicity.BITS)
+    z, n, bias = collections.defaultdict(float), collections.defaultdict(float), [0.0, 0.0]
+    sign = lambda x: (x > 0) - (x < 0)
+    for _ in range(300):
+        x = sorted(r.sample([*range(30), *range(toxicity.WORDS, toxicity.WORDS + 30)], 9))
+        y = int(any(i in (3, toxicity.WORDS + 4) for i in x))
+        model.learn(np.array(x), y)
+        v = {i: 1.0 if i < toxicity.WORDS else toxicity.PAIR_VALUE for i in x}
+        w = {i: 0.0 if abs(z[i]) <= 1.5 else -(z[i] - sign(z[i]) * 1.5) / (1.0 + math.sqrt(n[i]) + 1.0) for i in x}
+        b = -bias[0] / (1.0 + math.sqrt(bias[1]))
+        error = 1 / (1 + math.exp(-(sum(w[i] * v[i] for i in x) + b))) - y
+        for i in x:
+            g = error * v[i]
+            z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) * w[i]
+            n[i] += g * g
+        bias[0] += error - (math.sqrt(bias[1] + error * error) - math.sqrt(bias[1])) * b
+        bias[1] += error * error
+    at = np.array(sorted(z))
+    want = [0.0 if abs(z[i]) <= 1.5 else -(z[i] - sign(z[i]) * 1.5) / (2.0 + math.sqrt(n[i])) for i in at.tolist()]
+    assert np.allclose(model.weights(at), want) and math.isclose(model.bias, -bias[0] / (1 + math.sqrt(bias[1])))
+    assert 0 < np.count_nonzero(want) < len(want)
+
+
+def test_toxicity_query_on_whole_table(spark, sf):
+    """Scores of the registered query by a plain loop over words, pairs and skip-pairs with the learnt weights."""
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    bias, at, weights = toxicity.learnt(spark, sf, spark.read.parquet(f"{sf}/documents.parquet"))
+    of = dict(zip(at.tolist(), weights.tolist(), strict=True))
+    mask = (1 << 64) - 1
+
+    def mixed(h):
+        for c in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+            h = (h ^ (h >> 33)) * c & mask
+        return h ^ (h >> 33)
+
+    def word(w):
+        total, p = 0, 1
+        for byte in w.encode():
+            total = (total + (byte + 1) * p) & mask
+            p = p * 0x9E3779B97F4A7C15 & mask
+        return mixed(total ^ (len(w.encode()) * 0xD6E8FEB86659FD93 & mask))
+
+    kinds, half = toxicity._KINDS, toxicity.WORDS
+    rows = QUERIES["op9_toxicity"](spark, sf).collect()
+    assert {r.doc_id for r in rows} == set(texts) and len(rows) == len(texts)
+    for r in rows:
+        h = [word(w) for w in re.findall(r"[a-z0-9\x80-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), texts[r.doc_id]))]
+        places = {mixed(x * kinds[0] & mask) >> (65 - toxicity.BITS) for x in h}
+        for gap in (1, 2):
+            places |= {(mixed((a * kinds[gap] + b) & mask) >> (65 - toxicity.BITS)) + half for a, b in zip(h, h[gap:])}
+        score = 1 / (1 + math.exp(-(sum(of.get(i, 0.0) * (1.0 if i < half else toxicity.PAIR_VALUE) for i in places) + bias)))
+        assert math.isclose(r.score, score, rel_tol=1e-9, abs_tol=1e-12) and r.predicted == int(r.score >= 0.3)
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
+
+
+def test_scores_with_clashing_and_other_names(spark):
+    df = spark.createDataFrame([(1, "vile", "no"), (1, "kind", "no"), (None, "vile", None), (2, None, "vile")], "Doc_ID long, TEXT string, Toxicity string")
+    labels = spark.createDataFrame([(1, 1)], "DOC_ID long, Toxic int")
+    bias, at, weights = toxicity.train(df, labels)
+    assert np.isfinite(bias)
+    out = toxicity.score_texts(df, (0.0, np.array([5]), np.array([1.0])))
+    assert out.columns == ["Doc_ID", "TEXT", "toxicity"] and [r.toxicity for r in out.collect()] == [0.5] * 4
+    assert bpe.encode_documents(df.withColumnRenamed("Toxicity", "N_TOKENS")).columns == ["Doc_ID", "TEXT", "n_tokens", "token_ids", "decoded"]
+
+
 # ---- licences ----
 def test_licences(spark):
     mit = dict(license_scan.KNOWN[:1])["MIT"]
