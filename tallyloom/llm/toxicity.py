@@ -126,13 +126,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return (float(w[0]), i[1:], w[1:]) if len(w) else (float("-inf"), i.astype(np.int64), w.astype(float))
 
 
-def score_texts(docs: DataFrame, model: tuple[float, np.ndarray, np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` plus ``toxicity`` in 0 to 1, from the whole text alone (null or blank: the bias). Every row is scored by its
-    own text, whatever its id; a column named ``toxicity`` (in any case) is replaced. No shuffle."""
+def score_texts(docs: DataFrame, model: tuple[float, np.ndarray, np.ndarray], text_col: str = "text", score_col: str = "toxicity") -> DataFrame:
+    """``docs`` plus ``score_col`` in 0 to 1, from the whole text alone (null or blank: the bias). Every row is scored by its
+    own text, whatever its id; a column of that name (in any case) is replaced. No shuffle."""
     bias, at, weights = model
-    df = docs.select(*without(docs, "toxicity"))
+    df = docs.select(*without(docs, score_col))
     place = df.columns.index(named(df, text_col))
-    schema = df.select("*", F.lit(0.0).alias("toxicity")).schema
+    schema = df.select("*", F.lit(0.0).alias(score_col)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(1 << BITS)
@@ -145,7 +145,7 @@ def score_texts(docs: DataFrame, model: tuple[float, np.ndarray, np.ndarray], id
                 found = [(o[k] << BITS) | c[k] for o, c in coordinates(h, _owners(cut)) for k in (np.flatnonzero(weighs[c]),)]
                 both = np.unique(np.concatenate(found))
                 out.append(sigmoid(np.bincount(both >> BITS, table[both & ((1 << BITS) - 1)], len(group)) + bias) if np.isfinite(bias) else np.zeros(len(group)))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.concatenate(out) if out else np.zeros(0))], names=[*b.schema.names, "toxicity"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.concatenate(out) if out else np.zeros(0))], names=[*b.schema.names, score_col])
 
     return df.mapInArrow(run, schema)
 
