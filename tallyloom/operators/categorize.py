@@ -13,7 +13,7 @@ from .dedup import first_wins
 def majority(df: DataFrame, key: str, value: str, row_id: str = "row_id") -> DataFrame:
     """(key, value): the most frequent value of each key, the one seen first among equals. Nulls don't vote."""
     votes = df.filter(c(key).isNotNull() & c(value).isNotNull()).groupBy(key, value).agg(F.count("*").alias("n"), F.min(row_id).alias("f"))
-    return votes.groupBy(key).agg(F.max_by(value, F.struct("n", (-F.col("f")).alias("f"))).alias(value))
+    return votes.groupBy(key).agg(F.min_by(value, F.struct((-F.col("n")).alias("n"), "f")).alias(value))
 
 
 def carry_labels(rows: DataFrame, labels: DataFrame, key: str, columns: list[str], order: str = "row_id") -> DataFrame:

@@ -51,16 +51,33 @@ def cross_check(left: DataFrame, right: DataFrame) -> DataFrame:
     return rows.agg(F.count("*").alias("total"), F.count_if(ref).alias("reference_match"), F.count_if(~ref & (n == 1)).alias("date_match"), F.count_if(~ref & (n > 1)).alias("ambiguous"), F.count_if(~ref & (n == 0)).alias("absent"))
 
 
-def backfill_names(right: DataFrame, linked: DataFrame) -> DataFrame:
-    """Names of ``backfilled`` rows written to their matches; of several the latest (event_time, row_id) counts."""
-    names = linked.filter("outcome = 'backfilled'").groupBy(F.col("matched_id").alias("right_id")).agg(F.max_by("recipient_name", F.struct("event_time", "row_id")).alias("__new"))
+def backfill_names(right: DataFrame, linked: DataFrame, order: list[str] = ("event_time", "row_id")) -> DataFrame:
+    """Names of ``backfilled`` rows written to their matches; of several the latest by ``order`` counts."""
+    names = linked.filter("outcome = 'backfilled'").groupBy(F.col("matched_id").alias("right_id")).agg(F.max_by("recipient_name", F.struct(*order)).alias("__new"))
     return right.join(names, "right_id", "left").withColumn("Recipient_Name", F.coalesce("__new", "Recipient_Name")).drop("__new")
 
 
-def merge_sources(statement: DataFrame, linked: DataFrame) -> DataFrame:
-    """Statement rows with backfilled names, then the messages that matched none, told apart by ``_source``."""
-    rows = backfill_names(statement, linked).withColumn("_source", F.lit("statement"))
-    fresh = linked.filter("outcome = 'new'").withColumn("Recipient_Name", F.col("recipient_name")).drop("outcome", "matched_id", "recipient_name").withColumn("_source", F.lit("sms_only"))
+def message_rows(messages: DataFrame) -> DataFrame:
+    """Messages (day, amount, direction and what else they have) as ledger rows: debit and credit apart, the amount
+    negative unless it came in, the note SMS. Column names differ from the messages' in case alone, so each row is built
+    by one projection."""
+    have = {x.lower(): x for x in messages.columns}
+    of = lambda name, kind="string": F.col(have[name]).cast(kind) if name in have else F.lit(None).cast(kind)
+    money = "decimal(14,2)"
+    amount, zero = F.col("amount").cast(money), F.lit(0).cast(money)
+    debit, credit = F.coalesce(F.col("direction") == "DEBIT", F.lit(False)), F.coalesce(F.col("direction") == "CREDIT", F.lit(False))
+    return messages.select(
+        *[F.col(x) for x in ("event_time", "id") if x in have], F.col("day").alias("Transaction_Date"), F.when(debit, amount).otherwise(zero).alias("Debit"), F.when(credit, amount).otherwise(zero).alias("Credit"),
+        of("balance_after", money).alias("Balance"), of("transaction_mode").alias("Transaction_Mode"), F.when(debit, "DR").when(credit, "CR").alias("DR/CR_Indicator"), of("ref_id").alias("Transaction_ID"),
+        of("recipient_name").alias("Recipient_Name"), of("bank").alias("Bank"), of("upi_id").alias("UPI_ID"), F.lit("SMS").alias("Note"), F.when(credit, amount).otherwise(-amount).cast(money).alias("Amount"),
+    )
+
+
+def merge_sources(statement: DataFrame, linked: DataFrame, order: list[str] = ("event_time", "row_id")) -> DataFrame:
+    """Statement rows (with ``right_id``) with backfilled names, then the messages that matched none as ledger rows, told
+    apart by ``_source``."""
+    rows = backfill_names(statement, linked, order).withColumn("_source", F.lit("statement"))
+    fresh = message_rows(linked.filter("outcome = 'new'")).withColumn("_source", F.lit("sms_only"))
     return rows.unionByName(fresh, allowMissingColumns=True)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -12,7 +14,8 @@ from ..functions.similarity import ratio, sorted_ratio, token_sorted
 from ..functions.text import basic_name, first_name_token
 from ..session import cut
 
-MAPPING = "name string, canonical string"
+#: The largest alias table that is met in a nested loop.
+KB_BROADCAST = 1_000
 
 
 def name_counts(df: DataFrame, name: str, row_id: str = "row_id") -> DataFrame:
@@ -40,46 +43,26 @@ def prefix_pairs(names: DataFrame, min_len: int = 6) -> DataFrame:
     return long_.join(short, "short").select("short", "long")
 
 
-def _prefix_block(pdf: pd.DataFrame, min_len: int) -> pd.DataFrame:
-    names = pdf.sort_values("first")["name"].tolist()
-    known, parent = set(names), {n: n for n in names}
-
-    def root(x: str) -> str:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    for n in names:
-        for k in range(min_len, len(n)):
-            if n[:k] in known:
-                parent[root(n[:k])] = root(n)
-    groups: dict[str, list[str]] = {}
-    for n in names:
-        groups.setdefault(root(n), []).append(n)
-    out = []
-    for members in groups.values():
-        bare = {m: m.replace(" ", "") for m in members}
-        chains = lambda a, b, bare=bare: bare[a].startswith(bare[b]) or bare[b].startswith(bare[a])
-        top = [m for m in members if not any(len(o) > len(m) and chains(m, o) for o in members)]
-        for m in members:
-            near = [t for t in top if chains(m, t)]
-            out.append((m, m if m in top or len(near) != 1 else near[0]))
-    return pd.DataFrame(out, columns=["name", "canonical"])
-
-
 def prefix_mapping(names: DataFrame, min_len: int = 6) -> DataFrame:
     """Truncated names go to their full form if exactly one maximal name of their component continues them.
 
-    Every prefix pair shares its first ``min_len`` characters, so components lie within such blocks; names that no pair
-    touches keep themselves without entering one.
+    Two known prefixes of one name are prefixes of each other, so a component is what shares its shortest known prefix:
+    its root. A name continues another of its component if one of the two, without blanks, begins the other; a maximal
+    name continues none longer than itself. All of it are equal-key joins over distinct names and their prefixes.
     """
-    pairs = prefix_pairs(names, min_len)
-    touched = pairs.select(F.col("short").alias("name")).union(pairs.select(F.col("long").alias("name"))).distinct()
-    rows = names.join(touched, "name", "left_semi").withColumn("block", F.left("name", F.lit(min_len)))
-    merged = rows.groupBy("block").applyInPandas(lambda pdf: _prefix_block(pdf, min_len), MAPPING)
-    alone = names.join(touched, "name", "left_anti").select("name", F.col("name").alias("canonical"))
-    return alone.union(merged)
+    one = names.select("name").distinct()
+    roots = prefix_pairs(one, min_len).groupBy(F.col("long").alias("name")).agg(F.min_by("short", F.char_length("short")).alias("root"))
+    touched = roots.unionByName(roots.select(F.col("root").alias("name"), "root").distinct())
+    members = cut(touched.select("name", "root", F.replace("name", F.lit(" "), F.lit("")).alias("bare"), F.char_length("name").alias("size")))
+    beginnings = F.transform(F.sequence(F.lit(1), F.char_length("bare")), lambda k: F.substring("bare", F.lit(1), k))
+    begun = members.select("root", F.col("name").alias("y"), F.col("size").alias("y_size"), F.explode(beginnings).alias("bare"))
+    met = begun.join(members.select("root", "bare", F.col("name").alias("x"), F.col("size").alias("x_size")), ["root", "bare"]).filter("x <> y")
+    chains = met.select(F.col("x").alias("name"), F.col("x_size").alias("size"), F.col("y").alias("other"), F.col("y_size").alias("other_size"))
+    chains = cut(chains.unionByName(met.select(F.col("y").alias("name"), F.col("y_size").alias("size"), F.col("x").alias("other"), F.col("x_size").alias("other_size"))).distinct())
+    continued = cut(chains.filter("other_size > size").select("name").distinct())
+    ends = chains.join(continued.select(F.col("name").alias("other")), "other", "left_anti").join(continued, "name", "left_semi")
+    single = ends.groupBy("name").agg(F.count("*").alias("n"), F.min("other").alias("full")).filter("n = 1").select("name", "full")
+    return one.join(single, "name", "left").select("name", F.coalesce("full", "name").alias("canonical"))
 
 
 def conflict(a: str, b: str) -> bool:
@@ -121,18 +104,25 @@ def _clustered(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
 def candidate_pairs(names: DataFrame, threshold: float) -> DataFrame:
     """(key, a, b) with a ratio of at least ``threshold``, blocked without loss.
 
-    Names conflict, and so never meet, unless their first tokens are prefixes of one another: blocks are the first
-    letter, and names of titles alone go to every block. A ratio of T needs lengths within T / (200 - T) of each other.
+    Names conflict, and so never meet, unless their first tokens are prefixes of one another: a name is looked for under
+    each prefix of its token that is some name's token (names of titles alone have the empty one). A ratio of T needs
+    lengths within T / (200 - T) of each other: a name is looked for in its class of length and the two beside it. What
+    is left must be within the edit distance that the ratio allows, which Spark tests; only that reaches the exact ratio.
     """
-    rows = names.withColumns({"words": token_sorted("name"), "token": first_name_token("name")}).withColumn("len", F.char_length("words"))
-    letters = rows.filter("token <> ''").select("key", F.left("token", F.lit(1)).alias("block")).distinct()
-    titled = rows.filter("token = ''").join(letters, "key").unionByName(rows.filter("token = ''").withColumn("block", F.lit("")))
-    blocked = rows.filter("token <> ''").withColumn("block", F.left("token", F.lit(1))).unionByName(titled)
     low = threshold / (200.0 - threshold)
-    a = blocked.select("key", "block", *[F.col(x).alias(f"a_{x}") for x in ("name", "words", "token", "len")])
-    b = blocked.select("key", "block", *[F.col(x).alias(f"b_{x}") for x in ("name", "words", "token", "len")])
-    near = a.join(b, ["key", "block"]).filter((F.col("a_name") < F.col("b_name")) & (F.least("a_len", "b_len") >= F.greatest("a_len", "b_len") * low) & (F.startswith("a_token", "b_token") | F.startswith("b_token", "a_token")))
-    return near.filter(sorted_ratio("a_words", "b_words") >= threshold).select("key", F.col("a_name").alias("a"), F.col("b_name").alias("b")).distinct()
+    words = token_sorted("name")
+    rows = names.select("key", "name").distinct().withColumns({"words": words, "token": first_name_token("name")}).withColumn("len", F.char_length("words"))
+    rows = cut(rows.withColumn("band", F.floor(F.log(F.greatest("len", F.lit(1)).cast("double")) / F.lit(-math.log(low) * 1.0001)).cast("int")))
+    b = rows.select("key", F.col("name").alias("b_name"), F.col("words").alias("b_words"), F.col("token").alias("b_token"), F.col("len").alias("b_len"), "band")
+    prefixes = F.transform(F.sequence(F.lit(0), F.char_length("b_token")), lambda k: F.substring("b_token", F.lit(1), k))
+    b = b.withColumn("token", F.explode(prefixes)).withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
+    a = rows.select("key", F.col("name").alias("a_name"), F.col("words").alias("a_words"), "token", F.col("len").alias("a_len"), "band")
+    met = a.join(b, ["key", "token", "band"]).filter((F.col("token") != F.col("b_token")) | (F.col("a_name") < F.col("b_name")))
+    met = met.filter(F.least("a_len", "b_len") >= F.greatest("a_len", "b_len") * low - 1e-9)
+    # a ratio of T leaves (1 - T) of both lengths to insert and delete; no edit distance is longer than that
+    most = f"CAST(floor((a_len + b_len) * {(100.0 - threshold) / 100.0} + 1e-6) AS INT)"
+    near = met.filter(F.expr(f"levenshtein(a_words, b_words) <= {most}"))
+    return near.filter(sorted_ratio("a_words", "b_words") >= threshold).select("key", F.col("a_name").alias("a"), F.col("b_name").alias("b"))
 
 
 def _components(pairs: DataFrame) -> DataFrame:
@@ -160,23 +150,44 @@ def fuzzy_mapping(names: DataFrame, threshold: float = 90.0) -> DataFrame:
     return alone.union(merged)
 
 
-def resolve_recipients(df: DataFrame, name: str = "Recipient_Name", upi: str = "UPI_ID", row_id: str = "row_id", threshold: float = 90.0, most_names: int = 5, upi_threshold: float = 55.0) -> DataFrame:
-    """``df`` plus ``Recipient_Canonical``.
+def _payees(df: DataFrame, name: str, upi: str) -> DataFrame:
+    """``df`` plus ``__name``, the normalised name, and ``__upi``, the payment id or an empty text."""
+    return df.withColumns({"__name": basic_name(name), "__upi": F.coalesce(F.lower(F.trim(upi)), F.lit(""))})
 
-    Names are normalised; fixed labels keep themselves. Rows of a payment id with 2 to ``most_names`` names are
-    clustered within it at ``upi_threshold``; all other names together at ``threshold``.
-    """
-    rows = cut(df.withColumns({"__name": basic_name(name), "__upi": F.nullif(F.lower(F.trim(upi)), F.lit(""))}))
-    real = rows.filter(~F.col("__name").isin(P.SENTINELS))
-    shared = real.filter("__upi IS NOT NULL").groupBy("__upi", "__name").agg(F.count("*").alias("n"), F.min(row_id).alias("first"))
+
+def _resolved(pairs: DataFrame, threshold: float, most_names: int, upi_threshold: float) -> DataFrame:
+    """(__upi, __name, n, first, canonical) of distinct pairs (__upi, __name, n, first)."""
+    real = pairs.filter(~F.col("__name").isin(P.SENTINELS))
+    shared = real.filter("__upi <> ''")
     small = shared.groupBy("__upi").agg(F.count("*").alias("names")).filter(F.col("names") <= most_names).select("__upi")
     first = fuzzy_mapping(shared.join(small, "__upi").select(F.col("__upi").alias("key"), F.col("__name").alias("name"), "n", "first"), upi_threshold)
-    first = first.select(F.col("key").alias("__upi"), F.col("name").alias("__name"), F.col("canonical").alias("__c1"))
-    rows = rows.join(first, ["__upi", "__name"], "left")
-    rest = rows.filter(F.col("__c1").isNull() & ~F.col("__name").isin(P.SENTINELS)).groupBy(F.col("__name").alias("name")).agg(F.count("*").alias("n"), F.min(row_id).alias("first")).withColumn("key", F.lit(""))
+    first = cut(first.select(F.col("key").alias("__upi"), F.col("name").alias("__name"), F.col("canonical").alias("__c1")))
+    rest = real.join(first, ["__upi", "__name"], "left_anti").groupBy(F.col("__name").alias("name")).agg(F.sum("n").alias("n"), F.min("first").alias("first")).withColumn("key", F.lit(""))
     second = fuzzy_mapping(rest, threshold).select(F.col("name").alias("__name"), F.col("canonical").alias("__c2"))
-    rows = rows.join(second, "__name", "left")
-    return rows.withColumn("Recipient_Canonical", F.coalesce("__c1", F.when(~F.col("__name").isin(P.SENTINELS), F.col("__c2")), "__name")).drop("__name", "__upi", "__c1", "__c2")
+    rows = pairs.join(first, ["__upi", "__name"], "left").join(second, "__name", "left")
+    return rows.select("__upi", "__name", "n", "first", F.coalesce("__c1", F.when(~F.col("__name").isin(P.SENTINELS), F.col("__c2")), "__name").alias("canonical"))
+
+
+def canonicalize(df: DataFrame, name: str = "Recipient_Name", upi: str = "UPI_ID", row_id: str = "row_id", threshold: float = 90.0, most_names: int = 5, upi_threshold: float = 55.0, merge: bool = True, whitespace: bool = True) -> DataFrame:
+    """``df`` plus ``Recipient_Canonical``: names resolved, then (``merge``) white-space variants (``whitespace``) and
+    prefix chains merged.
+
+    Names are normalised; fixed labels keep themselves. Rows of a payment id with 2 to ``most_names`` names are
+    clustered within it at ``upi_threshold``; all other names together at ``threshold``. Everything works on the distinct
+    pairs of payment id and name; the table itself is read for those and joined once.
+    """
+    rows = _payees(df, name, upi)
+    pairs = cut(rows.groupBy("__upi", "__name").agg(F.count("*").alias("n"), F.min(row_id).alias("first")))
+    found = cut(_resolved(pairs, threshold, most_names, upi_threshold))
+    for mapping in ([whitespace_mapping] if whitespace else []) + [prefix_mapping] if merge else []:
+        counts = found.groupBy(F.col("canonical").alias("name")).agg(F.sum("n").alias("n"), F.min("first").alias("first"))
+        found = cut(apply_mapping(found, mapping(cut(counts)), "canonical"))
+    return rows.join(found.select("__upi", "__name", F.col("canonical").alias("Recipient_Canonical")), ["__upi", "__name"], "left").drop("__upi", "__name")
+
+
+def resolve_recipients(df: DataFrame, name: str = "Recipient_Name", upi: str = "UPI_ID", row_id: str = "row_id", threshold: float = 90.0, most_names: int = 5, upi_threshold: float = 55.0) -> DataFrame:
+    """``canonicalize`` without merges."""
+    return canonicalize(df, name, upi, row_id, threshold, most_names, upi_threshold, merge=False)
 
 
 def apply_mapping(df: DataFrame, mapping: DataFrame, name: str) -> DataFrame:
@@ -186,14 +197,13 @@ def apply_mapping(df: DataFrame, mapping: DataFrame, name: str) -> DataFrame:
 
 
 def merge_names(df: DataFrame, name: str = "Recipient_Canonical", row_id: str = "row_id", whitespace: bool = True) -> DataFrame:
-    """White-space variants, then prefix chains."""
-    df = cut(df)
+    """White-space variants, then prefix chains, of a column of names. Only counts of distinct names are written."""
     counts = cut(name_counts(df, name, row_id))
-    if whitespace:
-        mapping = cut(whitespace_mapping(counts))
-        df = apply_mapping(df, mapping, name)
-        counts = cut(apply_mapping(counts, mapping, "name").groupBy("name").agg(F.sum("n").alias("n"), F.min("first").alias("first")))
-    return apply_mapping(df, cut(prefix_mapping(counts)), name)
+    found = counts.select("name", F.col("name").alias("canonical"), "n", "first")
+    for mapping in ([whitespace_mapping] if whitespace else []) + [prefix_mapping]:
+        counts = found.groupBy(F.col("canonical").alias("name")).agg(F.sum("n").alias("n"), F.min("first").alias("first"))
+        found = cut(apply_mapping(found, mapping(cut(counts)), "canonical"))
+    return apply_mapping(df, found.select("name", "canonical"), name)
 
 
 def variants(df: DataFrame, name: str, canonical: str) -> DataFrame:
@@ -203,9 +213,26 @@ def variants(df: DataFrame, name: str, canonical: str) -> DataFrame:
 
 def knowledge_base_match(df: DataFrame, kb: DataFrame, name: str) -> DataFrame:
     """``df`` plus ``kb_name`` from (alias, canonical, position): an equal alias, else the first that contains the name
-    or stands in it, else the name in upper case. Distinct names meet the table once."""
-    one = df.select(F.upper(F.trim(name)).alias("k")).filter("k <> ''").distinct()
-    alias = kb.select(F.upper("alias").alias("alias"), "canonical", "position")
-    met = one.join(alias, (F.col("k") == F.col("alias")) | F.contains("k", "alias") | F.contains("alias", F.col("k")), "inner")
-    best = met.groupBy("k").agg(F.min_by("canonical", F.struct((F.col("k") != F.col("alias")).alias("x"), F.col("position").alias("p"))).alias("found"))
+    or stands in it, else the name in upper case.
+
+    Distinct names meet the table once: equal ones by key, the others in a nested loop over a table of at most
+    ``KB_BROADCAST`` aliases, beyond that by their substrings of lengths that occur on the other side.
+    """
+    one = cut(df.select(F.upper(F.trim(name)).alias("k")).filter("k <> ''").distinct())
+    alias = kb.select(F.upper("alias").alias("alias"), "canonical", "position").filter("alias IS NOT NULL")
+    equal = one.join(alias, F.col("k") == F.col("alias")).groupBy("k").agg(F.min_by("canonical", "position").alias("found"))
+    rest = one.join(equal, "k", "left_anti")
+    if alias.limit(KB_BROADCAST + 1).count() <= KB_BROADCAST:
+        part = rest.join(F.broadcast(alias), F.contains("k", "alias") | F.contains("alias", F.col("k")))
+    else:
+        part = _within(rest, "k", alias, "alias").unionByName(_within(alias, "alias", rest, "k").select("k", "alias", "canonical", "position"))
+    best = equal.unionByName(part.groupBy("k").agg(F.min_by("canonical", "position").alias("found")))
     return df.withColumn("__k", F.upper(F.trim(name))).join(best, F.col("__k") == F.col("k"), "left").withColumn("kb_name", F.coalesce("found", "__k")).drop("__k", "k", "found")
+
+
+def _within(longer: DataFrame, text: str, shorter: DataFrame, part: str) -> DataFrame:
+    """Rows of ``longer`` joined with those of ``shorter`` whose ``part`` stands in ``text``, by equal substrings."""
+    sizes = [r["n"] for r in shorter.select(F.char_length(part).alias("n")).distinct().collect() if r["n"]]  # as many as names have lengths
+    at = lambda n: F.transform(F.when(F.char_length(text) >= n, F.sequence(F.lit(1), F.char_length(text) - n + 1)).otherwise(F.array().cast("array<int>")), lambda i: F.substring(text, i, F.lit(n)))
+    pieces = F.array_distinct(F.flatten(F.array(*[at(n) for n in sizes]))) if sizes else F.array().cast("array<string>")
+    return longer.withColumn("__piece", F.explode(pieces)).join(shorter, F.col("__piece") == F.col(part)).drop("__piece")

@@ -11,7 +11,7 @@ from ..functions import patterns as P
 from ..functions.narration import FIELDS, extract_details
 from ..functions.text import clean_recipient, parse_date, redact_cif, safe_value, sanitize_number
 from ..operators.dedup import first_wins, signed_by_balance
-from ..operators.resolve import merge_names, resolve_recipients
+from ..operators.resolve import canonicalize
 from ..sources.files import as_columns, letterhead, locate_tables, read_cells
 
 #: One more spelling that statements use; the base list lacks it.
@@ -28,17 +28,18 @@ def rename_columns(df: DataFrame) -> DataFrame:
     return df.withColumnsRenamed({x: n for x in df.columns if (n := header_name(x)) and n != x})
 
 
-def load_statements(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(rows, one letterhead row a file). Rows: file, row_id and the columns that a header names, as strings."""
-    cells = read_cells(spark, paths)
+def load_statements(spark: SparkSession, paths: list[str], password: str | None = None, readers: dict | None = None, any_kind: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(rows, one letterhead row a file). Rows: file, row_id (unique over all files, in order) and the columns that a
+    header names, as strings. Files without a row give none. ``password``, ``readers``, ``any_kind``: see ``read_cells``."""
+    cells = read_cells(spark, paths, password, readers, any_kind)
     rows = as_columns(locate_tables(cells))
     names = sorted(set(P.HEADER_ALIASES) | set(EXTRA_ALIASES))
     lower = F.map_from_entries(F.transform(F.map_entries("fields"), lambda e: F.struct(F.regexp_replace(F.lower(F.trim(e["key"])), r"\s+", " ").alias("key"), e["value"].alias("value"))))
     targets: dict[str, list] = {}
     for n in names:
         targets.setdefault(header_name(n), []).append(F.try_element_at("__f", F.lit(n)))
-    out = rows.withColumn("__f", lower).select("file", F.struct("file", "row_id").alias("__o"), "row_id", *[F.coalesce(*v).alias(k) for k, v in targets.items()])
-    return out.drop("__o"), letterhead(cells)
+    out = rows.withColumn("__f", lower).select("file", "row_id", *[F.coalesce(*v).alias(k) for k, v in targets.items()])
+    return out, letterhead(cells)
 
 
 def normalize_statements(raw: DataFrame, account: list[str] = ("file",), row_id: str = "row_id", resolve: bool = True) -> DataFrame:
@@ -62,7 +63,7 @@ def normalize_statements(raw: DataFrame, account: list[str] = ("file",), row_id:
     df = signed_by_balance(df, list(account), row_id)
     df = df.withColumn("Recipient_Name", clean_recipient("Recipient_Name"))
     if resolve:
-        df = merge_names(resolve_recipients(df, row_id=row_id), row_id=row_id)
+        df = canonicalize(df, row_id=row_id)
     for x in FIELDS:
         df = df.withColumn(x, safe_value(F.col(f"`{x}`")))
     columns = [x for x in P.STATEMENT_COLUMNS if x in df.columns]

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import csv
+import io
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -43,35 +48,91 @@ def append_messages(df: DataFrame, path: str) -> None:
     df.select(*RAW_MESSAGES).write.mode("append").parquet(path)
 
 
-def kind_of(path: str) -> str:
-    """csv, workbook, legacy (needs a plug-in) of a file name; others are refused."""
+KINDS = {"csv": ("csv", "txt"), "workbook": ("xlsx", "xlsm"), "legacy": ("xls", "xlsb")}
+_ZIP, _OLE = b"PK\x03\x04", b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1"
+#: A reader of a kind: (content, password) -> rows of cells.
+Reader = Callable[[bytes, str | None], Iterator[list[str | None]]]
+
+
+def kind_of(path: str, any_kind: bool = False) -> str:
+    """csv, workbook or legacy of a file name; others are refused, or "unknown" with ``any_kind``."""
     ext = path.rsplit(".", 1)[-1].lower() if "." in path.rsplit("/", 1)[-1] else ""
-    for kind, names in (("csv", ("csv", "txt")), ("workbook", ("xlsx", "xlsm")), ("legacy", ("xls", "xlsb"))):
+    for kind, names in KINDS.items():
         if ext in names:
             return kind
+    if any_kind:
+        return "unknown"
     raise UnsupportedFile(f"unsupported file type: {path}")
 
 
-def read_cells(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(file, row_no, cells array<string>) of CSV and workbook files, as they stand."""
-    parts = []
-    csvs = [p for p in paths if kind_of(p) == "csv"]
-    books = [p for p in paths if kind_of(p) == "workbook"]
-    if any(kind_of(p) == "legacy" for p in paths):
-        raise UnsupportedFile("legacy workbooks need a reader plug-in")
-    if csvs:
-        text = spark.read.format("binaryFile").load(csvs).select(F.col("path").alias("file"), F.decode("content", "UTF-8").alias("t"))
-        rows = text.select("file", F.posexplode(F.split("t", r"\r?\n(?=(?:[^\"]*\"[^\"]*\")*[^\"]*\z)")).alias("row_no", "line"))
-        cells = F.transform(F.split("line", r",(?=(?:[^\"]*\"[^\"]*\")*[^\"]*$)"), lambda x: F.replace(F.regexp_replace(F.trim(x), '^"(.*)"$', "$1"), F.lit('""'), F.lit('"')))
-        parts.append(rows.select("file", "row_no", cells.alias("cells")))
-    if books:
-        from .workbook import read_workbooks
-
-        parts.append(read_workbooks(spark, books))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+def parse_csv(content: bytes) -> Iterator[list[str | None]]:
+    """Rows of a CSV file in one pass: quoted cells may hold commas, quotes and line ends; a blank line is an empty row."""
+    try:
+        text = content.decode("utf-8-sig")
+    except UnicodeDecodeError:
+        text = content.decode("latin-1")
+    csv.field_size_limit(1 << 30)
+    for row in csv.reader(io.StringIO(text, newline="")):
+        yield [x.strip() for x in row]
+
+
+def parse_cells(path: str, content: bytes, password: str | None = None, readers: dict[str, Reader] | None = None) -> Iterator[list[str | None]]:
+    """Rows of a file by its kind; an unknown kind is a CSV file if it reads as one, else a workbook. ``readers``: plug-ins
+    for "legacy" (.xls, .xlsb) and "encrypted" (a protected workbook, given the password)."""
+    from .workbook import parse_workbook
+
+    readers = readers or {}
+    kind = kind_of(path, any_kind=True)
+    if kind == "unknown":
+        kind = "workbook" if content.startswith((_ZIP, _OLE)) else "csv"
+    if kind == "csv":
+        return parse_csv(content)
+    if kind == "legacy":
+        if "legacy" not in readers:
+            raise UnsupportedFile(f"legacy workbooks need a reader: {path}")
+        return readers["legacy"](content, password)
+    if content.startswith(_OLE):
+        if not password:
+            raise MissingPassword(f"the workbook is encrypted or of the legacy kind: {path}")
+        if "encrypted" not in readers:
+            raise UnsupportedFile(f"encrypted workbooks need a reader: {path}")
+        return readers["encrypted"](content, password)
+    if not content.startswith(_ZIP):
+        raise UnsupportedFile(f"not a workbook: {path}")
+    return parse_workbook(content)
+
+
+def read_cells(spark: SparkSession, paths: list[str], password: str | None = None, readers: dict[str, Reader] | None = None, any_kind: bool = False) -> DataFrame:
+    """(file, row_no, cells array<string>) of CSV and workbook files, as they stand. Spark lists and reads the files; each
+    is parsed in one pass by one task, in batches of bounded count. Kinds without a reader are refused before any is
+    read, unknown ones unless ``any_kind``."""
+    for p in paths:
+        if kind_of(p, any_kind) == "legacy" and "legacy" not in (readers or {}):
+            raise UnsupportedFile(f"legacy workbooks need a reader: {p}")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def batch(path: str, first: int, rows: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([path] * len(rows), pa.string()), pa.array(range(first, first + len(rows)), pa.int32()), pa.array(rows, pa.list_(pa.string()))], names=["file", "row_no", "cells"])
+
+        for b in batches:
+            for path, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                first, rows = 0, []
+                for row in parse_cells(path, content, password, readers):
+                    rows.append(row)
+                    if len(rows) == 10_000:
+                        yield batch(path, first, rows)
+                        first, rows = first + len(rows), []
+                if rows:
+                    yield batch(path, first, rows)
+
+    return spark.read.format("binaryFile").load(paths).select("path", "content").mapInArrow(run, "file string, row_no int, cells array<string>")
+
+
+def numbered(rows: DataFrame) -> DataFrame:
+    """``rows`` (file, row_no, ...) plus ``row_id``: unique over all files, in order of file and row. The files, not their
+    rows, are put in one order."""
+    rank = rows.select("file").distinct().select("file", F.row_number().over(Window.orderBy("file")).alias("__f"))
+    return rows.join(rank, "file").withColumn("row_id", F.col("__f").cast("long") * (1 << 32) + F.col("row_no")).drop("__f")
 
 
 def _blank(cells: Column) -> Column:
@@ -89,21 +150,34 @@ def locate_tables(cells: DataFrame) -> DataFrame:
     return rows.join(ends, "file").filter("row_no > start AND (end IS NULL OR row_no < end)").select("file", "row_no", "header", "cells")
 
 
+#: Labels of a letterhead and what each names; the last of several counts.
+LABELS = {"account holder": "holder", "account name": "holder", "name": "holder", "account number": "account", "account no": "account", "nominee name": "nominee", "statement from": "period"}
+
+
 def letterhead(cells: DataFrame, labels: dict[str, str] | None = None) -> DataFrame:
-    """(file, holder, account_masked): labels before the header; the last of several counts; numbers are masked here."""
+    """(file, holder, account_masked, nominee, period) of the labelled cells before the header; without a holder's label,
+    the name that stands before an e-mail address. Numbers are masked here; addresses, CIF, MICR, IFSC and telephone
+    numbers are never given out."""
     from ..functions.text import mask_identifier
 
-    labels = labels or {"account holder": "holder", "account name": "holder", "name": "holder", "account number": "account", "account no": "account"}
+    labels = labels or LABELS
     lower = F.transform("cells", lambda x: F.lower(F.trim(F.coalesce(x, F.lit("")))))
     starts = cells.groupBy("file").agg(F.coalesce(F.min(F.when((F.col("row_no") < HEAD) & F.array_contains(lower, "date") & F.array_contains(lower, "balance"), F.col("row_no"))), F.lit(0)).alias("start"))
-    lines = cells.join(starts, "file").filter("row_no < start").select("file", "row_no", F.posexplode("cells").alias("at", "cell"))
+    above = cells.join(starts, "file").filter("row_no < start")
+    lines = above.select("file", "row_no", F.posexplode("cells").alias("at", "cell"))
     pairs = lines.select("file", "row_no", "at", F.posexplode(F.split("cell", "\n")).alias("line_no", "line")).select("file", F.struct("row_no", "at", "line_no").alias("pos"), F.lower(F.trim(F.regexp_extract("line", r"^([^:]+):", 1))).alias("label"), F.trim(F.regexp_extract("line", r"^[^:]+:(.*)$", 1)).alias("value"))
-    of = lambda kind: F.col("label").isin([k for k, v in labels.items() if v == kind]) & (F.col("value") != "")
-    found = pairs.groupBy("file").agg(F.max_by(F.when(of("holder"), F.col("value")), F.when(of("holder"), F.col("pos"))).alias("holder"), F.max_by(F.when(of("account"), F.col("value")), F.when(of("account"), F.col("pos"))).alias("account"))
-    return cells.select("file").distinct().join(found, "file", "left").select("file", "holder", mask_identifier("account").alias("account_masked"))
+    of = lambda kind: F.col("label").isin([k for k, v in labels.items() if v == kind] or [""]) & (F.col("value") != "")
+    found = pairs.groupBy("file").agg(*[F.max_by(F.when(of(kind), F.col("value")), F.when(of(kind), F.col("pos"))).alias(kind) for kind in ("holder", "account", "nominee", "period")])
+    text = F.array_join(F.filter("cells", lambda x: F.coalesce(x, F.lit("")) != ""), " ")
+    named = above.select("file", "row_no", text.alias("t")).filter(F.col("t").rlike(r"[\w.\-]+@[\w.\-]+"))
+    name = F.nullif(F.trim(F.regexp_extract("t", r"^\s*(?:(?:Mr|Mrs|Ms)\.)?\s*([A-Za-z .]+)", 1)), F.lit(""))
+    named = named.groupBy("file").agg(F.min_by(name, "row_no").alias("addressee"))
+    rows = cells.select("file").distinct().join(found, "file", "left").join(named, "file", "left")
+    return rows.select("file", F.coalesce("holder", "addressee").alias("holder"), mask_identifier("account").alias("account_masked"), "nominee", "period")
 
 
 def as_columns(table: DataFrame) -> DataFrame:
-    """A located table as (file, row_id, fields map<header, cell>); rows of all files in order of file and row."""
-    w = Window.partitionBy("file").orderBy("row_no")
-    return table.select("file", F.row_number().over(w).alias("file_row"), F.col("row_no").cast("long").alias("row_id"), F.map_from_entries(F.filter(F.arrays_zip(F.transform("header", lambda x: F.trim(F.coalesce(x, F.lit("")))), F.slice("cells", F.lit(1), F.size("header"))).cast("array<struct<key:string,value:string>>"), lambda e: e["key"] != "")).alias("fields"))
+    """A located table as (file, row_id, fields map<header, cell>); ``row_id`` as ``numbered`` gives it."""
+    pairs = F.arrays_zip(F.transform("header", lambda x: F.trim(F.coalesce(x, F.lit("")))), F.slice("cells", F.lit(1), F.size("header"))).cast("array<struct<key:string,value:string>>")
+    fields = F.map_from_entries(F.filter(pairs, lambda e: e["key"] != ""))
+    return numbered(table).select("file", "row_id", fields.alias("fields"))

@@ -1,4 +1,4 @@
-"""Workbooks (.xlsx, .xlsm) as a source of raw cells: zip and XML only, a file a task, first sheet."""
+"""Workbooks (.xlsx, .xlsm) as rows of raw cells: zip and XML only, first sheet."""
 
 from __future__ import annotations
 
@@ -9,9 +9,6 @@ from collections.abc import Iterator
 from datetime import datetime, timedelta
 from xml.etree import ElementTree
 
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
-
 _N = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _DATE_FORMATS = {14, 15, 16, 17, 22}
 
@@ -25,10 +22,6 @@ def _column(ref: str) -> int:
 
 def parse_workbook(content: bytes) -> Iterator[list[str | None]]:
     """Rows of the first sheet as text; dates as dd/MM/yyyy; absent rows as empty ones."""
-    if content[:8] == b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1":
-        from .files import MissingPassword
-
-        raise MissingPassword("the workbook is encrypted or of the legacy kind")
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         names = set(z.namelist())
         shared = ["".join(t.text or "" for t in si.iter(f"{_N}t")) for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml"))] if "xl/sharedStrings.xml" in names else []
@@ -64,15 +57,3 @@ def parse_workbook(content: bytes) -> Iterator[list[str | None]]:
                             out[at] = v.text
                 yield out
                 row.clear()
-
-
-def read_workbooks(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(file, row_no, cells). Spark lists and reads the files; a workbook is small by its format and one row."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for path, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                rows = list(parse_workbook(content))
-                yield pa.RecordBatch.from_arrays([pa.array([path] * len(rows), pa.string()), pa.array(range(len(rows)), pa.int32()), pa.array(rows, pa.list_(pa.string()))], names=["file", "row_no", "cells"])
-
-    return spark.read.format("binaryFile").load(paths).select("path", "content").mapInArrow(run, "file string, row_no int, cells array<string>")

@@ -98,6 +98,68 @@ def test_prefix_and_whitespace_are_idempotent(spark):
         assert set(once) == set(names) and all(once[once[n]] == once[n] for n in names)
 
 
+def prefix_merge_by_force(names, least=6):
+    """Components over prefixes of ``least`` characters or more by repeated union; one maximal continuation merges."""
+    group = {n: {n} for n in names}
+    for a in names:
+        for b in names:
+            if a != b and len(a) >= least and b.startswith(a):
+                both = group[a] | group[b]
+                for n in both:
+                    group[n] = both
+    out = {}
+    for n in names:
+        bare = lambda x: x.replace(" ", "")
+        near = lambda x, y: bare(x).startswith(bare(y)) or bare(y).startswith(bare(x))
+        full = [m for m in group[n] if not any(len(o) > len(m) and near(m, o) for o in group[n])]
+        to = [m for m in full if near(n, m)]
+        out[n] = n if n in full or len(to) != 1 else to[0]
+    return out
+
+
+def test_prefix_mapping_against_all_pairs(spark):
+    import random
+
+    r = random.Random(3)
+    names = {"TRADER A", "TRADER A AND", "TRADER A AND SONS", "TRADERAAND", "TRADER B", "TRADER", "SHORT", "SHORT ", "MERIDA", "MERIDA S", "MERID AS"}
+    for _ in range(150):
+        base = r.choice(["ABCDEF", "ABCDEFGH", "TRADER A", "QRSTUVW XY"])
+        names.add(base + "".join(r.choice("AB ") for _ in range(r.randrange(6))))
+    names = sorted(n for n in names if n.strip())
+    df = spark.createDataFrame([(n, 1, i) for i, n in enumerate(names)], "name string, n int, first int")
+    assert {x.name: x.canonical for x in RES.prefix_mapping(df).collect()} == prefix_merge_by_force(names)
+
+
+def test_candidate_pairs_lose_none(spark):
+    import random
+
+    from tallyloom.functions.similarity import ratio
+
+    r = random.Random(4)
+    words = ["ALDA", "ALD", "BREV", "BREVE", "CORIN", "COR", "VELL", "MR", "DR", "SHRI", "A"]
+    names = sorted({" ".join(r.choices(words, k=r.choice([1, 2, 3]))) + r.choice(["", "X", "E"]) for _ in range(120)})
+    df = spark.createDataFrame([(k, n) for k in ("u", "v") for n in names], "key string, name string")
+    token = {x.name: x.t for x in df.select("name", RES.first_name_token(F.col("name")).alias("t")).collect()}
+    for threshold in (55.0, 90.0):
+        got = {(x.key, *sorted((x.a, x.b))) for x in RES.candidate_pairs(df, threshold).collect()}
+        want = set()
+        for i, a in enumerate(names):
+            for b in names[i + 1 :]:
+                x, y = token[a], token[b]
+                if (x.startswith(y) or y.startswith(x)) and ratio(" ".join(sorted(a.split())), " ".join(sorted(b.split()))) >= threshold:
+                    want |= {("u", a, b), ("v", a, b)}
+        assert got == want
+
+
+def test_knowledge_base_of_any_size(spark, monkeypatch):
+    df = spark.createDataFrame([(i, n) for i, n in enumerate(["big shop", "shop", " SHO ", "other", None, "", "BIG", "x"])], "i int, n string")
+    kb = spark.createDataFrame([("Shop", "S", 3), ("big s", "B", 1), ("my other one", "O", 2), (None, "N", 0), ("SHOP", "T", 4)], "alias string, canonical string, position int")
+    want = {0: "B", 1: "S", 2: "S", 3: "O", 4: None, 5: "", 6: "B", 7: "X"}
+    for limit in (1_000, 2):
+        monkeypatch.setattr(RES, "KB_BROADCAST", limit)
+        assert {r.i: r.kb_name for r in RES.knowledge_base_match(df, kb, "n").collect()} == want
+
+
 def test_link_outcomes(spark):
     d = dt.date(2026, 1, 1)
     left = spark.createDataFrame([(1, "R1", d, Decimal(5), "DEBIT", "A", AT), (2, "R2", d, Decimal(7), "DEBIT", "B", AT), (3, None, d, Decimal(9), "DEBIT", " ", AT), (4, None, d, Decimal(7), "CREDIT", "D", AT), (5, None, d, Decimal(11), "DEBIT", "E", AT), (6, "R9", d, Decimal(13), "DEBIT", "F", AT)], "row_id int, ref_norm string, day date, amount decimal(14,2), direction string, recipient_name string, event_time timestamp")
