@@ -164,14 +164,27 @@ def classify(d: Dialect, t: str, s: str, amount: str) -> tuple[str, str, str]:
     return label, sure, why
 
 
+def classified(rows: DataFrame) -> DataFrame:
+    """``rows`` (__t, __s, __amount) plus __label, __sure and __why, as ``classify`` has them. The gates are tried once:
+    the number of the first that is open picks all three."""
+    rules = gates(SPARK, "__t", "__s", "__amount IS NOT NULL")
+    money = f"__amount IS NOT NULL AND __told IS NOT NULL AND {SPARK.rlike('__t', P.CONTEXT, True)}"
+    gate = SPARK.case([(g, str(i)) for i, (g, _, _, _) in enumerate(rules)] + [(money, str(len(rules)))], str(len(rules) + 1))
+    rows = rows.withColumn("__told", F.expr(gate_direction(SPARK, "__t"))).withColumn("__gate", F.expr(gate))
+    pick = lambda values: F.get(F.array(*map(F.lit, values)), F.col("__gate"))
+    sure = F.when(F.col("__gate") == len(rules), F.expr(confidence(SPARK, "__t", "__amount", "__told"))).otherwise(pick([*[k for _, _, k, _ in rules], 0.0, 0.25]))
+    return rows.withColumns({
+        "__label": pick([*[x for _, x, _, _ in rules], "FINANCIAL_TRANSACTION", "UNKNOWN"]), "__sure": sure,
+        "__why": pick([*[r for _, _, _, r in rules], "Amount, direction and context", "Too little evidence"]),
+    })
+
+
 def parse_messages(df: DataFrame, body: str = "body", sender: str = "sender") -> DataFrame:
     """``df`` plus the columns of PARSED, each null unless the message is a financial transaction (label, confidence
     and reason always are set). One projection after another, no shuffle."""
     t, s = F.col("__t"), F.col("__s")
-    label, sure, why = classify(SPARK, "__t", "__s", "__amount")
     rows = df.withColumns({"__t": normalize_text(body), "__s": F.upper(normalize_text(sender)), "__raw_sender": F.coalesce(c(sender), F.lit(""))})
-    rows = rows.withColumn("__amount", transaction_amount("__t"))
-    rows = rows.withColumns({"__label": F.expr(label), "__sure": F.expr(sure), "__why": F.expr(why)})
+    rows = classified(rows.withColumn("__amount", transaction_amount("__t")))
     telecom = has(t, P.TELECOM) & ~F.contains(F.lower(t), F.lit("debited"))
     direction = (
         F.when(telecom, "DEBIT").when(F.contains(F.lower(t), F.lit("credited")), "CREDIT").when(F.contains(F.lower(t), F.lit("debited")), "DEBIT")

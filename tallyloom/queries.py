@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import narration as N
@@ -144,9 +144,8 @@ _LABEL, _SURE, _ = S.classify(CHECK, "body", "upper(sender)", _FIRST)
 
 @query(f"SELECT o_orderkey, {_LABEL} AS label, round({_SURE}, 6) AS confidence FROM {_MESSAGES}")
 def sms_classify(spark, d):
-    rows = messages(spark, d).withColumns({"t": T.normalize_text("body"), "s": F.upper("sender")}).withColumn("a", S.transaction_amount("t"))
-    label, sure, _ = S.classify(SPARK, "t", "s", "a")
-    return rows.select("o_orderkey", F.expr(label).alias("label"), F.round(F.expr(sure), 6).alias("confidence"))
+    rows = S.classified(messages(spark, d).withColumns({"__t": T.normalize_text("body"), "__s": F.upper("sender")}).withColumn("__amount", S.transaction_amount("__t")))
+    return rows.select("o_orderkey", F.col("__label").alias("label"), F.round("__sure", 6).alias("confidence"))
 
 
 @query(f"SELECT o_orderkey, {_FIRST} AS amount FROM {_MESSAGES}")
@@ -174,9 +173,12 @@ def sms_class_counts(spark, d):
     return sms_classify(spark, d).groupBy("label").agg(F.count("*").alias("n"))
 
 
-@query(f"SELECT o_orderkey, {_LABEL} AS predicted_label FROM {_MESSAGES} WHERE {_LABEL} = 'UNKNOWN' OR {_SURE} < 0.75")
+@query(f"SELECT o_orderkey, {_LABEL} AS predicted_label, CASE WHEN {_LABEL} = 'UNKNOWN' THEN 'unclassified' ELSE 'needs_review' END AS review_status, '' AS true_label FROM {_MESSAGES} WHERE {_LABEL} = 'UNKNOWN' OR {_SURE} < 0.75")
 def review_queue(spark, d):
-    return sms_classify(spark, d).filter("label = 'UNKNOWN' OR confidence < 0.75").select("o_orderkey", F.col("label").alias("predicted_label"))
+    from .plans.messages import review_queue as queue
+
+    rows = sms_classify(spark, d).select("o_orderkey", F.col("label").alias("classification_label"), F.col("confidence").alias("classification_confidence"))
+    return queue(rows).select("o_orderkey", "predicted_label", "review_status", "true_label")
 
 
 # ---- scalar cleaning -----------------------------------------------------------------------------------------------
@@ -206,9 +208,9 @@ def date_parse(spark, d):
     return table(spark, d, "orders").select("o_orderkey", T.parse_date(fmt).cast("string").alias("day"))
 
 
-@query("SELECT doc_id, length(replace(replace(text, chr(13), ' '), chr(10), ' ')) AS n, substr(regexp_replace(text, '[\\r\\n]+', ' ', 'g'), 1, 300) AS flat FROM documents WHERE text IS NOT NULL")
+@query("SELECT doc_id, length(replace(replace(text, chr(13), ' '), chr(10), ' ')) AS n, substr(regexp_replace(text, '[\\r\\n]+', ' ', 'g'), 1, 300) AS flat FROM documents")
 def body_flatten(spark, d):
-    return table(spark, d, "documents").filter("text IS NOT NULL").select("doc_id", F.char_length("text").cast("long").alias("n"), T.flatten_body("text").alias("flat"))
+    return table(spark, d, "documents").select("doc_id", F.char_length("text").cast("long").alias("n"), T.flatten_body("text").alias("flat"))
 
 
 _CAT, _CSURE = keyword_sql(CHECK, "t")
@@ -272,12 +274,9 @@ def drcr_lag(spark, d):
 
 # ---- linkage -------------------------------------------------------------------------------------------------------
 _LEFT = "SELECT o_orderkey AS left_id, CASE WHEN o_orderkey % 3 = 0 THEN CAST(o_orderkey AS STRING) END AS ref_norm, CAST(o_orderdate AS DATE) AS day, CAST(o_custkey % 7 AS DECIMAL(14, 2)) AS amount, CASE WHEN o_orderkey % 2 = 0 THEN 'DEBIT' ELSE 'CREDIT' END AS direction, CASE WHEN o_orderkey % 5 > 0 THEN 'Payee ' || CAST(o_orderkey % 5 AS STRING) END AS recipient_name FROM orders"
-_RIGHT = "SELECT l_orderkey * 10 + l_linenumber AS right_id, CAST(l_orderkey AS STRING) AS ref_norm, CAST(l_shipdate AS DATE) AS day, CAST(l_suppkey % 7 AS DECIMAL(14, 2)) AS amount, CASE WHEN l_partkey % 2 = 0 THEN 'DEBIT' ELSE 'CREDIT' END AS direction, 'Shop ' || CAST(l_partkey % 9 AS STRING) AS Recipient_Name FROM lineitem WHERE l_linenumber <= 2"
-
-
-#: Every lineitem row with an id of its own (order and line number repeat); the whole tables meet in the queries named ..._all.
+#: Every lineitem row with an id of its own (order and line number repeat).
 _LINES = "SELECT *, (l_orderkey * 10 + l_linenumber) * 1000 + row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_shipdate, l_extendedprice, l_quantity, l_discount, l_tax, l_returnflag, l_linestatus) AS right_id FROM lineitem"
-_RIGHT_ALL = f"SELECT right_id, CAST(l_orderkey AS STRING) AS ref_norm, CAST(l_shipdate AS DATE) AS day, CAST(l_suppkey % 7 AS DECIMAL(14, 2)) AS amount, CASE WHEN l_partkey % 2 = 0 THEN 'DEBIT' ELSE 'CREDIT' END AS direction, 'Shop ' || CAST(l_partkey % 9 AS STRING) AS Recipient_Name FROM ({_LINES})"
+_RIGHT = f"SELECT right_id, CAST(l_orderkey AS STRING) AS ref_norm, CAST(l_shipdate AS DATE) AS day, CAST(l_suppkey % 7 AS DECIMAL(14, 2)) AS amount, CASE WHEN l_partkey % 2 = 0 THEN 'DEBIT' ELSE 'CREDIT' END AS direction, 'Shop ' || CAST(l_partkey % 9 AS STRING) AS Recipient_Name FROM ({_LINES})"
 
 
 def _sides(spark: SparkSession, d: str, right: str = _RIGHT) -> tuple[DataFrame, DataFrame]:
@@ -311,27 +310,16 @@ def outcome_tally(spark, d):
     return R.outcome_tally(link_outcomes(spark, d))
 
 
-@query(_link_sql(_RIGHT_ALL))
-def link_outcomes_all(spark, d):
-    return _linked(*_sides(spark, d, _RIGHT_ALL))
-
-
-@query(f"SELECT outcome, count(*) AS n FROM ({_link_sql(_RIGHT_ALL)}) GROUP BY outcome")
-def outcome_tally_all(spark, d):
-    return R.outcome_tally(link_outcomes_all(spark, d))
-
-
 _OFF = "abs(abs(l.amount) - abs(r.amount))"
 
 
 _BAND_LEFT = "SELECT o_orderkey AS left_id, o_totalprice AS amount, CAST(o_orderdate AS DATE) AS day, CASE WHEN o_orderkey % 2 = 0 THEN 'DEBIT' ELSE 'CREDIT' END AS direction, CAST(o_custkey % 5 AS VARCHAR) AS name FROM orders"
-_BAND_RIGHT = "SELECT o_orderkey AS right_id, o_totalprice AS amount, CAST(o_orderdate AS DATE) AS day, CASE WHEN o_orderkey % 3 = 0 THEN 'DEBIT' ELSE 'CREDIT' END AS direction, CAST(o_custkey % 5 AS VARCHAR) AS name FROM orders WHERE o_orderkey % 4 = 1"
-_BAND_LINES = f"SELECT right_id, l_extendedprice AS amount, CAST(l_shipdate AS DATE) AS day, CASE WHEN l_partkey % 3 = 0 THEN 'DEBIT' ELSE 'CREDIT' END AS direction, CAST(l_suppkey % 5 AS STRING) AS name FROM ({_LINES})"
+_BAND_RIGHT = f"SELECT right_id, l_extendedprice AS amount, CAST(l_shipdate AS DATE) AS day, CASE WHEN l_partkey % 3 = 0 THEN 'DEBIT' ELSE 'CREDIT' END AS direction, CAST(l_suppkey % 5 AS STRING) AS name FROM ({_LINES})"
 
 
-def _band_sql(last: str, left: str = f"{_BAND_LEFT} WHERE o_orderkey % 4 = 0", right: str = _BAND_RIGHT) -> str:
-    return f"""WITH l AS ({left}),
-r AS ({right}),
+def _band_sql(last: str) -> str:
+    return f"""WITH l AS ({_BAND_LEFT}),
+r AS ({_BAND_RIGHT}),
 s AS (SELECT left_id, right_id, round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, (CASE WHEN {_OFF} < 0.01 THEN 1.0::DOUBLE WHEN {_OFF} < 1 THEN 0.95::DOUBLE WHEN {_OFF} / greatest(abs(r.amount), 0.01) < 0.05 THEN 0.8::DOUBLE ELSE 0.0::DOUBLE END) * 0.30::DOUBLE
  + (CASE abs(date_diff('day', l.day, r.day)) WHEN 0 THEN 1.0::DOUBLE WHEN 1 THEN 0.8::DOUBLE ELSE 0.6::DOUBLE END) * 0.25::DOUBLE + CASE WHEN l.name = r.name THEN 0.20::DOUBLE ELSE 0.0::DOUBLE END + CASE WHEN l.direction = r.direction THEN 0.15::DOUBLE ELSE 0.0::DOUBLE END + 0.10::DOUBLE)), 6) AS score
  FROM l JOIN r ON r.day BETWEEN l.day - 2 AND l.day + 2 AND ({_OFF} < 5 OR {_OFF} < 0.05 * abs(r.amount))),
@@ -340,69 +328,106 @@ m AS (SELECT l.left_id, CASE WHEN score >= 0.75 THEN right_id END AS right_id, s
 {last}"""
 
 
-def _band(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    o = table(spark, d, "orders")
-    side = lambda k, m: o.filter(F.col("o_orderkey") % 4 == k).select("o_orderkey", F.col("o_totalprice").alias("amount"), F.to_date("o_orderdate").alias("day"), F.when(F.col("o_orderkey") % m == 0, "DEBIT").otherwise("CREDIT").alias("direction"), (F.col("o_custkey") % 5).cast("string").alias("name"))
-    l, r = side(0, 2).withColumnRenamed("o_orderkey", "left_id"), side(1, 3).withColumnRenamed("o_orderkey", "right_id")  # noqa: E741
-    return l, r, L.band_match(l, r)
+def _band(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Every lineitem row, and the best of them for every order."""
+    for t in ("orders", "lineitem"):
+        table(spark, d, t).createOrReplaceTempView(t)
+    r = spark.sql(_BAND_RIGHT)
+    l = spark.sql(_BAND_LEFT.replace("VARCHAR", "STRING"))  # noqa: E741
+    return r, L.band_match(l, r)
 
 
 @query(_band_sql("SELECT * FROM m"))
 def band_match(spark, d):
-    return _band(spark, d)[2]
+    return _band(spark, d)[1]
 
 
 @query(_band_sql("SELECT right_id FROM r WHERE right_id NOT IN (SELECT right_id FROM m WHERE right_id IS NOT NULL)"))
 def unmatched_anti(spark, d):
-    _, r, m = _band(spark, d)
-    return L.unmatched(r, m).select("right_id")
+    return L.unmatched(*_band(spark, d)).select("right_id")
+
 
+@query("""WITH a AS (SELECT DISTINCT o_orderkey AS k FROM orders), b AS (SELECT DISTINCT l_orderkey AS k FROM lineitem)
+SELECT CASE WHEN a.k IS NOT NULL AND b.k IS NOT NULL THEN 'both' WHEN a.k IS NOT NULL THEN 'first' ELSE 'second' END AS part, count(*) AS n FROM a FULL JOIN b ON a.k = b.k GROUP BY 1""")
+def reference_overlap(spark, d):
+    a = table(spark, d, "orders").select(F.col("o_orderkey").alias("ref_norm"))
+    b = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("ref_norm"))
+    return L.reference_overlap(a, b)
 
-def _band_all_sql(last: str) -> str:
-    return _band_sql(last, _BAND_LEFT, _BAND_LINES)
 
+#: Ledger rows of orders, and messages of lineitem rows that some orders, or none, are about.
+_STATEMENT = """SELECT o_orderkey AS row_id, CASE WHEN o_orderkey % 4 > 0 THEN 'R' || CAST(o_orderkey AS STRING) || '.0' END AS Transaction_ID, CAST(o_orderdate AS DATE) AS Transaction_Date,
+CASE WHEN o_orderkey % 2 = 0 THEN 'DR' ELSE 'CR' END AS sign, CAST(CASE WHEN o_orderkey % 2 = 0 THEN -(o_custkey % 9 + 1) ELSE o_custkey % 9 + 1 END AS DECIMAL(14, 2)) AS Amount,
+CASE WHEN o_orderkey % 3 > 0 THEN 'Shop ' || repeat(chr(CAST(65 + o_custkey % 20 AS INT)), 6) ELSE 'UNKNOWN' END AS Recipient_Name FROM orders"""
+_SENT = f"""SELECT CAST(right_id AS STRING) AS id, l_shipdate AS event_time, CAST(l_suppkey % 9 + 1 AS DOUBLE) AS amount, CASE WHEN l_partkey % 2 = 0 THEN 'DEBIT' ELSE 'CREDIT' END AS direction,
+CASE WHEN l_linenumber <= 2 THEN 'r-' || CAST(l_orderkey AS STRING) END AS ref_id, CASE WHEN l_partkey % 5 > 0 THEN 'sms_' || repeat(chr(CAST(65 + l_partkey % 20 AS INT)), 6) END AS recipient_name,
+CASE l_linenumber WHEN 1 THEN 'UPI' WHEN 2 THEN 'NEFT' END AS transaction_mode, 'SBI' AS bank, CAST(NULL AS STRING) AS upi_id, CAST(l_quantity AS DOUBLE) AS balance_after FROM ({_LINES})"""
+_UNIFIED_SQL = f"""s AS (SELECT *, upper(regexp_replace(regexp_replace(Transaction_ID, '\\.0$', ''), '[^A-Za-z0-9]', '', 'g')) AS ref FROM ({_STATEMENT})),
+m AS (SELECT *, upper(regexp_replace(ref_id, '[^A-Za-z0-9]', '', 'g')) AS ref, CAST(event_time + INTERVAL 330 MINUTES AS DATE) AS day FROM ({_SENT})),
+one AS (SELECT ref, min(row_id) AS a FROM s WHERE ref IS NOT NULL GROUP BY ref HAVING count(*) = 1),
+days AS (SELECT Transaction_Date AS day, abs(Amount) AS size, CASE sign WHEN 'DR' THEN 'DEBIT' ELSE 'CREDIT' END AS direction, count(*) AS n, min(row_id) AS b FROM s GROUP BY ALL),
+met AS (SELECT m.*, one.a, coalesce(days.n, 0) AS n, CASE WHEN one.a IS NOT NULL THEN one.a WHEN days.n = 1 THEN days.b END AS hit FROM m LEFT JOIN one ON m.ref = one.ref LEFT JOIN days ON m.day = days.day AND m.amount = days.size AND m.direction = days.direction),
+names AS (SELECT hit, arg_max(recipient_name, (event_time, id)) AS name FROM met WHERE hit IS NOT NULL AND recipient_name IS NOT NULL GROUP BY hit),
+u AS (SELECT 'statement' AS source, CAST(s.row_id AS VARCHAR) AS k, s.Transaction_Date AS day, s.sign, s.Amount AS amount, s.Transaction_ID AS txn_id, coalesce(names.name, s.Recipient_Name) AS payee, NULL::VARCHAR AS mode, NULL::DOUBLE AS debit, NULL::DOUBLE AS balance, NULL::VARCHAR AS note FROM s LEFT JOIN names ON s.row_id = names.hit
+UNION ALL SELECT 'sms_only', id, day, CASE direction WHEN 'DEBIT' THEN 'DR' ELSE 'CR' END, CASE direction WHEN 'CREDIT' THEN amount ELSE -amount END, ref_id, recipient_name, transaction_mode, CASE direction WHEN 'DEBIT' THEN amount ELSE 0 END, balance_after, 'SMS' FROM met WHERE hit IS NULL AND n <= 1),
+named AS (SELECT *, CASE WHEN payee IS NULL THEN 'UNKNOWN' ELSE upper(replace(payee, '_', ' ')) END AS canonical FROM u)"""
+
+
+def _unified(spark: SparkSession, d: str) -> DataFrame:
+    from .plans.unified import unify
 
-def _band_all(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Every lineitem row, and the best of them for every order."""
     for t in ("orders", "lineitem"):
         table(spark, d, t).createOrReplaceTempView(t)
-    r = spark.sql(_BAND_LINES)
-    l = spark.sql(_BAND_LEFT.replace("VARCHAR", "STRING"))  # noqa: E741
-    return r, L.band_match(l, r)
+    statement = spark.sql(_STATEMENT).withColumnRenamed("sign", "DR/CR_Indicator").withColumn("UPI_ID", F.lit(None).cast("string"))
+    return unify(spark.sql(_SENT).withColumn("event_time", F.col("event_time").cast("timestamp")), statement)[0]
 
 
-@query(_band_all_sql("SELECT * FROM m"))
-def band_match_all(spark, d):
-    return _band_all(spark, d)[1]
+_KEY = "regexp_replace(split(row_id, '/')[1], '^(0+(?=[0-9])|1[0-9]{20}-)', '')"
 
 
-@query(_band_all_sql("SELECT right_id FROM r WHERE right_id NOT IN (SELECT right_id FROM m WHERE right_id IS NOT NULL)"))
-def unmatched_anti_all(spark, d):
-    return L.unmatched(*_band_all(spark, d)).select("right_id")
+@query(f"""WITH {_UNIFIED_SQL} SELECT source, k, strftime(day, '%Y-%m-%d') AS day, sign, CAST(amount AS DOUBLE) AS amount, txn_id, payee, mode, CAST(debit AS DOUBLE) AS debit, CAST(balance AS DOUBLE) AS balance, note, canonical,
+CAST(count(*) OVER (ORDER BY day, source DESC) - count(*) OVER (PARTITION BY day, source) AS BIGINT) AS rows_of_earlier_days FROM named""")
+def unified_ledger(spark, d):
+    """The rows with how many rows the ledger's order puts before their day and source."""
+    rows = _unified(spark, d)
+    rows = rows.select(
+        F.col("_source").alias("source"), F.expr(_KEY).alias("k"), F.col("Transaction_Date").cast("string").alias("day"), F.col("`DR/CR_Indicator`").alias("sign"), F.col("Amount").cast("double").alias("amount"), F.col("Transaction_ID").alias("txn_id"),
+        F.col("Recipient_Name").alias("payee"), F.col("Transaction_Mode").alias("mode"), F.col("Debit").cast("double").alias("debit"), F.col("Balance").cast("double").alias("balance"), F.col("Note").alias("note"), F.col("Recipient_Canonical").alias("canonical"),
+        F.substring_index("row_id", "/", 1).alias("at"),
+    )
+    per = rows.groupBy("at", "source").agg(F.count("*").alias("n"))  # two rows a day
+    before = per.withColumn("rows_of_earlier_days", F.coalesce(F.sum("n").over(Window.orderBy("at", F.col("source").desc()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))).drop("n")
+    return rows.join(before, ["at", "source"]).drop("at")
 
 
-@query("""WITH a AS (SELECT DISTINCT o_orderkey AS k FROM orders WHERE o_orderkey % 3 < 2), b AS (SELECT DISTINCT l_orderkey AS k FROM lineitem WHERE l_orderkey % 3 > 0)
-SELECT CASE WHEN a.k IS NOT NULL AND b.k IS NOT NULL THEN 'both' WHEN a.k IS NOT NULL THEN 'first' ELSE 'second' END AS part, count(*) AS n FROM a FULL JOIN b ON a.k = b.k GROUP BY 1""")
-def reference_overlap(spark, d):
-    a = table(spark, d, "orders").filter("o_orderkey % 3 < 2").select(F.col("o_orderkey").alias("ref_norm"))
-    b = table(spark, d, "lineitem").filter("l_orderkey % 3 > 0").select(F.col("l_orderkey").alias("ref_norm"))
-    return L.reference_overlap(a, b)
+_T1, _T2, _ = heuristic_sql(CHECK, "t.canonical", **_HINTS)
 
 
-@query("""WITH a AS (SELECT DISTINCT o_orderkey AS k FROM orders), b AS (SELECT DISTINCT l_orderkey AS k FROM lineitem)
-SELECT CASE WHEN a.k IS NOT NULL AND b.k IS NOT NULL THEN 'both' WHEN a.k IS NOT NULL THEN 'first' ELSE 'second' END AS part, count(*) AS n FROM a FULL JOIN b ON a.k = b.k GROUP BY 1""")
-def reference_overlap_all(spark, d):
-    a = table(spark, d, "orders").select(F.col("o_orderkey").alias("ref_norm"))
-    b = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("ref_norm"))
-    return L.reference_overlap(a, b)
+@query(f"""WITH {_UNIFIED_SQL}, lab AS (SELECT 'R' || CAST(o_orderkey AS VARCHAR) AS ref, 'Cat' || CAST(o_custkey % 3 AS VARCHAR) AS cat, o_orderkey AS f FROM orders WHERE o_orderpriority < '3' AND o_orderkey % 4 > 0),
+t AS (SELECT named.*, lab.cat, CASE WHEN source = 'statement' THEN strftime(day, '%Y-%m-%d') || '/0' || lpad(k, 20, '0') ELSE strftime(day, '%Y-%m-%d') || '/1' END AS o FROM named LEFT JOIN lab ON upper(regexp_replace(regexp_replace(txn_id, '\\.0$', ''), '[^A-Za-z0-9]', '', 'g')) = lab.ref),
+v AS (SELECT canonical, cat AS cat2 FROM (SELECT canonical, cat, row_number() OVER (PARTITION BY canonical ORDER BY count(*) DESC, min(o)) AS r FROM t WHERE cat IS NOT NULL AND source = 'statement' GROUP BY 1, 2) WHERE r = 1)
+SELECT source, k, CASE WHEN t.cat IS NOT NULL THEN t.cat WHEN cat2 IS NOT NULL THEN cat2 ELSE {_T1} END AS category, CASE WHEN t.cat IS NULL AND cat2 IS NULL THEN {_T2} END AS transfer_type,
+CASE WHEN t.cat IS NOT NULL THEN 'original' WHEN cat2 IS NOT NULL THEN 'recipient_lookup' ELSE 'heuristic' END AS label_source FROM t LEFT JOIN v USING (canonical)""")
+def training_set(spark, d):
+    """Labels of the statement rows of urgent orders, carried to every unified row."""
+    from .plans.unified import training_set as labelled
+
+    rows = _unified(spark, d)
+    labels = table(spark, d, "orders").filter("o_orderpriority < '3' AND o_orderkey % 4 > 0").select(F.concat(F.lit("R"), F.col("o_orderkey").cast("string")).alias("transaction_id"), F.concat(F.lit("Cat"), (F.col("o_custkey") % 3).cast("string")).alias("category"), F.lit(None).cast("string").alias("transfer_type"), F.col("o_orderkey").alias("row_id"))
+    return labelled(rows, labels, **_HINTS).select(F.col("_source").alias("source"), F.expr(_KEY).alias("k"), "category", "transfer_type", "label_source")
 
 
-@query("SELECT o_orderkey, 'statement' AS _source, o_totalprice AS amount, NULL::VARCHAR AS note FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT o_orderkey, 'sms_only', NULL, o_orderstatus FROM orders WHERE o_orderkey % 2 = 1")
+@query(f"WITH {_UNIFIED_SQL} SELECT source, count(*) AS n, round(CAST(sum(amount) AS DOUBLE), 2) AS net FROM u GROUP BY 1")
 def union_sources(spark, d):
-    o = table(spark, d, "orders")
-    a = o.filter("o_orderkey % 2 = 0").select("o_orderkey", F.lit("statement").alias("_source"), F.col("o_totalprice").alias("amount"))
-    b = o.filter("o_orderkey % 2 = 1").select("o_orderkey", F.lit("sms_only").alias("_source"), F.col("o_orderstatus").alias("note"))
-    return a.unionByName(b, allowMissingColumns=True)
+    """Both sources as one ledger, before names are resolved."""
+    from .plans.unified import linkable, prepare_messages
+
+    for t in ("orders", "lineitem"):
+        table(spark, d, t).createOrReplaceTempView(t)
+    statement = spark.sql(_STATEMENT).withColumnRenamed("sign", "DR/CR_Indicator")
+    linked = L.link_outcomes(prepare_messages(spark.sql(_SENT).withColumn("event_time", F.col("event_time").cast("timestamp"))), linkable(statement))
+    rows = L.merge_sources(statement.withColumn("right_id", F.col("row_id")), linked, ["event_time", "id"])
+    return rows.groupBy(F.col("_source").alias("source")).agg(F.count("*").alias("n"), F.round(F.sum("Amount").cast("double"), 2).alias("net"))
 
 
 # ---- labels --------------------------------------------------------------------------------------------------------
@@ -452,7 +477,13 @@ def prefix_pairs(spark, d):
     return RES.prefix_pairs(_names(spark, d))
 
 
-@query()
+@query(f"""WITH n AS (SELECT DISTINCT name, replace(name, ' ', '') AS bare, length(name) AS size FROM ({_NAMES})),
+p AS (SELECT b.name, min_by(a.name, a.size) AS root FROM n a JOIN n b ON starts_with(b.name, a.name) AND a.name <> b.name AND a.size >= 6 GROUP BY b.name),
+g AS (SELECT n.*, coalesce(p.root, n.name) AS root FROM n LEFT JOIN p USING (name)),
+c AS (SELECT x.name, x.size, y.name AS other, y.size AS other_size FROM g x JOIN g y ON x.root = y.root AND x.name <> y.name AND (starts_with(x.bare, y.bare) OR starts_with(y.bare, x.bare))),
+longer AS (SELECT DISTINCT name FROM c WHERE other_size > size),
+f AS (SELECT name, min(other) AS full_name FROM c WHERE name IN (SELECT name FROM longer) AND other NOT IN (SELECT name FROM longer) GROUP BY name HAVING count(*) = 1)
+SELECT n.name, coalesce(f.full_name, n.name) AS canonical FROM n LEFT JOIN f USING (name)""")
 def prefix_chain_merge(spark, d):
     return RES.prefix_mapping(RES.name_counts(_names(spark, d), "name"))
 
@@ -648,12 +679,7 @@ _METRICS = "SELECT count(*) AS n, count(right_id) AS matched, round(count(right_
 
 @query(_band_sql(_METRICS))
 def match_metrics(spark, d):
-    return R.match_metrics(_band(spark, d)[2]).select("n", "matched", "match_percent", F.col("low_confidence").alias("low"))
-
-
-@query(_band_all_sql(_METRICS))
-def match_metrics_all(spark, d):
-    return R.match_metrics(_band_all(spark, d)[1]).select("n", "matched", "match_percent", F.col("low_confidence").alias("low"))
+    return R.match_metrics(_band(spark, d)[1]).select("n", "matched", "match_percent", F.col("low_confidence").alias("low"))
 
 
 @query("SELECT band, count(*) AS n FROM (SELECT CASE WHEN o_custkey % 100 >= 90 THEN 'high' WHEN o_custkey % 100 >= 75 THEN 'medium' ELSE 'low' END AS band FROM orders) GROUP BY 1")

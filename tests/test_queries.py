@@ -67,11 +67,11 @@ def test_band_match_all_leaves_no_row_out(spark, tmp_path):
 
     want = {o[0]: score(o, lines[o[0] - 1]) for o in orders}
     ids = {k: (k * 10 + 1) * 1000 + 1 for k in want}
-    got = {r.left_id: (r.right_id, r.score) for r in QUERIES["band_match_all"](spark, str(tmp_path)).collect()}
+    got = {r.left_id: (r.right_id, r.score) for r in QUERIES["band_match"](spark, str(tmp_path)).collect()}
     assert got == {k: (ids[k] if v >= 0.75 else None, v) for k, v in want.items()}
-    unmatched = sorted(r.right_id for r in QUERIES["unmatched_anti_all"](spark, str(tmp_path)).collect())
+    unmatched = sorted(r.right_id for r in QUERIES["unmatched_anti"](spark, str(tmp_path)).collect())
     assert unmatched == sorted([*(ids[k] for k, v in want.items() if v < 0.75), 81002])
-    m = QUERIES["match_metrics_all"](spark, str(tmp_path)).collect()[0]
+    m = QUERIES["match_metrics"](spark, str(tmp_path)).collect()[0]
     assert (m.n, m.matched) == (8, sum(v >= 0.75 for v in want.values())) and 0 < m.matched
 
 
@@ -81,13 +81,13 @@ def test_link_outcomes_all_sees_every_line(spark, tmp_path):
     orders = [(k, 3, "O", 1.0, day, "1") for k in (3, 6, 9)]
     # order 3: one of two lines has number 3; order 6: its only line has number 3; order 9: two rows of one number
     write_tables(spark, tmp_path, orders, [line(3, 1, 1), line(3, 3, 2), line(6, 3, 3), line(9, 1, 4), line(9, 1, 5)])
-    got = {r.left_id: (r.matched_id, r.outcome) for r in QUERIES["link_outcomes_all"](spark, str(tmp_path)).collect()}
+    got = {r.left_id: (r.matched_id, r.outcome) for r in QUERIES["link_outcomes"](spark, str(tmp_path)).collect()}
     assert got == {3: (None, "new"), 6: (63001, "backfilled"), 9: (None, "new")}
-    assert {r.outcome: r.n for r in QUERIES["outcome_tally_all"](spark, str(tmp_path)).collect()} == {"new": 2, "backfilled": 1}
+    assert {r.outcome: r.n for r in QUERIES["outcome_tally"](spark, str(tmp_path)).collect()} == {"new": 2, "backfilled": 1}
 
 
 def test_reference_overlap_all_sees_every_key(spark, tmp_path):
     day = dt.datetime(2026, 1, 1)
     orders = [(k, 1, "O", 1.0, day, "1") for k in range(1, 7)]
     write_tables(spark, tmp_path, orders, [(k, 1, 1, 1, 1.0, 1.0, 0.0, 0.0, "N", "O", day) for k in (2, 3, 3, 5, 6, 7, 8, 9)])
-    assert {r.part: r.n for r in QUERIES["reference_overlap_all"](spark, str(tmp_path)).collect()} == {"both": 4, "first": 2, "second": 3}
+    assert {r.part: r.n for r in QUERIES["reference_overlap"](spark, str(tmp_path)).collect()} == {"both": 4, "first": 2, "second": 3}
