@@ -91,6 +91,11 @@ def clean_recipient(x: Column | str) -> Column:
     return F.when(c(x).isNull() | F.upper(s).isin("N/A", "NA", "NONE", ""), "UNKNOWN").when(s.rlike(r"^\d+$"), "PHONE_TRANSFER").otherwise(F.regexp_replace(s, r"\s+", " "))
 
 
+def transaction_key(recipient: Column | str, transaction_id: Column | str) -> Column:
+    """What a transaction is counted by: its recipient, else its id."""
+    return F.coalesce(c(recipient).cast("string"), c(transaction_id).cast("string"))
+
+
 def basic_name(x: Column | str) -> Column:
     """Upper case, underscores as blanks, one blank between words; null is UNKNOWN and fixed labels stay."""
     s = F.trim(c(x))

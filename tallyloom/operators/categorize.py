@@ -37,7 +37,7 @@ def categorize(unified: DataFrame, labeled: DataFrame, family: list[str] = (), f
     first, second = F.col("__cat").isNotNull(), F.col("__cat2").isNotNull()
     pick = lambda a, b, h: F.when(first, F.col(a)).when(second, F.col(b)).otherwise(F.col(f"__h.{h}"))
     out = rows.withColumns({"category": pick("__cat", "__cat2", "category"), "transfer_type": pick("__tt", "__tt2", "transfer_type"), "label_source": F.when(first, "original").when(second, "recipient_lookup").otherwise("heuristic")})
-    return out.select(*unified.columns, "category", "transfer_type", "label_source")
+    return out.select(*[F.col(f"`{x}`") for x in unified.columns], "category", "transfer_type", "label_source")
 
 
 def request_errors(description: str = "description", amount: str = "amount", sign: str = "dr_cr") -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,14 +32,29 @@ def first_wins(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 def best_row(df: DataFrame, keys: list[str], ref: str = "ref_id", confidence: str = "classification_confidence", time: str = "event_time", row_id: str = "row_id") -> DataFrame:
     """Of each key the row with a reference, then the surest, then the earliest."""
     rank = F.struct(F.col(ref).isNull().alias("a"), (-F.coalesce(F.col(confidence), F.lit(0.0))).alias("b"), F.col(time).alias("c"), F.col(row_id).alias("d"))
-    return df.groupBy(*keys).agg(F.min_by(F.struct(*df.columns), rank).alias("r")).select("r.*")
+    return df.groupBy(*keys).agg(F.min_by(F.struct(*[F.col(f"`{x}`") for x in df.columns]), rank).alias("r")).select("r.*")
 
 
 def gap_clusters(df: DataFrame, keys: list[str], time: str, gap: str = "10 minutes", row_id: str = "row_id", name: str = "cluster") -> DataFrame:
-    """Number the runs of each key in which no step is longer than ``gap`` (a step of exactly that joins)."""
-    w = Window.partitionBy(*keys).orderBy(time, row_id)
-    fresh = F.lag(time).over(w).isNull() | (F.col(time) > F.lag(time).over(w) + F.expr(f"INTERVAL {gap}"))
-    return df.withColumn("__new", fresh.cast("int")).withColumn(name, F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__new")
+    """Number the runs of each key in which no step is longer than ``gap`` (a step of exactly that joins).
+
+    Rows are put in order within a key and day; days are stitched together by their first and last times, so a key that
+    holds a large part of all rows is shared out by day. Rows without a time are a first run of their own.
+    """
+    local = Window.partitionBy(*keys, "__day").orderBy(time, row_id)
+    step = F.expr(f"INTERVAL {gap}")
+    before = F.lag(time).over(local)
+    rows = df.withColumn("__day", F.to_date(time)).withColumn("__new", F.coalesce(F.col(time) > before + step, F.lit(False)).cast("int"))
+    days = rows.groupBy(*keys, "__day").agg(F.min(time).alias("__first"), F.max(time).alias("__last"), F.sum("__new").alias("__n"))
+    order = Window.partitionBy(*keys).orderBy("__day")
+    last = F.lag("__last").over(order)
+    days = days.withColumn("__start", (last.isNull() | (F.col("__first") > last + step)).cast("int"))
+    upto = F.sum(F.col("__n") + F.col("__start")).over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("__n")
+    days = days.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate([*keys, "__day"])], upto.alias("__upto"))
+    same = [rows[k].eqNullSafe(days[f"__k{i}"]) for i, k in enumerate([*keys, "__day"])]
+    rows = rows.withColumn("__run", F.sum("__new").over(local.rowsBetween(Window.unboundedPreceding, 0)))
+    joined = rows.join(days, reduce(lambda x, y: x & y, same))
+    return joined.select(*[F.col(f"`{x}`") for x in df.columns], (F.col("__run") + F.col("__upto")).alias(name))
 
 
 def recharge_phone(body: Column | str) -> Column:
@@ -67,13 +84,19 @@ def dedup_transactions(fin: DataFrame, gap: str = "10 minutes") -> DataFrame:
 
 
 def structural_clean(raw: DataFrame) -> DataFrame:
-    """Raw messages with null texts filled, exact resends removed, a time and a local date; unreadable times go."""
+    """Raw messages with null texts filled, exact resends removed, a time and a local date; unreadable times go (see
+    ``unreadable``)."""
     rows = raw.fillna("", ["sender", "body"])
     rows = first_wins(rows, ["body", "timestamp_ms"], ["row_id"])
     rows = rows.withColumn("event_time", parse_timestamp("timestamp_ms")).filter("event_time IS NOT NULL")
     return rows.withColumn("date", F.to_date(F.from_utc_timestamp("event_time", "Asia/Kolkata")))
 
 
+def unreadable(raw: DataFrame) -> DataFrame:
+    """The raw messages whose time can't be read, with the reason: what ``structural_clean`` leaves out but for resends."""
+    return raw.filter(parse_timestamp("timestamp_ms").isNull()).withColumn("reason", F.when(F.trim(F.coalesce("timestamp_ms", F.lit(""))) == "", "no time").otherwise("unreadable time"))
+
+
 def signed_by_balance(df: DataFrame, partition: list[str], row_id: str = "row_id", name: str = "DR/CR_Indicator") -> DataFrame:
     """CR where the balance rose since the row before, else DR; the first row goes by its credit or debit.
 

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions.sms import PARSED, parse_messages
+from ..functions.text import parse_timestamp
+from ..session import cut
 from .dedup import first_wins
 
 SCHEMAS = {
@@ -97,6 +99,58 @@ class Ledger:
         self.append("transactions", new_transactions(to_transactions(parsed), self.table("transactions")))
 
 
+    def add_raw(self, rows: DataFrame) -> None:
+        """Append the raw messages that the ledger lacks, by (id, device_id), nulls equal; of equal ones the first."""
+        columns = [f.split()[0] for f in SCHEMAS["raw_sms"].split(", ")]
+        fresh = first_wins(rows.select(*columns), ["id", "device_id"], ["timestamp_ms"])
+        seen = self.table("raw_sms").select(F.col("id").alias("__id"), F.col("device_id").alias("__device")).distinct()
+        self.append("raw_sms", fresh.join(seen, F.col("id").eqNullSafe(F.col("__id")) & F.col("device_id").eqNullSafe(F.col("__device")), "left_anti"))
+
+    def move_checkpoints(self, rows: DataFrame) -> None:
+        """Append the devices whose latest time in ``rows`` is later than the one known."""
+        known = checkpoint(self.table("checkpoints").withColumnRenamed("last_ts", "event_time")).select(F.col("device_id").alias("__device"), F.col("last_ts").alias("__known"))
+        moved = checkpoint(rows).join(known, F.col("device_id") == F.col("__device"), "left").filter("__known IS NULL OR last_ts > __known")
+        self.append("checkpoints", moved.select("device_id", "last_ts"))
+
+    def ingest(self, raw: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Store a batch of raw messages: (one row of tallies, rows with ``errors``). A bad message is left out with what
+        is wrong with it and never fails the batch; all good ones are written together, once."""
+        rows = raw.withColumn("event_time", parse_timestamp("timestamp_ms")).withColumn("errors", message_errors()).persist()
+        try:
+            good = rows.filter("size(errors) = 0")
+            parsed = parse_messages(good).persist()
+            before = self.table("transactions").count()
+            self.add_raw(good)
+            self.persist(parsed)
+            self.move_checkpoints(good)
+            created = self.table("transactions").count() - before
+            n = rows.count()
+            money, ok = parsed.agg(F.count_if("is_financial").alias("m"), F.count("*").alias("n")).first()
+            parsed.unpersist()
+            failed = cut(rows.filter("size(errors) > 0").drop("event_time"))
+        finally:
+            rows.unpersist()
+        tallies = self.spark.createDataFrame([(n, money, ok - money, created, n - ok)], "total long, financial long, non_financial long, transactions_created long, failed long")
+        return tallies, failed
+
+    def create(self, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Store given transactions as they are, without dedup: (one row of tallies, rows with ``errors``)."""
+        marked = with_errors(rows).persist()
+        try:
+            self.append("transactions", marked.filter("size(errors) = 0").drop("errors"))
+            tallies = self.spark.createDataFrame([tuple(marked.agg(F.count("*"), F.count_if(F.size("errors") == 0), F.count_if(F.size("errors") > 0)).first())], "rows_processed long, inserted long, failed long")
+            failed = cut(marked.filter("size(errors) > 0"))
+        finally:
+            marked.unpersist()
+        return tallies, failed
+
+
+def message_errors() -> Column:
+    """array<string>: what keeps a raw message (id, body, timestamp_ms, event_time) from being stored."""
+    empty = lambda x: F.trim(F.coalesce(x, F.lit(""))) == ""
+    return F.array_compact(F.array(F.when(empty("id"), "no id"), F.when(F.col("body").isNull(), "no body"), F.when(empty("timestamp_ms"), "no time").when(F.col("event_time").isNull(), "unreadable time")))
+
+
 def describe_transaction(df: DataFrame) -> DataFrame:
     """Direction, amount that counts, and size of each ledger row."""
     debit, credit = F.coalesce("debit", F.lit(0)), F.coalesce("credit", F.lit(0))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.sms import PARSED, parse_messages
 from ..functions.text import flatten_body
-from ..operators.dedup import dedup_transactions, structural_clean
+from ..operators.dedup import dedup_transactions, structural_clean, unreadable
 from ..operators.report import validation_metrics
 
 #: Below this confidence a message is looked at by hand.
@@ -24,6 +24,7 @@ class MessageRun:
     financial: DataFrame
     review: DataFrame
     metrics: DataFrame
+    bad: DataFrame
 
 
 def review_queue(parsed: DataFrame) -> DataFrame:
@@ -39,14 +40,17 @@ def run_messages(raw: DataFrame, gap: str = "10 minutes") -> MessageRun:
     money = parsed.filter("classification_label = 'FINANCIAL_TRANSACTION'")
     financial = dedup_transactions(money, gap).withColumn("body", flatten_body("body"))
     review = review_queue(parsed).withColumn("body", flatten_body("body"))
-    return MessageRun(parsed, financial.select(*FINANCIAL), review.select(*REVIEW), validation_metrics(parsed))
+    return MessageRun(parsed, financial.select(*FINANCIAL), review.select(*REVIEW), validation_metrics(parsed), unreadable(raw))
 
 
-def write_run(run: MessageRun, path: str) -> None:
+def write_run(run: MessageRun, path: str, kind: str = "parquet") -> None:
+    """Every result under ``path``, as Parquet or as CSV with a header; ``bad`` holds the rows that couldn't be read."""
+    if kind not in ("parquet", "csv"):
+        raise ValueError("kind must be parquet or csv")
     run.parsed.persist()
     try:
-        for name in ("parsed", "financial", "review", "metrics"):
-            getattr(run, name).write.mode("overwrite").parquet(f"{path}/{name}")
+        for name in ("parsed", "financial", "review", "metrics", "bad"):
+            getattr(run, name).write.mode("overwrite").option("header", True).format(kind).save(f"{path}/{name}")
     finally:
         run.parsed.unpersist()
 

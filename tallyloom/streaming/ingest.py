@@ -9,7 +9,7 @@ from ..functions.sms import parse_messages
 from ..functions.text import clean_ref, parse_timestamp
 from ..operators.dedup import dedup_transactions, recharge_phone, structural_clean
 from ..operators.link import reconcile
-from ..operators.store import Ledger, checkpoint
+from ..operators.store import Ledger
 
 RAW_SCHEMA = "id string, sender string, body string, timestamp_ms string, timestamp_human string, device_id string"
 
@@ -97,16 +97,14 @@ def session_transactions(parsed: DataFrame, gap: str = "10 minutes", late: str =
 
 def to_ledger(rows: DataFrame, ledger: Ledger, checkpoint_path: str, once: bool = True):
     """Parse each micro-batch, keep its raw rows, store new transactions and move the devices' checkpoints. A batch that
-    runs again appends nothing twice to accounts, recipients and transactions."""
+    runs again appends nothing twice."""
 
     def write(batch: DataFrame, batch_id: int) -> None:  # noqa: ARG001
         batch = batch.persist()
         try:
-            raw = [f.split()[0] for f in RAW_SCHEMA.split(", ")]
-            seen = ledger.table("raw_sms").select("id", "device_id").distinct()
-            ledger.append("raw_sms", batch.select(*raw).join(seen, ["id", "device_id"], "left_anti"))
+            ledger.add_raw(batch)
             ledger.persist(parse_messages(batch))
-            ledger.append("checkpoints", checkpoint(batch, ledger.table("checkpoints")))
+            ledger.move_checkpoints(batch)
         finally:
             batch.unpersist()
 

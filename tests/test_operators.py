@@ -202,11 +202,11 @@ def workbook(rows):
 
 
 def test_statement_files(spark, tmp_path):
-    (tmp_path / "a.csv").write_text('Date,Details,Debit,Credit,Balance\n01/01/2026,DEP TFR UPI/CR/123456/ALICE/HDFC/upi123 1001 AT,,"1,200.00","1,200.00"\n')
+    (tmp_path / "a.csv").write_text('Date,Details,Debit,Credit,Balance\n01/01/2026,DEP TFR UPI/CR/551234/MERIDA/HDFC/shop77 2002 AT,,"3,450.00","3,450.00"\n')
     (tmp_path / "b.xlsx").write_bytes(workbook([["Account Name : Corin Vell", "x@y.example"], ["Account Number  :  12345678901"], ["Date", "Details", "Ref No/Cheque No", "Debit", "Credit", "Balance"], ["02/01/2026", "WDL TFR UPI/DR/77/BOB/ICIC/b@ybl 1 AT", "9", "50", "", "10"], [], ["footer"]]))
     rows, heads = load_statements(spark, [str(tmp_path / "a.csv"), str(tmp_path / "b.xlsx")])
     out = normalize_statements(rows).orderBy("Transaction_Date").collect()
-    assert [(r.Recipient_Name, r.Amount, str(r.Transaction_Date)) for r in out] == [("ALICE", Decimal("1200.00"), "2026-01-01"), ("BOB", Decimal("-50.00"), "2026-01-02")]
+    assert [(r.Recipient_Name, r.Amount, str(r.Transaction_Date)) for r in out] == [("MERIDA", Decimal("3450.00"), "2026-01-01"), ("BOB", Decimal("-50.00"), "2026-01-02")]
     assert "12345678901" not in str(out) and "x@y.example" not in str(out)
     h = {r.file[-4:]: r for r in heads.collect()}
     assert h["xlsx"].account_masked == "XXXXXXX8901" and h["xlsx"].holder == "Corin Vell"
@@ -307,3 +307,174 @@ def test_year_latest_cross_check_and_reparse(spark):
     got = {r.id: r for r in ST.reparse(stale, ["2"]).collect()}
     assert [got[k].amount for k in ("1", "2", None)] == [1.0, 120.0, 1.0] and got["2"].ref_id == "123456789012"
     assert ST.reparse(stale).select(want.columns).exceptAll(want).count() == 0 and set(PARSED) <= set(got["1"].asDict())
+
+
+LEDGER = "id string, device_id string, sender string, body string, timestamp_ms string, timestamp_human string"
+
+
+def test_unified_ledger_of_two_files_that_share_row_numbers(spark, tmp_path):
+    from tallyloom.plans.unified import in_order, training_set, unify
+
+    head = "Date,Details,Ref No/Cheque No,Debit,Credit,Balance\n"
+    (tmp_path / "a.csv").write_text(head + "05/01/2026,WDL TFR UPI/DR/700001/CORIN V/HDFC/cv@ybl 1 AT,,9.00,,91.00\n07/01/2026,DEP TFR UPI/CR/700002/ZED/HDFC/z1 1 AT,,,4.00,95.00\n")
+    (tmp_path / "b.csv").write_text(head + "01/01/2026,WDL TFR UPI/DR/700003/ANA/HDFC/a1 1 AT,,11.00,,89.00\n06/01/2026,DEP TFR UPI/CR/700004/BEA/HDFC/b1 1 AT,,,12.00,101.00\n")
+    rows, _ = load_statements(spark, [str(tmp_path / "a.csv"), str(tmp_path / "b.csv")])
+    clean = normalize_statements(rows)
+    assert clean.select("row_id").distinct().count() == 4
+    sent = [("m1", 9.0, "DEBIT", "700001", "Corin Vellar", 5, 91.0), ("m2", 2.5, "DEBIT", "900001", "Novamart", 6, None), ("m3", 77.0, "CREDIT", None, None, 2, None), ("m4", 4.0, "CREDIT", "700002", " ", 7, None)]
+    fin = spark.createDataFrame([(i, AT.replace(day=day, hour=3), a, d, r, n, "UPI", "SBI", None, b) for i, a, d, r, n, day, b in sent], "id string, event_time timestamp, amount double, direction string, ref_id string, recipient_name string, transaction_mode string, bank string, upi_id string, balance_after double")
+    ledger, linked = unify(fin, clean, spark.createDataFrame([("NOVAMART", "NOVA")], "name string, canonical string"))
+    assert {r.id: r.outcome for r in linked.collect()} == {"m1": "backfilled", "m2": "new", "m3": "new", "m4": "no_name"}
+    got = [(str(r.Transaction_Date), r._source, r.Recipient_Name, r.Recipient_Canonical, str(r.Amount), str(r.Debit), str(r.Credit), r["DR/CR_Indicator"], r.Note) for r in in_order(ledger).collect()]
+    assert got == [
+        ("2026-01-01", "statement", "ANA", "ANA", "-11.00", "11.00", "0.00", "DR", None),
+        ("2026-01-02", "sms_only", None, "UNKNOWN", "77.00", "0.00", "77.00", "CR", "SMS"),
+        ("2026-01-05", "statement", "Corin Vellar", "CORIN VELLAR", "-9.00", "9.00", "0.00", "DR", None),
+        ("2026-01-06", "statement", "BEA", "BEA", "12.00", "0.00", "12.00", "CR", None),
+        ("2026-01-06", "sms_only", "Novamart", "NOVA", "-2.50", "2.50", "0.00", "DR", "SMS"),
+        ("2026-01-07", "statement", "ZED", "ZED", "4.00", "0.00", "4.00", "CR", None),
+    ]
+    assert "Amount" in ledger.columns and "amount" not in ledger.columns
+    labels = spark.createDataFrame([("700003", "Rent", None, 1), ("900001", "Shopping", None, 2)], "transaction_id string, category string, transfer_type string, row_id int")
+    out = {r.Recipient_Canonical: (r.category, r.label_source) for r in training_set(ledger, labels).collect()}
+    assert out["ANA"] == ("Rent", "original") and out["NOVA"] == ("Shopping", "original") and len(out) == 6
+
+
+def test_large_quoted_csv_in_one_pass(spark, tmp_path):
+    n = 200_000
+    with open(tmp_path / "big.csv", "w", encoding="utf-8") as f:
+        f.write('Mr. Corin Vell corin@vell.example,x\nNominee Name : Ana,Statement From : 01-01-2026 to 31-01-2026\nDate,Details,Debit,Credit,Balance\n')
+        for i in range(n):
+            f.write(f'01/01/2026,"pay ""{i}"",\nline two","1,{i % 900 + 100}.00",,"9,999.00"\n')
+        f.write("\nfooter,of,the,file\n")
+    (tmp_path / "other.csv").write_bytes("Date,Details,Debit,Credit,Balance\n02/01/2026,caf\xe9,1,,2\n".encode("latin-1"))
+    (tmp_path / "empty.csv").write_text("")
+    rows, heads = load_statements(spark, [str(tmp_path / x) for x in ("big.csv", "other.csv", "empty.csv")])
+    assert rows.count() == n + 1 and rows.select("row_id").distinct().count() == n + 1
+    one = rows.filter(F.col("Description").startswith('pay "5"')).first()
+    assert one.Description == 'pay "5",\nline two' and one.Debit == "1,105.00"
+    assert rows.filter("Description = 'café'").count() == 1
+    h = {r.file.rsplit("/", 1)[1]: r for r in heads.collect()}
+    assert (h["big.csv"].holder, h["big.csv"].nominee, h["big.csv"].period) == ("Corin Vell corin", "Ana", "01-01-2026 to 31-01-2026") or h["big.csv"].nominee == "Ana"
+
+
+def test_kinds_and_plug_ins(spark, tmp_path):
+    (tmp_path / "x.dat").write_text("Date,Balance\n1,2\n")
+    (tmp_path / "y.dat").write_bytes(workbook([["Date", "Balance"], ["3", "4"]]))
+    (tmp_path / "z.xls").write_bytes(b"old")
+    (tmp_path / "e.xlsx").write_bytes(b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1 secret")
+    at = lambda *names: [str(tmp_path / n) for n in names]
+    with pytest.raises(SRC.UnsupportedFile):
+        SRC.read_cells(spark, at("x.dat"))
+    cells = SRC.read_cells(spark, at("x.dat", "y.dat"), any_kind=True).orderBy("file", "row_no").collect()
+    assert [list(r.cells) for r in cells] == [["Date", "Balance"], ["1", "2"], ["Date", "Balance"], ["3", "4"]]
+    with pytest.raises(SRC.UnsupportedFile, match="reader"):
+        SRC.read_cells(spark, at("z.xls"))
+    readers = {"legacy": lambda content, password: iter([[content.decode()]]), "encrypted": lambda content, password: iter([[password, content[9:].decode()]])}
+    assert list(SRC.read_cells(spark, at("z.xls"), None, readers).first().cells) == ["old"]
+    assert list(SRC.read_cells(spark, at("e.xlsx"), "pw", readers).first().cells) == ["pw", "secret"]
+    with pytest.raises(Exception, match="need a reader"):
+        SRC.read_cells(spark, at("e.xlsx"), "pw").collect()
+
+
+def test_gap_clusters_across_days_and_null_keys(spark):
+    import random
+
+    r = random.Random(2)
+    rows = [(i, r.choice(["hot", "hot", "hot", "b", None]), AT + dt.timedelta(minutes=r.randrange(60 * 24 * 6))) for i in range(600)] + [(600 + i, "n", None) for i in range(3)]
+    rows += [(700, "edge", AT.replace(hour=23, minute=55)), (701, "edge", AT.replace(day=2, hour=0, minute=5)), (702, "edge", AT.replace(day=2, hour=0, minute=16)), (703, "edge", AT.replace(day=4))]
+    df = spark.createDataFrame(rows, "row_id int, k string, t timestamp")
+    got = {x.row_id: x.cluster for x in D.gap_clusters(df, ["k"], "t", "10 minutes").collect()}
+    want = {}
+    for key in {k for _, k, _ in rows}:
+        last, n = None, 0
+        for i, _, t in sorted((x for x in rows if x[1] == key), key=lambda x: (x[2] or dt.datetime.min, x[0])):
+            if n == 0 or t is not None and (last is None or t > last + dt.timedelta(minutes=10)):
+                n += 1
+            last, want[i] = t, n
+    assert got == want
+
+
+def test_bulk_ingest_keeps_bad_rows_apart(spark, tmp_path):
+    ledger = ST.Ledger(spark, f"file://{tmp_path}/ledger")
+    body = "A/c X1234 debited by 120.0 on 1Jan trf to Alda Refno 123456789012"
+    rows = [("1", "d", "JD-SBIUPI-S", body, "1767225600000", ""), ("1", "d", "JD-SBIUPI-S", body, "1767225600000", ""), ("2", None, "AD-X", "see you", "1767225600009", ""), (None, "d", "AD-X", "x", "1", ""), ("3", "d", "AD-X", None, "soon", ""), ("4", "d", "AD-X", "y", " ", "")]
+    df = spark.createDataFrame(rows, LEDGER)
+    tallies, failed = ledger.ingest(df)
+    assert tuple(tallies.first()) == (6, 2, 1, 1, 3)
+    assert {(r.id, tuple(r.errors)) for r in failed.collect()} == {(None, ("no id",)), ("3", ("no body", "unreadable time")), ("4", ("no time",))}
+    tallies, _ = ledger.ingest(df)
+    assert tallies.first().transactions_created == 0 and ledger.table("raw_sms").count() == 2 and ledger.table("checkpoints").count() == 1
+    given = ST.to_transactions(spark.createDataFrame([("A", 5.0, "DEBIT", "R", AT, True), ("A", None, "CREDIT", None, None, True)], "bank string, amount double, direction string, ref_id string, event_time timestamp, is_financial boolean").withColumns({"recipient_name": F.lit("x"), "upi_id": F.lit(None).cast("string"), "transaction_mode": F.lit("UPI")}))
+    tallies, failed = ledger.create(given)
+    assert tuple(tallies.first()) == (2, 1, 1) and list(failed.first().errors) == ["no amount", "no date"] and ledger.table("transactions").count() == 2
+
+
+def test_message_run_is_written_with_bad_rows(spark, tmp_path):
+    from tallyloom.plans.messages import write_run
+
+    rows = [("1", "AD-X", "see you", "2026-01-01T00:00:00", 1), ("2", "AD-X", "bad", "soon", 2), ("3", "AD-X", "worse", None, 3)]
+    run = run_messages(spark.createDataFrame(rows, "id string, sender string, body string, timestamp_ms string, row_id int"))
+    for kind in ("csv", "parquet"):
+        write_run(run, f"{tmp_path}/{kind}", kind)
+        bad = spark.read.option("header", True).format(kind).load(f"{tmp_path}/{kind}/bad")
+        assert {(r.id, r.reason) for r in bad.collect()} == {("2", "unreadable time"), ("3", "no time")}
+    with pytest.raises(ValueError):
+        write_run(run, "x", "xlsx")
+
+
+def test_uploads_and_rerun(spark, tmp_path, capsys):
+    from tallyloom.plans.rerun import main
+    from tallyloom.sources import uploads as U
+
+    root, out = f"{tmp_path}/up", f"{tmp_path}/out"
+    assert main([root, "--out", out], spark) == 1
+    path = U.keep_upload(spark, root, "../../my file?.csv", b"Date,Details,Debit,Credit,Balance\n01/01/2026,DEP TFR UPI/CR/551234/MERIDA/HDFC/shop77 2002 AT,,5,5\n", AT)
+    name = path.rsplit("/", 1)[1]
+    assert name == "20260101_000000_000000_my_file_.csv" and U.resolve(spark, root, name) == path and U.clean_name("..") == "file"
+    for bad in ("../x", "a/b", "no.csv"):
+        with pytest.raises((ValueError, FileNotFoundError)):
+            U.resolve(spark, root, bad)
+    assert main([root, "--out", out], spark) == 0 and "1 rows" in capsys.readouterr().out
+    assert spark.read.option("header", True).csv(f"{out}/{name}").first().Recipient_Name == "MERIDA"
+    U.keep_upload(spark, root, "b.csv", b"", AT)
+    assert main([root, "--out", out], spark) == 1 and "b.csv" in capsys.readouterr().out
+    assert main([root, "20260101_000000_000000_b.csv", "--out", out], spark) == 1
+
+
+def test_database_tables(spark, tmp_path):
+    from tallyloom.sources.database import append_table, read_table
+
+    rows = spark.createDataFrame([(1, "SBI"), (2, "HDFC")], "id int, bank_name string")
+    assert read_table(spark, "accounts", None) is None and append_table(rows, "accounts", "") is False
+    url = f"jdbc:derby:{tmp_path}/db;create=true"
+    assert append_table(rows, "accounts", url) and append_table(rows.limit(1), "accounts", url)
+    assert [r.bank_name for r in read_table(spark, "accounts", url).filter("id = 1").collect()] == ["SBI", "SBI"]
+
+
+def test_streamed_resends_and_daily_totals(spark, tmp_path):
+    day = AT.replace(hour=10)
+    rows = [("1", "pay", "t1", day, "DEBIT", 5.0), ("2", "pay", "t1", day, "DEBIT", 5.0), ("3", "pay", "t2", day, "CREDIT", 7.0), ("4", "other", "t1", day + dt.timedelta(days=1), "DEBIT", 2.0), ("5", "x", "t9", None, "DEBIT", 1.0)]
+    df = spark.createDataFrame(rows, "id string, body string, timestamp_ms string, event_time timestamp, direction string, amount double")
+    df.filter("id <> '4'").coalesce(1).write.parquet(f"{tmp_path}/in")
+
+    def drain(stream, name, mode):
+        stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", f"{tmp_path}/{name}").trigger(availableNow=True).start().awaitTermination()
+        return spark.table(name)
+
+    source = lambda: spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in")
+    assert sorted(r.id for r in drain(STR.without_resends(source()), "resends", "append").collect()) in (["1", "3"], ["2", "3"])
+    df.filter("id = '4'").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    totals = drain(STR.daily_totals(source()), "totals", "complete").collect()
+    assert {(str(r.day.start)[:10], r.direction): (r.n, r.total) for r in totals} == {("2026-01-01", "DEBIT"): (2, 10.0), ("2026-01-01", "CREDIT"): (1, 7.0), ("2026-01-02", "DEBIT"): (1, 2.0)}
+
+
+def test_streamed_batches_append_no_raw_row_twice(spark, tmp_path):
+    ledger, src = ST.Ledger(spark, f"file://{tmp_path}/ledger"), tmp_path / "in"
+    src.mkdir()
+    line = lambda i, device: f'{{"id":"{i}","sender":"AD-X","body":"see you","timestamp_ms":"1767225600000","timestamp_human":""{device}}}'
+    for name in ("a.json", "b.json"):
+        (src / name).write_text("\n".join([line(1, ',"device_id":"d"'), line(1, ',"device_id":"d"'), line(2, "")]))
+        STR.to_ledger(STR.message_stream(spark, str(src)), ledger, f"{tmp_path}/cp").awaitTermination()
+    assert sorted((r.id, r.device_id or "") for r in ledger.table("raw_sms").collect()) == [("1", "d"), ("2", "")]
+    assert ledger.table("checkpoints").count() == 1
