@@ -70,6 +70,11 @@ def text_profile(df: DataFrame, text: str, sender: str, time: str) -> DataFrame:
     )
 
 
+def top_senders(df: DataFrame, sender: str = "sender", k: int = 10) -> DataFrame:
+    """(sender, n): the senders of most messages, beside ``text_profile``."""
+    return top_k(df, sender, k)
+
+
 def confidence_bands(df: DataFrame, confidence: str = "classification_confidence") -> DataFrame:
     x = c(confidence)
     band = F.when(x >= 0.9, "high").when(x >= 0.75, "medium").otherwise("low")

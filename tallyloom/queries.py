@@ -546,6 +546,18 @@ def topk_recipients(spark, d):
     return R.top_k(table(spark, d, "orders"), "o_custkey", 20)
 
 
+@query("SELECT source, count(*) AS n FROM documents WHERE source IS NOT NULL GROUP BY 1 ORDER BY n DESC, source LIMIT 10")
+def top_senders(spark, d):
+    return R.top_senders(table(spark, d, "documents"), "source")
+
+
+@query(f"""SELECT CASE WHEN n <= 1 THEN '1' WHEN n <= 5 THEN '2-5' WHEN n <= 10 THEN '6-10' WHEN n <= 35 THEN '11-35' WHEN n <= 50 THEN '36-50' ELSE '>50' END AS bucket, count(*) AS keys
+FROM (SELECT coalesce(CASE WHEN o_custkey % 3 > 0 THEN 'Payee ' || CAST(o_custkey AS VARCHAR) END, CAST(o_orderkey AS VARCHAR)) AS k, count(*) AS n FROM orders GROUP BY 1) GROUP BY 1""")
+def transaction_keys(spark, d):
+    payee = F.when(F.col("o_custkey") % 3 > 0, F.concat(F.lit("Payee "), F.col("o_custkey").cast("string")))
+    return R.frequency_histogram(table(spark, d, "orders").select(T.transaction_key(payee, F.col("o_orderkey")).alias("k")), "k")
+
+
 @query("SELECT count(*) AS messages, min(doc_id) AS first_time, max(doc_id) AS last_time, count(DISTINCT source) AS senders, CAST(min(length(text)) AS INTEGER) AS shortest, CAST(max(length(text)) AS INTEGER) AS longest, round(avg(length(text)), 4) AS mean_length, count(*) FILTER (WHERE text IS NULL) AS null_texts FROM documents")
 def text_profile(spark, d):
     return R.text_profile(table(spark, d, "documents"), "text", "source", "doc_id")
@@ -563,6 +575,18 @@ def null_profile(spark, d):
     return R.null_profile(rows, ["quality", "lang"])
 
 
+@query(f"""SELECT count(*) AS total, count(*) FILTER (WHERE hit) AS reference_match, count(*) FILTER (WHERE NOT hit AND n = 1) AS date_match, count(*) FILTER (WHERE NOT hit AND n > 1) AS ambiguous, count(*) FILTER (WHERE NOT hit AND n = 0) AS absent
+FROM (SELECT l.left_id, EXISTS (SELECT 1 FROM r WHERE r.ref_norm = l.ref_norm) AS hit, coalesce(k.n, 0) AS n FROM l LEFT JOIN (SELECT day, amount, direction, count(*) AS n FROM r GROUP BY ALL) k USING (day, amount, direction))""".replace("FROM (SELECT l", f"FROM (WITH l AS ({_LEFT}), r AS ({_RIGHT}) SELECT l", 1))
+def cross_check(spark, d):
+    return L.cross_check(*_sides(spark, d))
+
+
+@query("SELECT event_id, ts FROM events WHERE value > 50 ORDER BY ts DESC, event_id LIMIT 5")
+def latest_financial(spark, d):
+    rows = table(spark, d, "events").select("event_id", "ts", F.col("event_id").alias("id"), F.col("ts").alias("event_time"), (F.col("value") > 50).alias("is_financial"))
+    return R.latest_financial(rows).select("event_id", "ts")
+
+
 @query()
 def validation_metrics(spark, d):
     return R.validation_metrics(S.parse_messages(messages(spark, d)))

@@ -70,7 +70,7 @@ def _amount(text):
 def test_amount_against_plain_python(spark):
     texts = [
         "", "nothing", "Rs.5", "Rs., then INR 7", "Avl Bal Rs.900 then paid Rs.20", "Rs.1,000.50 paid. Avl Bal Rs.9,999.00", "balance is INR 500. INR 500 sent",
-        "Rs.10" + " x" * 100 + " refund of Rs.20", "₹3 ₹4 salary ₹5", "debited by 44 and credited with 55", "Avl Bal Rs 642.92 Rs 642.92 debited", "😀 Rs.8 paid " + "y" * 500 + " Rs.9",
+        "Rs.10" + " x" * 100 + " refund of Rs.20", "Offer up to Rs.900 for you" + " z" * 40 + " a/c debited by Rs.35.50 today", "Limit Rs.5000 " + "w" * 80 + " INR 60 spent at MERIDA", "₹3 ₹4 salary ₹5", "debited by 44 and credited with 55", "Avl Bal Rs 642.92 Rs 642.92 debited", "😀 Rs.8 paid " + "y" * 500 + " Rs.9",
     ]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
     got = [r[0] for r in df.orderBy("i").select(S.transaction_amount("t")).collect()]
@@ -79,12 +79,23 @@ def test_amount_against_plain_python(spark):
 
 def test_narrations(spark):
     rows = [
-        ("DEP TFR UPI/CR/123456/ALICE/HDFC/upi123 1001 AT", ("DEP TFR", "UPI", "CR", "123456", "ALICE", "HDFC", "upi123", None)),
+        ("DEP TFR UPI/CR/551234/MERIDA/HDFC/shop77 2002 AT", ("DEP TFR", "UPI", "CR", "551234", "MERIDA", "HDFC", "shop77", None)),
         ("WDL TFR UPI/DR/1/BOB X/icic/b@ybl 4897/Food", ("WDL TFR", "UPI", "DR", "1", "BOB X", "ICIC", "b@ybl", "Food")),
         ("DEP TFR NEFT*HDFC0001*N12*ACME CO 001234567 AT 1", ("DEP TFR", "NEFT", "CR", "N12", "ACME CO", "HDFC", None, None)),
         ("CLEARING / CHEQUE 12", (None, "CHEQUE", None, None, "CHEQUE_CLEARING", None, None, None)),
         ("ATM WDL ATM CASH 12 34 + MAIN  ROAD", ("WDL TFR", "ATM", "DR", None, "ATM_WITHDRAWAL", None, None, "MAIN ROAD")),
         ("WDL TFR X/Y 12 RTGS 1234567", ("WDL TFR", "RTGS", "DR", "1234567", "Y 12 RTGS 1234567", None, None, "Y")),
+        ("DEP TFR IMPS/000000000007/SBI-xx123-NORDLYS /NA 000123456 AT 00123", ("DEP TFR", "IMPS", "CR", "000000000007", "NORDLYS", "SBI", None, None)),
+        ("WDL TFR INB IMPS000000000008/P2A/XX999/ NORDLYS 0001234567 AT 01", ("WDL TFR", "IMPS", "DR", "000000000008", "NORDLYS", None, None, None)),
+        ("WDL TFR UPI/000000000009/REVERSAL", ("WDL TFR", "UPI", "DR", "000000000009", "REVERSAL", None, None, None)),
+        ("DEP TFR UPI/REV/000000000010 AT 1", ("DEP TFR", "UPI", "CR", "000000000010", "REVERSAL", None, None, None)),
+        ("DEBIT ATMCard AMC 2024", ("WDL TFR", "FEE", "DR", None, "BANK_FEE", None, None, None)),
+        ("INTERES T CREDIT", ("DEP TFR", "INTEREST", "CR", None, "INTEREST_CREDIT", None, None, None)),
+        ("DEBIT PMJJBY UPTO 31-05 CIF: 000000000011", ("WDL TFR", "INSURANCE", "DR", None, "INSURANCE_PREMIUM", None, None, None)),
+        ("POS ATM PURCH OTHPG 123456 BIG NORDLYS", ("WDL TFR", "POS", "DR", None, "BIG NORDLYS", None, None, None)),
+        ("WDL TFR 123 OF NORDLYS AT 1234", ("WDL TFR", "INB", "DR", None, "NORDLYS", None, None, None)),
+        ("WDL TFR INB NORDLYS SHOP 00012345 OF", ("WDL TFR", "INB", "DR", None, "NORDLYS SHOP", None, None, None)),
+        ("Cash Deposit 000000000012", (None, "Cash Deposit", None, "000000000012", None, None, None, None)),
         (None, (None,) * 8),
     ]
     df = spark.createDataFrame([(i, n) for i, (n, _) in enumerate(rows)], "i int, Description string")
@@ -116,3 +127,32 @@ def test_token_sort_ratio(spark):
     assert all(lcs_length(a, b) == lcs(a, b) for a, b in pairs)
     df = spark.createDataFrame(pairs, "a string, b string")
     assert sorted(r[0] for r in df.select(token_sort_ratio("a", "b")).collect()) == sorted(token_sort_ratio_py(a, b) for a, b in pairs)
+
+
+def test_amounts_that_are_not_the_first(spark):
+    """Written out by hand: an amount near a verb beats an earlier one that has none; a balance never counts."""
+    texts = [("Offer up to Rs.900 for you" + " z" * 40 + " a/c debited by Rs.35.50 today", 35.5), ("Avl Bal Rs.900 then paid Rs.20", 20.0), ("Rs.10" + " x" * 100 + " refund of Rs.20", 20.0), ("Rs.7 paid, Rs.8 paid", 7.0)]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "i int, t string")
+    assert [r[0] for r in df.orderBy("i").select(S.transaction_amount("t")).collect()] == [x for _, x in texts]
+
+
+def test_categories_and_coarse_labels_by_hand(spark):
+    from tallyloom.functions.categories import heuristic_category, keyword_sql
+    from tallyloom.functions.dialect import SPARK
+
+    words = {"Swiggy order": "Food", "uber ride": "Transport", "electricity": "Utilities", "school": "Education", "hospital": "Healthcare"}
+    df = spark.createDataFrame(list(words.items()), "t string, want string")
+    got = {r.t: r.c for r in df.select("t", F.expr(keyword_sql(SPARK, "t")[0]).alias("c")).collect()}
+    assert len(set(got.values())) == len(words) and all(got.values())
+    labels = {
+        ("123456 is your OTP", "AD-X"): "OTP", ("Play Rummy now", "AD-X"): "SPAM", ("hello", "+919876543210"): "SPAM", ("free offer and discount", "AD-X"): "PROMOTIONAL", ("one offer", "AD-X"): "UNKNOWN",
+        ("Rs. 500 failed and reversed", "AD-X"): "FAILED_TRANSACTION", ("Your electricity bill is ready, payment due", "AD-X"): "SERVICE_NOTIFICATION", ("a/c debited by Rs.50", "AD-X"): "TRANSACTION", ("", None): "UNKNOWN",
+    }
+    rows = spark.createDataFrame([(b, s) for b, s in labels], "body string, sender string")
+    assert {(r.body, r.sender): r.x for r in rows.select("body", "sender", S.coarse_label("body", "sender").alias("x")).collect()} == labels
+    refs = {" ab-12.0": "AB12", "nan": None, "None": None, "": None, "Ref/7": "REF7", "12.0": "12", "1.05": "105", "--": None}
+    rows = spark.createDataFrame([(x,) for x in refs], "r string")
+    assert {r.r: r.x for r in rows.select("r", T.clean_ref("r").alias("x")).collect()} == refs
+    names = spark.createDataFrame([("ZOMATO ONLINE",), ("Alda Brev",), ("",)], "p string")
+    kinds = [r.h for r in names.select(heuristic_category("p", ["ALDA"], []).alias("h")).collect()]
+    assert all(k.category for k in kinds) and kinds[0].category != kinds[1].category
