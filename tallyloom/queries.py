@@ -628,7 +628,16 @@ def statement_pipeline(spark, d):
     return normalize_statements(rows, ["account"])
 
 
-@query()
+#: Runs of one amount with no step of six hours or more (a session ends six hours after its last row); phones tell rows
+#: apart if a run has several, else the first row stands for the run.
+_SESSIONS = """WITH e AS (SELECT CAST(event_id AS VARCHAR) AS id, CAST(user_id AS DOUBLE) AS amount, ts, list_filter(regexp_extract_all(props, '\\b(9\\d{9})\\b', 1), lambda x: x <> '9223008333')[1] AS phone FROM events),
+f AS (SELECT *, CASE WHEN lag(ts) OVER w IS NULL OR ts >= lag(ts) OVER w + INTERVAL 6 HOURS THEN 1 ELSE 0 END AS fresh FROM e WINDOW w AS (PARTITION BY amount ORDER BY ts, id)),
+r AS (SELECT *, sum(fresh) OVER (PARTITION BY amount ORDER BY ts, id ROWS UNBOUNDED PRECEDING) AS run FROM f),
+b AS (SELECT *, min(ts) OVER k AS run_start, CASE WHEN min(phone) OVER k <> max(phone) OVER k THEN phone ELSE '' END AS branch FROM r WINDOW k AS (PARTITION BY amount, run))
+SELECT run_start, amount, id FROM (SELECT *, row_number() OVER (PARTITION BY amount, run, branch ORDER BY ts, id) AS n FROM b WHERE branch IS NOT NULL) WHERE n = 1"""
+
+
+@query(_SESSIONS)
 def stream_session_dedup(spark, d):
     """The batch form of the streaming session rule over the same rows."""
     from .streaming.ingest import session_transactions
@@ -733,7 +742,16 @@ def coarse_labels(spark, d):
     return messages(spark, d).select("o_orderkey", S.coarse_label("body", "sender").alias("label"))
 
 
-@query()
+def _first_of(patterns: list[str]) -> str:
+    return "coalesce(" + ", ".join(CHECK.extract("t", p, 1, True) for p in patterns) + ")"
+
+
+_HIT = lambda p: CHECK.rlike("t", p, True)
+_ENTITY = CHECK.case([(f"{_HIT(chr(92) + 'bUPI' + chr(92) + 'b')} AND {_HIT(P.CREDIT)}", "'UPI_CREDIT'"), (_HIT(r"\bUPI\b"), "'UPI_DEBIT'"), *[(_HIT(rf"\b{w}\b"), f"'{v}'") for w, v in (("IMPS", "IMPS"), ("NEFT", "NEFT"), ("ATM", "ATM"), ("YONO", "YONO_TRANSFER"))]], "'BANK_TRANSACTION'")
+
+
+@query(f"""SELECT o_orderkey, {_FIRST.replace('body', 't')} AS e_amount, {S.gate_direction(CHECK, 't')} AS e_direction, {CHECK.extract('t', P.REF, 1, True)} AS e_ref, substr(trim({_first_of(S._OLD_PAYEE)}), 1, 80) AS e_merchant,
+right(coalesce({CHECK.extract('t', P.ACCOUNT, 1, True)}, {CHECK.extract('t', P.ACCOUNT, 2, True)}), 4) AS e_account, {_UPI_SQL.replace('body', 't')} AS e_upi, {_ENTITY} AS e_type FROM (SELECT o_orderkey, trim(regexp_replace(body, '\\s+', ' ', 'g')) AS t FROM {_MESSAGES})""")
 def coarse_entities(spark, d):
     rows = S.coarse_entities(messages(spark, d))
     return rows.select("o_orderkey", *[x for x in rows.columns if x.startswith("e_")])

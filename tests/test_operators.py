@@ -82,6 +82,45 @@ def test_fuzzy_against_global_clustering(spark):
     assert set(got) == set(names)
 
 
+def test_complete_linkage_against_plain_merging(spark):
+    """Every pair of clusters compared anew in each round, with a plain longest common subsequence."""
+    import random
+
+    def lcs(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            last = 0
+            for j, y in enumerate(b):
+                last, row[j + 1] = row[j + 1], last + 1 if x == y else max(row[j + 1], row[j])
+        return row[-1]
+
+    def distance(a, b):
+        x, y = (next((w for w in n.split() if w not in ("MR", "DR")), "") for n in (a, b))
+        if x and y and not x.startswith(y) and not y.startswith(x):
+            return 100.0
+        a, b = (" ".join(sorted(n.split())) for n in (a, b))
+        return 100.0 - 200.0 * lcs(a, b) / (len(a) + len(b))
+
+    r = random.Random(12)
+    names = sorted({" ".join(r.sample(["ALDA", "BREV", "BREVE", "CORIN", "VELL", "VELLE", "MR"], r.choice([1, 2, 2, 3]))) + r.choice(["", "X", "EX"]) for _ in range(45)}, key=lambda n: r.random())
+    counts = [r.randrange(1, 4) for _ in names]
+    for threshold in (90.0, 75.0):
+        clusters = [[i] for i in range(len(names))]
+        while True:
+            far = [(max(distance(names[i], names[j]) for i in a for j in b), min(a), min(b)) for k, a in enumerate(clusters) for b in clusters[k + 1 :]]
+            d, i, j = min(far, default=(1e9, 0, 0))
+            if d > 100.0 - threshold + 1e-9:
+                break
+            x, y = (next(c for c in clusters if min(c) == k) for k in (i, j))
+            clusters = sorted([c for c in clusters if c is not x and c is not y] + [x + y], key=min)
+        want = {}
+        for c in clusters:
+            best = min(c, key=lambda i: (-counts[i], len(names[i]), i))
+            want |= {names[i]: names[best] for i in c}
+        df = spark.createDataFrame([("", n, counts[i], i) for i, n in enumerate(names)], "key string, name string, n int, first int")
+        assert {x.name: x.canonical for x in RES.fuzzy_mapping(df, threshold).collect()} == want
+
+
 def test_resolver_and_merges(spark):
     rows = [(0, "Alda_Brev", "a@x"), (1, "ALDA BREV", "a@x"), (2, "ALDA BRE V", None), (3, "REVERSAL", "a@x"), (4, None, None), (5, "CORIN VELLAR", None), (6, "CORIN V", None), (7, "CORIN VELLUM", None), (8, "MERIDA", None), (9, "MERIDA SHOP", None)]
     df = spark.createDataFrame(rows, "row_id int, Recipient_Name string, UPI_ID string")
