@@ -83,6 +83,7 @@ NARRATION = {
 }
 MODE_WORDS = ["UPI", "INB", "IMP", "NEFT", "RTGS", "Cheque", "Cash Deposit", "Cash Withdrawal", "POS", "DD", "SWIFT", "Wire Transfer", "ECS", "Bill Pay", "M-wallet", "EMI", "EFT", "ACH"]
 CIF = r"(?i)\bCIF\s*:?\s*\d+"
+# Labels that stand for a payee, titles, and the modes a ledger knows.
 SENTINELS = ["UNKNOWN", "PHONE_TRANSFER", "ATM_WITHDRAWAL", "BANK_FEE", "INTEREST_CREDIT", "INSURANCE_PREMIUM", "CHEQUE_CLEARING", "REVERSAL"]
 TITLES = ["MR", "MRS", "MS", "MISS", "DR"]
 LEDGER_MODES = ["UPI", "INB", "NEFT", "IMPS", "CARD", "CASH", "NETBANKING", "ACH", "ATM", "POS", "RTGS"]
@@ -120,11 +121,13 @@ BRANDS = (
     r"|DOMINOS?|MCDONALD|\bKFC\b|STARBUCKS|BHARTIPAY|BHARATPE|MOBIKWIK|RAZORPAY|\bSLICE\b|GROUPON|PIZZA ?HUT|SUBWAY|BURGER ?KING|CCD\b|CAFE ?COFFEE|HALDIRAM|AMUL|NESTLE"
     r"|CRED\b|CCAVENUE|AVENUES|VODAFONE|\bVI\b|IDEA\b)"
 )
+# Institutions, routing and machine codes, income, labels that name no one.
 INSTITUTIONS = r"\bIITM\b|\bIIT\b|\bW ?RLY\b|RAILWAY|\bRLY\b|METR"
 ROUTING_CODE, ATM_CODE, INCOME = r"\bCBSSB", r"^ATM|\bATM\b", r"\bSTIPEND\b|\bSALARY\b|\bPAYROLL\b|\bDIVIDEND\b"
 GENERIC_LABELS = ["BILLPAY", "LOANREPAYMENT", "LOANREP", "TRANSFER", "TRANSFR", "IMPSTRANSFER", "IMPSTRAN", "FAMILY", "FRIENDS", "SELF", "CASHDEPOSIT"]
 GARBAGE = r"CHEQUE|\bCSB\b|^MMRDA$|^SBIMOPS$|^UNKNOWN$|^NAN$"
 NO_PAYEE = ["PHONE_TRANSFER", "UNKNOWN", "NAN", ""]
+# Payee words and the category of each, in order.
 PAYEE_CATEGORIES = [
     ("Food / Dine Out", r"ZOMATO|SWIGGY|HOTEL|RESTAURAN|CAFE|KITCHEN|FOOD|SWEET|JUICE|DAIRY|BURGER|ROLLS|BAKER|SNACKS?|MCDONALD|KFC|STARBUCKS|DOMINOS?|CHANA ?BHANDAR|PIZZA|SHARBAT|WALE|DHABA|BHEL|VADA ?PAV|SUBWAY|CCD|CAFE ?COFFEE|HALDIRAM|AMUL|NESTLE"),
     ("Medical", r"PHARMAC|MEDICAL|CLINIC|HOSPITAL\b|DIAGNOSTIC|CHEMIS|MEDIC\b"),
