@@ -91,10 +91,21 @@ def search(queries: np.ndarray, query_ids: np.ndarray, buckets: Iterator[tuple[n
             scores = products(vectors, queries[block])
             for q, s in zip(block.tolist(), scores, strict=True):
                 _take(best, q, query_ids[q], s, ids)
-        for q in seeded.tolist():
+        need = best.least[seeded] - np.abs(best.least[seeded]) * _SLACK - _SLACK
+        sharp = (need > 0) & (need >= COORDINATE_FROM * q_norms[seeded] * norms[0])
+        for q in seeded[sharp].tolist():
             rows = local_candidates(vectors, norms, queries[q], q_norms[q], best.least[q])
             if len(rows):
                 _take(best, q, query_ids[q], products(vectors[rows], queries[q : q + 1])[0], ids[rows])
+        # small local thresholds prune by length alone: many queries share one product over the longest of their prefixes
+        with np.errstate(divide="ignore"):
+            shortest = np.where(need > 0, need / q_norms[seeded], -1.0)
+        blunt, prefix = seeded[~sharp], np.searchsorted(-norms, -shortest[~sharp], "right")
+        for i in range(0, len(blunt), 256):
+            block, top = blunt[i : i + 256], int(prefix[i : i + 256].max(initial=0))
+            scores = products(vectors[:top], queries[block])
+            for k in np.flatnonzero((scores >= best.least[block][:, None]).any(1)).tolist():
+                _take(best, int(block[k]), query_ids[block[k]], scores[k], ids[:top])
     return best
 
 
@@ -213,10 +224,9 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 20) -> DataFrame:
     norm: Column = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
     checked = F.when(norm >= TOO_LONG, F.raise_error(F.lit("a vector is too long for products of 64 bits")).cast("double")).otherwise(norm)
     rows = lambda df: df.select("id", "v").filter(F.col("id").isNotNull() & fine(F.col("v"))).distinct().withColumn("norm", checked)
-    q, c = rows(queries), rows(candidates)
-    size = lambda df: df.agg(F.count("*").alias("n"), F.max("norm").alias("longest")).first()["n"]
-    blocks = max(1, -(-size(q) // QUERY_BLOCK))
-    stripes = max(1, -(-size(c) // STRIPE), -(-GROUPS // blocks))
+    q, c = ws.table(rows(queries), "queries"), ws.table(rows(candidates), "candidates")
+    blocks = max(1, -(-q.count() // QUERY_BLOCK))
+    stripes = max(1, -(-c.count() // STRIPE), -(-GROUPS // blocks))
     seeds = ws.table(c.orderBy(F.col("norm").desc(), "id", "v").limit(SEEDS), "seeds")
     q = q.drop("norm")
     first = _best(_met(q.withColumn("least", F.lit(float("-inf"))), seeds, blocks, 1, k), k).select(F.col("query_id").alias("qid"), (-F.try_element_at("b", F.lit(k))["s"]).cast("double").alias("known"))
