@@ -6,6 +6,7 @@ in both engines; everything after that is each engine's own.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -23,7 +24,7 @@ from .operators import link as L
 from .operators import report as R
 from .operators import resolve as RES
 from .operators import store as ST
-from .session import table
+from .session import cut, shared_dir, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -885,3 +886,85 @@ def last_write_wins(spark, d):
     linked = o.select(F.col("o_custkey").alias("matched_id"), F.col("o_orderstatus").alias("recipient_name"), F.lit("backfilled").alias("outcome"), F.col("o_orderkey").alias("event_time"), F.col("o_orderkey").alias("row_id"))
     right = o.select(F.col("o_custkey").alias("right_id")).distinct().withColumn("Recipient_Name", F.lit(None).cast("string"))
     return L.backfill_names(right, linked).select(F.col("right_id").alias("o_custkey"), F.col("Recipient_Name").alias("name"))
+
+
+# ---- files and the stored ledger -----------------------------------------------------------------------------------
+def _folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/tallyloom-{name}-{uuid.uuid4().hex[:12]}"
+
+
+def _kept(df: DataFrame, *folders: str) -> DataFrame:
+    """``df`` written aside, and the folders it was read from removed."""
+    out = cut(df)
+    for folder in folders:
+        p = df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+        p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
+    return out
+
+
+@query(f"""SELECT CAST(o_orderkey AS VARCHAR) AS ref, strftime(o_orderdate, '%Y-%m-%d') AS day, CASE WHEN o_orderkey % 17 = 10 THEN 'DEBIT PMJJBY UPTO 31-05 CIF: [REDACTED]' ELSE trim(regexp_replace(n, ' +', ' ', 'g')) END AS description,
+CASE WHEN o_orderkey % 2 = 0 THEN o_totalprice ELSE 0 END AS debit, CASE WHEN o_orderkey % 2 = 1 THEN o_totalprice ELSE 0 END AS credit, CASE WHEN o_orderkey % 2 = 1 THEN o_totalprice ELSE -o_totalprice END AS amount FROM {_NARRATED}""")
+def statement_files(spark, d):
+    """Narrations written as quoted CSV files, eight or fewer, with a line end in every cell of text; located, read and cleaned."""
+    from .plans.statements import load_statements, normalize_statements
+
+    folder, even = _folder(spark, "statements"), F.col("o_orderkey") % 2 == 0
+    money = F.format_number("o_totalprice", 2)
+    rows = narrated(spark, d).select(
+        F.date_format("o_orderdate", "dd/MM/yyyy").alias("Date"), F.concat("n", F.lit("\n")).alias("Details"), F.col("o_orderkey").cast("string").alias("Ref No/Cheque No"),
+        F.when(even, money).otherwise("").alias("Debit"), F.when(even, "").otherwise(money).alias("Credit"), money.alias("Balance"),
+    )
+    rows.coalesce(8).write.option("header", True).option("quoteAll", True).option("escape", '"').csv(folder)
+    raw, _ = load_statements(spark, [f"{folder}/*.csv"])
+    clean = normalize_statements(raw, resolve=False)
+    out = clean.select(F.col("`Reference No./Cheque No.`").alias("ref"), F.col("Transaction_Date").cast("string").alias("day"), F.col("Description").alias("description"), *[F.col(x).cast("double").alias(x.lower()) for x in ("Debit", "Credit", "Amount")])
+    return _kept(out, folder)
+
+
+@query(f"""SELECT CAST(o_orderkey AS VARCHAR) AS id, sender, body || chr(10) || '"so", they said' AS body, strftime(o_orderdate, '%Y-%m-%d') AS date FROM {_MESSAGES}""")
+def message_files(spark, d):
+    """Messages written as CSV with line ends and quotes in their bodies and sent twice; read, appended and cleaned."""
+    from .sources.files import append_messages, read_messages
+
+    folder = _folder(spark, "messages")
+    body = F.concat("body", F.lit('\n"so", they said'))
+    raw = messages(spark, d).select(F.col("o_orderkey").cast("string").alias("id"), "sender", body.alias("body"), (F.unix_millis(F.col("o_orderdate").cast("timestamp")) + F.col("o_orderkey") % 1000).cast("string").alias("timestamp_ms"), F.lit("").alias("timestamp_human"), F.lit("d").alias("device_id"))
+    raw.coalesce(4).write.option("header", True).option("quoteAll", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(f"{folder}/csv")
+    read = read_messages(spark, f"{folder}/csv").withColumn("body", F.concat("body", F.lit(" #"), "id"))
+    for _ in range(2):
+        append_messages(read, f"{folder}/raw")
+    clean = D.structural_clean(D.with_row_id(spark.read.parquet(f"{folder}/raw")))
+    out = clean.select("id", "sender", F.regexp_replace("body", r" #\d+\z", "").alias("body"), F.col("date").cast("string").alias("date"))
+    return _kept(out, folder)
+
+
+def _raw_messages(spark: SparkSession, d: str) -> DataFrame:
+    return messages(spark, d).select(F.col("o_orderkey").cast("string").alias("id"), "sender", "body", F.when(F.col("o_orderkey") % 16 == 14, "soon").otherwise(F.unix_millis(F.col("o_orderdate").cast("timestamp")).cast("string")).alias("timestamp_ms"), F.lit("").alias("timestamp_human"), (F.col("c_custkey") % 9).cast("string").alias("device_id"))
+
+
+@query(f"""SELECT coalesce(bank, 'UNKNOWN') AS bank, ref_id AS ref, strftime(o_orderdate, '%Y-%m-%d') AS day, CASE direction WHEN 'DEBIT' THEN -amount ELSE amount END AS amount, CASE direction WHEN 'DEBIT' THEN amount ELSE 0 END AS debit, CASE direction WHEN 'DEBIT' THEN 0 ELSE amount END AS credit,
+coalesce(transaction_mode, 'OTHER') AS mode, CASE direction WHEN 'DEBIT' THEN 'DR' ELSE 'CR' END AS sign, recipient_name AS payee, upi_id AS upi FROM {_PARSED_SQL} WHERE paid""")
+def stored_ledger(spark, d):
+    """All messages ingested twice into an empty ledger; its transactions with their accounts and recipients."""
+    folder = _folder(spark, "ledger")
+    ledger = ST.Ledger(spark, folder)
+    for _ in range(2):
+        ledger.ingest(_raw_messages(spark, d))
+    t = ledger.table("transactions").join(ledger.table("accounts").select(F.col("id").alias("account_id"), "bank_name"), "account_id")
+    t = t.join(ledger.table("recipients").select(F.col("id").alias("recipient_id"), "name", "upi_id"), "recipient_id", "left")
+    money = [F.col(x).cast("double").alias(x) for x in ("amount", "debit", "credit")]
+    return _kept(t.select(F.col("bank_name").alias("bank"), F.col("transaction_reference").alias("ref"), F.col("transaction_date").cast("string").alias("day"), *money, F.col("transaction_mode").alias("mode"), F.col("dr_cr_indicator").alias("sign"), F.col("name").alias("payee"), F.col("upi_id").alias("upi")), folder)
+
+
+@query(f"""SELECT 1 AS run, count(*) AS total, count(*) FILTER (WHERE paid) AS financial, count(*) FILTER (WHERE NOT paid AND i <> 14) AS non_financial, count(*) FILTER (WHERE paid) AS transactions_created, count(*) FILTER (WHERE i = 14) AS failed FROM {_PARSED_SQL}
+UNION ALL SELECT 2, count(*), count(*) FILTER (WHERE paid), count(*) FILTER (WHERE NOT paid AND i <> 14), 0, count(*) FILTER (WHERE i = 14) FROM {_PARSED_SQL}""")
+def ingest_tallies(spark, d):
+    folder = _folder(spark, "ledger")
+    ledger = ST.Ledger(spark, folder)
+    first, second = (ledger.ingest(_raw_messages(spark, d))[0] for _ in range(2))
+    return _kept(first.withColumn("run", F.lit(1)).unionByName(second.withColumn("run", F.lit(2))), folder)
+
+
+@query("SELECT to_json({'o_orderkey': o_orderkey, 'o_orderstatus': o_orderstatus}) AS json FROM orders")
+def rows_as_json(spark, d):
+    return R.as_json(table(spark, d, "orders").select("o_orderkey", "o_orderstatus"))
