@@ -93,7 +93,7 @@ class Remembered:
 
 
 class WordBpe:
-    def __init__(self, path: str, remember: int = 100_000):
+    def __init__(self, path: str, remember: int = 60_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -203,26 +203,36 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def encode_documents(docs: DataFrame, text_col: str = "text", vocabulary: str | None = None) -> DataFrame:
+def encode_documents(docs: DataFrame, text_col: str = "text", vocabulary: str | None = None, digest: bool = False, keep_text: bool = True) -> DataFrame:
     """``docs`` plus ``n_tokens`` long, ``token_ids`` array<int> and ``decoded`` string, from whole texts (null: empty).
 
     An empty text has no ids and decodes to the empty string. Input columns of these names are replaced, others kept.
-    No shuffle; a task holds one Arrow batch. The vocabulary file must exist on every executor.
+    ``digest``: in place of ``decoded``, ``decoded_sha256``, taken in the worker; without ``keep_text`` the texts too stay
+    there. No shuffle; a task holds one Arrow batch. The vocabulary file must exist on every executor.
     """
     path = vocabulary or default_vocabulary()
-    own = ("n_tokens", "token_ids", "decoded")
+    own = ("n_tokens", "token_ids", "decoded_sha256" if digest else "decoded")
     df = docs.select(*without(docs, *own))
     place = df.columns.index(named(df, text_col))
-    schema = df.select("*", F.lit(0).cast("long").alias("n_tokens"), F.array().cast("array<int>").alias("token_ids"), F.lit("").alias("decoded")).schema
+    given = [i for i in range(len(df.columns)) if keep_text or i != place]
+    kept = [F.col(quoted(df.columns[i])) for i in given]
+    schema = df.select(*kept, F.lit(0).cast("long").alias("n_tokens"), F.array().cast("array<int>").alias("token_ids"), F.lit("").alias(own[2])).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = WordBpe.shared(path)
         for batch in batches:
             first = 0
             for part in slices(batch.column(place)):
-                n, ids, decoded = zip(*codec.encode_many(part), strict=True)
-                lists = pa.array([np.fromstring(i, np.int32, sep=" ") if i else np.zeros(0, np.int32) for i in ids], pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([*batch.slice(first, len(part)).columns, pa.array(n, pa.int64()), lists, pa.array(decoded, pa.binary()).cast(pa.string())], names=[*batch.schema.names, *own])
+                n, ids, at, out = [], [], [0], []
+                for k, i, d in codec.encode_many(part):
+                    n.append(k)
+                    ids.append(i)
+                    at.append(at[-1] + k)
+                    out.append(hashlib.sha256(d).hexdigest().encode() if digest else d)
+                flat = np.fromstring(b" ".join(i for i in ids if i), np.int32, sep=" ") if at[-1] else np.zeros(0, np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat))
+                rows = batch.slice(first, len(part))
+                yield pa.RecordBatch.from_arrays([*[rows.column(i) for i in given], pa.array(n, pa.int64()), lists, pa.array(out, pa.binary()).cast(pa.string())], names=[*[rows.schema.names[i] for i in given], *own])
                 first += len(part)
 
     return df.mapInArrow(run, schema)

@@ -260,9 +260,10 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5, id_col:
     links = confirmed(_star_blocks(near, sizes, ws), "star-links")
     found = connected_components(links, ws, "joined")
     unjoined = _open_buckets(live, found.select(F.col("id").alias("node"), "component"), sizes, ws)
-    more = confirmed(_rest_blocks(unjoined, ws, percent), "more-links")
-    if more.limit(1).count():
-        found = connected_components(more.union(found.select(F.col("id").alias("u"), F.col("component").alias("v"))), ws, "components")
+    if unjoined.limit(1).count():
+        more = confirmed(_rest_blocks(unjoined, ws, percent), "more-links")
+        if more.limit(1).count():
+            found = connected_components(more.union(found.select(F.col("id").alias("u"), F.col("component").alias("v"))), ws, "components")
     ws.drop("sets", "sets-once", "live", "near", "tagged", "unjoined", "dealt", "chosen", "star-links")
 
     least = nodes.select(F.col("node").alias("component"), F.col("id").alias("component_id"))

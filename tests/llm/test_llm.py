@@ -350,6 +350,9 @@ def test_bpe_equals_library(spark):
     rows = bpe.encode_documents(docs(spark, texts)).orderBy("doc_id").collect()
     assert [list(r.token_ids) for r in rows] == [e.ids for e in want]
     assert [r.decoded for r in rows] == [library.decode(e.ids, skip_special_tokens=False) for e in want]
+    short = bpe.encode_documents(docs(spark, texts).withColumn("Decoded_SHA256", F.lit(1)), "TEXT", digest=True, keep_text=False)
+    assert short.columns == ["doc_id", "n_lines", "N_DROPPED", "toxicity", "license_id", "n_tokens", "token_ids", "decoded_sha256"]
+    assert [(r.n_tokens, list(r.token_ids), r.decoded_sha256) for r in short.orderBy("doc_id").collect()] == [(len(r.token_ids), list(r.token_ids), hashlib.sha256(r.decoded.encode()).hexdigest()) for r in rows]
     got = bpe.encode_digests(docs(spark, texts)).orderBy("doc_id").collect()
     assert [r.ids_sha256 for r in got] == [hashlib.sha256(" ".join(map(str, e.ids)).encode()).hexdigest() for e in want]
     assert bpe.encode_documents(docs(spark, texts).limit(0)).count() == 0
