@@ -54,8 +54,7 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:  # noqa: ARG001
     """Token ids of the whole texts, with a digest of what they decode to; a null text has none and decodes to nothing."""
     ship(spark)
-    out = bpe.encode_documents(docs)
-    return out.select("doc_id", "lang", "source", "n_tokens", "token_ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+    return bpe.encode_documents(docs.select("doc_id", "lang", "source", "text"), digest=True, keep_text=False)
 
 
 STAGES = [
