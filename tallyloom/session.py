@@ -17,6 +17,8 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
+#: Rows of an Arrow batch: rows here are whole texts, of which Spark's default of 10,000 takes much memory on both sides.
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "2500"
 
 
 def local_session(cores: str = "*", partitions: int = 8, **extra: str) -> SparkSession:
@@ -56,10 +58,14 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors' Python workers, once a session.
+    """Send this package to the executors' Python workers, once a session, and let batches hold fewer rows unless the
+    session says how many.
 
     Workers then import it even if the repository is not on their path.
     """
+    name, default, rows = BATCH_ROWS
+    if spark.conf.get(name, default) == default:
+        spark.conf.set(name, rows)
     sc = spark.sparkContext
     if getattr(sc, "_tallyloom_shipped", False):
         return
