@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontaminate, license_scan, line_dedup, minmax, token_store, topk, toxicity, warc
+from . import bpe, chat, decontaminate, license_scan, line_dedup, minmax, packing, token_store, topk, toxicity, warc
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_topk": topk.op8_topk,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_license_scan": license_scan.op10_license_scan,
+    "op13_packing": packing.op13_packing,
 }
 ORACLES = {
     "op1_line_dedup": line_dedup.ORACLE,
