@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontaminate, license_scan, line_dedup, minmax, packing, token_store, topk, toxicity, warc
+from . import bpe, chat, codes, decontaminate, license_scan, line_dedup, minmax, packing, token_store, topk, toxicity, warc
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_topk": topk.op8_topk,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_license_scan": license_scan.op10_license_scan,
+    "op11_vector_codes": codes.op11_vector_codes,
     "op13_packing": packing.op13_packing,
 }
 ORACLES = {
@@ -23,4 +24,5 @@ ORACLES = {
     "op7_chat": chat.ORACLE,
     "op8_topk": topk.ORACLE,
     "op10_license_scan": license_scan.oracle(),
+    "op11_vector_codes": codes.oracle(),
 }
