@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, codes, decontaminate, license_scan, line_dedup, minmax, packing, token_store, topk, toxicity, warc
+from . import bpe, chat, codes, decontaminate, license_scan, line_dedup, minmax, packing, token_store, topk, toxicity, trie, warc
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_license_scan": license_scan.op10_license_scan,
     "op11_vector_codes": codes.op11_vector_codes,
+    "op12_prefix_trie": trie.op12_prefix_trie,
     "op13_packing": packing.op13_packing,
 }
 ORACLES = {
@@ -25,4 +26,5 @@ ORACLES = {
     "op8_topk": topk.ORACLE,
     "op10_license_scan": license_scan.oracle(),
     "op11_vector_codes": codes.oracle(),
+    "op12_prefix_trie": trie.ORACLE,
 }
