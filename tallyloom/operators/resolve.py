@@ -4,15 +4,14 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
-from ..functions.similarity import ratio, sorted_ratio, token_sorted
+from ..functions.similarity import sorted_ratio, token_sorted
 from ..functions.text import basic_name, first_name_token
 from ..session import cut
+from .linkage import complete_linkage
 
 #: The largest alias table that is met in a nested loop.
 KB_BROADCAST = 1_000
@@ -65,89 +64,59 @@ def prefix_mapping(names: DataFrame, min_len: int = 6) -> DataFrame:
     return one.join(single, "name", "left").select("name", F.coalesce("full", "name").alias("canonical"))
 
 
-def conflict(a: str, b: str) -> bool:
-    return bool(a) and bool(b) and not a.startswith(b) and not b.startswith(a)
-
-
-def complete_linkage(names: list[str], firsts: list[str], limit: float) -> list[int]:
-    """Cluster numbers of complete linkage cut at ``limit`` (distance 100 - ratio; names whose first tokens conflict are
-    at 100). Of equal distances the pair with the earliest members merges first."""
-    n = len(names)
-    words = [" ".join(sorted(x.split())) for x in names]
-    d = np.full((n, n), np.inf)
-    for i in range(n):
-        for j in range(i):
-            d[i, j] = d[j, i] = 100.0 if conflict(firsts[i], firsts[j]) else 100.0 - ratio(words[i], words[j])
-    label, alive = list(range(n)), list(range(n))
-    while len(alive) > 1:
-        sub = d[np.ix_(alive, alive)]
-        k = int(np.argmin(sub))
-        i, j = sorted((alive[k // len(alive)], alive[k % len(alive)]))
-        if d[i, j] > limit:
-            break
-        d[i] = d[:, i] = np.maximum(d[i], d[j])
-        d[i, i] = np.inf
-        alive.remove(j)
-        label = [i if x == j else x for x in label]
-    return label
-
-
-def _clustered(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
-    pdf = pdf.sort_values(["first", "name"]).reset_index(drop=True)
-    label = complete_linkage(pdf["name"].tolist(), pdf["token"].tolist(), 100.0 - threshold)
-    pdf["label"] = label
-    pdf["size"] = pdf["name"].str.len()
-    best = pdf.sort_values(["n", "size", "first"], ascending=[False, True, True]).drop_duplicates("label").set_index("label")["name"]
-    return pd.DataFrame({"key": pdf["key"], "name": pdf["name"], "canonical": pdf["label"].map(best)})
+def _signature(words: Column) -> list[Column]:
+    """Two longs with a bit for each letter and how often it has come up to there: texts that an insertion or deletion
+    apart differ in one bit at most."""
+    letters = F.array_sort(F.transform(F.sequence(F.lit(1), F.char_length(words)), lambda i: F.substring(words, i, F.lit(1))))
+    numbered = F.when(words == "", F.array().cast("array<bigint>")).otherwise(F.transform(letters, lambda c, i: F.pmod(F.xxhash64(c, i - F.array_position(letters, c)), F.lit(126))))
+    bit = lambda x, low: F.when(x.between(low, low + 62), F.pow(F.lit(2.0), x - low).cast("long")).otherwise(F.lit(0).cast("long"))
+    bits = lambda low: F.aggregate(numbered, F.lit(0).cast("long"), lambda s, x: s.bitwiseOR(bit(x, low)))
+    return [bits(0), bits(63)]
 
 
 def candidate_pairs(names: DataFrame, threshold: float) -> DataFrame:
-    """(key, a, b) with a ratio of at least ``threshold``, blocked without loss.
+    """(key, a, b, a_id, b_id, distance) with a ratio of at least ``threshold`` of distinct names (key, name, id), blocked
+    without loss; distance is 100 less the ratio. Names without an id get one.
 
     Names conflict, and so never meet, unless their first tokens are prefixes of one another: a name is looked for under
     each prefix of its token that is some name's token (names of titles alone have the empty one). A ratio of T needs
-    lengths within T / (200 - T) of each other: a name is looked for in its class of length and the two beside it. What
-    is left must be within the edit distance that the ratio allows, which Spark tests; only that reaches the exact ratio.
+    lengths within T / (200 - T) of each other: a name is looked for in its class of length and the two beside it. The
+    letters that are not common must be few enough, which their signatures tell; then the edit distance must be within
+    what the ratio allows. Only what Spark's own functions let through reaches the exact ratio.
     """
     low = threshold / (200.0 - threshold)
     words = token_sorted("name")
-    rows = names.select("key", "name").distinct().withColumns({"words": words, "token": first_name_token("name")}).withColumn("len", F.char_length("words"))
-    rows = cut(rows.withColumn("band", F.floor(F.log(F.greatest("len", F.lit(1)).cast("double")) / F.lit(-math.log(low) * 1.0001)).cast("int")))
-    b = rows.select("key", F.col("name").alias("b_name"), F.col("words").alias("b_words"), F.col("token").alias("b_token"), F.col("len").alias("b_len"), "band")
+    if "id" not in names.columns:
+        names = names.select("key", "name").distinct().withColumn("id", F.xxhash64("key", "name"))
+    rows = names.select("key", "name", "id").withColumns({"words": words, "token": first_name_token("name")}).withColumn("len", F.char_length("words"))
+    one, two = _signature(F.col("words"))
+    rows = cut(rows.withColumns({"band": F.floor(F.log(F.greatest("len", F.lit(1)).cast("double")) / F.lit(-math.log(low) * 1.0001)).cast("int"), "one": one, "two": two}))
+    b = rows.select("key", *[F.col(x).alias(f"b_{x}") for x in ("name", "id", "words", "token", "len", "one", "two")], "band")
     prefixes = F.transform(F.sequence(F.lit(0), F.char_length("b_token")), lambda k: F.substring("b_token", F.lit(1), k))
     b = b.withColumn("token", F.explode(prefixes)).withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
-    a = rows.select("key", F.col("name").alias("a_name"), F.col("words").alias("a_words"), "token", F.col("len").alias("a_len"), "band")
-    met = a.join(b, ["key", "token", "band"]).filter((F.col("token") != F.col("b_token")) | (F.col("a_name") < F.col("b_name")))
+    a = rows.select("key", *[F.col(x).alias(f"a_{x}") for x in ("name", "id", "words", "len", "one", "two")], "token", "band")
+    met = a.join(b, ["key", "token", "band"]).filter((F.col("token") != F.col("b_token")) | (F.col("a_id") < F.col("b_id")))
     met = met.filter(F.least("a_len", "b_len") >= F.greatest("a_len", "b_len") * low - 1e-9)
     # a ratio of T leaves (1 - T) of both lengths to insert and delete; no edit distance is longer than that
     most = f"CAST(floor((a_len + b_len) * {(100.0 - threshold) / 100.0} + 1e-6) AS INT)"
-    near = met.filter(F.expr(f"levenshtein(a_words, b_words) <= {most}"))
-    return near.filter(sorted_ratio("a_words", "b_words") >= threshold).select("key", F.col("a_name").alias("a"), F.col("b_name").alias("b"))
-
-
-def _components(pairs: DataFrame) -> DataFrame:
-    """(key, name, component): least name reachable. Labels spread over the pairs until none changes."""
-    both = cut(pairs.select("key", F.col("a").alias("name"), F.col("b").alias("near")).union(pairs.select("key", F.col("b").alias("name"), F.col("a").alias("near"))))
-    labels = cut(both.select("key", "name").distinct().withColumn("component", F.col("name")).withColumn("changed", F.lit(True)))
-    while labels.filter("changed").limit(1).count():
-        old = labels.drop("changed")
-        step = both.join(old.select("key", F.col("name").alias("near"), F.col("component").alias("c")), ["key", "near"]).groupBy("key", "name").agg(F.min("c").alias("c"))
-        labels = cut(old.join(step, ["key", "name"]).select("key", "name", F.least("component", "c").alias("component"), (F.col("c") < F.col("component")).alias("changed")))
-    return labels.drop("changed")
+    near = met.filter(F.expr(f"bit_count(a_one ^ b_one) + bit_count(a_two ^ b_two) <= {most}")).filter(F.expr(f"levenshtein(a_words, b_words) <= {most}"))
+    found = near.withColumn("distance", 100.0 - sorted_ratio("a_words", "b_words")).filter(F.col("distance") <= 100.0 - threshold)
+    return found.select("key", F.col("a_name").alias("a"), F.col("b_name").alias("b"), "a_id", "b_id", "distance")
 
 
 def fuzzy_mapping(names: DataFrame, threshold: float = 90.0) -> DataFrame:
     """(key, name, canonical) of names (key, name, n, first): complete linkage within each key.
 
-    No cluster leaves a component of the pairs that reach the threshold, so components are clustered apart and names
+    Names are numbered by (first, name), which settles ties; pairs below the threshold are never linked, and names
     without a partner keep themselves. Canonical: the most frequent, then the shortest, then the first seen.
     """
-    names = cut(names)
-    found = _components(candidate_pairs(names, threshold))
-    rows = names.join(found, ["key", "name"]).withColumn("token", first_name_token("name"))
-    merged = rows.groupBy("key", "component").applyInPandas(lambda pdf: _clustered(pdf, threshold), "key string, name string, canonical string")
-    alone = names.join(found, ["key", "name"], "left_anti").select("key", "name", F.col("name").alias("canonical"))
-    return alone.union(merged)
+    names = cut(names.orderBy("first", "name").withColumn("id", F.monotonically_increasing_id()))
+    found = complete_linkage(candidate_pairs(names, threshold).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), "distance"))
+    rows = names.join(found, "id")
+    rank = F.struct((-F.col("n")).alias("n"), F.char_length("name").alias("s"), F.col("id").alias("i"))
+    best = rows.groupBy("cluster").agg(F.min_by("name", rank).alias("canonical"))
+    merged = rows.join(best, "cluster").select("key", "name", "canonical")
+    return names.join(found, "id", "left_anti").select("key", "name", F.col("name").alias("canonical")).union(merged)
 
 
 def _payees(df: DataFrame, name: str, upi: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -49,12 +50,25 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df as written to the shared folder: what follows plans from there, and a lost executor costs no more than that."""
+    """df as a Parquet table in the shared folder: what follows plans from there, with its size and columns known, and a
+    lost executor costs no more than that. The table goes by ``free``, else with the driver's JVM."""
     spark = df.sparkSession
-    folder = shared_dir(spark)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint()
+    path = f"{shared_dir(spark)}/tallyloom-{spark.sparkContext.applicationId}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written = path
+    return out
+
+
+def free(*tables: DataFrame) -> None:
+    """Remove tables that ``cut`` wrote and that nothing reads any more."""
+    for t in tables:
+        p = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t.written)
+        fs = p.getFileSystem(t.sparkSession._jsc.hadoopConfiguration())
+        fs.delete(p, True)
+        fs.cancelDeleteOnExit(p)
 
 
 def ship(spark: SparkSession) -> None:

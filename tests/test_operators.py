@@ -5,7 +5,6 @@ import io
 import zipfile
 from decimal import Decimal
 
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -63,28 +62,8 @@ def test_message_run(spark):
     assert run.metrics.first().financial == 2
 
 
-def test_complete_linkage_rules():
-    names = ["ALDA BREV", "ALDA BREVE", "BEA BREV", "ALDA BREVES"]
-    firsts = ["ALDA", "ALDA", "BEA", "ALDA"]
-    label = RES.complete_linkage(names, firsts, 10.0)
-    assert label[0] == label[1] and label[2] not in (label[0], label[3])
-
-
-def test_fuzzy_against_global_clustering(spark):
-    names = ["ALDA BREV", "BREV ALDA", "ALDA BREVE", "MR", "CORIN VELL", "CORIN VELLE", "CORA VELL", "DR", "ZED"]
-    df = spark.createDataFrame([("", n, 10 - i, i) for i, n in enumerate(names)], "key string, name string, n int, first int")
-    got = {r.name: r.canonical for r in RES.fuzzy_mapping(df, 90.0).collect()}
-    from pyspark.sql.functions import col
-
-    firsts = {r.name: r.t for r in df.select("name", RES.first_name_token(col("name")).alias("t")).collect()}
-    whole = RES._clustered(pd.DataFrame({"key": "", "name": names, "n": range(10, 1, -1), "first": range(9), "token": [firsts[n] for n in names]}), 90.0)
-    assert got == dict(zip(whole["name"], whole["canonical"], strict=True))
-    assert set(got) == set(names)
-
-
-def test_complete_linkage_against_plain_merging(spark):
+def linkage_by_force(names, counts, threshold):
     """Every pair of clusters compared anew in each round, with a plain longest common subsequence."""
-    import random
 
     def lcs(a, b):
         row = [0] * (len(b) + 1)
@@ -101,24 +80,84 @@ def test_complete_linkage_against_plain_merging(spark):
         a, b = (" ".join(sorted(n.split())) for n in (a, b))
         return 100.0 - 200.0 * lcs(a, b) / (len(a) + len(b))
 
+    far = {(i, j): distance(names[i], names[j]) for i in range(len(names)) for j in range(len(names))}
+    want = {}
+    for c in merged_by_force(len(names), far, 100.0 - threshold):
+        best = min(c, key=lambda i: (-counts[i], len(names[i]), i))
+        want |= {names[i]: names[best] for i in c}
+    return want
+
+
+def merged_by_force(n, far, limit):
+    clusters = [[i] for i in range(n)]
+    while True:
+        d, i, j = min(((max(far[i, j] for i in a for j in b), min(a), min(b)) for k, a in enumerate(clusters) for b in clusters[k + 1 :]), default=(1e9, 0, 0))
+        if d > limit + 1e-9:
+            return clusters
+        x, y = (next(c for c in clusters if min(c) == k) for k in (i, j))
+        clusters = sorted([c for c in clusters if c is not x and c is not y] + [x + y], key=min)
+
+
+def test_fuzzy_against_global_clustering(spark):
+    names = ["ALDA BREV", "BREV ALDA", "ALDA BREVE", "MR", "CORIN VELL", "CORIN VELLE", "CORA VELL", "DR", "ZED", "BEA BREV", "ALDA BREVES"]
+    df = spark.createDataFrame([("", n, 20 - i, i) for i, n in enumerate(names)], "key string, name string, n int, first int")
+    got = {r.name: r.canonical for r in RES.fuzzy_mapping(df, 90.0).collect()}
+    assert got == linkage_by_force(names, range(20, 9, -1), 90.0)
+    assert got["ALDA BREV"] == got["ALDA BREVE"] and got["BEA BREV"] not in (got["ALDA BREV"], got["ALDA BREVES"])
+    assert RES.fuzzy_mapping(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("together", [50_000, 0])
+def test_complete_linkage_against_plain_merging(spark, monkeypatch, together):
+    import random
+
+    from tallyloom.operators import linkage
+
+    monkeypatch.setattr(linkage, "TOGETHER", together)
     r = random.Random(12)
     names = sorted({" ".join(r.sample(["ALDA", "BREV", "BREVE", "CORIN", "VELL", "VELLE", "MR"], r.choice([1, 2, 2, 3]))) + r.choice(["", "X", "EX"]) for _ in range(45)}, key=lambda n: r.random())
     counts = [r.randrange(1, 4) for _ in names]
     for threshold in (90.0, 75.0):
-        clusters = [[i] for i in range(len(names))]
-        while True:
-            far = [(max(distance(names[i], names[j]) for i in a for j in b), min(a), min(b)) for k, a in enumerate(clusters) for b in clusters[k + 1 :]]
-            d, i, j = min(far, default=(1e9, 0, 0))
-            if d > 100.0 - threshold + 1e-9:
-                break
-            x, y = (next(c for c in clusters if min(c) == k) for k in (i, j))
-            clusters = sorted([c for c in clusters if c is not x and c is not y] + [x + y], key=min)
-        want = {}
-        for c in clusters:
-            best = min(c, key=lambda i: (-counts[i], len(names[i]), i))
-            want |= {names[i]: names[best] for i in c}
         df = spark.createDataFrame([("", n, counts[i], i) for i, n in enumerate(names)], "key string, name string, n int, first int")
-        assert {x.name: x.canonical for x in RES.fuzzy_mapping(df, threshold).collect()} == want
+        assert {x.name: x.canonical for x in RES.fuzzy_mapping(df, threshold).collect()} == linkage_by_force(names, counts, threshold)
+
+
+def test_merging_of_pairs_with_ties():
+    import random
+
+    from tallyloom.operators.linkage import merge_pairs
+
+    for seed in range(300):
+        r = random.Random(seed)
+        n, share = r.randrange(2, 14), r.random()
+        far = {}
+        for i in range(n):
+            for j in range(i):
+                far[i, j] = far[j, i] = float(r.randrange(1, r.choice([2, 4, 9]))) if r.random() < share else 1e6
+        want = {i: min(c) for c in merged_by_force(n, far, 100.0) for i in c}
+        got = merge_pairs([(i, j, far[i, j]) for i in range(n) for j in range(i) if far[i, j] < 1e6])
+        assert {i: got.get(i, i) for i in range(n)} == want
+
+
+def test_rounds_of_one_large_component(spark, monkeypatch):
+    """Cliques of equal distances, chains and random pairs with ties, merged by rounds alone and by a queue."""
+    import random
+
+    from tallyloom.operators import linkage
+
+    monkeypatch.setattr(linkage, "TOGETHER", 0)
+    r = random.Random(5)
+    pairs = {(i, j): 3.0 for k in range(0, 60, 12) for i in range(k, k + 12) for j in range(i + 1, k + 12)}
+    pairs |= {(i, i + 1): float(r.randrange(1, 4)) for i in range(60, 130)}
+    for _ in range(700):
+        i, j = sorted(r.sample(range(200), 2))
+        pairs.setdefault((i, j), float(r.randrange(2, 7)))
+    rows = [(i, j, d) for (i, j), d in pairs.items()]
+    edges = spark.createDataFrame(rows, "a long, b long, distance double")
+    assert {x.id: x.cluster for x in linkage.linkage_rounds(edges).collect()} == linkage.merge_pairs(rows)
+    apart = spark.createDataFrame([(a, b) for a, b in [(i, i + 1) for i in range(300)] + [(1000, 400), (400, 700), (900, 900)]], "a long, b long")
+    found = {x.id: x.component for x in linkage.components(apart).collect()}
+    assert found == {**dict.fromkeys(range(301), 0), **dict.fromkeys([400, 700, 1000], 400)}
 
 
 def test_resolver_and_merges(spark):
