@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 
 from ..session import cut, free
 
-#: Components of at most so many pairs are merged within one task, larger ones by rounds over the table of pairs.
-TOGETHER = 50_000
+#: Components of at most so many pairs (some 400 MB of a Python worker) are merged within one task, larger ones by rounds
+#: over the table of pairs.
+TOGETHER = 1_000_000
 
 
 def components(pairs: DataFrame) -> DataFrame:
@@ -132,7 +133,7 @@ def linkage_rounds(edges: DataFrame) -> DataFrame:
         free(found, edges, into)
         found, edges = now, whole
     if left:
-        rest = edges.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(_merged, "id long, cluster long").withColumnsRenamed({"id": "cluster", "cluster": "to"})
+        rest = edges.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(_merged, "id long, cluster long").select(F.col("id").alias("cluster"), F.col("cluster").alias("to"))
         found = cut(found.join(rest, "cluster", "left").select("id", F.coalesce("to", "cluster").alias("cluster")))
     return found
 

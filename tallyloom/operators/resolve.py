@@ -13,6 +13,8 @@ from ..functions.text import basic_name, first_name_token
 from ..session import cut
 from .linkage import complete_linkage
 
+#: Names of a block that one task compares with the others of the block, and comparisons a task is meant to make.
+CHUNK, COMPARED = 100, 250_000
 #: The largest alias table that is met in a nested loop.
 KB_BROADCAST = 1_000
 
@@ -81,8 +83,9 @@ def candidate_pairs(names: DataFrame, threshold: float) -> DataFrame:
     Names conflict, and so never meet, unless their first tokens are prefixes of one another: a name is looked for under
     each prefix of its token that is some name's token (names of titles alone have the empty one). A ratio of T needs
     lengths within T / (200 - T) of each other: a name is looked for in its class of length and the two beside it. The
-    letters that are not common must be few enough, which their signatures tell; then the edit distance must be within
-    what the ratio allows. Only what Spark's own functions let through reaches the exact ratio.
+    letters that are not common must be few enough, which their signatures tell within generated code; only what they
+    let through reaches the exact ratio. A block is compared in chunks of its names, so that one with a third of all
+    names is shared out.
     """
     low = threshold / (200.0 - threshold)
     words = token_sorted("name")
@@ -95,11 +98,16 @@ def candidate_pairs(names: DataFrame, threshold: float) -> DataFrame:
     prefixes = F.transform(F.sequence(F.lit(0), F.char_length("b_token")), lambda k: F.substring("b_token", F.lit(1), k))
     b = b.withColumn("token", F.explode(prefixes)).withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
     a = rows.select("key", *[F.col(x).alias(f"a_{x}") for x in ("name", "id", "words", "len", "one", "two")], "token", "band")
-    met = a.join(b, ["key", "token", "band"]).filter((F.col("token") != F.col("b_token")) | (F.col("a_id") < F.col("b_id")))
+    block = ["key", "token", "band"]
+    sizes = cut(a.groupBy(*block).agg(F.count("*").alias("n_a")).join(b.groupBy(*block).agg(F.count("*").alias("n_b")), block).withColumn("chunks", F.ceil(F.col("n_a") / CHUNK).cast("int")))
+    tasks = min(-(-int(sizes.agg(F.sum(F.col("n_a") * F.col("n_b"))).first()[0] or 0) // COMPARED) + 1, 100_000)
+    a = a.join(sizes.select(*block, "chunks"), block).withColumn("chunk", F.pmod(F.xxhash64("a_id"), "chunks").cast("int")).drop("chunks")
+    b = b.join(sizes.select(*block, "chunks"), block).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("chunks")
+    met = a.repartition(tasks, *block, "chunk").join(b.repartition(tasks, *block, "chunk"), [*block, "chunk"]).filter((F.col("token") != F.col("b_token")) | (F.col("a_id") < F.col("b_id")))
     met = met.filter(F.least("a_len", "b_len") >= F.greatest("a_len", "b_len") * low - 1e-9)
-    # a ratio of T leaves (1 - T) of both lengths to insert and delete; no edit distance is longer than that
+    # a ratio of T leaves (1 - T) of both lengths to insert and delete, and each such step changes one bit at most
     most = f"CAST(floor((a_len + b_len) * {(100.0 - threshold) / 100.0} + 1e-6) AS INT)"
-    near = met.filter(F.expr(f"bit_count(a_one ^ b_one) + bit_count(a_two ^ b_two) <= {most}")).filter(F.expr(f"levenshtein(a_words, b_words) <= {most}"))
+    near = met.filter(F.expr(f"bit_count(a_one ^ b_one) + bit_count(a_two ^ b_two) <= {most}"))
     found = near.withColumn("distance", 100.0 - sorted_ratio("a_words", "b_words")).filter(F.col("distance") <= 100.0 - threshold)
     return found.select("key", F.col("a_name").alias("a"), F.col("b_name").alias("b"), "a_id", "b_id", "distance")
 
