@@ -51,10 +51,17 @@ def sanitize_number(x: Column | str) -> Column:
     return F.coalesce(parse_number(x, "decimal(14,2)"), F.lit(0).cast("decimal(14,2)"))
 
 
+#: Epoch milliseconds of the years 1 to 9999, the times that a timestamp can be read back from.
+FIRST_MILLI, LAST_MILLI = -62_135_596_800_000, 253_402_300_799_999
+
+
 def parse_timestamp(x: Column | str) -> Column:
-    """Epoch milliseconds or ISO text (without a zone: UTC) as a timestamp."""
+    """Epoch milliseconds or ISO text (without a zone: UTC) as a timestamp; null for what can't be a time, such as nan,
+    infinity and numbers beyond the years 1 to 9999."""
     s = F.trim(c(x).cast("string"))
-    return F.coalesce(F.timestamp_millis(s.try_cast("double").cast("bigint")), F.try_to_timestamp(s))
+    number = s.try_cast("double")
+    milli = F.when(number.between(FIRST_MILLI, LAST_MILLI), number.try_cast("bigint"))
+    return F.when(number.isNull(), F.try_to_timestamp(s)).otherwise(F.timestamp_millis(milli))
 
 
 def is_valid_year(x: Column | str, year: int = 2026) -> Column:

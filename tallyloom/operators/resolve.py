@@ -151,9 +151,9 @@ def canonicalize(df: DataFrame, name: str = "Recipient_Name", upi: str = "UPI_ID
 
     Names are normalised; fixed labels keep themselves. Rows of a payment id with 2 to ``most_names`` names are
     clustered within it at ``upi_threshold``; all other names together at ``threshold``. Everything works on the distinct
-    pairs of payment id and name; the table itself is read for those and joined once.
+    pairs of payment id and name; the table itself is worked out and written once, read for those and joined once.
     """
-    rows = _payees(df, name, upi)
+    rows = cut(_payees(df, name, upi))
     pairs = cut(rows.groupBy("__upi", "__name").agg(F.count("*").alias("n"), F.min(row_id).alias("first")))
     found = cut(_resolved(pairs, threshold, most_names, upi_threshold))
     for mapping in ([whitespace_mapping] if whitespace else []) + [prefix_mapping] if merge else []:

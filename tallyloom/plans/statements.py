@@ -12,7 +12,7 @@ from ..functions.narration import FIELDS, extract_details
 from ..functions.text import clean_recipient, parse_date, redact_cif, safe_value, sanitize_number
 from ..operators.dedup import first_wins, signed_by_balance
 from ..operators.resolve import canonicalize
-from ..sources.files import as_columns, letterhead, locate_tables, read_cells
+from ..sources.files import as_columns, first_entries, letterhead, locate_tables, read_cells
 
 #: One more spelling that statements use; the base list lacks it.
 EXTRA_ALIASES = {"ref no/cheque no": "Reference No./Cheque No."}
@@ -34,7 +34,7 @@ def load_statements(spark: SparkSession, paths: list[str], password: str | None
     cells = read_cells(spark, paths, password, readers, any_kind)
     rows = as_columns(locate_tables(cells))
     names = sorted(set(P.HEADER_ALIASES) | set(EXTRA_ALIASES))
-    lower = F.map_from_entries(F.transform(F.map_entries("fields"), lambda e: F.struct(F.regexp_replace(F.lower(F.trim(e["key"])), r"\s+", " ").alias("key"), e["value"].alias("value"))))
+    lower = first_entries(F.transform(F.map_entries("fields"), lambda e: F.struct(F.regexp_replace(F.lower(F.trim(e["key"])), r"\s+", " ").alias("key"), e["value"].alias("value"))))
     targets: dict[str, list] = {}
     for n in names:
         targets.setdefault(header_name(n), []).append(F.try_element_at("__f", F.lit(n)))

@@ -938,8 +938,12 @@ def message_files(spark, d):
     return _kept(out, folder)
 
 
+#: What can't be a time and must not fail a batch.
+_NO_TIMES = "split('soon nan Infinity 1e30 1e400 99999999999999999', ' ')"
+
+
 def _raw_messages(spark: SparkSession, d: str) -> DataFrame:
-    return messages(spark, d).select(F.col("o_orderkey").cast("string").alias("id"), "sender", "body", F.when(F.col("o_orderkey") % 16 == 14, "soon").otherwise(F.unix_millis(F.col("o_orderdate").cast("timestamp")).cast("string")).alias("timestamp_ms"), F.lit("").alias("timestamp_human"), (F.col("c_custkey") % 9).cast("string").alias("device_id"))
+    return messages(spark, d).select(F.col("o_orderkey").cast("string").alias("id"), "sender", "body", F.when(F.col("o_orderkey") % 16 == 14, F.element_at(F.expr(_NO_TIMES), (F.floor(F.col("o_orderkey") / 16) % 6 + 1).cast("int"))).otherwise(F.unix_millis(F.col("o_orderdate").cast("timestamp")).cast("string")).alias("timestamp_ms"), F.lit("").alias("timestamp_human"), (F.col("c_custkey") % 9).cast("string").alias("device_id"))
 
 
 @query(f"""SELECT coalesce(bank, 'UNKNOWN') AS bank, ref_id AS ref, strftime(o_orderdate, '%Y-%m-%d') AS day, CASE direction WHEN 'DEBIT' THEN -amount ELSE amount END AS amount, CASE direction WHEN 'DEBIT' THEN amount ELSE 0 END AS debit, CASE direction WHEN 'DEBIT' THEN 0 ELSE amount END AS credit,

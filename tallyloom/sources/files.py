@@ -37,9 +37,21 @@ def require(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def read_messages(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Captured messages (CSV with header, bodies may hold line ends) with ``row_id``."""
-    df = spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').csv(path)
-    return with_row_id(require(df, REQUIRED))
+    """Captured messages (CSV with header, bodies may hold line ends) with ``row_id``. Files may have their columns in
+    any order and some that others lack: those of one header are read together, and all are put together by name."""
+    reader = spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"')
+    first = reader.csv(path)
+    files = first.inputFiles()
+    if len(files) <= 1:
+        return with_row_id(require(first, REQUIRED))
+    # the first lines of the files; a reader of lines sees each file's beginning in one split
+    lines = spark.read.text(files).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("i"), "value").filter("at = 0")
+    heads = lines.groupBy("file").agg(F.min_by("value", "i").alias("head")).groupBy("head").agg(F.collect_list("file").alias("files")).orderBy("head").collect()  # a row a header
+    parts = [require(reader.csv(sorted(r["files"])), REQUIRED) for r in heads if (r["head"] or "").strip()]
+    out = parts[0] if parts else require(first, REQUIRED)
+    for more in parts[1:]:
+        out = out.unionByName(more, allowMissingColumns=True)
+    return with_row_id(out)
 
 
 def append_messages(df: DataFrame, path: str) -> None:
@@ -176,8 +188,15 @@ def letterhead(cells: DataFrame, labels: dict[str, str] | None = None) -> DataFr
     return rows.select("file", F.coalesce("holder", "addressee").alias("holder"), mask_identifier("account").alias("account_masked"), "nominee", "period")
 
 
+def first_entries(pairs: Column) -> Column:
+    """A map of an array of (key, value), of equal keys the first."""
+    keys = F.transform(pairs, lambda e: e["key"])
+    return F.map_from_entries(F.filter(pairs, lambda e, i: F.array_position(keys, e["key"]) == i + 1))
+
+
 def as_columns(table: DataFrame) -> DataFrame:
-    """A located table as (file, row_id, fields map<header, cell>); ``row_id`` as ``numbered`` gives it."""
+    """A located table as (file, row_id, fields map<header, cell>); ``row_id`` as ``numbered`` gives it. Of columns that
+    share a header the first counts."""
     pairs = F.arrays_zip(F.transform("header", lambda x: F.trim(F.coalesce(x, F.lit("")))), F.slice("cells", F.lit(1), F.size("header"))).cast("array<struct<key:string,value:string>>")
-    fields = F.map_from_entries(F.filter(pairs, lambda e: e["key"] != ""))
+    fields = first_entries(F.filter(pairs, lambda e: e["key"] != ""))
     return numbered(table).select("file", "row_id", fields.alias("fields"))

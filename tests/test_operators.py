@@ -556,3 +556,35 @@ def test_streamed_batches_append_no_raw_row_twice(spark, tmp_path):
         STR.to_ledger(STR.message_stream(spark, str(src)), ledger, f"{tmp_path}/cp").awaitTermination()
     assert sorted((r.id, r.device_id or "") for r in ledger.table("raw_sms").collect()) == [("1", "d"), ("2", "")]
     assert ledger.table("checkpoints").count() == 1
+
+
+def test_times_that_cannot_be(spark):
+    from tallyloom.functions.text import is_valid_year, parse_timestamp
+
+    odd = ["nan", "NaN", "Infinity", "-inf", "1e30", "1e400", "-1e400", "99999999999999999", "253402300800000", "soon", "", " ", None]
+    good = {"1767225600000": AT, " 1767225600000.7 ": AT, "2026-01-01T00:00:00Z": AT, "0": dt.datetime(1970, 1, 1), "-1000": dt.datetime(1969, 12, 31, 23, 59, 59), "253402300799999": dt.datetime(9999, 12, 31, 23, 59, 59)}
+    df = spark.createDataFrame([(x,) for x in [*odd, *good]], "t string")
+    got = {r.t: r.s for r in df.select("t", F.date_trunc("second", parse_timestamp("t")).cast("string").alias("s")).collect()}
+    assert all(got[x] is None for x in odd) and {x: got[x] for x in good} == {x: str(v) for x, v in good.items()}
+    assert df.filter(is_valid_year("t").isNull()).count() == 0
+    ledger = ST.Ledger(spark, f"{spark.conf.get('spark.checkpoint.dir')}/odd-times")
+    rows = spark.createDataFrame([(str(i), "AD-X", "see you", t, "", "d") for i, t in enumerate([*odd, *good])], "id string, sender string, body string, timestamp_ms string, timestamp_human string, device_id string")
+    tallies, failed = ledger.ingest(rows)
+    assert (tallies.first().total, tallies.first().failed, failed.count()) == (len(odd) + len(good), len(odd), len(odd))
+
+
+def test_repeated_headers_and_column_order(spark, tmp_path):
+    (tmp_path / "s.csv").write_text("Date,Details,Ref No,REF NO,Ref No,Debit,Credit,Balance\n01/01/2026,SHOP,A1,B2,C3,5,,95\n")
+    rows, _ = load_statements(spark, [str(tmp_path / "s.csv")])
+    raw = SRC.as_columns(SRC.locate_tables(SRC.read_cells(spark, [str(tmp_path / "s.csv")]))).first().fields
+    assert raw["Ref No"] == "A1" and raw["REF NO"] == "B2" and rows.count() == 1
+    folder = tmp_path / "messages"
+    folder.mkdir()
+    (folder / "a.csv").write_text('id,sender,body,timestamp_ms\n1,AD-X,"two\nlines, one",0\n')
+    (folder / "b.csv").write_text("sender,id,timestamp_ms,body,device_id\nAD-Y,2,5,hello,d9\n")
+    (folder / "c.csv").write_text("sender,id,timestamp_ms,body,device_id\nAD-Z,3,6,again,\n")
+    got = sorted((r.id, r.sender, r.body, r.timestamp_ms, r.device_id) for r in SRC.read_messages(spark, str(folder)).collect())
+    assert got == [("1", "AD-X", "two\nlines, one", "0", None), ("2", "AD-Y", "hello", "5", "d9"), ("3", "AD-Z", "again", "6", None)]
+    (folder / "d.csv").write_text("sender,body\nAD-Y,hello\n")
+    with pytest.raises(ValueError, match="missing"):
+        SRC.read_messages(spark, str(folder))
