@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -90,22 +93,57 @@ def match_score(amount: Column, other: Column, days: Column, same_name: Column,
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), total))
 
 
+#: Right rows of a cell that one task meets; cells with more are split.
+CELL_ROWS = 10_000
+
+
+def amount_cell(x: Column, off: float, share: float) -> Column:
+    """The cell of an amount without its sign: as wide as ``off`` up to where ``share`` of it is as much, from there on by
+    equal steps of its logarithm. Cells ascend with amounts."""
+    pivot = off / share
+    linear = int(1 / share) + 1
+    return F.when(x < pivot, F.floor(x / off)).otherwise(linear + F.floor(F.log(F.greatest(x, F.lit(pivot)) / pivot) / -math.log1p(-share))).cast("long")
+
+
+def _met(l: DataFrame, r: DataFrame, keys: list[str], off: float, share: float) -> DataFrame:  # noqa: E741
+    """Left rows (l_amount, l_day, ``days`` they may meet) with the right rows of the cells their amounts reach."""
+    size = F.abs("l_amount")
+    low = F.greatest(F.lit(0.0), F.least(size - off, size / (1 + share)) * (1 - 1e-9) - 1e-9)
+    high = F.greatest(size + off, size / (1 - share)) * (1 + 1e-9) + 1e-9
+    l = l.withColumn("cell", F.explode(F.sequence(amount_cell(low, off, share), amount_cell(high, off, share)))).withColumn("r_day", F.explode("days")).drop("days")  # noqa: E741
+    r = r.withColumn("cell", amount_cell(F.abs("r_amount"), off, share))
+    on = ["r_day", "cell", *keys]
+    crowded = r.groupBy(*on).agg(F.count("*").alias("n")).filter(F.col("n") > CELL_ROWS).select(*on, F.ceil(F.col("n") / CELL_ROWS).cast("int").alias("parts"))
+    l = l.join(crowded, on, "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")  # noqa: E741
+    r = r.join(crowded, on, "left").withColumn("part", F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("right_id"), "parts")).cast("int")).drop("parts")
+    gap = F.abs(F.abs(F.col("l_amount")) - F.abs(F.col("r_amount")))
+    return l.join(r, [*on, "part"]).filter((gap < off) | (gap < share * F.abs("r_amount")))
+
+
 def band_match(left: DataFrame, right: DataFrame, days: int = 2, amount_off: float = 5.0, share_off: float = 0.05, threshold: float = 0.75) -> DataFrame:
-    """Each left row's best right row: amounts within ``amount_off`` or ``share_off``, dates within ``days``.
+    """Each left row's best right row: amounts within ``amount_off`` or ``share_off``, dates within ``days``; of equal
+    scores the smallest right_id.
 
-    left: (left_id, amount double, day, direction, name); right: (right_id, amount, day, direction, name). Right rows go
-    to each day they may meet, which makes the band an equal key; what is left of it filters. A reason stands where no
-    match does: no_amount, no_date, no_amount_match or low_confidence.
+    left: (left_id, amount double, day, direction, name); right: (right_id, amount, day, direction, name). Rows meet on a
+    grid of days and amounts, each left row in the cells it may reach, crowded cells in parts. A score depends on nothing
+    but day, amount, direction and whether names are equal, so equal rows of a side meet as one: once by name, and once
+    whatever their names. A reason stands where no match does: no_amount, no_date, no_amount_match or low_confidence.
     """
-    l = left.select(*[F.col(x).alias(f"l_{x}") for x in ("amount", "day", "direction", "name")], "left_id")  # noqa: E741
-    r = right.select(*[F.col(x).alias(f"r_{x}") for x in ("amount", "day", "direction", "name")], "right_id")
-    r = r.withColumn("l_day", F.explode(F.sequence(F.date_sub("r_day", days), F.date_add("r_day", days), F.expr("interval 1 day"))))
-    off = F.abs(F.abs(F.col("l_amount")) - F.abs(F.col("r_amount")))
-    met = l.join(r, "l_day").filter((off < amount_off) | (off < share_off * F.abs("r_amount")))
-    same = F.coalesce(F.lower("l_name") == F.lower("r_name"), F.lit(False))
-    score = F.round(match_score(F.col("l_amount"), F.col("r_amount"), F.abs(F.date_diff("l_day", "r_day")), same, F.coalesce(F.col("l_direction") == F.col("r_direction"), F.lit(False))), 6)
-    best = met.withColumn("score", score).groupBy("left_id").agg(F.max("score").alias("score"), F.max_by("right_id", F.struct("score", (-F.col("right_id")).alias("i"))).alias("right_id"))
-    rows = l.join(best, "left_id", "left")
+    names = ("amount", "day", "direction", "name")
+    l = left.select(*[F.col(x).alias(f"l_{x}") for x in names[:3]], F.lower("name").alias("l_name"), "left_id")  # noqa: E741
+    kinds = l.groupBy("l_amount", "l_day", "l_direction", "l_name").agg(F.min("left_id").alias("kind"))
+    reach = kinds.filter("l_amount IS NOT NULL AND l_day IS NOT NULL").withColumn("days", F.sequence(F.date_sub("l_day", days), F.date_add("l_day", days), F.expr("interval 1 day")))
+    r = right.filter("amount IS NOT NULL AND day IS NOT NULL").select(*[F.col(x).alias(f"r_{x}") for x in names[:3]], F.lower("name").alias("l_name"), "right_id")
+    least = F.min("right_id").alias("right_id")
+    named = _met(reach.filter("l_name IS NOT NULL"), r.filter("l_name IS NOT NULL").groupBy("r_amount", "r_day", "r_direction", "l_name").agg(least), ["l_name"], amount_off, share_off)
+    any_ = _met(reach.drop("l_name"), r.groupBy("r_amount", "r_day", "r_direction").agg(least), [], amount_off, share_off)
+    columns = ["kind", "right_id", "l_amount", "r_amount", "l_day", "r_day", "l_direction", "r_direction", "same"]
+    met = named.withColumn("same", F.lit(True)).select(*columns).unionByName(any_.withColumn("same", F.lit(False)).select(*columns))
+    score = F.round(match_score(F.col("l_amount"), F.col("r_amount"), F.abs(F.date_diff("l_day", "r_day")), F.col("same"), F.coalesce(F.col("l_direction") == F.col("r_direction"), F.lit(False))), 6)
+    best = met.withColumn("score", score).groupBy("kind").agg(F.max("score").alias("score"), F.max_by("right_id", F.struct("score", (-F.col("right_id")).alias("i"))).alias("right_id"))
+    found = kinds.join(best, "kind").select(*[F.col(f"l_{x}").alias(f"k_{x}") for x in names], "score", "right_id")
+    same = [l[f"l_{x}"].eqNullSafe(found[f"k_{x}"]) for x in names]
+    rows = l.join(found, reduce(lambda x, y: x & y, same), "left")
     reason = F.when(F.col("l_amount").isNull(), "no_amount").when(F.col("l_day").isNull(), "no_date").when(F.col("score").isNull(), "no_amount_match").when(F.col("score") < threshold, "low_confidence")
     return rows.select("left_id", F.when(F.col("score") >= threshold, F.col("right_id")).alias("right_id"), "score", reason.alias("reason"))
 

@@ -588,3 +588,38 @@ def test_repeated_headers_and_column_order(spark, tmp_path):
     (folder / "d.csv").write_text("sender,body\nAD-Y,hello\n")
     with pytest.raises(ValueError, match="missing"):
         SRC.read_messages(spark, str(folder))
+
+
+@pytest.mark.parametrize("crowd", [10_000, 3])
+def test_band_match_against_all_pairs(spark, monkeypatch, crowd):
+    import random
+
+    monkeypatch.setattr(L, "CELL_ROWS", crowd)
+    r = random.Random(crowd)
+    day = lambda: r.choice([None, *[dt.date(2026, 1, 1) + dt.timedelta(days=r.randrange(6)) for _ in range(9)]])
+    money = lambda: r.choice([None, 0.0, 4.99, 5.0, 95.0, 99.99, 100.0, 105.26, 105.27, -100.0, 7.0, 7.0, 7.0, round(r.uniform(0, 300), 2), round(r.uniform(80, 120), 2), round(r.uniform(9e3, 1e4), 2)])
+    row = lambda i: (i, money(), day(), r.choice(["DEBIT", "CREDIT", None]), r.choice([None, "ann", "Ann", "bob", "x"]))
+    left, right = [row(i) for i in range(160)], [row(i) for i in range(240)]
+    want = {}
+    for i, a, d, k, n in left:
+        best = None
+        for j, b, e, m, o in right:
+            if None in (a, b, d, e) or abs((d - e).days) > 2 or not ((off := abs(abs(a) - abs(b))) < 5 or off < 0.05 * abs(b)):
+                continue
+            near = 1.0 if off < 0.01 else 0.95 if off < 1 else 0.8 if off / max(abs(b), 0.01) < 0.05 else 0.0
+            score = round(near * 0.30 + {0: 1.0, 1: 0.8, 2: 0.6}[abs((d - e).days)] * 0.25 + 0.20 * bool(n and o and n.lower() == o.lower()) + 0.15 * (k is not None and k == m) + 0.10, 6)
+            best = max(best or (-1, 0), (score, -j))
+        want[i] = (best[0], -best[1] if best[0] >= 0.75 else None) if best else (None, None)
+    schema = "amount double, day date, direction string, name string"
+    got = L.band_match(spark.createDataFrame(left, f"left_id long, {schema}"), spark.createDataFrame(right, f"right_id long, {schema}")).collect()
+    assert {x.left_id: (x.score, x.right_id) for x in got} == want and len(got) == len(left)
+
+
+def test_amount_cells_reach_every_amount_in_the_band(spark):
+    for off, share in ((5.0, 0.05), (2.0, 0.03), (1.0, 0.3)):
+        df = spark.range(20_000).select((F.rand(1) * F.pow(F.lit(10.0), F.rand(2) * 6)).alias("r"), (F.rand(3) * 2 - 1).alias("x"))
+        df = df.withColumn("a", F.col("r") + F.col("x") * F.greatest(F.lit(off), F.col("r") * share)).filter("a >= 0")
+        low, high = F.greatest(F.lit(0.0), F.least(F.col("a") - off, F.col("a") / (1 + share)) * (1 - 1e-9) - 1e-9), F.greatest(F.col("a") + off, F.col("a") / (1 - share)) * (1 + 1e-9) + 1e-9
+        cell = lambda x: L.amount_cell(x, off, share)  # noqa: B023, E731
+        assert df.filter(~cell(F.col("r")).between(cell(low), cell(high))).count() == 0
+        assert df.agg(F.max(cell(high) - cell(low))).first()[0] <= 4
