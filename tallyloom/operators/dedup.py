@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import c, parse_timestamp
+from ..session import cut
 
 #: The helpline that messages name; never the phone a recharge is for.
 HELPLINE = "9223008333"
@@ -97,16 +98,52 @@ def unreadable(raw: DataFrame) -> DataFrame:
     return raw.filter(parse_timestamp("timestamp_ms").isNull()).withColumn("reason", F.when(F.trim(F.coalesce("timestamp_ms", F.lit(""))) == "", "no time").otherwise("unreadable time"))
 
 
+#: Rows of one account that a task puts in order; longer accounts are cut into slices of about so many, at most MOST_SLICES.
+SLICE_ROWS, MOST_SLICES = 1_000_000, 1_000
+
+
+def _sliced(df: DataFrame, partition: list[str], row_id: str) -> tuple[DataFrame, DataFrame | None]:
+    """``df`` plus ``__slice`` by ranges of ``row_id`` within long accounts, and for their slices but the first the balance
+    that the slice before ends with (None if there is no long account)."""
+    keys = [F.col(f"`{x}`").alias(f"__a{i}") for i, x in enumerate(partition)]
+    same = lambda other: reduce(lambda x, y: x & y, [F.col(f"`{x}`").eqNullSafe(other[f"__a{i}"]) for i, x in enumerate(partition)], F.lit(True))
+    long = cut(df.groupBy(*keys).agg(F.count("*").alias("__n")).filter(F.col("__n") > SLICE_ROWS))
+    most = long.agg(F.max("__n")).first()[0]
+    if most is None:
+        return df.withColumn("__slice", F.lit(0)), None
+    slices = min(MOST_SLICES, -(-most // SLICE_ROWS))
+    steps = [i / slices for i in range(1, slices)]
+    ends = df.join(long, same(long), "left_semi").groupBy(*keys).agg(F.percentile_approx(row_id, steps, 20 * slices).alias("__ends"))
+    ends = cut(ends)
+    out = df.join(ends, same(ends), "left").withColumn("__slice", F.coalesce(F.size(F.filter("__ends", lambda e: e < F.col(row_id))), F.lit(0)))
+    out = out.select(*[F.col(f"`{x}`") for x in df.columns], "__slice", F.col("__ends").isNotNull().alias("__long"))
+    last = out.filter("__long").groupBy(*keys, F.col("__slice").alias("__s")).agg(F.max_by(F.struct("Balance"), row_id).alias("__last"))
+    names = [f"__a{i}" for i in range(len(partition))]
+    handed = last.withColumn("__handed", F.lag("__last").over(Window.partitionBy(*names).orderBy("__s"))).filter("__handed IS NOT NULL").drop("__last")
+    return out.drop("__long"), cut(handed)
+
+
 def signed_by_balance(df: DataFrame, partition: list[str], row_id: str = "row_id", name: str = "DR/CR_Indicator") -> DataFrame:
     """CR where the balance rose since the row before, else DR; the first row goes by its credit or debit.
 
-    ``partition``: the account's columns. Without any the whole table is one sequence in one task, as a single
-    statement is; give the account on anything larger.
+    ``partition``: the account's columns; without any the whole table is one sequence, as a single statement is. Rows of
+    an account are put in order by slices of ``row_id`` (a number), and each slice is handed the last balance of the one
+    before, so an account that holds most rows is shared out.
     """
-    w = Window.partitionBy(*partition).orderBy(row_id)
-    before = F.lag("Balance").over(w)
+    df = cut(df)
+    rows, handed = _sliced(df, partition, row_id)
+    w = Window.partitionBy(*[F.col(f"`{x}`") for x in partition], "__slice").orderBy(row_id)
+    before, opens = F.struct(F.lag("Balance").over(w).alias("Balance")), F.row_number().over(w) == 1
+    rows = rows.withColumns({"__opens": opens, "__before": before})
+    if handed is None:
+        rows = rows.withColumn("__handed", F.lit(None).cast("struct<Balance:decimal(14,2)>"))
+    else:
+        same = reduce(lambda x, y: x & y, [F.col(f"`{x}`").eqNullSafe(handed[f"__a{i}"]) for i, x in enumerate(partition)], F.col("__slice") == F.col("__s"))
+        rows = rows.join(handed, same, "left")
     first = F.when(F.col("Credit") > 0, "CR").when(F.col("Debit") > 0, "DR")
-    return df.withColumn(name, F.when(F.row_number().over(w) == 1, first).when(F.col("Balance") > before, "CR").otherwise("DR"))
+    known = F.when(F.col("__opens"), F.col("__handed.Balance")).otherwise(F.col("__before.Balance"))
+    sign = F.when(F.col("__opens") & F.col("__handed").isNull(), first).when(F.col("Balance") > known, "CR").otherwise("DR")
+    return rows.withColumn("__sign", sign).select(*[F.col(f"`{x}`") for x in df.columns if x != name], F.col("__sign").alias(name))
 
 
 def legacy_dedup(df: DataFrame) -> DataFrame:

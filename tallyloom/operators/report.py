@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import c
+from ..session import cut, free
 
 
 def value_counts(df: DataFrame, key: str) -> DataFrame:
@@ -17,12 +20,57 @@ def top_k(df: DataFrame, key: str, k: int = 10) -> DataFrame:
     return value_counts(df.filter(c(key).isNotNull()), key).limit(k)
 
 
+#: Values of a group that one task sorts, and parts that a longer group's range is cut into at a time.
+SORTED, PARTS = 10_000, 1_000
+
+
+def exact_medians(df: DataFrame, value: str, keys: list[str] = ()) -> DataFrame:
+    """(keys, median) of the values that are set and no NaN, exact for groups of any size.
+
+    A small group is sorted. Of a large one, the range from its least to its greatest value is cut into parts, the parts
+    are counted, and the one that holds the middle is cut again, until it holds few values or only equal ones; the
+    passes move counts, never values.
+    """
+    if not keys:
+        return exact_medians(df.withColumn("__all", F.lit(0)), value, ["__all"]).drop("__all")
+    names = [f"__k{i}" for i in range(len(keys))]
+    rows = df.filter(c(value).isNotNull() & ~F.isnan(c(value).cast("double"))).select(*[c(f"`{k}`").alias(n) for k, n in zip(keys, names, strict=True)], c(value).cast("double").alias("__x"))
+    stats = cut(rows.groupBy(*names).agg(F.count("*").alias("__n"), F.min("__x").alias("__low"), F.max("__x").alias("__high")))
+    meet = lambda a, b: reduce(lambda x, y: x & y, [a[n].eqNullSafe(b[n]) for n in names], F.lit(True))
+    small = rows.join(stats.filter(F.col("__n") <= SORTED), meet(rows, stats), "left_semi").groupBy(*names).agg(F.median("__x").alias("__m"))
+    state = stats.filter(F.col("__n") > SORTED).withColumn("__rank", F.explode(F.array(F.floor((F.col("__n") - 1) / 2), F.ceil((F.col("__n") - 1) / 2))))
+    state = cut(state.select(*names, F.col("__rank").alias("__of"), "__rank", "__low", "__high", "__n").distinct())
+    while state.filter((F.col("__low") < F.col("__high")) & (F.col("__n") > SORTED)).limit(1).count():
+        s = state.select(*[F.col(n).alias(f"__s{n}") for n in names], "__of", "__rank", "__low", "__high")
+        same = reduce(lambda x, y: x & y, [F.col(n).eqNullSafe(F.col(f"__s{n}")) for n in names], F.lit(True))
+        inside = rows.join(s, same & F.col("__x").between(F.col("__low"), F.col("__high"))).drop(*[f"__s{n}" for n in names])
+        width = F.nullif(F.col("__high") - F.col("__low"), F.lit(0.0))
+        ends = F.when(F.col("__x") == F.col("__low"), 0).when(F.col("__x") == F.col("__high"), PARTS - 1)
+        part = ends.when(width < float("inf"), F.least(F.floor((F.col("__x") - F.col("__low")) / width * PARTS), F.lit(PARTS - 1))).otherwise(PARTS // 2)
+        counts = inside.groupBy(*names, "__of", "__rank", part.alias("__part")).agg(F.count("*").alias("__n"), F.min("__x").alias("__low"), F.max("__x").alias("__high"))
+        upto = F.sum("__n").over(Window.partitionBy(*names, "__of").orderBy("__part"))  # at most PARTS rows
+        hit = counts.withColumn("__upto", upto).filter((F.col("__rank") < F.col("__upto")) & (F.col("__rank") >= F.col("__upto") - F.col("__n")))
+        new = cut(hit.select(*names, "__of", (F.col("__rank") - (F.col("__upto") - F.col("__n"))).alias("__rank"), "__low", "__high", "__n"))
+        free(state)
+        state = new
+    s = state.select(*[F.col(n).alias(f"__s{n}") for n in names], "__of", "__rank", "__low", "__high")
+    same = reduce(lambda x, y: x & y, [F.col(n).eqNullSafe(F.col(f"__s{n}")) for n in names], F.lit(True))
+    few = rows.join(s.filter("__low < __high"), same & F.col("__x").between(F.col("__low"), F.col("__high"))).drop(*[f"__s{n}" for n in names])
+    few = few.groupBy(*names, "__of", "__rank").agg(F.sort_array(F.collect_list("__x")).alias("__xs")).select(*names, F.get("__xs", F.col("__rank").cast("int")).alias("__x"))
+    even = state.filter("__low >= __high").select(*names, F.col("__low").alias("__x"))
+    large = few.unionByName(even).groupBy(*names).agg(F.avg("__x").alias("__m"))
+    return small.unionByName(large).select(*[c(n).alias(k) for k, n in zip(keys, names, strict=True)], F.col("__m").alias("median"))
+
+
 def amount_summary(df: DataFrame, amount: str, keys: list[str] = ()) -> DataFrame:
     """Count, sum, least, greatest, mean and exact median."""
-    return df.groupBy(*keys).agg(
+    sums = df.groupBy(*keys).agg(
         F.count(amount).alias("n"), F.round(F.sum(amount), 2).alias("total"), F.min(amount).alias("least"), F.max(amount).alias("greatest"),
-        F.round(F.avg(amount), 4).alias("mean"), F.round(F.median(amount), 4).alias("median"),
-    )
+        F.round(F.avg(amount), 4).alias("mean"),
+    )
+    medians = cut(exact_medians(df, amount, keys).withColumnsRenamed({k: f"__m_{k}" for k in keys}))
+    same = reduce(lambda x, y: x & y, [sums[k].eqNullSafe(medians[f"__m_{k}"]) for k in keys], F.lit(True))
+    return sums.join(medians if keys else F.broadcast(medians), same, "left").withColumn("median", F.round("median", 4)).drop(*[f"__m_{k}" for k in keys])
 
 
 def null_profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame:

@@ -6,7 +6,7 @@ are left out by anti-joins before anything is appended.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
@@ -173,10 +173,48 @@ def checkpoint(df: DataFrame, known: DataFrame | None = None) -> DataFrame:
 
 
 def page(df: DataFrame, order: list, limit: int = 50, offset: int = 0) -> DataFrame:
-    """One page; limit 1 to 500. The order must be total for pages to fit together."""
+    """One page; limit 1 to 500. The order must be total for pages to fit together. Each page sorts the table anew: for
+    many or far pages build an ``OrderIndex``."""
+    _check_page(limit, offset)
+    return df.orderBy(*order).offset(offset).limit(limit)
+
+
+class OrderIndex:
+    """A table written in one order, in parts of consecutive rows, with how many rows come before each part: a page is
+    read from the one or two parts that hold it, however far down it is."""
+
+    def __init__(self, spark: SparkSession, path: str, order: list):
+        self.spark, self.path, self.order = spark, path.rstrip("/"), order
+
+    def build(self, df: DataFrame, parts: int | None = None) -> "OrderIndex":
+        """Write ``df``; the order must be total for pages to fit together. ``parts``: by default as many as a shuffle has."""
+        wanted = parts or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        rows = df.repartitionByRange(wanted, *self.order).withColumn("__part", F.spark_partition_id())
+        rows.write.mode("overwrite").partitionBy("__part").parquet(f"{self.path}/rows")
+        df.limit(0).write.mode("overwrite").parquet(f"{self.path}/empty")  # the columns, also of a table without rows
+        written = self.spark.read.schema(self._empty().withColumn("__part", F.lit(0)).schema).parquet(f"{self.path}/rows")
+        counts = written.groupBy("__part").agg(F.count("*").alias("n"))  # from the files' footers
+        upto = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row a part
+        counts.withColumn("before", F.coalesce(F.sum("n").over(upto), F.lit(0).cast("long"))).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/counts")
+        return self
+
+    def _empty(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/empty")
+
+    def page(self, limit: int = 50, offset: int = 0) -> DataFrame:
+        """Rows ``offset`` to ``offset + limit``, in order; limit 1 to 500."""
+        _check_page(limit, offset)
+        counts = self.spark.read.parquet(f"{self.path}/counts")
+        hit = counts.filter((F.col("before") < offset + limit) & (F.col("before") + F.col("n") > offset)).orderBy("before").collect()
+        if not hit:
+            return self._empty()
+        rows = self.spark.read.schema(self._empty().schema).parquet(*[f"{self.path}/rows/__part={r['__part']}" for r in hit])  # no other part is listed
+        return rows.orderBy(*self.order).offset(offset - hit[0]["before"]).limit(limit)
+
+
+def _check_page(limit: int, offset: int) -> None:
     if not 1 <= limit <= 500 or offset < 0:
         raise ValueError("limit must be 1 to 500 and offset not negative")
-    return df.orderBy(*order).offset(offset).limit(limit)
 
 
 def lookup(df: DataFrame, key: str, value: object) -> DataFrame:

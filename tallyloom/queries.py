@@ -633,6 +633,16 @@ def paging(spark, d):
     return ST.page(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), [F.col("o_totalprice").desc(), "o_orderkey"], 50, 100)
 
 
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 50 OFFSET (SELECT count(*) * 2 // 3 FROM orders)")
+def paging_deep(spark, d):
+    """A page two thirds down, from the part of the order index that holds it."""
+    order = [F.col("o_totalprice").desc(), F.col("o_orderkey").asc()]
+    folder = _folder(spark, "order")
+    rows = table(spark, d, "orders").select("o_orderkey", "o_totalprice")
+    index = ST.OrderIndex(spark, folder, order).build(rows)
+    return _kept(index.page(50, rows.count() * 2 // 3), folder)
+
+
 @query("SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderstatus = 'F' AND o_orderdate BETWEEN TIMESTAMP '1995-01-01' AND TIMESTAMP '1995-12-31'")
 def scan_filter_project(spark, d):
     return table(spark, d, "orders").filter("o_orderstatus = 'F' AND o_orderdate BETWEEN TIMESTAMP '1995-01-01' AND TIMESTAMP '1995-12-31'").select("o_orderkey", "o_orderdate")

@@ -623,3 +623,55 @@ def test_amount_cells_reach_every_amount_in_the_band(spark):
         cell = lambda x: L.amount_cell(x, off, share)  # noqa: B023, E731
         assert df.filter(~cell(F.col("r")).between(cell(low), cell(high))).count() == 0
         assert df.agg(F.max(cell(high) - cell(low))).first()[0] <= 4
+
+
+@pytest.mark.parametrize("rows_a_slice", [1_000_000, 40])
+def test_balances_of_a_hot_account(spark, monkeypatch, rows_a_slice):
+    import random
+
+    monkeypatch.setattr(D, "SLICE_ROWS", rows_a_slice)
+    r = random.Random(1)
+    rows = [("hot" if r.random() < 0.8 else r.choice(["a", "b", None]), i * 3, Decimal(r.randrange(4)) if r.random() < 0.95 else None, Decimal(i % 2), Decimal((i + 1) % 2)) for i in r.sample(range(1000), 400)]
+    df = spark.createDataFrame(rows, "acc string, row_id long, Balance decimal(14,2), Credit decimal(14,2), Debit decimal(14,2)")
+    for keys in (["acc"], []):
+        want, last = {}, {}
+        for acc, i, balance, credit, _ in sorted(rows, key=lambda x: x[1]):
+            k = acc if keys else ""
+            want[i] = ("CR" if credit else "DR") if k not in last else "CR" if None not in (balance, last[k]) and balance > last[k] else "DR"
+            last[k] = balance
+        got = D.signed_by_balance(df, keys, name="sign")
+        assert {x.row_id: x.sign for x in got.collect()} == want and got.count() == len(rows)
+
+
+def test_medians_of_large_groups(spark, monkeypatch):
+    import random
+    import statistics
+
+    monkeypatch.setattr(R, "SORTED", 7)
+    monkeypatch.setattr(R, "PARTS", 5)
+    r = random.Random(2)
+    values = {"same": [4.5] * 50, "two": [1.0] * 20 + [2.0] * 20, "wide": [r.uniform(-1e6, 1e9) ** 3 for _ in range(101)], "inf": [float("-inf")] * 3 + [float("inf")] * 4 + [float(i % 9) for i in range(60)], None: [float(r.randrange(12)) for _ in range(88)], "few": [3.0, 1.0], "one": [9.0]}
+    df = spark.createDataFrame([(k, x) for k, xs in values.items() for x in xs] + [("none", None), ("same", float("nan"))], "k string, x double")
+    got = {x.k: x.median for x in R.exact_medians(df, "x", ["k"]).collect()}
+    assert got == {k: statistics.median(xs) for k, xs in values.items()}
+    whole = [x for xs in values.values() for x in xs]
+    assert R.exact_medians(df, "x").first().median == statistics.median(whole)
+    out = {x.k: x.median for x in R.amount_summary(df, "x", ["k"]).collect()}
+    assert out["none"] is None and out[None] == got[None]
+
+
+def test_order_index_reads_one_part(spark, tmp_path):
+    import random
+
+    rows = [(i, random.Random(i).randrange(20)) for i in range(500)]
+    df = spark.createDataFrame(rows, "k long, v long").repartition(3)
+    index = ST.OrderIndex(spark, f"{tmp_path}/index", [F.col("v").desc(), F.col("k").asc()]).build(df, parts=6)
+    ordered = sorted(rows, key=lambda x: (-x[1], x[0]))
+    for limit, offset in ((10, 0), (25, 70), (500, 0), (50, 480), (5, 500), (7, 83)):
+        page = index.page(limit, offset)
+        assert [tuple(x) for x in page.collect()] == ordered[offset : offset + limit]
+    assert len({f.split("__part=")[1].split("/")[0] for f in index.page(10, 200).inputFiles()}) <= 2
+    assert index.page(10, 10_000).count() == 0
+    assert ST.OrderIndex(spark, f"{tmp_path}/none", [F.col("k").asc()]).build(df.limit(0)).page().count() == 0
+    with pytest.raises(ValueError):
+        index.page(0)
