@@ -694,10 +694,10 @@ def statement_pipeline(spark, d):
     return normalize_statements(_statement(spark, d), ["account"])
 
 
-#: Runs of one amount with no step of six hours or more (a session ends six hours after its last row); phones tell rows
+#: Runs of one amount with no step of more than six hours (a session takes in what comes as it ends); phones tell rows
 #: apart if a run has several, else the first row stands for the run.
 _SESSIONS = """WITH e AS (SELECT CAST(event_id AS VARCHAR) AS id, CAST(user_id AS DOUBLE) AS amount, ts, list_filter(regexp_extract_all(props, '\\b(9\\d{9})\\b', 1), lambda x: x <> '9223008333')[1] AS phone FROM events),
-f AS (SELECT *, CASE WHEN lag(ts) OVER w IS NULL OR ts >= lag(ts) OVER w + INTERVAL 6 HOURS THEN 1 ELSE 0 END AS fresh FROM e WINDOW w AS (PARTITION BY amount ORDER BY ts, id)),
+f AS (SELECT *, CASE WHEN lag(ts) OVER w IS NULL OR ts > lag(ts) OVER w + INTERVAL 6 HOURS THEN 1 ELSE 0 END AS fresh FROM e WINDOW w AS (PARTITION BY amount ORDER BY ts, id)),
 r AS (SELECT *, sum(fresh) OVER (PARTITION BY amount ORDER BY ts, id ROWS UNBOUNDED PRECEDING) AS run FROM f),
 b AS (SELECT *, min(ts) OVER k AS run_start, CASE WHEN min(phone) OVER k <> max(phone) OVER k THEN phone ELSE '' END AS branch FROM r WINDOW k AS (PARTITION BY amount, run))
 SELECT run_start, amount, id FROM (SELECT *, row_number() OVER (PARTITION BY amount, run, branch ORDER BY ts, id) AS n FROM b WHERE branch IS NOT NULL) WHERE n = 1"""
@@ -712,6 +712,44 @@ def stream_session_dedup(spark, d):
     return session_transactions(rows, "6 hours").select("run_start", "amount", "id")
 
 
+def _arriving(spark: SparkSession, rows: DataFrame, folder: str, started) -> None:
+    """Write ``rows`` in two loads, in no order of time, and after each run the stream that ``started`` starts over the
+    folder until it has read what is there: the second time it goes on from its checkpoint."""
+    from .streaming.state import PROVIDER, use_rocksdb
+
+    name, before = PROVIDER[0], spark.conf.get(PROVIDER[0], None)
+    use_rocksdb(spark)
+    try:
+        for load in (1, 0):
+            rows.filter(F.pmod(F.xxhash64("id"), F.lit(2)) == load).repartition(2).write.mode("append").parquet(f"{folder}/arrived")
+            stream = started(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/arrived"))
+            stream.awaitTermination()
+    finally:
+        spark.conf.set(name, before) if before else spark.conf.unset(name)
+
+
+@query("SELECT CAST(user_id AS VARCHAR) AS device_id, max(ts) AS last_ts FROM events WHERE ts IS NOT NULL GROUP BY 1")
+def stream_high_water(spark, d):
+    """The marks that a stream of all events keeps as state, stopped and taken up again half way."""
+    from .streaming import state
+
+    folder = _folder(spark, "marks")
+    rows = table(spark, d, "events").select(F.col("event_id").cast("string").alias("id"), F.col("user_id").cast("string").alias("device_id"), F.col("ts").cast("timestamp").alias("event_time"))
+    _arriving(spark, rows, folder, lambda arrived: state.append_batches(state.high_water(arrived), f"{folder}/moves", f"{folder}/checkpoint"))
+    return _kept(state.marks_of(spark, f"{folder}/checkpoint"), folder)
+
+
+@query(_SESSIONS)
+def stream_reopened_sessions(spark, d):
+    """The same transactions from all events as they arrive in no order: late ones reopen their runs."""
+    from .streaming import state
+
+    folder = _folder(spark, "reopened")
+    rows = table(spark, d, "events").select(F.col("event_id").cast("string").alias("id"), F.col("user_id").cast("double").alias("amount"), F.lit("DEBIT").alias("direction"), F.col("ts").cast("timestamp").alias("event_time"), F.lit(None).cast("string").alias("ref_id"), F.lit("x").alias("recipient_name"), F.lit("s").alias("sender"), F.col("props").alias("body"), F.lit(True).alias("is_financial"), F.lit(0.9).alias("classification_confidence"))
+    _arriving(spark, rows, folder, lambda arrived: state.append_batches(state.reopened_sessions(arrived, "6 hours"), f"{folder}/said", f"{folder}/checkpoint"))
+    return _kept(state.corrected(spark.read.parquet(f"{folder}/said").drop("batch")).select("run_start", "amount", "id"), folder)
+
+
 # ---- more of the single operators ----------------------------------------------------------------------------------
 @query(f"SELECT replace(name, ' ', '') AS canonical, string_agg(DISTINCT name, '|' ORDER BY name) AS names FROM ({_NAMES}) GROUP BY 1 HAVING count(DISTINCT name) > 1")
 def name_variants(spark, d):
