@@ -20,6 +20,8 @@ DEFAULTS = {
 }
 #: Rows of an Arrow batch: rows here are whole texts, of which Spark's default of 10,000 takes much memory on both sides.
 BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "2500"
+#: Bytes of an Arrow batch: however long its texts are, a batch takes no more, but for one row that is longer by itself.
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "16m"
 
 
 def local_session(cores: str = "*", partitions: int = 8, **extra: str) -> SparkSession:
@@ -72,14 +74,17 @@ def free(*tables: DataFrame) -> None:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors' Python workers, once a session, and let batches hold fewer rows unless the
-    session says how many.
+    """Send this package to the executors' Python workers, once a session, and let batches hold fewer rows and bytes
+    unless the session says how many.
 
     Workers then import it even if the repository is not on their path.
     """
     name, default, rows = BATCH_ROWS
     if spark.conf.get(name, default) == default:
         spark.conf.set(name, rows)
+    name, size = BATCH_BYTES
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, size)
     sc = spark.sparkContext
     if getattr(sc, "_tallyloom_shipped", False):
         return
