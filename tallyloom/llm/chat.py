@@ -40,17 +40,15 @@ def fold_events(events: DataFrame) -> DataFrame:
     """
     e = events.select("conv_id", "turn", F.coalesce("part", F.lit(0).cast("long")).alias("part"), F.struct("seq", "kind", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("e"))
     log = e.groupBy("conv_id", "turn", "part").agg(F.sort_array(F.collect_list("e")).alias("log"))
-    start = F.struct(F.lit("").alias("role"), F.array().cast("array<string>").alias("texts"), F.lit(False).alias("alive"))
-
-    def step(s: Column, e: Column) -> Column:
-        kind, one = e["kind"], F.array(e["text"])
-        return F.struct(
-            F.when((kind != "message") & (e["role"] == ""), s["role"]).otherwise(e["role"]).alias("role"),
-            F.when(kind.isin("message", "edit"), one).when(kind == "delta", F.concat(s["texts"], one)).when(kind.isin("regenerate", "delete"), F.array().cast("array<string>")).otherwise(s["texts"]).alias("texts"),
-            F.when(kind == "delete", False).when(kind.isin("message", "edit", "delta", "regenerate"), True).otherwise(s["alive"]).alias("alive"),
-        )
-
-    m = F.aggregate("log", start, step, lambda s: F.struct(s["role"].alias("role"), F.array_join(s["texts"], "").alias("text"), s["alive"].alias("alive")))
+    kind = lambda e: F.coalesce(e["kind"], F.lit(""))
+    last = lambda keep: F.try_element_at(F.filter("log", keep), F.lit(-1))
+    role = F.coalesce(last(lambda e: (kind(e) == "message") | (e["role"] != ""))["role"], F.lit(""))
+    alive = F.coalesce(kind(last(lambda e: kind(e).isin("message", "edit", "delta", "regenerate", "delete"))) != "delete", F.lit(False)) & F.exists("log", lambda e: kind(e).isin("message", "edit", "delta", "regenerate"))
+    # what was written before the last event that sets the text anew no longer counts: one look back, then one join
+    back = F.array_position(F.transform(F.reverse("log"), lambda e: kind(e).isin("message", "edit", "regenerate", "delete")), True)
+    tail = F.when(back > 0, F.slice("log", F.size("log") - back.cast("int") + 1, back.cast("int"))).otherwise(F.col("log"))
+    text = F.array_join(F.transform(F.filter(tail, lambda e: kind(e).isin("message", "edit", "delta")), lambda e: e["text"]), "")
+    m = F.struct(role.alias("role"), text.alias("text"), alive.alias("alive"))
     folded = log.select("conv_id", "turn", "part", m.alias("m")).filter("m.alive").select("conv_id", "turn", "part", "m.role", "m.text")
     gone = _taken_back(events)
     if gone is None:
@@ -145,8 +143,7 @@ def as_events(conversations: DataFrame) -> DataFrame:
     """The log that a chat service would have written of a table of turns (conv_id, turn, role, text); rows that share a
     turn are its parts, by role and text.
 
-    An assistant's message begins empty and is streamed in deltas of ``DELTA`` code points (of a long one 256 longer
-    ones); every third one was first answered by a draft and regenerated. Any other message is sent half written and then
+    An assistant's message begins empty and is streamed in deltas of ``DELTA`` code points; every third one was first answered by a draft and regenerated. Any other message is sent half written and then
     edited. ``seq`` counts up within the conversation by turn and part. Turns of 2**20 and more all come after those
     below it and are never regenerated.
     """
@@ -156,7 +153,7 @@ def as_events(conversations: DataFrame) -> DataFrame:
     rows = rows.withColumns({"part": (F.row_number().over(tie) - 1).cast("long"), "n": F.char_length("text")})
     nothing = F.lit(None).cast("string")
     event = lambda kind, text, role=nothing: F.struct(F.lit(kind).alias("kind"), role.alias("role"), text.alias("text"))
-    size = F.greatest(F.lit(DELTA), F.ceil(F.col("n") / 256)).cast("int")
+    size = F.lit(DELTA)
     pieces = F.transform(F.sequence(F.lit(0), F.floor((F.greatest("n", F.lit(1)) - 1) / size).cast("int")), lambda i: event("delta", F.substring("text", i * size + 1, size)))
     streamed = F.concat(F.array(event("message", F.lit(""), F.col("role"))), pieces)
     again = F.concat(F.array(event("message", F.lit("draft"), F.col("role")), event("delta", F.lit(" of an answer")), event("regenerate", nothing)), pieces)

@@ -205,13 +205,22 @@ def _best(found: DataFrame, k: int) -> DataFrame:
     return found.groupBy("query_id").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col("id").alias("i")))), 1, k).alias("b"))
 
 
+def _once(found: DataFrame, several: DataFrame | None) -> DataFrame:
+    """(query_id, id, score) with each candidate once, at its best, for the queries ``several`` (id) of several vectors."""
+    if several is None:
+        return found
+    marked = found.join(several.select(F.col("id").alias("query_id"), F.lit(True).alias("many")), "query_id", "left")
+    apart = F.when(F.col("many"), F.lit(-1).cast("long")).otherwise(F.monotonically_increasing_id())
+    return marked.withColumn("apart", apart).groupBy("query_id", "id", "apart").agg(F.max("score").alias("score")).select("query_id", "id", "score")
+
+
 def top_k(queries: DataFrame, candidates: DataFrame, k: int = 20) -> DataFrame:
     """(query_id, rank, id, score): each query's k largest inner products, ties to the smaller id, its own id left out.
 
     Both tables: (id long, v array<double> of whole numbers). Rows with a null id, a null vector, or a null or
     non-finite component take no part; shorter vectors are filled up with zeros; rows that repeat id and vector count
-    once; rows of one id with several vectors are one query with the best of all, and several candidates. A vector whose
-    squared length is 2**62 or more is an error: its products could leave 64 bits.
+    once; rows of one id with several vectors are several candidates, but one query, which meets each candidate id once,
+    at the best of all. A vector whose squared length is 2**62 or more is an error: its products could leave 64 bits.
 
     Queries are dealt into blocks of about ``QUERY_BLOCK``, candidates into stripes of at most about ``STRIPE``; every
     block meets every stripe, streamed by descending length, so a task holds one block and one bucket at a time. All
@@ -227,11 +236,15 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 20) -> DataFrame:
     q, c = ws.table(rows(queries), "queries"), ws.table(rows(candidates), "candidates")
     blocks = max(1, -(-q.count() // QUERY_BLOCK))
     stripes = max(1, -(-c.count() // STRIPE), -(-GROUPS // blocks))
+    repeated = ws.table(q.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select("id"), "repeated")
+    several, most = (repeated, k) if repeated.limit(1).count() else (None, k)
+    if several is not None:  # a list must hold k ids, however many vectors an id has
+        most = k * int(c.groupBy("id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 1)
     seeds = ws.table(c.orderBy(F.col("norm").desc(), "id", "v").limit(SEEDS), "seeds")
     q = q.drop("norm")
-    first = _best(_met(q.withColumn("least", F.lit(float("-inf"))), seeds, blocks, 1, k), k).select(F.col("query_id").alias("qid"), (-F.try_element_at("b", F.lit(k))["s"]).cast("double").alias("known"))
+    first = _best(_once(_met(q.withColumn("least", F.lit(float("-inf"))), seeds, blocks, 1, most), several), k).select(F.col("query_id").alias("qid"), (-F.try_element_at("b", F.lit(k))["s"]).cast("double").alias("known"))
     q = q.join(first, F.col("id") == F.col("qid"), "left").select("id", "v", F.coalesce("known", F.lit(float("-inf"))).alias("least"))
-    best = _best(ws.table(_met(q, c, blocks, stripes, k), "found"), k)
+    best = _best(_once(ws.table(_met(q, c, blocks, stripes, most), "found"), several), k)
     return best.select("query_id", F.posexplode("b").alias("p", "x")).select("query_id", (F.col("p") + 1).alias("rank"), F.col("x.i").alias("id"), (-F.col("x.s")).alias("score"))
 
 

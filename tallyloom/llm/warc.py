@@ -215,7 +215,12 @@ def _payload(head: dict[str, str], block: bytes) -> bytes | None:
 
 
 def _head(raw: bytes) -> dict[str, str]:
-    lines = raw.lstrip(b"\r\n").decode("utf-8", "surrogatepass").split("\r\n")
+    """Headers by lower-cased name, as UTF-8, or Latin-1 where they aren't."""
+    raw = raw.lstrip(b"\r\n")
+    try:
+        lines = raw.decode("utf-8").split("\r\n")
+    except UnicodeDecodeError:
+        lines = raw.decode("latin-1").split("\r\n")
     if not lines[0].startswith("WARC/"):
         raise ValueError(f"not a WARC record: {lines[0][:60]!r}")
     return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}

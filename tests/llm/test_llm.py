@@ -729,3 +729,28 @@ def test_whole_texts_of_common_licences(spark):
 def test_near_duplicate_query_on_whole_table(spark, sf):
     got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in QUERIES["op2_minmax"](spark, sf).collect()}
     assert got == components_by_force([(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()], 85, 3)
+
+
+def test_chat_of_very_many_deltas(spark):
+    import time
+
+    n = 100_000
+    log = spark.range(n).select(F.lit(1).cast("long").alias("conv_id"), F.lit(0).cast("long").alias("turn"), F.lit(0).cast("long").alias("part"), F.col("id").alias("seq"), F.when(F.col("id") == 0, "message").when(F.col("id") == 5, "edit").when(F.col("id") == 7, None).otherwise("delta").alias("kind"), F.when(F.col("id") == 0, "assistant").alias("role"), F.concat((F.col("id") % 10).cast("string"), F.lit(" ")).alias("text"))
+    began = time.time()
+    row = chat.fold_events(log).collect()
+    assert time.time() - began < 20
+    assert [(r.role, r.text) for r in row] == [("assistant", "".join(f"{i % 10} " for i in range(5, n) if i != 7))]
+    gone = log.filter("seq < 20").withColumn("kind", F.when(F.col("seq") == 19, "delete").otherwise(F.col("kind")))
+    assert chat.fold_events(gone).count() == 0 and chat.fold_events(log.filter("seq = 7")).count() == 0
+
+
+def test_queries_of_several_vectors_and_latin_headers(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [3.0, 5.0]), (2, [4.0, 0.0]), (2, [0.0, 4.5]), (3, [1.0, 1.0]), (20, [1.0, 0.0])]
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    got = [tuple(r) for r in topk.top_k(df.filter("id = 0"), df, 3).orderBy("rank").collect()]
+    assert got == [(0, 1, 1, 5), (0, 2, 2, 4), (0, 3, 3, 1)]
+    both = [tuple(r) for r in topk.top_k(df.filter("id IN (0, 20)"), df, 3).filter("query_id = 20").orderBy("rank").collect()]
+    assert both == [(20, 1, 2, 4), (20, 2, 1, 3), (20, 3, 0, 1)]
+    head = warc._head(b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Target-URI: http://x/\xe9")
+    assert head == {"warc-type": "response", "warc-target-uri": "http://x/\xe9"}
+    assert warc._head("WARC/1.0\r\nX: é".encode()) == {"x": "é"}
