@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import c, parse_timestamp
@@ -84,12 +84,17 @@ def dedup_transactions(fin: DataFrame, gap: str = "10 minutes") -> DataFrame:
     return best_row(rows, [*keys, "__branch"]).drop("__branch", "__phone", "cluster")
 
 
-def structural_clean(raw: DataFrame) -> DataFrame:
+def structural_clean(raw: DataFrame, seen: Observation | None = None, told: Observation | None = None) -> DataFrame:
     """Raw messages with null texts filled, exact resends removed, a time and a local date; unreadable times go (see
-    ``unreadable``)."""
+    ``unreadable``). ``seen`` counts what is read, ``told`` what is left without resends and how much of it is unreadable,
+    in the pass that drops them."""
     rows = raw.fillna("", ["sender", "body"])
-    rows = first_wins(rows, ["body", "timestamp_ms"], ["row_id"])
-    rows = rows.withColumn("event_time", parse_timestamp("timestamp_ms")).filter("event_time IS NOT NULL")
+    if seen is not None:
+        rows = rows.observe(seen, F.count(F.lit(1)).alias("read"))
+    rows = first_wins(rows, ["body", "timestamp_ms"], ["row_id"]).withColumn("event_time", parse_timestamp("timestamp_ms"))
+    if told is not None:
+        rows = rows.observe(told, F.count(F.lit(1)).alias("distinct"), F.count_if(F.col("event_time").isNull()).alias("unreadable"))
+    rows = rows.filter("event_time IS NOT NULL")
     return rows.withColumn("date", F.to_date(F.from_utc_timestamp("event_time", "Asia/Kolkata")))
 
 

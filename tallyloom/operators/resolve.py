@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,8 +17,8 @@ from .linkage import complete_linkage
 
 #: Names of a block that one task compares with the others of the block, and comparisons a task is meant to make.
 CHUNK, COMPARED = 100, 250_000
-#: The largest alias table that is met in a nested loop.
-KB_BROADCAST = 1_000
+#: The largest alias table that is met in a nested loop, and bytes of aliases up to which an automaton is handed to tasks.
+KB_BROADCAST, ALIAS_BYTES = 1_000, 32 << 20
 
 
 def name_counts(df: DataFrame, name: str, row_id: str = "row_id") -> DataFrame:
@@ -193,20 +195,62 @@ def knowledge_base_match(df: DataFrame, kb: DataFrame, name: str) -> DataFrame:
     or stands in it, else the name in upper case.
 
     Distinct names meet the table once: equal ones by key, the others in a nested loop over a table of at most
-    ``KB_BROADCAST`` aliases, beyond that by their substrings of lengths that occur on the other side.
+    ``KB_BROADCAST`` aliases, beyond that by automata (``_by_automaton``), and beyond ``ALIAS_BYTES`` by their substrings of
+    lengths that occur on the other side. Of equal positions the alias first in order counts.
     """
     one = cut(df.select(F.upper(F.trim(name)).alias("k")).filter("k <> ''").distinct())
     alias = kb.select(F.upper("alias").alias("alias"), "canonical", "position").filter("alias IS NOT NULL")
-    equal = one.join(alias, F.col("k") == F.col("alias")).groupBy("k").agg(F.min_by("canonical", "position").alias("found"))
+    equal = one.join(alias, F.col("k") == F.col("alias")).groupBy("k").agg(F.min_by("canonical", F.struct("position", "alias")).alias("found"))
     rest = one.join(equal, "k", "left_anti")
     if alias.limit(KB_BROADCAST + 1).count() <= KB_BROADCAST:
         part = rest.join(F.broadcast(alias), F.contains("k", "alias") | F.contains("alias", F.col("k")))
+    elif (alias.agg(F.sum(F.octet_length("alias") + F.octet_length(F.coalesce("canonical", F.lit(""))) + 16)).first()[0] or 0) <= ALIAS_BYTES:
+        part = _by_automaton(rest, alias)
     else:
         part = _within(rest, "k", alias, "alias").unionByName(_within(alias, "alias", rest, "k").select("k", "alias", "canonical", "position"))
-    best = equal.unionByName(part.groupBy("k").agg(F.min_by("canonical", "position").alias("found")))
+    best = equal.unionByName(part.groupBy("k").agg(F.min_by("canonical", F.struct("position", "alias")).alias("found")))
     return df.withColumn("__k", F.upper(F.trim(name))).join(best, F.col("__k") == F.col("k"), "left").withColumn("kb_name", F.coalesce("found", "__k")).drop("__k", "k", "found")
 
 
+def _by_automaton(names: DataFrame, alias: DataFrame) -> DataFrame:
+    """(k, alias, canonical, position) of each name's first alias that stands in it or contains it.
+
+    An Aho-Corasick automaton of all aliases, built once a worker, scans each name once; one of a batch's names scans all
+    aliases once. The aliases are broadcast: the caller has checked their size.
+    """
+    rows = sorted(((r["position"], r["alias"], r["canonical"]) for r in alias.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    handed = names.sparkSession.sparkContext.broadcast(rows)
+    held: dict = {}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        ranked = handed.value
+        if "all" not in held:
+            held["all"] = ahocorasick.Automaton()
+            for i in reversed(range(len(ranked))):
+                if ranked[i][1]:
+                    held["all"].add_word(ranked[i][1], i)
+            held["all"].make_automaton()
+            held["any"] = next((i for i, r in enumerate(ranked) if not r[1]), len(ranked))  # an empty alias stands in every name
+        for b in batches:
+            ks = b.column(0).to_pylist()
+            own = ahocorasick.Automaton()
+            for j, k in enumerate(ks):
+                own.add_word(k, j)
+            own.make_automaton()
+            best = [min((i for _, i in held["all"].iter(k)), default=len(ranked)) if len(held["all"]) else len(ranked) for k in ks]
+            best = [min(i, held["any"]) for i in best]
+            for i, r in enumerate(ranked):
+                for _, j in own.iter(r[1]):
+                    best[j] = min(best[j], i)
+            hit = [(k, ranked[i]) for k, i in zip(ks, best, strict=True) if i < len(ranked)]
+            if hit:
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in hit], pa.string()), pa.array([r[1] for _, r in hit], pa.string()), pa.array([r[2] for _, r in hit], pa.string()), pa.array([r[0] for _, r in hit], pa.int64())], names=["k", "alias", "canonical", "position"])
+
+    return names.select("k").mapInArrow(run, "k string, alias string, canonical string, position long")
+
+
 def _within(longer: DataFrame, text: str, shorter: DataFrame, part: str) -> DataFrame:
     """Rows of ``longer`` joined with those of ``shorter`` whose ``part`` stands in ``text``, by equal substrings."""
     sizes = [r["n"] for r in shorter.select(F.char_length(part).alias("n")).distinct().collect() if r["n"]]  # as many as names have lengths

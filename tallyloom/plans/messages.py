@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.sms import PARSED, parse_messages
@@ -25,6 +25,7 @@ class MessageRun:
     review: DataFrame
     metrics: DataFrame
     bad: DataFrame
+    counts: tuple[Observation, Observation]
 
 
 def review_queue(parsed: DataFrame) -> DataFrame:
@@ -36,15 +37,18 @@ def review_queue(parsed: DataFrame) -> DataFrame:
 def run_messages(raw: DataFrame, gap: str = "10 minutes") -> MessageRun:
     """Lazy plans over raw messages (id, sender, body, timestamp_ms, row_id). The parsed rows feed three of them: persist
     ``parsed`` before using several."""
-    parsed = parse_messages(structural_clean(raw))
+    counts = Observation(), Observation()
+    parsed = parse_messages(structural_clean(raw, *counts))
     money = parsed.filter("classification_label = 'FINANCIAL_TRANSACTION'")
     financial = dedup_transactions(money, gap).withColumn("body", flatten_body("body"))
     review = review_queue(parsed).withColumn("body", flatten_body("body"))
-    return MessageRun(parsed, financial.select(*FINANCIAL), review.select(*REVIEW), validation_metrics(parsed), unreadable(raw))
+    return MessageRun(parsed, financial.select(*FINANCIAL), review.select(*REVIEW), validation_metrics(parsed), unreadable(raw), counts)
 
 
-def write_run(run: MessageRun, path: str, kind: str = "parquet") -> None:
-    """Every result under ``path``, as Parquet or as CSV with a header; ``bad`` holds the rows that couldn't be read."""
+def write_run(run: MessageRun, path: str, kind: str = "parquet") -> dict[str, int]:
+    """Every result under ``path``, as Parquet or as CSV with a header; ``bad`` holds the rows that couldn't be read. Returns
+    how many rows were read, were resends, couldn't be read and were kept: counted as they were dropped, so the last
+    three add up to the first."""
     if kind not in ("parquet", "csv"):
         raise ValueError("kind must be parquet or csv")
     run.parsed.persist()
@@ -53,6 +57,8 @@ def write_run(run: MessageRun, path: str, kind: str = "parquet") -> None:
             getattr(run, name).write.mode("overwrite").option("header", True).format(kind).save(f"{path}/{name}")
     finally:
         run.parsed.unpersist()
+    read, (distinct, lost) = run.counts[0].get["read"], (run.counts[1].get[k] for k in ("distinct", "unreadable"))
+    return {"read": read, "resent": read - distinct, "unreadable": lost, "kept": distinct - lost}
 
 
 __all__ = ["FINANCIAL", "PARSED", "REVIEW", "MessageRun", "review_queue", "run_messages", "write_run"]

@@ -233,8 +233,9 @@ def test_knowledge_base_of_any_size(spark, monkeypatch):
     df = spark.createDataFrame([(i, n) for i, n in enumerate(["big shop", "shop", " SHO ", "other", None, "", "BIG", "x"])], "i int, n string")
     kb = spark.createDataFrame([("Shop", "S", 3), ("big s", "B", 1), ("my other one", "O", 2), (None, "N", 0), ("SHOP", "T", 4)], "alias string, canonical string, position int")
     want = {0: "B", 1: "S", 2: "S", 3: "O", 4: None, 5: "", 6: "B", 7: "X"}
-    for limit in (1_000, 2):
+    for limit, size in ((1_000, 0), (2, 1 << 20), (2, 0)):
         monkeypatch.setattr(RES, "KB_BROADCAST", limit)
+        monkeypatch.setattr(RES, "ALIAS_BYTES", size)
         assert {r.i: r.kb_name for r in RES.knowledge_base_match(df, kb, "n").collect()} == want
 
 
@@ -675,3 +676,32 @@ def test_order_index_reads_one_part(spark, tmp_path):
     assert ST.OrderIndex(spark, f"{tmp_path}/none", [F.col("k").asc()]).build(df.limit(0)).page().count() == 0
     with pytest.raises(ValueError):
         index.page(0)
+
+
+def test_aliases_by_automaton_against_every_pair(spark, monkeypatch):
+    import random
+
+    r = random.Random(3)
+    word = lambda n: "".join(r.choice("AB é") for _ in range(r.randrange(n)))
+    names, aliases = [word(9) for _ in range(150)], [(word(6), f"C{i}", r.randrange(40)) for i in range(200)] + [("", "EMPTY", 39)]
+    kb = spark.createDataFrame(aliases, "alias string, canonical string, position int")
+    df = spark.createDataFrame(list(enumerate(names)), "i int, n string")
+    monkeypatch.setattr(RES, "KB_BROADCAST", 0)
+    want = {}
+    for i, n in enumerate(names):
+        k = n.strip().upper()
+        equal = [(p, a.upper(), c) for a, c, p in aliases if a.upper() == k]
+        near = [(p, a.upper(), c) for a, c, p in aliases if a.upper() in k or k in a.upper()]
+        want[i] = min(equal or near)[:2] if k else None
+    got = {x.i: x.kb_name for x in RES.knowledge_base_match(df, kb, "n").collect()}
+    by = {c: (p, a.upper()) for a, c, p in aliases}
+    assert {i: by.get(c) if want[i] else None for i, c in got.items()} == want
+
+
+def test_written_run_counts_what_it_drops(spark, tmp_path):
+    from tallyloom.plans.messages import write_run
+
+    rows = [(str(i), "AD-X", f"see you {i % 4}", t, i) for i, t in enumerate(["0", "1", "2", "3", "0", "1", "nan", "soon", None, "5"])]
+    run = run_messages(spark.createDataFrame(rows, "id string, sender string, body string, timestamp_ms string, row_id int").repartition(3))
+    assert write_run(run, f"{tmp_path}/run") == {"read": 10, "resent": 2, "unreadable": 3, "kept": 5}
+    assert spark.read.parquet(f"{tmp_path}/run/parsed").count() == 5 and spark.read.parquet(f"{tmp_path}/run/bad").count() == 3
