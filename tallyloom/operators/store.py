@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import patterns as P
 from ..functions.sms import PARSED, parse_messages
 from ..functions.text import parse_timestamp
-from ..session import cut
+from ..session import cut, free
 from .dedup import first_wins
 
 SCHEMAS = {
@@ -59,8 +59,8 @@ def to_transactions(parsed: DataFrame, at: Column | None = None) -> DataFrame:
 
 def new_transactions(rows: DataFrame, ledger: DataFrame) -> DataFrame:
     """Rows the ledger lacks: by account and reference, or without one by account, amount, sign and day."""
-    refs = ledger.filter("transaction_reference IS NOT NULL").select("account_id", "transaction_reference").distinct()
-    days = ledger.select("account_id", "amount", "dr_cr_indicator", "transaction_date").distinct()
+    refs = ledger.filter("transaction_reference IS NOT NULL").select("account_id", "transaction_reference")
+    days = ledger.select("account_id", "amount", "dr_cr_indicator", "transaction_date")
     by_ref = rows.filter("transaction_reference IS NOT NULL").join(refs, ["account_id", "transaction_reference"], "left_anti")
     by_day = rows.filter("transaction_reference IS NULL").join(days, ["account_id", "amount", "dr_cr_indicator", "transaction_date"], "left_anti")
     return first_wins(by_ref.unionByName(by_day), ["id"], ["created_at"])
@@ -90,20 +90,23 @@ class Ledger:
         rows = wanted.filter("id IS NOT NULL").dropDuplicates(["id"])
         self.append(name, rows.join(self.table(name).select("id"), "id", "left_anti"))
 
-    def persist(self, parsed: DataFrame) -> None:
-        """Accounts, recipients and new transactions of parsed messages (with event_time)."""
+    def persist(self, parsed: DataFrame) -> int:
+        """Accounts, recipients and new transactions of parsed messages (with event_time): how many are new."""
         money = parsed.filter("is_financial")
         bank = F.coalesce("bank", F.lit("UNKNOWN"))
         self.get_or_create("accounts", money.select(account_id(bank).alias("id"), F.upper(bank).alias("bank_name"), F.lit("SAVINGS").alias("account_type"), F.current_timestamp().alias("created_at")))
         self.get_or_create("recipients", money.select(recipient_id(F.col("recipient_name"), F.col("upi_id"), F.col("bank")).alias("id"), F.col("recipient_name").alias("name"), "upi_id", F.col("bank").alias("bank_name"), F.current_timestamp().alias("created_at")))
-        self.append("transactions", new_transactions(to_transactions(parsed), self.table("transactions")))
-
+        fresh = cut(new_transactions(to_transactions(parsed), self.table("transactions")))
+        self.append("transactions", fresh)
+        created = fresh.count()
+        free(fresh)
+        return created
 
     def add_raw(self, rows: DataFrame) -> None:
         """Append the raw messages that the ledger lacks, by (id, device_id), nulls equal; of equal ones the first."""
         columns = [f.split()[0] for f in SCHEMAS["raw_sms"].split(", ")]
         fresh = first_wins(rows.select(*columns), ["id", "device_id"], ["timestamp_ms"])
-        seen = self.table("raw_sms").select(F.col("id").alias("__id"), F.col("device_id").alias("__device")).distinct()
+        seen = self.table("raw_sms").select(F.col("id").alias("__id"), F.col("device_id").alias("__device"))
         self.append("raw_sms", fresh.join(seen, F.col("id").eqNullSafe(F.col("__id")) & F.col("device_id").eqNullSafe(F.col("__device")), "left_anti"))
 
     def move_checkpoints(self, rows: DataFrame) -> None:
@@ -119,11 +122,9 @@ class Ledger:
         try:
             good = rows.filter("size(errors) = 0")
             parsed = parse_messages(good).persist()
-            before = self.table("transactions").count()
             self.add_raw(good)
-            self.persist(parsed)
+            created = self.persist(parsed)
             self.move_checkpoints(good)
-            created = self.table("transactions").count() - before
             n = rows.count()
             money, ok = parsed.agg(F.count_if("is_financial").alias("m"), F.count("*").alias("n")).first()
             parsed.unpersist()

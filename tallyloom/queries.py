@@ -750,6 +750,44 @@ def stream_reopened_sessions(spark, d):
     return _kept(state.corrected(spark.read.parquet(f"{folder}/said").drop("batch")).select("run_start", "amount", "id"), folder)
 
 
+def _totals_sql() -> str:
+    one = "SELECT '{u}' AS unit, strftime(date_trunc('{u}', ts), '%Y-%m-%d') AS period, event_type AS direction, count(*) AS n, CAST(round(sum(CAST(value AS DECIMAL(14, 2))), 2) AS DOUBLE) AS total FROM events WHERE ts IS NOT NULL GROUP BY ALL"
+    return " UNION ALL ".join(one.format(u=u) for u in ("day", "week", "month"))
+
+
+@query(_totals_sql())
+def stream_period_totals(spark, d):
+    """Days, weeks and months of all events, summed by streams that are stopped and taken up again half way."""
+    from .streaming import ingest, state
+
+    rows = table(spark, d, "events").select(F.col("event_id").cast("string").alias("id"), F.col("event_type").alias("direction"), F.col("ts").cast("timestamp").alias("event_time"), F.col("value").alias("amount"))
+    out, folders = None, []
+    for unit in ("day", "week", "month"):
+        folder = _folder(spark, f"totals-{unit}")
+        _arriving(spark, rows, folder, lambda arrived: state.append_batches(ingest.period_totals(arrived, unit), f"{folder}/said", f"{folder}/checkpoint"))  # noqa: B023
+        # the last batch that names a period has its total
+        last = spark.read.parquet(f"{folder}/said").groupBy("period", "direction").agg(F.max_by(F.struct("n", "total"), "batch").alias("x"))
+        part = last.select(F.lit(unit).alias("unit"), F.col("period").cast("string").alias("period"), "direction", "x.n", F.col("x.total").cast("double").alias("total"))
+        out = part if out is None else out.unionByName(part)
+        folders.append(folder)
+    return _kept(out, *folders)
+
+
+@query("SELECT DISTINCT body, CAST(ts AS VARCHAR) AS sent FROM (SELECT props AS body, epoch_us(ts) // 1000 AS ts FROM events WHERE ts IS NOT NULL AND props IS NOT NULL)")
+def stream_capture(spark, d):
+    """All events sent twice as JSON files, captured as a stream and stored without resends."""
+    from .streaming import ingest, state
+
+    folder = _folder(spark, "capture")
+    sent = F.unix_millis(F.col("ts").cast("timestamp")).cast("string")
+    rows = table(spark, d, "events").filter("ts IS NOT NULL AND props IS NOT NULL").select(F.col("event_id").cast("string").alias("id"), F.lit("AD-X").alias("sender"), F.col("props").alias("body"), sent.alias("timestamp_ms"), F.lit("").alias("timestamp_human"), F.lit("d").alias("device_id"))
+    for _ in range(2):
+        rows.repartition(2).write.mode("append").json(f"{folder}/sent")
+    stream = ingest.without_resends(ingest.message_stream(spark, f"{folder}/sent"), "36500 days")
+    state.append_batches(stream, f"{folder}/kept", f"{folder}/checkpoint").awaitTermination()
+    return _kept(spark.read.parquet(f"{folder}/kept").select("body", F.col("timestamp_ms").alias("sent")), folder)
+
+
 # ---- more of the single operators ----------------------------------------------------------------------------------
 @query(f"SELECT replace(name, ' ', '') AS canonical, string_agg(DISTINCT name, '|' ORDER BY name) AS names FROM ({_NAMES}) GROUP BY 1 HAVING count(DISTINCT name) > 1")
 def name_variants(spark, d):
@@ -1020,3 +1058,94 @@ def ingest_tallies(spark, d):
 @query("SELECT to_json({'o_orderkey': o_orderkey, 'o_orderstatus': o_orderstatus}) AS json FROM orders")
 def rows_as_json(spark, d):
     return R.as_json(table(spark, d, "orders").select("o_orderkey", "o_orderstatus"))
+
+
+# ---- operators that the queries above pass by ----------------------------------------------------------------------
+@query(f"SELECT o_orderkey, ({CHECK.rlike('sender', P.SPAM_SENDER, True)} AND NOT {CHECK.rlike('body', P.FINANCIAL, True)}) OR {CHECK.rlike('body', P.SPAM_BODY, True)} AS spam FROM {_MESSAGES}")
+def spam_messages(spark, d):
+    return messages(spark, d).select("o_orderkey", S.is_spam("body", "sender").alias("spam"))
+
+
+@query(_band_sql("SELECT m.left_id, m.right_id, m.score, l.amount AS paid, r.amount AS booked, l.name AS payee, r.name AS shop FROM m JOIN l ON m.left_id = l.left_id JOIN r ON m.right_id = r.right_id"))
+def matched_rows(spark, d):
+    r, matches = _band(spark, d)
+    l = spark.sql(_BAND_LEFT.replace("VARCHAR", "STRING"))  # noqa: E741
+    return L.matched_rows(l, r, matches).select("left_id", "right_id", "score", F.col("amount").alias("paid"), F.col("right_amount").alias("booked"), F.col("name").alias("payee"), F.col("right_name").alias("shop"))
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey = (SELECT max(o_orderkey) FROM orders)")
+def single_lookup(spark, d):
+    orders = table(spark, d, "orders")
+    return ST.lookup(orders, "o_orderkey", orders.agg(F.max("o_orderkey")).first()[0]).select("o_orderkey", "o_totalprice")
+
+
+_ALIASES = "SELECT s_name AS name, 'Supplier ' || CAST(s_nationkey AS VARCHAR) AS canonical FROM supplier"
+_BOUGHT = "SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_suppkey % 3 = 0 THEN 'Nobody ' || CAST(l_suppkey AS VARCHAR) WHEN l_suppkey % 3 = 1 THEN s_name END AS payee FROM lineitem JOIN supplier ON l_suppkey = s_suppkey"
+
+
+@query(f"SELECT coalesce(a.canonical, payee) AS payee, count(*) AS n FROM ({_BOUGHT}) b LEFT JOIN ({_ALIASES}) a ON b.payee = a.name GROUP BY 1")
+def alias_replace(spark, d):
+    for t in ("lineitem", "supplier"):
+        table(spark, d, t).createOrReplaceTempView(t)
+    named = RES.apply_mapping(spark.sql(_BOUGHT.replace("VARCHAR", "STRING")), spark.sql(_ALIASES.replace("VARCHAR", "STRING")), "payee")
+    return named.groupBy("payee").agg(F.count("*").alias("n"))
+
+
+_TWO_NAMES = "SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN 'Mr. ' || c_mktsegment || ' X' WHEN 1 THEN 'DR' WHEN 2 THEN left(c_mktsegment, 4) || ' Y' WHEN 3 THEN '' ELSE c_name END AS a, CASE c_custkey % 3 WHEN 0 THEN c_mktsegment || ', Z' WHEN 1 THEN 'Ms ' || c_name ELSE 'MR Other' END AS b FROM customer"
+
+
+def _first_token_sql(x: str) -> str:
+    return f"coalesce(list_filter(regexp_split_to_array(upper(regexp_replace({x}, '[.,]', '', 'g')), '\\s+'), lambda w: w <> '' AND w NOT IN ({', '.join(repr(t) for t in P.TITLES)}))[1], '')"
+
+
+@query(f"SELECT c_custkey, x <> '' AND y <> '' AND NOT starts_with(x, y) AND NOT starts_with(y, x) AS apart FROM (SELECT c_custkey, {_first_token_sql('a')} AS x, {_first_token_sql('b')} AS y FROM ({_TWO_NAMES}))")
+def first_name_conflicts(spark, d):
+    table(spark, d, "customer").createOrReplaceTempView("customer")
+    return spark.sql(_TWO_NAMES).select("c_custkey", T.first_names_conflict("a", "b").alias("apart"))
+
+
+@query("SELECT count(*) AS rows_processed, count(*) FILTER (WHERE o_orderkey % 7 > 0 AND o_orderkey % 5 > 0) AS inserted, count(*) FILTER (WHERE o_orderkey % 7 = 0 OR o_orderkey % 5 = 0) AS failed, CAST(round(sum(CASE WHEN o_orderkey % 7 > 0 AND o_orderkey % 5 > 0 THEN CAST(o_totalprice AS DECIMAL(14, 2)) END), 2) AS DOUBLE) AS stored FROM orders")
+def bulk_create(spark, d):
+    """Given transactions stored as they are; those without an amount or with an unknown sign come back with errors."""
+    folder, k = _folder(spark, "bulk"), F.col("o_orderkey")
+    ledger = ST.Ledger(spark, folder)
+    money = F.col("o_totalprice").cast("decimal(14,2)")
+    none = F.lit(None).cast("string")
+    rows = table(spark, d, "orders").select(
+        k.cast("string").alias("id"), F.lit("a").alias("account_id"), none.alias("recipient_id"), k.cast("string").alias("transaction_reference"), F.col("o_orderdate").cast("date").alias("transaction_date"),
+        F.when(k % 7 > 0, money).alias("amount"), money.alias("debit"), F.lit(0).cast("decimal(14,2)").alias("credit"), F.lit("UPI").alias("transaction_mode"), F.when(k % 5 > 0, "DR").otherwise("?").alias("dr_cr_indicator"), none.alias("note"), F.lit("2026-01-01").cast("timestamp").alias("created_at"),
+    )
+    tallies, _ = ledger.create(rows)
+    return _kept(tallies.crossJoin(ledger.table("transactions").agg(F.sum("amount").cast("double").alias("stored"))), folder)
+
+
+#: Payments that repeat: by reference (every third has one of a few), and in runs of one amount with phones or without.
+_REPEATED = """SELECT event_id AS row_id, ts AS event_time, CAST(user_id % 5 AS DOUBLE) AS amount, CASE WHEN user_id % 2 = 0 THEN 'DEBIT' ELSE 'CREDIT' END AS direction, CASE WHEN event_id % 3 = 0 THEN 'R' || CAST(floor(event_id / 7) AS INT) END AS ref_id,
+CASE event_id % 4 WHEN 0 THEN 'for 9' || lpad(CAST(event_id % 3 AS STRING), 9, '1') WHEN 1 THEN 'call 9223008333' ELSE 'nothing' END AS body, CASE WHEN event_id % 2 = 0 THEN 0.8 ELSE 0.9 END AS classification_confidence FROM events WHERE ts IS NOT NULL"""
+
+
+@query(f"""WITH f AS ({_REPEATED}),
+r AS (SELECT * FROM f WHERE ref_id IS NULL UNION ALL (SELECT * FROM f WHERE ref_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY ref_id ORDER BY classification_confidence DESC, event_time, row_id) = 1)),
+g AS (SELECT *, CASE WHEN lag(event_time) OVER w IS NULL OR event_time > lag(event_time) OVER w + INTERVAL 2 HOURS THEN 1 ELSE 0 END AS fresh, list_filter(regexp_extract_all(body, '\\b(9\\d{{9}})\\b', 1), lambda x: x <> '9223008333')[1] AS phone FROM r WINDOW w AS (PARTITION BY amount, direction ORDER BY event_time, row_id)),
+k AS (SELECT *, sum(fresh) OVER (PARTITION BY amount, direction ORDER BY event_time, row_id ROWS UNBOUNDED PRECEDING) AS run FROM g),
+b AS (SELECT *, CASE WHEN min(phone) OVER x <> max(phone) OVER x THEN phone WHEN min(ref_id) OVER x <> max(ref_id) OVER x THEN ref_id ELSE '' END AS branch FROM k WINDOW x AS (PARTITION BY amount, direction, run))
+SELECT row_id FROM b WHERE branch IS NOT NULL QUALIFY row_number() OVER (PARTITION BY amount, direction, run, branch ORDER BY ref_id IS NULL, classification_confidence DESC, event_time, row_id) = 1""")
+def transaction_dedup(spark, d):
+    """Both passes over payments that each rule drops some of."""
+    table(spark, d, "events").createOrReplaceTempView("events")
+    return D.dedup_transactions(spark.sql(_REPEATED), "2 hours").select("row_id")
+
+
+_KB = "SELECT c_name AS alias, 'K' || CAST(c_custkey AS VARCHAR) AS canonical, CAST(c_custkey * 7919 % 10007 AS INTEGER) AS position FROM customer"
+_KB_NAMES = "SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'paid ' || c_name || ' ' || c_mktsegment WHEN 1 THEN right(c_name, 3) WHEN 2 THEN c_name ELSE c_mktsegment END AS n FROM customer"
+
+
+@query(f"""WITH kb AS (SELECT upper(alias) AS alias, canonical, position FROM ({_KB})), n AS (SELECT DISTINCT upper(trim(n)) AS k FROM ({_KB_NAMES})),
+hit AS (SELECT k, alias, canonical, position, alias = k AS same FROM n JOIN kb ON contains(k, alias) OR contains(alias, k)),
+best AS (SELECT k, arg_min(canonical, (NOT same, position, alias)) AS found FROM hit GROUP BY k)
+SELECT c_custkey, coalesce(found, upper(trim(n))) AS kb_name FROM ({_KB_NAMES}) LEFT JOIN best ON best.k = upper(trim(n))""")
+def knowledge_base_large(spark, d):
+    """As many aliases as customers: found by automata beyond a thousand."""
+    table(spark, d, "customer").createOrReplaceTempView("customer")
+    kb, names = (spark.sql(x.replace("VARCHAR", "STRING")) for x in (_KB, _KB_NAMES))
+    return RES.knowledge_base_match(names, kb, "n").select("c_custkey", "kb_name")

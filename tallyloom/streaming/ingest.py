@@ -116,5 +116,14 @@ def last_sync(ledger: Ledger) -> DataFrame:
     return ledger.table("checkpoints").groupBy("device_id").agg(F.max("last_ts").alias("last_ts"))
 
 
+def period_totals(rows: DataFrame, unit: str = "day") -> DataFrame:
+    """(period date, direction, n, total): what each day, week (from Monday) or month of a stream of messages holds.
+    Totals of every period stay in state, a row a period and direction, so no message comes too late for its own."""
+    if unit not in ("day", "week", "month"):
+        raise ValueError("unit must be day, week or month")
+    period = F.to_date(F.date_trunc(unit, F.col("event_time")))
+    return rows.filter("event_time IS NOT NULL").groupBy(period.alias("period"), "direction").agg(F.count("*").alias("n"), F.sum(F.col("amount").cast("decimal(14,2)")).alias("total"))
+
+
 def daily_totals(rows: DataFrame, late: str = "1 day") -> DataFrame:
     return rows.withWatermark("event_time", late).groupBy(F.window("event_time", "1 day").alias("day"), "direction").agg(F.count("*").alias("n"), F.sum("amount").alias("total"))
