@@ -1,4 +1,4 @@
-"""Workbooks (.xlsx, .xlsm) as rows of raw cells: zip and XML only, first sheet."""
+"""Workbooks (.xlsx, .xlsm) as rows of raw cells: zip and XML only, the first tab."""
 
 from __future__ import annotations
 
@@ -20,8 +20,20 @@ def _column(ref: str) -> int:
     return n - 1
 
 
+def _first_tab(z: zipfile.ZipFile, names: set[str]) -> str:
+    """The part of the sheet that the workbook lists first; without such a list, that of the lowest number."""
+    if {"xl/workbook.xml", "xl/_rels/workbook.xml.rels"} <= names:
+        targets = {r.get("Id"): r.get("Target", "") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels")).iter() if r.get("Id")}
+        for tab in ElementTree.fromstring(z.read("xl/workbook.xml")).iter(f"{_N}sheet"):
+            target = targets.get(next((v for k, v in tab.items() if k.endswith("}id")), None), "")
+            part = target.lstrip("/") if target.startswith("/") else f"xl/{target}"
+            if part in names and "worksheets/" in part:  # a tab may also be a chart
+                return part
+    return min((n for n in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: int(re.search(r"\d+", n)[0]))
+
+
 def parse_workbook(content: bytes) -> Iterator[list[str | None]]:
-    """Rows of the first sheet as text; dates as dd/MM/yyyy; absent rows as empty ones."""
+    """Rows of the first tab as text; dates as dd/MM/yyyy; absent rows as empty ones."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         names = set(z.namelist())
         shared = ["".join(t.text or "" for t in si.iter(f"{_N}t")) for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml"))] if "xl/sharedStrings.xml" in names else []
@@ -31,7 +43,7 @@ def parse_workbook(content: bytes) -> Iterator[list[str | None]]:
             own = {int(f.get("numFmtId")) for f in root.iter(f"{_N}numFmt") if re.search("[dmy]", re.sub(r'"[^"]*"|\[[^\]]*\]', "", f.get("formatCode", "")), re.I)}
             cells = root.find(f"{_N}cellXfs")
             dated = [int(x.get("numFmtId", 0)) in _DATE_FORMATS | own for x in (cells if cells is not None else [])]
-        sheet = min((n for n in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: int(re.search(r"\d+", n)[0]))
+        sheet = _first_tab(z, names)
         last = 0
         with z.open(sheet) as f:
             for _, row in ElementTree.iterparse(f):

@@ -705,3 +705,25 @@ def test_written_run_counts_what_it_drops(spark, tmp_path):
     run = run_messages(spark.createDataFrame(rows, "id string, sender string, body string, timestamp_ms string, row_id int").repartition(3))
     assert write_run(run, f"{tmp_path}/run") == {"read": 10, "resent": 2, "unreadable": 3, "kept": 5}
     assert spark.read.parquet(f"{tmp_path}/run/parsed").count() == 5 and spark.read.parquet(f"{tmp_path}/run/bad").count() == 3
+
+
+def test_first_tab_by_its_place(tmp_path):
+    from tallyloom.sources.workbook import parse_workbook
+
+    main = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+    rel = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    sheet = lambda x: f'<worksheet xmlns="{main}"><sheetData><row r="1"><c r="A1" t="inlineStr"><is><t>{x}</t></is></c></row></sheetData></worksheet>'
+
+    def book(tabs, targets):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            z.writestr("xl/worksheets/sheet1.xml", sheet("one"))
+            z.writestr("xl/worksheets/sheet2.xml", sheet("two"))
+            if tabs:
+                z.writestr("xl/workbook.xml", f'<workbook xmlns="{main}" xmlns:r="{rel}"><sheets>' + "".join(f'<sheet name="{t}" sheetId="{i}" r:id="{t}"/>' for i, t in enumerate(tabs, 1)) + "</sheets></workbook>")
+                z.writestr("xl/_rels/workbook.xml.rels", "<Relationships>" + "".join(f'<Relationship Id="{k}" Target="{v}"/>' for k, v in targets.items()) + "</Relationships>")
+        return list(parse_workbook(out.getvalue()))
+
+    assert book(["b", "a"], {"a": "worksheets/sheet1.xml", "b": "/xl/worksheets/sheet2.xml"}) == [["two"]]
+    assert book(["c", "a"], {"a": "worksheets/sheet1.xml", "c": "chartsheets/sheet1.xml"}) == [["one"]]
+    assert book([], {}) == [["one"]]
