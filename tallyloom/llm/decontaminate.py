@@ -265,6 +265,17 @@ def _held_indexes(items: DataFrame, item_col: str, text_col: str) -> Iterator[Br
         yield spark.sparkContext.broadcast(BlockMaxIndex(lot, statistics=None if known is None else _statistics(known, lot)))
 
 
+def _in_turn(items: DataFrame, item_col: str, text_col: str) -> Iterator[tuple[Broadcast, bool]]:
+    """Each lot's index, and whether it is the last."""
+    before = None
+    for held in _held_indexes(items, item_col, text_col):
+        if before is not None:
+            yield before, False
+        before = held
+    if before is not None:
+        yield before, True
+
+
 def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, item_id, score, question_overlap, answer_overlap): one row for each document text and item that it holds.
 
@@ -274,13 +285,14 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     or more. Words are runs of ASCII letters and digits or non-ASCII characters, A-Z in lower case. Null or wordless
     texts and items match nothing; rows that repeat an id are each searched, items that repeat one each count.
     Documents are scanned once an index and never shuffled; an index is built once and broadcast, bounded by
-    ``INDEX_BYTES``, and statistics such as idf are those of all items, however many indexes they make.
+    ``INDEX_BYTES``, and statistics such as idf are those of all items, however many indexes they make. Of several, what
+    one finds is written before the next is handed out, so a task holds one index.
     """
-    spark = docs.sparkSession
+    spark, ws = docs.sparkSession, Workspace(docs.sparkSession, "found")
     schema = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
     rows = docs.select(F.col(quoted(named(docs, id_col))).cast("long").alias("doc_id"), F.col(quoted(named(docs, text_col))).cast("string").alias("text"))
     out = None
-    for held in _held_indexes(items, item_col, item_text):
+    for i, (held, last) in enumerate(_in_turn(items, item_col, item_text)):
 
         def run(batches: Iterator[pa.RecordBatch], held: Broadcast = held) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -292,19 +304,23 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
                 )
 
         part = rows.mapInArrow(run, schema)
+        if not last:
+            part = ws.table(part, f"lot{i}")
+            held.unpersist()
         out = part if out is None else out.union(part)
     return spark.createDataFrame([], schema) if out is None else out
 
 
 def drop_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """``docs`` without the rows whose text holds a benchmark item (see ``find_leaks``); each row goes by its own text,
-    whatever its id. Rows are left out in the task that reads them: nothing is shuffled."""
+    whatever its id. Rows are left out in the task that reads them: nothing is shuffled. Of several indexes, the rows that
+    one leaves are written before the next is handed out, so a task holds one index."""
     at = docs.columns.index(named(docs, text_col))
     text = docs.schema.fields[at].dataType.simpleString()
     if text != "string":
         raise ValueError(f"{text_col} is {text}, not string")
-    out = docs
-    for held in _held_indexes(items, item_col, item_text):
+    out, ws = docs, Workspace(docs.sparkSession, "left")
+    for i, (held, last) in enumerate(_in_turn(items, item_col, item_text)):
 
         def run(batches: Iterator[pa.RecordBatch], held: Broadcast = held) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -313,6 +329,11 @@ def drop_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", item_c
                 yield b.filter(pa.array(keep))
 
         out = out.mapInArrow(run, docs.schema)
+        if not last:
+            out = ws.table(out, f"lot{i}")
+            held.unpersist()
+            if i:
+                ws.drop(f"lot{i - 1}")
     return out
 
 
