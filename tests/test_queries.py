@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import collections
 import datetime as dt
 import decimal
 
 import duckdb
 import pytest
+from test_operators import linkage_by_force
 
 from tallyloom.queries import ORACLES, QUERIES
 
@@ -42,6 +44,30 @@ def test_runs(spark, sf, name):
     assert QUERIES[name](spark, sf).count() > 0
 
 
+def test_clusters_of_whole_tables_by_plain_merging(spark, sf):
+    """``fuzzy_clusters`` and ``upi_group_resolve`` without Spark's part in the clustering."""
+    from tallyloom.queries import _names
+
+    rows = [(r.row_id, r.name) for r in _names(spark, sf).collect()]
+
+    def clustered(rows, threshold):
+        first, count = {}, collections.Counter(n for _, n in rows)
+        for i, n in rows:
+            first[n] = min(first.get(n, i), i)
+        names = sorted(first, key=lambda n: (first[n], n))
+        return linkage_by_force(names, [count[n] for n in names], threshold)
+
+    assert {r.name: r.canonical for r in QUERIES["fuzzy_clusters"](spark, sf).collect()} == clustered(rows, 90.0)
+    groups, want = collections.defaultdict(list), {}
+    for i, n in rows:
+        groups[i % 97].append((i, " ".join(n.upper().replace("_", " ").split())))
+    assert max(len({n for _, n in g}) for g in groups.values()) <= 5
+    for g in groups.values():
+        found = clustered(g, 55.0)
+        want |= {i: found[n] for i, n in g}
+    assert {r.row_id: r.Recipient_Canonical for r in QUERIES["upi_group_resolve"](spark, sf).collect()} == want
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
