@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import patterns as P
 from ..functions.similarity import sorted_ratio, token_sorted
 from ..functions.text import basic_name, first_name_token
-from ..session import cut
+from ..session import cut, scratch
 from .linkage import complete_linkage
 
 #: Names of a block that one task compares with the others of the block, and comparisons a task is meant to make.
@@ -156,11 +156,13 @@ def canonicalize(df: DataFrame, name: str = "Recipient_Name", upi: str = "UPI_ID
     pairs of payment id and name; the table itself is worked out and written once, read for those and joined once.
     """
     rows = cut(_payees(df, name, upi))
-    pairs = cut(rows.groupBy("__upi", "__name").agg(F.count("*").alias("n"), F.min(row_id).alias("first")))
-    found = cut(_resolved(pairs, threshold, most_names, upi_threshold))
-    for mapping in ([whitespace_mapping] if whitespace else []) + [prefix_mapping] if merge else []:
-        counts = found.groupBy(F.col("canonical").alias("name")).agg(F.sum("n").alias("n"), F.min("first").alias("first"))
-        found = cut(apply_mapping(found, mapping(cut(counts)), "canonical"))
+    with scratch() as made:
+        pairs = cut(rows.groupBy("__upi", "__name").agg(F.count("*").alias("n"), F.min(row_id).alias("first")))
+        found = cut(_resolved(pairs, threshold, most_names, upi_threshold))
+        for mapping in ([whitespace_mapping] if whitespace else []) + [prefix_mapping] if merge else []:
+            counts = found.groupBy(F.col("canonical").alias("name")).agg(F.sum("n").alias("n"), F.min("first").alias("first"))
+            found = cut(apply_mapping(found, mapping(cut(counts)), "canonical"))
+        made.remove(found)
     return rows.join(found.select("__upi", "__name", F.col("canonical").alias("Recipient_Canonical")), ["__upi", "__name"], "left").drop("__upi", "__name")
 
 
@@ -177,11 +179,13 @@ def apply_mapping(df: DataFrame, mapping: DataFrame, name: str) -> DataFrame:
 
 def merge_names(df: DataFrame, name: str = "Recipient_Canonical", row_id: str = "row_id", whitespace: bool = True) -> DataFrame:
     """White-space variants, then prefix chains, of a column of names. Only counts of distinct names are written."""
-    counts = cut(name_counts(df, name, row_id))
-    found = counts.select("name", F.col("name").alias("canonical"), "n", "first")
-    for mapping in ([whitespace_mapping] if whitespace else []) + [prefix_mapping]:
-        counts = found.groupBy(F.col("canonical").alias("name")).agg(F.sum("n").alias("n"), F.min("first").alias("first"))
-        found = cut(apply_mapping(found, mapping(cut(counts)), "canonical"))
+    with scratch() as made:
+        counts = cut(name_counts(df, name, row_id))
+        found = counts.select("name", F.col("name").alias("canonical"), "n", "first")
+        for mapping in ([whitespace_mapping] if whitespace else []) + [prefix_mapping]:
+            counts = found.groupBy(F.col("canonical").alias("name")).agg(F.sum("n").alias("n"), F.min("first").alias("first"))
+            found = cut(apply_mapping(found, mapping(cut(counts)), "canonical"))
+        made.remove(found)
     return apply_mapping(df, found.select("name", "canonical"), name)
 
 

@@ -7,6 +7,8 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,6 +24,7 @@ DEFAULTS = {
 BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "2500"
 #: Bytes of an Arrow batch: however long its texts are, a batch takes no more, but for one row that is longer by itself.
 BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "16m"
+_scratch: list[list[DataFrame]] = []
 
 
 def local_session(cores: str = "*", partitions: int = 8, **extra: str) -> SparkSession:
@@ -61,9 +64,23 @@ def cut(df: DataFrame) -> DataFrame:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
     out = spark.read.schema(df.schema).parquet(path)
     out.written = path
+    if _scratch:
+        _scratch[-1].append(out)
     return out
 
 
+@contextmanager
+def scratch() -> Iterator[list[DataFrame]]:
+    """Frees, at its end, the tables that ``cut`` wrote within; what is taken out of the list it gives stays."""
+    made: list[DataFrame] = []
+    _scratch.append(made)
+    try:
+        yield made
+    finally:
+        _scratch.pop()
+        free(*made)
+
+
 def free(*tables: DataFrame) -> None:
     """Remove tables that ``cut`` wrote and that nothing reads any more."""
     for t in tables:
