@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chunks import folded, gather, may_fold, slices, split_chunks
-from .common import named, quoted, without
+from .common import lean, named, quoted, without
 
 _CODECS: dict[str, "WordBpe"] = {}
 
@@ -235,7 +235,7 @@ def encode_documents(docs: DataFrame, text_col: str = "text", vocabulary: str |
                 yield pa.RecordBatch.from_arrays([*[rows.column(i) for i in given], pa.array(n, pa.int64()), lists, pa.array(out, pa.binary()).cast(pa.string())], names=[*[rows.schema.names[i] for i in given], *own])
                 first += len(part)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lean(run), schema)
 
 
 def encode_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None) -> DataFrame:
@@ -254,7 +254,7 @@ def encode_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     rows = docs.select(F.col(quoted(named(docs, id_col))).cast("long").alias("doc_id"), F.col(quoted(named(docs, text_col))).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return rows.mapInArrow(lean(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -93,6 +95,21 @@ class Workspace:
         fs.cancelDeleteOnExit(p)
 
 
+def lean(run: Callable) -> Callable:
+    """``run``, a function of Arrow batches, that gives back at its end what the worker's allocators hold without need: a
+    worker lives on for other stages, and an executor's memory counts all of its workers."""
+
+    def leaving(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:
+                trim(0)
+
+    return leaving
+
+
 @contextmanager
 def scope() -> Iterator[None]:
     """Frees, at its end, the workspaces that operators made within: write what is to last before."""

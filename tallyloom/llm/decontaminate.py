@@ -18,7 +18,7 @@ from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, named, quoted
+from .common import Workspace, lean, named, quoted
 from .words import PUNCTUATED, U64, grouped, mix, texts_word_hashes
 
 UNIT, STRIDE, BLOCK = 48, 48, 64
@@ -303,7 +303,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
                     names=["doc_id", "item_id", "score", "question_overlap", "answer_overlap"],
                 )
 
-        part = rows.mapInArrow(run, schema)
+        part = rows.mapInArrow(lean(run), schema)
         if not last:
             part = ws.table(part, f"lot{i}")
             held.unpersist()
@@ -328,7 +328,7 @@ def drop_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", item_c
                 keep[[m[0] for m in held.value.matches(b.column(at).to_pylist())]] = False
                 yield b.filter(pa.array(keep))
 
-        out = out.mapInArrow(run, docs.schema)
+        out = out.mapInArrow(lean(run), docs.schema)
         if not last:
             out = ws.table(out, f"lot{i}")
             held.unpersist()

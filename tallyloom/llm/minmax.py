@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, named, quoted
+from .common import Workspace, lean, named, quoted
 from .components import connected_components
 from .words import U64, mix, shingle_sets
 
@@ -232,7 +232,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5, id_col:
     ws = Workspace(spark, "minmax")
     text = F.col(quoted(named(docs, text_col))).cast("string")
     texts = docs.select(F.col(quoted(named(docs, id_col))).cast("long").alias("id"), F.xxhash64(text).alias("h"), text.alias("text"))
-    feat = ws.table(texts.mapInArrow(_features(percent, words, rows), "id long, h long, n long, digest binary, bands array<long>"), "features")
+    feat = ws.table(texts.mapInArrow(lean(_features(percent, words, rows)), "id long, h long, n long, digest binary, bands array<long>"), "features")
 
     # nodes are numbered in the order of their smallest ids, so the least node of a component has its smallest id
     one = feat.filter("id IS NOT NULL AND n > 0").groupBy("digest").agg(F.min(F.struct("id", "h")).alias("r"), F.first("n").alias("n"), F.first("bands").alias("bands"))
@@ -248,7 +248,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5, id_col:
     chosen = ws.table(live.select("node").distinct().join(nodes.select("node", "id", "h"), "node"), "chosen")
     n = chosen.count()
     few = F.broadcast(chosen) if n <= BROADCAST_IDS else chosen
-    sets = ws.table(texts.join(few, ["id", "h"]).select("node", "text").mapInArrow(_sets(words), "node long, hashes binary"), "sets")
+    sets = ws.table(texts.join(few, ["id", "h"]).select("node", "text").mapInArrow(lean(_sets(words)), "node long, hashes binary"), "sets")
     if sets.count() > n:  # rows that repeat id and text
         sets = ws.table(sets.groupBy("node").agg(F.first("hashes").alias("hashes")), "sets-once")
 

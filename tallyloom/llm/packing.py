@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .bpe import byte_symbols
 from .chunks import slices
-from .common import Workspace, named, quoted
+from .common import Workspace, lean, named, quoted
 
 #: The shortest piece that a cut leaves (the last worker's cuts aside).
 LEAST = 32
@@ -185,7 +185,7 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     rows = docs.select(F.col(quoted(named(docs, id_col))).cast("long").alias("doc_id"), F.col(quoted(named(docs, text_col))).cast("string").alias("text"))
     ws = Workspace(docs.sparkSession, "packed")
-    tables = [ws.table(rows.mapInArrow(first, SCHEMA), "0")]
+    tables = [ws.table(rows.mapInArrow(lean(first), SCHEMA), "0")]
     workers = None
     while workers != 1:
         left = tables[-1].filter("sequence_id IS NULL")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .bpe import Remembered, default_vocabulary
 from .chunks import folded, gather, may_fold, slices, split_chunks
-from .common import Workspace, named, quoted
+from .common import Workspace, lean, named, quoted
 
 SCHEMA = "doc_id long, n_tokens long, shard int, start_in_shard long, token_ids array<int>"
 #: Bytes of text split at once; ids take little room, and larger slices repeat more of their chunks.
@@ -111,7 +111,7 @@ def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     keys = ["doc_id", F.substring("text", 1, 32)]
     ranges = _ranges(rows)
     ordered = (rows.repartitionByRange(ranges, *keys) if ranges else rows.repartitionByRange(*keys)).sortWithinPartitions("doc_id", "text")
-    writer = ordered.mapInArrow(run, SCHEMA).write.mode("overwrite")
+    writer = ordered.mapInArrow(lean(run), SCHEMA).write.mode("overwrite")
     writer = writer.option("parquet.block.size", row_group_bytes).option("parquet.page.row.count.limit", page_rows).option("parquet.writer.version", "v2")
     writer.option("parquet.enable.dictionary", str(encoding == "dictionary").lower()).parquet(path)
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import named, quoted, without
+from .common import lean, named, quoted, without
 from .words import PUNCTUATED, U64, grouped, mix, texts_word_hashes
 
 #: 2**BITS coordinates bound the weights that are broadcast (at most 12 bytes each).
@@ -147,7 +147,7 @@ def score_texts(docs: DataFrame, model: tuple[float, np.ndarray, np.ndarray], te
                 out.append(sigmoid(np.bincount(both >> BITS, table[both & ((1 << BITS) - 1)], len(group)) + bias) if np.isfinite(bias) else np.zeros(len(group)))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.concatenate(out) if out else np.zeros(0))], names=[*b.schema.names, score_col])
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lean(run), schema)
 
 
 def held_out(id_col: str = "doc_id"):
