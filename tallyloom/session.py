@@ -23,7 +23,7 @@ DEFAULTS = {
 #: Rows of an Arrow batch: rows here are whole texts, of which Spark's default of 10,000 takes much memory on both sides.
 BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "2500"
 #: Bytes of an Arrow batch: however long its texts are, a batch takes no more, but for one row that is longer by itself.
-BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "16m"
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "8m"
 _scratch: list[list[DataFrame]] = []
 
 
