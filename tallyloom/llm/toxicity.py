@@ -119,8 +119,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         bias = model.bias if rows else float("-inf")
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1), pa.int64()), pa.array(np.append(w[at], bias))], names=["i", "w"])
 
-    ready = texts.withColumn("t", F.xxhash64("text")).select("id", "text", "y", "t").mapInArrow(features, "id long, y int, x array<int>, t long").withColumn("o", F.xxhash64("id"))
-    model = ready.repartition(1).sortWithinPartitions("o", "id", "t").select("id", "y", "x").mapInArrow(learn, "i long, w double").toPandas()
+    ready = texts.withColumn("t", F.xxhash64("text")).select("id", "text", "y", "t").mapInArrow(lean(features), "id long, y int, x array<int>, t long").withColumn("o", F.xxhash64("id"))
+    model = ready.repartition(1).sortWithinPartitions("o", "id", "t").select("id", "y", "x").mapInArrow(lean(learn), "i long, w double").toPandas()
     model = model.sort_values("i")
     i, w = model["i"].to_numpy(), model["w"].to_numpy()
     return (float(w[0]), i[1:], w[1:]) if len(w) else (float("-inf"), i.astype(np.int64), w.astype(float))
