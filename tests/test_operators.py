@@ -616,6 +616,22 @@ def test_band_match_against_all_pairs(spark, monkeypatch, crowd):
     assert {x.left_id: (x.score, x.right_id) for x in got} == want and len(got) == len(left)
 
 
+def test_band_match_makes_no_pairs_of_rows_that_differ(spark):
+    import numpy as np
+
+    r = np.random.default_rng(4)
+    a, b = (np.sort(r.choice(np.arange(9_000_000, 9_400_000), 3_000, replace=False)) / 100 for _ in range(2))
+    day, schema = dt.date(2026, 1, 1), "amount double, day date, direction string, name string"
+    left = spark.createDataFrame([(i, float(x), day, "DEBIT", "a") for i, x in enumerate(a)], f"left_id long, {schema}")
+    right = spark.createDataFrame([(i, float(x), day, "DEBIT", "a" if i % 3 else "b") for i, x in enumerate(b)], f"right_id long, {schema}")
+    out = L.band_match(left, right)
+    # all nine million pairs lie in the band; a join would make each of them
+    assert "Inner" not in out._jdf.queryExecution().executedPlan().toString()
+    gap, name = np.abs(a[:, None] - b[None]), np.arange(3_000) % 3 > 0
+    score = np.round(np.where(gap < 0.01, 1.0, np.where(gap < 1, 0.95, 0.8)) * 0.30 + 0.25 + 0.20 * name + 0.15 + 0.10, 6)
+    assert sorted((x.left_id, x.score, x.right_id) for x in out.collect()) == [(i, score[i].max(), int(score[i].argmax())) for i in range(3_000)]
+
+
 def test_amount_cells_reach_every_amount_in_the_band(spark):
     for off, share in ((5.0, 0.05), (2.0, 0.03), (1.0, 0.3)):
         df = spark.range(20_000).select((F.rand(1) * F.pow(F.lit(10.0), F.rand(2) * 6)).alias("r"), (F.rand(3) * 2 - 1).alias("x"))
