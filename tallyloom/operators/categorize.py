@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.categories import heuristic_category
 from ..functions.text import c, clean_ref
+from ..session import left_by
 from .dedup import first_wins
 
 
@@ -19,7 +20,7 @@ def majority(df: DataFrame, key: str, value: str, row_id: str = "row_id") -> Dat
 def carry_labels(rows: DataFrame, labels: DataFrame, key: str, columns: list[str], order: str = "row_id") -> DataFrame:
     """Left join with the first label of each key; null keys match nothing and no row multiplies."""
     small = first_wins(labels.filter(c(key).isNotNull()).select(key, order, *columns), [key], [order]).drop(order)
-    return rows.join(small, key, "left")
+    return left_by(rows, small, [key])
 
 
 def categorize(unified: DataFrame, labeled: DataFrame, family: list[str] = (), friends: list[str] = ()) -> DataFrame:
@@ -32,7 +33,7 @@ def categorize(unified: DataFrame, labeled: DataFrame, family: list[str] = (), f
     known = rows.filter("__cat IS NOT NULL")
     for value, name in (("__cat", "__cat2"), ("__tt", "__tt2")):
         voted = majority(known, "Recipient_Canonical", value).withColumnRenamed(value, name)
-        rows = rows.join(voted, "Recipient_Canonical", "left")
+        rows = left_by(rows, voted, ["Recipient_Canonical"])
     rows = rows.withColumn("__h", heuristic_category("Recipient_Canonical", family, friends))
     first, second = F.col("__cat").isNotNull(), F.col("__cat2").isNotNull()
     pick = lambda a, b, h: F.when(first, F.col(a)).when(second, F.col(b)).otherwise(F.col(f"__h.{h}"))

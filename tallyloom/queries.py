@@ -407,7 +407,7 @@ def _unified(spark: SparkSession, d: str) -> DataFrame:
     for t in ("orders", "lineitem"):
         table(spark, d, t).createOrReplaceTempView(t)
     statement = spark.sql(_STATEMENT).withColumnRenamed("sign", "DR/CR_Indicator").withColumn("UPI_ID", F.lit(None).cast("string"))
-    return unify(spark.sql(_SENT).withColumn("event_time", F.col("event_time").cast("timestamp")), statement)[0]
+    return unify(spark.sql(_short_order(_SENT, "l_quantity")).withColumn("event_time", F.col("event_time").cast("timestamp")), statement)[0]
 
 
 _KEY = "regexp_replace(split(row_id, '/')[1], '^(0+(?=[0-9])|1[0-9]{20}-)', '')"
@@ -453,7 +453,7 @@ def union_sources(spark, d):
     for t in ("orders", "lineitem"):
         table(spark, d, t).createOrReplaceTempView(t)
     statement = spark.sql(_STATEMENT).withColumnRenamed("sign", "DR/CR_Indicator")
-    linked = L.link_outcomes(prepare_messages(spark.sql(_SENT).withColumn("event_time", F.col("event_time").cast("timestamp"))), linkable(statement))
+    linked = L.link_outcomes(prepare_messages(spark.sql(_short_order(_SENT, "l_quantity")).withColumn("event_time", F.col("event_time").cast("timestamp"))), linkable(statement))
     rows = L.merge_sources(statement.withColumn("right_id", F.col("row_id")), linked, ["event_time", "id"])
     return rows.groupBy(F.col("_source").alias("source")).agg(F.count("*").alias("n"), F.round(F.sum("Amount").cast("double"), 2).alias("net"))
 

@@ -12,6 +12,7 @@ from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Settings that results depend on; sizes and parallelism are left to the cluster.
 DEFAULTS = {
@@ -40,6 +41,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def left_by(rows: DataFrame, small: DataFrame, on: list[str]) -> DataFrame:
+    """``rows`` left joined with ``small`` by ``on``. Rows that lack a part of the key meet nothing; a shuffle would bring
+    all of them to one task, so they are dealt out by what else they hold."""
+    lacks = F.exists(F.array(*[F.col(f"`{x}`").isNull() for x in on]), lambda x: x)
+    content = F.xxhash64(*[F.col(f"`{x}`") for x in rows.columns])
+    dealt = rows.withColumn("__dealt", F.when(lacks, content).otherwise(F.lit(0).cast("long")))
+    # always 0, but no literal: the planner would leave a literal out of the shuffle's key
+    zero = F.pmod(F.xxhash64(*[F.col(f"`{x}`") for x in on]), F.lit(1))
+    return dealt.join(small.withColumn("__dealt", zero), [*on, "__dealt"], "left").drop("__dealt")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors see: spark.checkpoint.dir, or one set here where that is unset (local tests)."""
     sc = spark.sparkContext

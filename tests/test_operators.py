@@ -632,6 +632,26 @@ def test_band_match_makes_no_pairs_of_rows_that_differ(spark):
     assert sorted((x.left_id, x.score, x.right_id) for x in out.collect()) == [(i, score[i].max(), int(score[i].argmax())) for i in range(3_000)]
 
 
+def test_rows_without_a_reference_are_shared_out(spark):
+    """Most rows lack a reference; none meets anything, and no task gets them all."""
+    from tallyloom.session import left_by
+
+    rows = spark.range(4_000).select("id", F.when(F.col("id") % 10 == 0, F.col("id").cast("string")).alias("ref_norm"), F.lit(None).cast("string").alias("none"))
+    refs = spark.range(0, 4_000, 20).select(F.col("id").cast("string").alias("ref_norm"), (F.col("id") + 1).alias("rid"))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        out = left_by(rows, refs, ["ref_norm"]).withColumn("task", F.spark_partition_id())
+        got = out.collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert {r.id: r.rid for r in got} == {i: i + 1 if i % 20 == 0 else None for i in range(4_000)} and out.columns == ["ref_norm", "id", "none", "rid", "task"]
+    tasks = [r.task for r in got if r.ref_norm is None]
+    assert len(set(tasks)) == 4 and max(tasks.count(t) for t in set(tasks)) < 1_500
+
+
 def test_amount_cells_reach_every_amount_in_the_band(spark):
     for off, share in ((5.0, 0.05), (2.0, 0.03), (1.0, 0.3)):
         df = spark.range(20_000).select((F.rand(1) * F.pow(F.lit(10.0), F.rand(2) * 6)).alias("r"), (F.rand(3) * 2 - 1).alias("x"))
