@@ -19,6 +19,8 @@ from .linkage import complete_linkage
 CHUNK, COMPARED = 100, 250_000
 #: The largest alias table that is met in a nested loop, and bytes of aliases up to which an automaton is handed to tasks.
 KB_BROADCAST, ALIAS_BYTES = 1_000, 32 << 20
+#: Names that one task takes apart into substrings.
+PIECED = 20_000
 
 
 def name_counts(df: DataFrame, name: str, row_id: str = "row_id") -> DataFrame:
@@ -211,7 +213,10 @@ def knowledge_base_match(df: DataFrame, kb: DataFrame, name: str) -> DataFrame:
     elif (alias.agg(F.sum(F.octet_length("alias") + F.octet_length(F.coalesce("canonical", F.lit(""))) + 16)).first()[0] or 0) <= ALIAS_BYTES:
         part = _by_automaton(rest, alias)
     else:
-        part = _within(rest, "k", alias, "alias").unionByName(_within(alias, "alias", rest, "k").select("k", "alias", "canonical", "position"))
+        # a name may stand in most aliases: the first alias of each substring is found before names meet it
+        first = _pieces(alias, "alias", rest, "k").groupBy("__piece").agg(F.min(F.struct("position", "alias", "canonical")).alias("__a")).select("__piece", "__a.*")
+        inside = rest.join(first, F.col("k") == F.col("__piece")).select("k", "alias", "canonical", "position")
+        part = _pieces(rest, "k", alias, "alias").join(alias, F.col("__piece") == F.col("alias")).drop("__piece").unionByName(inside)
     best = equal.unionByName(part.groupBy("k").agg(F.min_by("canonical", F.struct("position", "alias")).alias("found")))
     return df.withColumn("__k", F.upper(F.trim(name))).join(best, F.col("__k") == F.col("k"), "left").withColumn("kb_name", F.coalesce("found", "__k")).drop("__k", "k", "found")
 
@@ -255,9 +260,10 @@ def _by_automaton(names: DataFrame, alias: DataFrame) -> DataFrame:
     return names.select("k").mapInArrow(run, "k string, alias string, canonical string, position long")
 
 
-def _within(longer: DataFrame, text: str, shorter: DataFrame, part: str) -> DataFrame:
-    """Rows of ``longer`` joined with those of ``shorter`` whose ``part`` stands in ``text``, by equal substrings."""
+def _pieces(longer: DataFrame, text: str, shorter: DataFrame, part: str) -> DataFrame:
+    """Rows of ``longer`` with ``__piece``: each substring of ``text`` once, of the lengths that ``part`` has in ``shorter``."""
     sizes = [r["n"] for r in shorter.select(F.char_length(part).alias("n")).distinct().collect() if r["n"]]  # as many as names have lengths
     at = lambda n: F.transform(F.when(F.char_length(text) >= n, F.sequence(F.lit(1), F.char_length(text) - n + 1)).otherwise(F.array().cast("array<int>")), lambda i: F.substring(text, i, F.lit(n)))
     pieces = F.array_distinct(F.flatten(F.array(*[at(n) for n in sizes]))) if sizes else F.array().cast("array<string>")
-    return longer.withColumn("__piece", F.explode(pieces)).join(shorter, F.col("__piece") == F.col(part)).drop("__piece")
+    # a small file of names has many pieces: a task takes apart so many names, however they are stored
+    return longer.repartition(longer.count() // PIECED + 1, F.xxhash64(text)).withColumn("__piece", F.explode(pieces))

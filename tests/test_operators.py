@@ -652,6 +652,17 @@ def test_rows_without_a_reference_are_shared_out(spark):
     assert len(set(tasks)) == 4 and max(tasks.count(t) for t in set(tasks)) < 1_500
 
 
+def test_substrings_of_names_are_shared_out(spark, monkeypatch):
+    monkeypatch.setattr(RES, "ALIAS_BYTES", 0)
+    monkeypatch.setattr(RES, "KB_BROADCAST", 1)
+    monkeypatch.setattr(RES, "PIECED", 50)
+    kb = spark.range(600).select(F.format_string("CUST%09d", "id").alias("alias"), F.format_string("K%d", "id").alias("canonical"), (599 - F.col("id")).cast("int").alias("position"))
+    names = spark.createDataFrame([("000",), ("599",), ("T0",), ("paid cust000000007 x",), ("none",), ("cust000000001",)], "n string")
+    assert RES._pieces(kb, "alias", names, "n").rdd.getNumPartitions() == 13
+    got = {r.n: r.kb_name for r in RES.knowledge_base_match(names, kb, "n").collect()}
+    assert got == {"000": "K599", "599": "K599", "T0": "K599", "paid cust000000007 x": "K7", "none": "NONE", "cust000000001": "K1"}
+
+
 def test_amount_cells_reach_every_amount_in_the_band(spark):
     for off, share in ((5.0, 0.05), (2.0, 0.03), (1.0, 0.3)):
         df = spark.range(20_000).select((F.rand(1) * F.pow(F.lit(10.0), F.rand(2) * 6)).alias("r"), (F.rand(3) * 2 - 1).alias("x"))
