@@ -995,10 +995,15 @@ def _kept(df: DataFrame, *folders: str) -> DataFrame:
     return out
 
 
+#: Rows of a written statement: one task reads a file whole, so there are more files of more rows, not larger ones.
+FILE_ROWS = 50_000
+
+
 @query(f"""SELECT CAST(o_orderkey AS VARCHAR) AS ref, strftime(o_orderdate, '%Y-%m-%d') AS day, CASE WHEN o_orderkey % 17 = 10 THEN 'DEBIT PMJJBY UPTO 31-05 CIF: [REDACTED]' ELSE trim(regexp_replace(n, ' +', ' ', 'g')) END AS description,
 CASE WHEN o_orderkey % 2 = 0 THEN o_totalprice ELSE 0 END AS debit, CASE WHEN o_orderkey % 2 = 1 THEN o_totalprice ELSE 0 END AS credit, CASE WHEN o_orderkey % 2 = 1 THEN o_totalprice ELSE -o_totalprice END AS amount FROM {_NARRATED}""")
 def statement_files(spark, d):
-    """Narrations written as quoted CSV files, eight or fewer, with a line end in every cell of text; located, read and cleaned."""
+    """Narrations written as quoted CSV files, as many as hold FILE_ROWS each, with a line end in every cell of text;
+    located, read and cleaned."""
     from .plans.statements import load_statements, normalize_statements
 
     folder, even = _folder(spark, "statements"), F.col("o_orderkey") % 2 == 0
@@ -1007,7 +1012,7 @@ def statement_files(spark, d):
         F.date_format("o_orderdate", "dd/MM/yyyy").alias("Date"), F.concat("n", F.lit("\n")).alias("Details"), F.col("o_orderkey").cast("string").alias("Ref No/Cheque No"),
         F.when(even, money).otherwise("").alias("Debit"), F.when(even, "").otherwise(money).alias("Credit"), money.alias("Balance"),
     )
-    rows.coalesce(8).write.option("header", True).option("quoteAll", True).option("escape", '"').csv(folder)
+    rows.coalesce(8).write.option("maxRecordsPerFile", FILE_ROWS).option("header", True).option("quoteAll", True).option("escape", '"').csv(folder)
     raw, _ = load_statements(spark, [f"{folder}/*.csv"])
     clean = normalize_statements(raw, resolve=False)
     out = clean.select(F.col("`Reference No./Cheque No.`").alias("ref"), F.col("Transaction_Date").cast("string").alias("day"), F.col("Description").alias("description"), *[F.col(x).cast("double").alias(x.lower()) for x in ("Debit", "Credit", "Amount")])

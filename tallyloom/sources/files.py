@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import codecs
 import csv
 import io
 from collections.abc import Callable, Iterator
@@ -77,14 +78,22 @@ def kind_of(path: str, any_kind: bool = False) -> str:
     raise UnsupportedFile(f"unsupported file type: {path}")
 
 
-def parse_csv(content: bytes) -> Iterator[list[str | None]]:
-    """Rows of a CSV file in one pass: quoted cells may hold commas, quotes and line ends; a blank line is an empty row."""
+def _encoding(content: bytes) -> str:
+    decoder, view, step = codecs.getincrementaldecoder("utf-8")(), memoryview(content), 1 << 20
     try:
-        text = content.decode("utf-8-sig")
+        for i in range(0, len(view), step):
+            decoder.decode(view[i : i + step])
+        decoder.decode(b"", True)
     except UnicodeDecodeError:
-        text = content.decode("latin-1")
+        return "latin-1"
+    return "utf-8-sig"
+
+
+def parse_csv(content: bytes) -> Iterator[list[str | None]]:
+    """Rows of a CSV file in one pass: quoted cells may hold commas, quotes and line ends; a blank line is an empty row.
+    The text is decoded as it is read, never held whole."""
     csv.field_size_limit(1 << 30)
-    for row in csv.reader(io.StringIO(text, newline="")):
+    for row in csv.reader(io.TextIOWrapper(io.BytesIO(content), _encoding(content), newline="")):
         yield [x.strip() for x in row]
 
 
@@ -127,9 +136,9 @@ def read_cells(spark: SparkSession, paths: list[str], password: str | None = Non
             return pa.RecordBatch.from_arrays([pa.array([path] * len(rows), pa.string()), pa.array(range(first, first + len(rows)), pa.int32()), pa.array(rows, pa.list_(pa.string()))], names=["file", "row_no", "cells"])
 
         for b in batches:
-            for path, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                first, rows = 0, []
-                for row in parse_cells(path, content, password, readers):
+            for path, content in zip(b.column(0), b.column(1), strict=True):
+                path, first, rows = path.as_py(), 0, []  # noqa: PLW2901
+                for row in parse_cells(path, content.as_py(), password, readers):
                     rows.append(row)
                     if len(rows) == 10_000:
                         yield batch(path, first, rows)

@@ -663,6 +663,20 @@ def test_substrings_of_names_are_shared_out(spark, monkeypatch):
     assert got == {"000": "K599", "599": "K599", "T0": "K599", "paid cust000000007 x": "K7", "none": "NONE", "cust000000001": "K1"}
 
 
+def test_parsing_a_csv_holds_no_second_copy():
+    import tracemalloc
+
+    content = b"a,b\r\n" + b'"x\ny, z",' + "é".encode() + b"\r\n"
+    assert list(SRC.parse_csv(b"\xef\xbb\xbf" + content)) == [["a", "b"], ["x\ny, z", "é"]]
+    assert list(SRC.parse_csv(b"q,\xe9\n")) == [["q", "é"]]
+    large = b"0123456789,0123456789\n" * 400_000
+    tracemalloc.start()
+    assert sum(1 for _ in SRC.parse_csv(large)) == 400_000
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < len(large) / 2
+
+
 def test_amount_cells_reach_every_amount_in_the_band(spark):
     for off, share in ((5.0, 0.05), (2.0, 0.03), (1.0, 0.3)):
         df = spark.range(20_000).select((F.rand(1) * F.pow(F.lit(10.0), F.rand(2) * 6)).alias("r"), (F.rand(3) * 2 - 1).alias("x"))
