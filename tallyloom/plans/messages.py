@@ -34,15 +34,20 @@ def review_queue(parsed: DataFrame) -> DataFrame:
     return rows.withColumns({"predicted_label": F.col("classification_label"), "review_status": F.when(unknown, "unclassified").otherwise("needs_review"), "true_label": F.lit("")})
 
 
+def transactions(parsed: DataFrame, gap: str = "10 minutes") -> DataFrame:
+    """The transactions of parsed messages. Their runs need several passes: let ``parsed`` be written or persisted, or each
+    pass parses all messages again."""
+    money = parsed.filter("classification_label = 'FINANCIAL_TRANSACTION'")
+    return dedup_transactions(money, gap).withColumn("body", flatten_body("body")).select(*FINANCIAL)
+
+
 def run_messages(raw: DataFrame, gap: str = "10 minutes") -> MessageRun:
     """Lazy plans over raw messages (id, sender, body, timestamp_ms, row_id). The parsed rows feed three of them: persist
     ``parsed`` before using several."""
     counts = Observation(), Observation()
     parsed = parse_messages(structural_clean(raw, *counts))
-    money = parsed.filter("classification_label = 'FINANCIAL_TRANSACTION'")
-    financial = dedup_transactions(money, gap).withColumn("body", flatten_body("body"))
     review = review_queue(parsed).withColumn("body", flatten_body("body"))
-    return MessageRun(parsed, financial.select(*FINANCIAL), review.select(*REVIEW), validation_metrics(parsed), unreadable(raw), counts)
+    return MessageRun(parsed, transactions(parsed, gap), review.select(*REVIEW), validation_metrics(parsed), unreadable(raw), counts)
 
 
 def write_run(run: MessageRun, path: str, kind: str = "parquet") -> dict[str, int]:
@@ -61,4 +66,4 @@ def write_run(run: MessageRun, path: str, kind: str = "parquet") -> dict[str, in
     return {"read": read, "resent": read - distinct, "unreadable": lost, "kept": distinct - lost}
 
 
-__all__ = ["FINANCIAL", "PARSED", "REVIEW", "MessageRun", "review_queue", "run_messages", "write_run"]
+__all__ = ["FINANCIAL", "PARSED", "REVIEW", "MessageRun", "review_queue", "run_messages", "transactions", "write_run"]

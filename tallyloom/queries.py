@@ -658,10 +658,11 @@ def scan_filter_project(spark, d):
 @query(f"""SELECT CAST(o_orderkey AS VARCHAR) AS id, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS event_time, strftime(o_orderdate, '%Y-%m-%d') AS date, sender, body, amount, direction, bank, recipient_name, transaction_mode, ref_id, upi_id, balance_after FROM {_PARSED_SQL} WHERE paid""")
 def message_pipeline(spark, d):
     """Every amount and reference is one message's, so that each stays; what the rules do with others is tested apart."""
-    from .plans.messages import run_messages
+    from .plans.messages import run_messages, transactions
 
     raw = messages(spark, d).select(F.col("o_orderkey").cast("string").alias("id"), "sender", "body", F.unix_millis(F.col("o_orderdate").cast("timestamp")).cast("string").alias("timestamp_ms"), F.col("o_orderkey").alias("row_id"))
-    return run_messages(raw).financial.withColumns({"event_time": F.date_format("event_time", "yyyy-MM-dd HH:mm:ss"), "date": F.col("date").cast("string")})
+    parsed = cut(run_messages(raw).parsed.filter("classification_label = 'FINANCIAL_TRANSACTION'"))
+    return transactions(parsed).withColumns({"event_time": F.date_format("event_time", "yyyy-MM-dd HH:mm:ss"), "date": F.col("date").cast("string")})
 
 
 def _statement(spark: SparkSession, d: str) -> DataFrame:

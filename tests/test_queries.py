@@ -117,3 +117,8 @@ def test_reference_overlap_all_sees_every_key(spark, tmp_path):
     orders = [(k, 1, "O", 1.0, day, "1") for k in range(1, 7)]
     write_tables(spark, tmp_path, orders, [(k, 1, 1, 1, 1.0, 1.0, 0.0, 0.0, "N", "O", day) for k in (2, 3, 3, 5, 6, 7, 8, 9)])
     assert {r.part: r.n for r in QUERIES["reference_overlap"](spark, str(tmp_path)).collect()} == {"both": 4, "first": 2, "second": 3}
+
+
+def test_message_pipeline_parses_messages_once(spark, sf):
+    plan = QUERIES["message_pipeline"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "orders.parquet" not in plan and "cut-" in plan
