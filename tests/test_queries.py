@@ -120,5 +120,6 @@ def test_reference_overlap_all_sees_every_key(spark, tmp_path):
 
 
 def test_message_pipeline_parses_messages_once(spark, sf):
-    plan = QUERIES["message_pipeline"](spark, sf)._jdf.queryExecution().executedPlan().toString()
-    assert "orders.parquet" not in plan and "cut-" in plan
+    files = QUERIES["message_pipeline"](spark, sf).inputFiles()
+    # the passes of the dedup read the written transactions, none reads messages
+    assert files and all("/cut-" in f for f in files)
