@@ -19,6 +19,9 @@ from ..session import cut, free
 #: Components of at most so many pairs (some 400 MB of a Python worker) are merged within one task, larger ones by rounds
 #: over the table of pairs.
 TOGETHER = 1_000_000
+#: The share of the nearest pairs that larger components merge by before they look at the others, and pairs too few to
+#: be parted so.
+NEAREST, FEW = 0.125, 50_000
 
 
 def components(pairs: DataFrame) -> DataFrame:
@@ -115,20 +118,24 @@ def _round(edges: DataFrame) -> DataFrame:
     return out
 
 
+def _contracted(edges: DataFrame, into: DataFrame) -> DataFrame:
+    """Pairs of clusters (a < b, distance) after those of ``into`` (id, cluster), other than their own, have merged: at
+    the greatest distance, where every pair of what merged was there."""
+    sizes = into.groupBy("cluster").agg(F.count("*").alias("n")).select(F.col("cluster").alias("id"), (F.col("n") + 1).alias("n"))
+    side = lambda name: into.select(F.col("id").alias(name), F.col("cluster").alias(f"{name}_to"))
+    moved = edges.join(side("a"), "a", "left").join(side("b"), "b", "left").select(F.coalesce("a_to", "a").alias("a"), F.coalesce("b_to", "b").alias("b"), "distance")
+    moved = moved.filter("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("distance").alias("distance"), F.count("*").alias("pairs"))
+    whole = moved.join(sizes.select(F.col("id").alias("a"), F.col("n").alias("n_a")), "a", "left").join(sizes.select(F.col("id").alias("b"), F.col("n").alias("n_b")), "b", "left")
+    return cut(whole.filter("pairs = coalesce(n_a, 1) * coalesce(n_b, 1)").select("a", "b", "distance"))
+
+
 def linkage_rounds(edges: DataFrame) -> DataFrame:
     """(id, cluster) of all ids in pairs (a < b, distance), by rounds; what is left of few pairs ends in one task."""
     found = cut(edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct().withColumn("cluster", F.col("id")))
     edges = cut(edges)
     while (left := edges.limit(TOGETHER + 1).count()) > TOGETHER:
         into = _round(edges)
-        sizes = into.groupBy("cluster").agg(F.count("*").alias("n")).select(F.col("cluster").alias("id"), (F.col("n") + 1).alias("n"))
-        merged = into.select("id", "cluster")
-        side = lambda name: merged.select(F.col("id").alias(name), F.col("cluster").alias(f"{name}_to"))  # noqa: B023, E731
-        moved = edges.join(side("a"), "a", "left").join(side("b"), "b", "left").select(F.coalesce("a_to", "a").alias("a"), F.coalesce("b_to", "b").alias("b"), "distance")
-        moved = moved.filter("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("distance").alias("distance"), F.count("*").alias("pairs"))
-        # every pair of the clusters that merged must have been there
-        whole = moved.join(sizes.select(F.col("id").alias("a"), F.col("n").alias("n_a")), "a", "left").join(sizes.select(F.col("id").alias("b"), F.col("n").alias("n_b")), "b", "left")
-        whole = cut(whole.filter("pairs = coalesce(n_a, 1) * coalesce(n_b, 1)").select("a", "b", "distance"))
+        whole = _contracted(edges, into)
         now = cut(found.join(into.select(F.col("id").alias("cluster"), F.col("cluster").alias("to")), "cluster", "left").select("id", F.coalesce("to", "cluster").alias("cluster")))
         free(found, edges, into)
         found, edges = now, whole
@@ -138,6 +145,32 @@ def linkage_rounds(edges: DataFrame) -> DataFrame:
     return found
 
 
+def linkage_levels(edges: DataFrame) -> DataFrame:
+    """(id, cluster) of all ids in pairs (a < b, distance), the nearest pairs first.
+
+    Clusters merge in order of their distance, so what merges up to some distance follows from the pairs up to there
+    alone. The others wait and are then brought down to pairs of the clusters found, few of which are whole. Pairs of one
+    distance go by rounds.
+    """
+    edges = cut(edges)
+    left = edges.count()
+    most, level = edges.agg(F.max("distance"), F.percentile_approx("distance", min(1.0, max(TOGETHER / left, NEAREST)))).first()
+    near = edges.filter(F.col("distance") <= level if level < most else F.col("distance") < most)
+    if left <= FEW or not near.limit(1).count():
+        found = linkage_rounds(edges)
+        free(edges)
+        return found
+    linked = complete_linkage(near)
+    into = cut(linked.filter("id <> cluster"))
+    rest = _contracted(edges, into)
+    further = complete_linkage(rest)
+    ids = edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct()
+    one = ids.join(into, "id", "left").select("id", F.coalesce("cluster", "id").alias("one"))
+    found = cut(one.join(further.select(F.col("id").alias("one"), "cluster"), "one", "left").select("id", F.coalesce("cluster", "one").alias("cluster")))
+    free(edges, linked, into, rest, further)
+    return found
+
+
 def complete_linkage(pairs: DataFrame) -> DataFrame:
     """(id, cluster): clusters, named by their smallest id, of all ids in ``pairs`` (a, b, distance), which must hold every
     pair within the limit once. Ids are longs; their order settles ties."""
@@ -151,7 +184,7 @@ def complete_linkage(pairs: DataFrame) -> DataFrame:
     out = small.groupBy("component").applyInPandas(_merged, "id long, cluster long")
     if sizes.filter(F.col("n") > TOGETHER).limit(1).count():
         large = parted.join(sizes.filter(F.col("n") > TOGETHER).select("component"), "component", "left_semi")
-        out = out.union(linkage_rounds(large.select("a", "b", "distance")))
+        out = out.union(linkage_levels(large.select("a", "b", "distance")))
     out = cut(out)
     free(edges, found, parted, sizes)
     return out

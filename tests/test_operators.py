@@ -160,6 +160,23 @@ def test_rounds_of_one_large_component(spark, monkeypatch):
     assert found == {**dict.fromkeys(range(301), 0), **dict.fromkeys([400, 700, 1000], 400)}
 
 
+def test_far_pairs_wait_for_near_ones(spark, monkeypatch):
+    """A large component never goes by rounds over all its pairs: rounds see pairs of one distance."""
+    import random
+
+    from tallyloom.operators import linkage
+
+    monkeypatch.setattr(linkage, "TOGETHER", 20)
+    monkeypatch.setattr(linkage, "FEW", 0, raising=False)
+    seen, rounds = [], linkage.linkage_rounds
+    monkeypatch.setattr(linkage, "linkage_rounds", lambda edges: seen.append(edges.select("distance").distinct().count()) or rounds(edges))
+    r = random.Random(3)
+    rows = [(i, j, float(r.choice([1, 2, 3, 3, 3]))) for i in range(12) for j in range(i + 1, 12) if r.random() < 0.8]
+    edges = spark.createDataFrame(rows, "a long, b long, distance double")
+    assert {x.id: x.cluster for x in linkage.complete_linkage(edges).collect()} == linkage.merge_pairs(rows)
+    assert set(seen) <= {1}
+
+
 def test_resolver_and_merges(spark):
     rows = [(0, "Alda_Brev", "a@x"), (1, "ALDA BREV", "a@x"), (2, "ALDA BRE V", None), (3, "REVERSAL", "a@x"), (4, None, None), (5, "CORIN VELLAR", None), (6, "CORIN V", None), (7, "CORIN VELLUM", None), (8, "MERIDA", None), (9, "MERIDA SHOP", None)]
     df = spark.createDataFrame(rows, "row_id int, Recipient_Name string, UPI_ID string")
