@@ -12,15 +12,16 @@ from datetime import timedelta
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.dedup import recharge_phone
 
 PROVIDER = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-MARKS = "device_id string, last_ts timestamp, idle boolean"
-CORRECTIONS = "op int, run_start timestamp, amount double, direction string, id string, event_time timestamp, ref_id string, recipient_name string, sender string"
+# times as microseconds: rows of Python hold no time zone
+MARKS = "device_id string, last_us long, idle boolean"
+CORRECTIONS = "op int, run_start long, amount double, direction string, id string, event_time long, ref_id string, recipient_name string, sender string"
 
 
 def use_rocksdb(spark: SparkSession) -> None:
@@ -35,22 +36,21 @@ class HighWater(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.last = handle.getValueState("last", "last_ts timestamp")
+        self.last = handle.getValueState("last", "last_us long")
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        newest = max((r["event_time"].max() for r in rows), default=pd.NaT)
-        known = pd.Timestamp(self.last.get()[0]) if self.last.exists() else None
-        if pd.isna(newest) or (known is not None and newest <= known):
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+        newest, known = max(r.t for r in rows), self.last.get()
+        if known is not None and newest <= known[0]:
             return
-        self.last.update((newest.to_pydatetime(),))
+        self.last.update((newest,))
         if self.idle_ms is not None:
             for t in list(self.handle.listTimers()):
                 self.handle.deleteTimer(t)
-            self.handle.registerTimer(int(newest.timestamp() * 1000) + self.idle_ms)
-        yield pd.DataFrame({"device_id": [key[0]], "last_ts": [newest], "idle": [False]})
+            self.handle.registerTimer(newest // 1000 + self.idle_ms)
+        yield Row(device_id=key[0], last_us=newest, idle=False)
 
-    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        yield pd.DataFrame({"device_id": [key[0]], "last_ts": [pd.Timestamp(self.last.get()[0])], "idle": [True]})
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
+        yield Row(device_id=key[0], last_us=self.last.get()[0], idle=True)
 
     def close(self) -> None:
         pass
@@ -60,17 +60,19 @@ def high_water(rows: DataFrame, idle: str | None = None, late: str = "1 day") ->
     """Stream of (device_id, last_ts, idle) from (device_id, event_time): a row whenever a device's mark moves on, and,
     with ``idle`` (such as "2 hours"), one when the watermark (``late`` behind) has passed a mark by as much; then Spark
     leaves out rows behind the watermark, which ``split_late`` keeps. Rows without a device or time move nothing."""
-    rows = rows.filter("device_id IS NOT NULL AND event_time IS NOT NULL").select("device_id", "event_time")
+    rows = rows.filter("device_id IS NOT NULL AND event_time IS NOT NULL").select("device_id", "event_time", F.unix_micros("event_time").alias("t"))
     if idle is None:
-        return rows.groupBy("device_id").transformWithStateInPandas(HighWater(None), MARKS, "Update", "None")
-    ms = int(pd.Timedelta(idle).total_seconds() * 1000)
-    return rows.withWatermark("event_time", late).groupBy("device_id").transformWithStateInPandas(HighWater(ms), MARKS, "Update", "EventTime")
+        marks = rows.groupBy("device_id").transformWithState(HighWater(None), MARKS, "Update", "None")
+    else:
+        ms = int(pd.Timedelta(idle).total_seconds() * 1000)
+        marks = rows.withWatermark("event_time", late).groupBy("device_id").transformWithState(HighWater(ms), MARKS, "Update", "EventTime")
+    return marks.select("device_id", F.timestamp_micros("last_us").alias("last_ts"), "idle")
 
 
 def marks_of(spark: SparkSession, checkpoint: str) -> DataFrame:
     """(device_id, last_ts): the marks as the state of a ``high_water`` query holds them, one row a device."""
     state = spark.read.format("statestore").option("path", checkpoint).option("stateVarName", "last").load()
-    return state.select(F.col("key.device_id").alias("device_id"), F.col("value.last_ts").alias("last_ts"))
+    return state.select(F.col("key.device_id").alias("device_id"), F.timestamp_micros("value.last_us").alias("last_ts"))
 
 
 def winners(rows: list[list]) -> list[list]:
@@ -85,57 +87,67 @@ def winners(rows: list[list]) -> list[list]:
     return list(best.values())
 
 
+def regrouped(new: list[list], known: list[tuple], gap: int) -> tuple[list[tuple], list[tuple], list[tuple]]:
+    """(runs that stay, runs made now (start, end, rows), runs that went into those) of new rows [time, ...] and known
+    runs (start, end, rows as text), in one pass in order of time."""
+    spans = sorted([(r[0], r[0], None, r) for r in new] + [(r[0], r[1], r, None) for r in known], key=lambda x: x[0])
+    kept, changed, reopened = [], [], []
+    i = 0
+    while i < len(spans):
+        end, j = spans[i][1], i + 1
+        while j < len(spans) and spans[j][0] <= end + gap:
+            end, j = max(end, spans[j][1]), j + 1
+        part = spans[i:j]
+        old = [x[2] for x in part if x[2] is not None]
+        if len(old) == len(part):
+            kept += old
+        else:
+            reopened += old
+            changed.append((part[0][0], end, [x[3] for x in part if x[3] is not None] + [r for x in old for r in json.loads(x[2])]))
+        i = j
+    return kept, changed, reopened
+
+
 class Runs(StatefulProcessor):
     """The runs of one amount and direction, each under its first time. A message joins the runs it is near to, however
-    late it comes, and may join two into one; what that changes is taken back and said anew."""
+    late it comes, and may join two into one; what that changes is taken back and said anew.
+
+    A call for each run would take most of the time: the runs of a key are one list, read and written at once.
+    """
 
     def __init__(self, gap_ms: int, keep_ms: int | None):
         self.gap, self.keep = gap_ms * 1000, keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.runs = handle.getMapState("runs", "start long", "end long, rows string")
-
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        new = sorted([int(t), *r] for part in rows for t, *r in part[["t", "id", "no_ref", "unsure", "ref_id", "recipient_name", "sender", "phone"]].astype(object).where(part.notna(), None).itertuples(index=False))
-        runs = {k[0]: (v[0], json.loads(v[1])) for k, v in self.runs.iterator()} if self.runs.exists() else {}
-        before: dict[tuple, tuple] = {}
-        touched: set[int] = set()
-        for row in new:
-            t = row[0]
-            near = [s for s, (end, _) in runs.items() if s - self.gap <= t <= end + self.gap]
-            joined, last = [row], t
-            for s in near:
-                end, old = runs.pop(s)
-                if s not in touched:
-                    before |= {(s, *w): w for w in map(tuple, winners(old))}
-                    self.runs.removeKey((s,))
-                touched.discard(s)
-                joined, last = joined + old, max(last, end)
-            first = min(r[0] for r in joined)
-            runs[first] = (last, joined)
-            touched.add(first)
-        after: dict[tuple, tuple] = {}
-        for s in touched:
-            end, joined = runs[s]
-            self.runs.updateValue((s,), (end, json.dumps(joined)))
-            after |= {(s, *w): w for w in map(tuple, winners(joined))}
-            if self.keep is not None:
-                self.handle.registerTimer(end // 1000 + self.keep)
+        self.runs = handle.getListState("runs", "start long, end long, rows string")
+
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+        new = [[r.t, r.id, r.no_ref, r.unsure, r.ref_id, r.recipient_name, r.sender, r.phone] for r in rows]
+        known = [tuple(r) for r in self.runs.get()]
+        kept, changed, reopened = regrouped(new, known, self.gap)
+        written = [(s, e, json.dumps(joined)) for s, e, joined in changed]
+        if reopened:
+            self.runs.put([*kept, *written])
+        else:
+            self.runs.appendList(written)
+        if self.keep is not None:
+            for end in {r[1] // 1000 + self.keep for r in changed}:
+                self.handle.registerTimer(end)
+        before = {(s, *w): w for s, _, text in reopened for w in map(tuple, winners(json.loads(text)))}
+        after = {(s, *w): w for s, _, joined in changed for w in map(tuple, winners(joined))}
         changes = [(-1, k) for k in before if k not in after] + [(1, k) for k in after if k not in before]
-        if changes:
-            yield self._said(key, changes)
-
-    def _said(self, key: Any, changes: list) -> pd.DataFrame:
-        at = lambda us: pd.Timestamp(int(us), unit="us")
-        out = [(op, at(k[0]), key[0], key[1], k[2], at(k[1]), k[5], k[6], k[7]) for op, k in changes]
-        return pd.DataFrame(out, columns=[f.split()[0] for f in CORRECTIONS.split(", ")])
+        for op, k in changes:
+            yield Row(op=op, run_start=k[0], amount=key[0], direction=key[1], id=k[2], event_time=k[1], ref_id=k[5], recipient_name=k[6], sender=k[7])
 
-    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
         done = expiredTimerInfo.getExpiryTimeInMs()
-        for k, v in list(self.runs.iterator()):
-            if v[0] // 1000 + self.keep <= done:
-                self.runs.removeKey(k)
+        known = [tuple(r) for r in self.runs.get()]
+        left = [r for r in known if r[1] // 1000 + self.keep > done]
+        if not left:
+            self.runs.clear()
+        elif len(left) < len(known):
+            self.runs.put(left)
         return iter(())
 
     def close(self) -> None:
@@ -155,8 +167,10 @@ def reopened_sessions(parsed: DataFrame, gap: str = "10 minutes", keep: str | No
     rows = parsed.filter("is_financial AND event_time IS NOT NULL AND amount IS NOT NULL AND direction IS NOT NULL")
     rows = rows.select("amount", "direction", "event_time", F.unix_micros("event_time").alias("t"), "id", F.col("ref_id").isNull().cast("int").alias("no_ref"), (-F.col("classification_confidence")).cast("double").alias("unsure"), "ref_id", "recipient_name", "sender", recharge_phone("body").alias("phone"))
     if keep is None:
-        return rows.groupBy("amount", "direction").transformWithStateInPandas(Runs(ms(gap), None), CORRECTIONS, "Update", "None")
-    return rows.withWatermark("event_time", late).groupBy("amount", "direction").transformWithStateInPandas(Runs(ms(gap), ms(keep)), CORRECTIONS, "Update", "EventTime")
+        said = rows.groupBy("amount", "direction").transformWithState(Runs(ms(gap), None), CORRECTIONS, "Update", "None")
+    else:
+        said = rows.withWatermark("event_time", late).groupBy("amount", "direction").transformWithState(Runs(ms(gap), ms(keep)), CORRECTIONS, "Update", "EventTime")
+    return said.withColumns({x: F.timestamp_micros(x) for x in ("run_start", "event_time")})
 
 
 def corrected(corrections: DataFrame) -> DataFrame:

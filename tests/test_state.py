@@ -62,3 +62,27 @@ def test_marks_never_go_back_and_tell_silence(spark, tmp_path, rocksdb):
     moves = spark.read.parquet(f"{tmp_path}/out")
     assert sorted((x.device_id, x.last_ts) for x in moves.filter("idle").collect()) == [(k, last[k]) for k in "ab"]
     assert moves.filter("NOT idle AND device_id = 'a'").count() == 2
+
+
+def test_runs_of_a_key_regroup_in_one_pass():
+    """As joining one message after another; a run that nothing joins keeps its text unread."""
+    import json
+
+    r = random.Random(4)
+    for _ in range(200):
+        known, at = [], 0
+        for _ in range(r.randrange(6)):
+            start = at + r.randrange(11, 40)
+            at = start + r.randrange(0, 9)
+            known.append((start, at, json.dumps([[start, "a"], [at, "b"]])))
+        new = [[r.randrange(200), str(i)] for i in range(r.randrange(1, 8))]
+        runs = {s: (e, json.loads(x)) for s, e, x in known}
+        for row in new:
+            near = [s for s, (e, _) in runs.items() if s - 10 <= row[0] <= e + 10]
+            parts = [runs.pop(s) for s in near]
+            joined = [row, *(x for _, rows in parts for x in rows)]
+            runs[min(x[0] for x in joined)] = (max([row[0], *(e for e, _ in parts)]), joined)
+        kept, changed, reopened = S.regrouped(new, known, 10)
+        assert sorted([*kept, *reopened]) == sorted(known)
+        got = {s: (e, rows) for s, e, rows in changed} | {s: (e, json.loads(x)) for s, e, x in kept}
+        assert {s: (e, sorted(x)) for s, (e, x) in got.items()} == {s: (e, sorted(x)) for s, (e, x) in runs.items()}
