@@ -31,7 +31,7 @@ def use_rocksdb(spark: SparkSession) -> None:
 class HighWater(StatefulProcessor):
     """One value a device: its latest time. It never goes back, and a timer tells when a device has been silent."""
 
-    def __init__(self, idle_ms: int | None):
+    def __init__(self, idle_ms: int):
         self.idle_ms = idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -43,10 +43,9 @@ class HighWater(StatefulProcessor):
         if known is not None and newest <= known[0]:
             return
         self.last.update((newest,))
-        if self.idle_ms is not None:
-            for t in list(self.handle.listTimers()):
-                self.handle.deleteTimer(t)
-            self.handle.registerTimer(newest // 1000 + self.idle_ms)
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        self.handle.registerTimer(newest // 1000 + self.idle_ms)
         yield Row(device_id=key[0], last_us=newest, idle=False)
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
@@ -57,21 +56,28 @@ class HighWater(StatefulProcessor):
 
 
 def high_water(rows: DataFrame, idle: str | None = None, late: str = "1 day") -> DataFrame:
-    """Stream of (device_id, last_ts, idle) from (device_id, event_time): a row whenever a device's mark moves on, and,
-    with ``idle`` (such as "2 hours"), one when the watermark (``late`` behind) has passed a mark by as much; then Spark
-    leaves out rows behind the watermark, which ``split_late`` keeps. Rows without a device or time move nothing."""
-    rows = rows.filter("device_id IS NOT NULL AND event_time IS NOT NULL").select("device_id", "event_time", F.unix_micros("event_time").alias("t"))
+    """Stream of (device_id, last_ts, idle) from (device_id, event_time). Rows without a device or time move nothing.
+
+    Without ``idle`` the marks are an aggregate: a batch gives a row for each device it names, with its mark, moved or
+    not. With ``idle`` (such as "2 hours") there is a row whenever a mark moves on, and one when the watermark (``late``
+    behind) has passed a mark by as much; then Spark leaves out rows behind the watermark, which ``split_late`` keeps."""
+    rows = rows.filter("device_id IS NOT NULL AND event_time IS NOT NULL").select("device_id", "event_time")
     if idle is None:
-        marks = rows.groupBy("device_id").transformWithState(HighWater(None), MARKS, "Update", "None")
-    else:
-        ms = int(pd.Timedelta(idle).total_seconds() * 1000)
-        marks = rows.withWatermark("event_time", late).groupBy("device_id").transformWithState(HighWater(ms), MARKS, "Update", "EventTime")
+        return rows.groupBy("device_id").agg(F.max("event_time").alias("last_ts")).withColumn("idle", F.lit(False))
+    ms = int(pd.Timedelta(idle).total_seconds() * 1000)
+    timed = rows.withColumn("t", F.unix_micros("event_time")).withWatermark("event_time", late)
+    marks = timed.groupBy("device_id").transformWithState(HighWater(ms), MARKS, "Update", "EventTime")
     return marks.select("device_id", F.timestamp_micros("last_us").alias("last_ts"), "idle")
 
 
 def marks_of(spark: SparkSession, checkpoint: str) -> DataFrame:
     """(device_id, last_ts): the marks as the state of a ``high_water`` query holds them, one row a device."""
-    state = spark.read.format("statestore").option("path", checkpoint).option("stateVarName", "last").load()
+    kept = spark.read.format("state-metadata").load(checkpoint).select("operatorName").first()[0]
+    state = spark.read.format("statestore").option("path", checkpoint)
+    if kept == "stateStoreSave":
+        state = state.load()
+        return state.select(F.col("key.device_id").alias("device_id"), F.col(f"value.`{state.schema['value'].dataType.fields[0].name}`").alias("last_ts"))
+    state = state.option("stateVarName", "last").load()
     return state.select(F.col("key.device_id").alias("device_id"), F.timestamp_micros("value.last_us").alias("last_ts"))
 
 

@@ -64,6 +64,16 @@ def test_marks_never_go_back_and_tell_silence(spark, tmp_path, rocksdb):
     assert moves.filter("NOT idle AND device_id = 'a'").count() == 2
 
 
+def test_marks_without_silence_call_no_python(spark, tmp_path, rocksdb):
+    schema = "device_id string, event_time timestamp"
+    rows = [(k, None if h is None else AT + dt.timedelta(hours=h, microseconds=7)) for k, h in [("a", 5), ("b", 1), ("a", 3), ("b", None), (None, 9), ("a", 6)]]
+    query = []
+    fed(spark, rows, schema, tmp_path, lambda s: query.append(S.append_batches(S.high_water(s), f"{tmp_path}/out", f"{tmp_path}/cp")) or query[-1])
+    assert {x.device_id: x.last_ts for x in S.marks_of(spark, f"{tmp_path}/cp").collect()} == {"a": rows[5][1], "b": rows[1][1]}
+    kept = spark.read.format("state-metadata").load(f"{tmp_path}/cp").collect()
+    assert [x.operatorName for x in kept] == ["stateStoreSave"]
+
+
 def test_runs_of_a_key_regroup_in_one_pass():
     """As joining one message after another; a run that nothing joins keeps its text unread."""
     import json
