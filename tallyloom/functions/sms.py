@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from . import patterns as P
 from .dialect import SPARK, Dialect
-from .text import c, clean_entity, normalize_text
+from .text import bound, c, clean_entity, filled, normalize_text
 
 #: Code points on either side of an amount that its score looks at.
 AROUND = 70
+SPANS = "array<struct<start:int,end:int,from:int,number:string>>"
 PARSED = ["amount", "direction", "bank", "upi_id", "recipient_name", "transaction_mode", "account_suffix", "balance_after", "ref_id", "is_financial", "classification_label", "classification_confidence", "classification_reason"]
 
 
@@ -19,27 +20,35 @@ def has(x: Column, pattern: str) -> Column:
 
 
 def first_group(x: Column, pattern: str, group: int = 1) -> Column:
-    return F.nullif(F.regexp_extract(x, "(?i)" + pattern, group), F.lit(""))
+    return filled(F.regexp_extract(x, "(?i)" + pattern, group))
+
+
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` plus ``columns``, worked out once a row however often they are used. They leave a generator of one row:
+    projections above it are not folded into it and filters stay above it, where the planner would otherwise write the
+    whole expression into each place that names its column, and into a join below."""
+    return df.select("*", F.inline(F.array(F.struct(*[x.alias(k) for k, x in columns.items()]))))
 
 
 def _number_spans(text: Column, pattern: str, groups: int) -> Column:
     """array<struct<start, end, from, number>> of all matches in order: the match's span, and where its number begins.
 
-    One extraction takes each gap with the match behind it; the end of the text is an alternative, which keeps the scan
-    linear. Running sums of the lengths are the spans; a number always ends its match.
+    The gaps between matches and the matches are found apart, each by one linear scan. Running sums of their lengths are
+    the spans; a number always ends its match. A text without a match is only tried.
     """
-    whole = f"(?is)(.*?)(?:{pattern}|\\z)"
-    pieces, gaps = F.regexp_extract_all(text, F.lit(whole), F.lit(0)), F.regexp_extract_all(text, F.lit(whole), F.lit(1))
-    numbers = [F.regexp_extract_all(text, F.lit(whole), F.lit(g + 2)) for g in range(groups)]
-    rows = F.zip_with(F.zip_with(pieces, gaps, lambda p, g: F.struct(F.char_length(p).alias("p"), F.char_length(g).alias("g"))), numbers[0] if groups == 1 else F.zip_with(*numbers, lambda a, b: F.concat(a, b)), lambda s, n: F.struct(s["p"].alias("p"), s["g"].alias("g"), n.alias("n")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,from:int,number:string>>").alias("found"))
+    found = F.lit("(?i)" + pattern)
+    gaps, pieces = F.split(text, "(?i)" + pattern, -1), F.regexp_extract_all(text, found, F.lit(0))
+    numbers = [F.regexp_extract_all(text, found, F.lit(g + 1)) for g in range(groups)]
+    rows = F.zip_with(F.zip_with(gaps, pieces, lambda g, p: F.struct((F.char_length(g) + F.char_length(p)).alias("p"), F.char_length(g).alias("g"))), numbers[0] if groups == 1 else F.zip_with(*numbers, lambda a, b: F.concat(a, b)), lambda s, n: F.struct(s["p"].alias("p"), s["g"].alias("g"), n.alias("n")))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("found"))
 
     def step(s: Column, r: Column) -> Column:
         end = s["at"] + r["p"]
         one = F.struct((s["at"] + r["g"]).alias("start"), end.alias("end"), (end - F.char_length(r["n"])).alias("from"), r["n"].alias("number"))
-        return F.struct(end.alias("at"), F.when(r["n"] != "", F.concat(s["found"], F.array(one))).otherwise(s["found"]).alias("found"))
+        # the last gap has no match behind it
+        return F.struct(end.alias("at"), F.when(r["n"].isNotNull(), F.concat(s["found"], F.array(one))).otherwise(s["found"]).alias("found"))
 
-    return F.aggregate(rows, start, step, lambda s: s["found"])
+    return F.when(has(text, pattern), F.aggregate(rows, start, step, lambda s: s["found"])).otherwise(F.array().cast(SPANS))
 
 
 def transaction_amount(text: Column | str, direction: Column | None = None) -> Column:
@@ -48,16 +57,23 @@ def transaction_amount(text: Column | str, direction: Column | None = None) -> C
     amounts, balances = _number_spans(t, P.AMOUNT, 2), _number_spans(t, P.BALANCE, 1)
     direction = F.lit(None).cast("string") if direction is None else direction
 
+    number = lambda a: F.replace(a["number"], F.lit(","), F.lit("")).try_cast("double")
+
     def scored(a: Column) -> Column:
         begin = F.greatest(F.lit(0), a["start"] - AROUND)
         near = F.substring(t, begin + 1, a["end"] + AROUND - begin)
         points = [(direction == "DEBIT") & has(near, P.DEBIT), (direction == "CREDIT") & has(near, P.CREDIT), has(near, P.VERB), has(near, P.BALANCE_WORD), has(near, P.BONUS_WORD)]
         score = sum((F.when(p, w).otherwise(0) for p, w in zip(points, (5, 5, 3, -3, 1), strict=True)), F.lit(0))
-        return F.struct(score.alias("score"), (-a["start"]).alias("at"), F.replace(a["number"], F.lit(","), F.lit("")).try_cast("double").alias("amount"))
+        return F.struct(score.alias("score"), (-a["start"]).alias("at"), number(a).alias("amount"))
+
+    apart = F.filter(amounts, lambda a: ~F.exists(balances, lambda b: (a["end"] > b["from"]) & (a["from"] < b["end"])))
+    free = F.when(has(t, P.BALANCE), apart).otherwise(amounts)
+
+    def best(free: Column) -> Column:
+        ranked = F.filter(F.transform(free, scored), lambda s: s["amount"].isNotNull())
+        return F.when(F.size(free) == 1, number(F.get(free, F.lit(0)))).otherwise(F.array_max(ranked)["amount"])  # one alone needs no score
 
-    free = F.filter(amounts, lambda a: ~F.exists(balances, lambda b: (a["end"] > b["from"]) & (a["from"] < b["end"])))
-    ranked = F.filter(F.transform(free, scored), lambda s: s["amount"].isNotNull())
-    return F.array_max(ranked)["amount"]
+    return bound(free, best)
 
 
 def balance_after(text: Column | str) -> Column:
@@ -74,7 +90,7 @@ def upi_id(text: Column | str) -> Column:
 
 def transaction_mode(text: Column | str) -> Column:
     m = F.replace(F.upper(first_group(c(text), P.MODE)), F.lit(" "), F.lit(""))
-    return F.when(m == "CHQ", "CHEQUE").when(m == "POS", "CARD").otherwise(m)
+    return bound(m, lambda m: F.when(m == "CHQ", "CHEQUE").when(m == "POS", "CARD").otherwise(m))
 
 
 def ref_id(text: Column | str) -> Column:
@@ -92,7 +108,7 @@ def recipient(text: Column | str, direction: Column) -> Column:
         name = F.trim(first_group(c(text), pattern))
         name = F.trim(F.regexp_replace(name, "(?is)" + P.NAME_END + ".*$", ""))
         name = F.trim(F.regexp_replace(name, "[-_.,]+$", ""))
-        return F.when((name != "") & ~F.lower(name).isin(P.NOT_A_NAME), name)
+        return bound(name, lambda n: F.when((n != "") & ~F.lower(n).isin(P.NOT_A_NAME), n))
 
     return clean_entity(F.when(direction == "DEBIT", F.coalesce(*map(by, P.PAYEE))).when(direction == "CREDIT", F.coalesce(*map(by, P.PAYER))))
 
@@ -100,8 +116,7 @@ def recipient(text: Column | str, direction: Column) -> Column:
 def merchant_fallback(text: Column | str, sender: Column | str, bank: Column) -> Column:
     s = F.trim(F.regexp_replace(c(sender), "^[A-Z]{2}-|-?[A-Z]$", ""))
     usable = (F.trim(c(sender)) != "") & (F.lower(c(sender)) != "partner") & ~F.coalesce(F.startswith(F.upper(s), F.upper(bank)), F.lit(False)) & ~F.contains(F.upper(s), F.lit("UPI"))
-    brand = first_group(c(text), P.BRAND)
-    return F.when(brand.isNotNull(), clean_entity(F.initcap(brand))).when(usable, clean_entity(s))
+    return bound(first_group(c(text), P.BRAND), lambda brand: F.when(brand.isNotNull(), clean_entity(F.initcap(brand))).when(usable, clean_entity(s)))
 
 
 def account_fallback(text: Column | str, own: Column) -> Column:
@@ -170,7 +185,7 @@ def classified(rows: DataFrame) -> DataFrame:
     rules = gates(SPARK, "__t", "__s", "__amount IS NOT NULL")
     money = f"__amount IS NOT NULL AND __told IS NOT NULL AND {SPARK.rlike('__t', P.CONTEXT, True)}"
     gate = SPARK.case([(g, str(i)) for i, (g, _, _, _) in enumerate(rules)] + [(money, str(len(rules)))], str(len(rules) + 1))
-    rows = rows.withColumn("__told", F.expr(gate_direction(SPARK, "__t"))).withColumn("__gate", F.expr(gate))
+    rows = once(once(rows, __told=F.expr(gate_direction(SPARK, "__t"))), __gate=F.expr(gate))
     pick = lambda values: F.get(F.array(*map(F.lit, values)), F.col("__gate"))
     sure = F.when(F.col("__gate") == len(rules), F.expr(confidence(SPARK, "__t", "__amount", "__told"))).otherwise(pick([*[k for _, _, k, _ in rules], 0.0, 0.25]))
     return rows.withColumns({
@@ -190,7 +205,7 @@ def parse_messages(df: DataFrame, body: str = "body", sender: str = "sender") ->
         F.when(telecom, "DEBIT").when(F.contains(F.lower(t), F.lit("credited")), "CREDIT").when(F.contains(F.lower(t), F.lit("debited")), "DEBIT")
         .when(has(t, P.DEBIT), "DEBIT").when(has(t, P.CREDIT), "CREDIT").when(has(t, P.CONFIRMED), "DEBIT")
     )
-    rows = rows.withColumns({"__telecom": telecom, "__direction": direction})
+    rows = once(rows, __telecom=telecom, __direction=direction)
     financial = (F.col("__label") == "FINANCIAL_TRANSACTION") & F.col("__amount").isNotNull() & F.col("__direction").isNotNull()
     rows = rows.withColumn("__ok", financial).withColumns({"__bank": bank_of("__raw_sender", "__t"), "__suffix": account_suffix("__t")})
     name = F.when(F.col("__telecom"), "Airtel").otherwise(F.coalesce(recipient("__t", F.col("__direction")), merchant_fallback("__t", "__raw_sender", F.col("__bank")), account_fallback("__t", F.col("__suffix"))))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,6 +15,17 @@ def c(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def bound(x: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(x)`` with ``x`` worked out once, however often ``use`` names it: written out, each mention is the whole of
+    ``x`` again, and nested ones multiply."""
+    return F.get(F.transform(F.array(x), use), F.lit(0))
+
+
+def filled(x: Column) -> Column:
+    """Null for the empty string."""
+    return bound(x, lambda s: F.when(s != "", s))
+
+
 def normalize_text(x: Column | str) -> Column:
     """Runs of white space (Unicode) as one blank, none at the ends; null as empty."""
     return F.coalesce(F.trim(F.regexp_replace(c(x), r"(?U)\s+", " ")), F.lit(""))
@@ -90,7 +103,7 @@ def clean_entity(x: Column | str) -> Column:
     """A counterparty without company forms, city and account words; null if nothing is left."""
     s = F.regexp_replace(F.trim(F.regexp_replace(c(x), r"(?U)\s+", " ")), r"[\s\-_,.]+$", "")
     s = F.btrim(F.regexp_replace(F.regexp_replace(s, "(?i)" + P.NOISE, " "), r"\s+", " "), F.lit(" -_.,"))
-    return F.nullif(F.trim(F.regexp_replace(F.regexp_replace(s, "(?i)" + P.ACCOUNT_NOISE, " "), r"\s+", " ")), F.lit(""))
+    return filled(F.trim(F.regexp_replace(F.regexp_replace(s, "(?i)" + P.ACCOUNT_NOISE, " "), r"\s+", " ")))
 
 
 def clean_recipient(x: Column | str) -> Column:

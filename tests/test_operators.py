@@ -805,3 +805,16 @@ def test_first_tab_by_its_place(tmp_path):
     assert book(["b", "a"], {"a": "worksheets/sheet1.xml", "b": "/xl/worksheets/sheet2.xml"}) == [["two"]]
     assert book(["c", "a"], {"a": "worksheets/sheet1.xml", "c": "chartsheets/sheet1.xml"}) == [["one"]]
     assert book([], {}) == [["one"]]
+
+
+def test_filters_over_parsed_messages_do_not_repeat_the_rules(spark):
+    from tallyloom.functions import patterns as P
+    from tallyloom.functions import sms as S
+    from tallyloom.plans.messages import review_queue
+
+    parsed = S.parse_messages(spark.createDataFrame([("1", "Rs.5 debited to SHOP Refno 123456", "AD-HDFCBK")], "id string, body string, sender string"))
+    for rows in (review_queue(parsed), parsed.filter("is_financial")):
+        plan = rows._jdf.queryExecution().optimizedPlan().toString()
+        assert [plan.count(x) for x in (P.OTP, P.SHORT_LINK, P.GAMBLING)] == [1, 1, 1]
+        assert plan.count(P.NAME_END) <= 6 and plan.count(P.NOISE) <= 4  # one a name pattern, one a name
+    assert [r.recipient_name for r in parsed.collect()] == ["SHOP"]
