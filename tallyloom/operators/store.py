@@ -6,9 +6,13 @@ are left out by anti-joins before anything is appended.
 
 from __future__ import annotations
 
+import hashlib
+import inspect
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import dialect, sms, text
 from ..functions import patterns as P
 from ..functions.sms import PARSED, parse_messages
 from ..functions.text import parse_timestamp
@@ -21,7 +25,10 @@ SCHEMAS = {
     "transactions": "id string, account_id string, recipient_id string, transaction_reference string, transaction_date date, amount decimal(14,2), debit decimal(14,2), credit decimal(14,2), transaction_mode string, dr_cr_indicator string, note string, created_at timestamp",
     "raw_sms": "id string, sender string, body string, timestamp_ms string, timestamp_human string, device_id string",
     "checkpoints": "device_id string, last_ts timestamp",
+    "stored": "message binary, is_financial boolean",
 }
+#: What the rules of messages are; a message that was stored by other rules is parsed anew.
+RULES = hashlib.md5("".join(map(inspect.getsource, (P, dialect, sms, text))).encode()).hexdigest()
 
 
 def key_of(*columns: Column) -> Column:
@@ -117,19 +124,27 @@ class Ledger:
 
     def ingest(self, raw: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Store a batch of raw messages: (one row of tallies, rows with ``errors``). A bad message is left out with what
-        is wrong with it and never fails the batch; all good ones are written together, once."""
+        is wrong with it and never fails the batch; all good ones are written together, once. A message that an earlier
+        batch stored whole, equal in all that is parsed, has its transaction already: it is looked up, not parsed again."""
         rows = raw.withColumn("event_time", parse_timestamp("timestamp_ms")).withColumn("errors", message_errors()).persist()
+        parsed = None
         try:
             good = rows.filter("size(errors) = 0")
-            parsed = parse_messages(good).persist()
+            known = self.table("stored").groupBy("message").agg(F.first("is_financial").alias("__money"))
+            told = good.withColumn("__message", message_key()).join(known, F.col("__message") == F.col("message"), "left").drop("message")
+            before = told.filter("__money IS NOT NULL").agg(F.count_if("__money").alias("m"), F.count("*").alias("n")).first()
+            parsed = parse_messages(told.filter("__money IS NULL").drop("__money").withColumnRenamed("__message", "message")).persist()
             self.add_raw(good)
-            created = self.persist(parsed)
+            created = self.persist(parsed.drop("message"))
             self.move_checkpoints(good)
             n = rows.count()
-            money, ok = parsed.agg(F.count_if("is_financial").alias("m"), F.count("*").alias("n")).first()
-            parsed.unpersist()
+            now = parsed.agg(F.count_if("is_financial").alias("m"), F.count("*").alias("n")).first()
+            self.append("stored", parsed.select("message", "is_financial").dropDuplicates(["message"]))  # last: what fails before is parsed again
+            money, ok = before.m + now.m, before.n + now.n
             failed = cut(rows.filter("size(errors) > 0").drop("event_time"))
         finally:
+            if parsed is not None:
+                parsed.unpersist()
             rows.unpersist()
         tallies = self.spark.createDataFrame([(n, money, ok - money, created, n - ok)], "total long, financial long, non_financial long, transactions_created long, failed long")
         return tallies, failed
@@ -146,6 +161,11 @@ class Ledger:
         return tallies, failed
 
 
+def message_key() -> Column:
+    """What a raw message's transaction comes from, and the rules that find it. As JSON no two differ in where one value ends."""
+    return F.unhex(F.sha2(F.concat(F.lit(RULES), F.to_json(F.struct("id", "device_id", "sender", "body", "timestamp_ms"))), 256))
+
+
 def message_errors() -> Column:
     """array<string>: what keeps a raw message (id, body, timestamp_ms, event_time) from being stored."""
     empty = lambda x: F.trim(F.coalesce(x, F.lit(""))) == ""

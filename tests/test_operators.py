@@ -818,3 +818,19 @@ def test_filters_over_parsed_messages_do_not_repeat_the_rules(spark):
         assert [plan.count(x) for x in (P.OTP, P.SHORT_LINK, P.GAMBLING)] == [1, 1, 1]
         assert plan.count(P.NAME_END) <= 6 and plan.count(P.NOISE) <= 4  # one a name pattern, one a name
     assert [r.recipient_name for r in parsed.collect()] == ["SHOP"]
+
+
+def test_a_stored_message_is_looked_up_and_not_parsed_again(spark, tmp_path, monkeypatch):
+    ledger = ST.Ledger(spark, f"file://{tmp_path}/ledger")
+    row = lambda i, body, ts="1767225600000": (i, "JD-SBIUPI-S", body, ts, "", "d")
+    columns = "id string, sender string, body string, timestamp_ms string, timestamp_human string, device_id string"
+    paid, chat = "Rs.5 debited to SHOP Refno 123456", "See you at home"
+    seen, parse = [], ST.parse_messages
+    monkeypatch.setattr(ST, "parse_messages", lambda df: parse(seen.append(sorted(r.id for r in df.collect())) or df))
+    first = [row("1", paid), row("1", paid), row("2", chat), row("3", paid, "soon")]
+    batches = [first, first, [*first, row("1", "Rs.6 debited to SHOP Refno 999999"), row("4", paid)]]
+    got = [tuple(ledger.ingest(spark.createDataFrame(rows, columns))[0].first()) for rows in batches]
+    assert got == [(4, 2, 1, 1, 1), (4, 2, 1, 0, 1), (6, 4, 1, 1, 1)]  # by reference 999999 a message of the same id is new
+    assert seen == [["1", "1", "2"], [], ["1", "4"]]
+    monkeypatch.setattr(ST, "RULES", "others")
+    assert tuple(ledger.ingest(spark.createDataFrame(first, columns))[0].first()) == (4, 2, 1, 0, 1) and seen[-1] == ["1", "1", "2"]
