@@ -10,15 +10,16 @@ from __future__ import annotations
 
 import heapq
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut, free
 
-#: Components of at most so many pairs (some 400 MB of a Python worker) are merged within one task, larger ones by rounds
-#: over the table of pairs.
-TOGETHER = 1_000_000
+#: Components of at most so many pairs are merged within one task, larger ones by rounds over the table of pairs. Pairs
+#: beyond ``QUEUED`` go by rounds over arrays first. So many are not parted at all.
+TOGETHER, QUEUED, UNPARTED = 4_000_000, 100_000, 250_000
 #: The share of the nearest pairs that larger components merge by before they look at the others, and pairs too few to
 #: be parted so.
 NEAREST, FEW = 0.125, 50_000
@@ -86,9 +87,61 @@ def merge_pairs(pairs: list[tuple[int, int, float]]) -> dict[int, int]:
     return cluster
 
 
+def merge_arrays(a: np.ndarray, b: np.ndarray, distance: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, clusters) as by ``merge_pairs``: by rounds of ``_round`` over arrays, until at most ``QUEUED`` pairs are left for
+    the queue."""
+    ids, places = np.unique(np.concatenate([a, b]), return_inverse=True)
+    n, cluster = len(ids), np.arange(len(ids))
+    x, y = (np.minimum(*np.split(places, 2)), np.maximum(*np.split(places, 2)))
+    far, rank = np.unique(distance, return_inverse=True)
+    while len(x) > QUEUED:
+        none = np.iinfo(np.int64).max
+        nearest, every = np.full(n, none), np.arange(n)
+        np.minimum.at(nearest, x, rank * n + y)
+        np.minimum.at(nearest, y, rank * n + x)
+        to, reach = np.where(nearest < none, nearest % n, -1), nearest // n
+        hub = (to > every) & (to[to] == every)
+        # as in ``_round``: followers in order of their ids, as long as they are near to all before and none is barred
+        follower = np.flatnonzero((to >= 0) & hub[to] & (reach == reach[to]))
+        of = np.full(n, -1)
+        of[follower] = to[follower]
+        end = np.full(n, none)
+        for u, v in ((x, y), (y, x)):
+            barred = hub[u] & (rank == reach[u]) & (of[v] != u)
+            np.minimum.at(end, u[barred], v[barred])
+        beside = (of[x] >= 0) & (of[x] == of[y]) & (rank <= reach[of[x]])
+        before = np.bincount(y[beside], minlength=n)
+        follower = follower[np.argsort(of[follower], kind="stable")]
+        hubs, start, count = np.unique(of[follower], return_index=True, return_counts=True)
+        gap = follower[before[follower] != np.arange(len(follower)) - np.repeat(start, count)]
+        np.minimum.at(end, of[gap], gap)
+        taken = follower[follower < end[of[follower]]]
+        into = every.copy()
+        into[taken] = of[taken]
+        size = 1 + np.bincount(of[taken], minlength=n)
+        cluster = into[cluster]
+        x, y = into[x], into[y]
+        apart = x != y
+        x, y, rank = np.minimum(x, y)[apart], np.maximum(x, y)[apart], rank[apart]
+        moved = (size[x] > 1) | (size[y] > 1)
+        pair, r = x[moved] * n + y[moved], rank[moved]
+        order = np.argsort(pair, kind="stable")
+        pair, r = pair[order], r[order]
+        start = np.flatnonzero(np.diff(pair, prepend=-1))
+        count, most = np.diff(start, append=len(pair)), np.maximum.reduceat(r, start) if len(start) else r
+        p, q = pair[start] // n, pair[start] % n
+        whole = count == size[p] * size[q]
+        x, y, rank = (np.concatenate(z) for z in ((x[~moved], p[whole]), (y[~moved], q[whole]), (rank[~moved], most[whole])))
+    if len(x):
+        last, into = merge_pairs(list(zip(x.tolist(), y.tolist(), far[rank].tolist(), strict=True))), np.arange(n)
+        into[list(last)] = list(last.values())
+        cluster = into[cluster]
+    return ids, ids[cluster]
+
+
 def _merged(pdf: pd.DataFrame) -> pd.DataFrame:
-    found = merge_pairs(list(zip(pdf["a"].tolist(), pdf["b"].tolist(), pdf["distance"].tolist(), strict=True)))
-    return pd.DataFrame({"id": list(found), "cluster": list(found.values())})
+    ids, clusters = merge_arrays(pdf["a"].to_numpy(), pdf["b"].to_numpy(), pdf["distance"].to_numpy())
+    return pd.DataFrame({"id": ids, "cluster": clusters})
 
 
 def _round(edges: DataFrame) -> DataFrame:
@@ -175,7 +228,8 @@ def complete_linkage(pairs: DataFrame) -> DataFrame:
     """(id, cluster): clusters, named by their smallest id, of all ids in ``pairs`` (a, b, distance), which must hold every
     pair within the limit once. Ids are longs; their order settles ties."""
     edges = cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "distance"))
-    if edges.limit(TOGETHER + 1).count() <= TOGETHER:
+    unparted = min(TOGETHER, UNPARTED)
+    if edges.limit(unparted + 1).count() <= unparted:
         return cut(edges.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(_merged, "id long, cluster long"))
     found = components(edges)
     parted = cut(edges.join(found.select(F.col("id").alias("a"), "component"), "a"))

@@ -10,13 +10,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
-from ..functions.similarity import sorted_ratio, token_sorted
+from ..functions.similarity import near_lists, sorted_ratio, token_sorted
 from ..functions.text import basic_name, first_name_token
-from ..session import cut, scratch
+from ..session import cut, free, scratch
 from .linkage import complete_linkage
 
 #: Names of a block that one task compares with the others of the block, and comparisons a task is meant to make.
 CHUNK, COMPARED = 100, 250_000
+#: Names of a key from which they are linked by levels of distance, and the levels as shares of the limit.
+CROWD, LEVELS = 2_000, (0.35, 0.7, 1.0)
+#: Clusters of a block, or an eighth of their names, that one task compares with as many others.
+CELL = 8_192
 #: The largest alias table that is met in a nested loop, and bytes of aliases up to which an automaton is handed to tasks.
 KB_BROADCAST, ALIAS_BYTES = 1_000, 32 << 20
 #: Names that one task takes apart into substrings.
@@ -97,7 +101,7 @@ def candidate_pairs(names: DataFrame, threshold: float) -> DataFrame:
         names = names.select("key", "name").distinct().withColumn("id", F.xxhash64("key", "name"))
     rows = names.select("key", "name", "id").withColumns({"words": words, "token": first_name_token("name")}).withColumn("len", F.char_length("words"))
     one, two = _signature(F.col("words"))
-    rows = cut(rows.withColumns({"band": F.floor(F.log(F.greatest("len", F.lit(1)).cast("double")) / F.lit(-math.log(low) * 1.0001)).cast("int"), "one": one, "two": two}))
+    rows = cut(rows.withColumns({"band": _length_class(F.col("len"), threshold), "one": one, "two": two}))
     b = rows.select("key", *[F.col(x).alias(f"b_{x}") for x in ("name", "id", "words", "token", "len", "one", "two")], "band")
     prefixes = F.transform(F.sequence(F.lit(0), F.char_length("b_token")), lambda k: F.substring("b_token", F.lit(1), k))
     b = b.withColumn("token", F.explode(prefixes)).withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
@@ -116,14 +120,110 @@ def candidate_pairs(names: DataFrame, threshold: float) -> DataFrame:
     return found.select("key", F.col("a_name").alias("a"), F.col("b_name").alias("b"), "a_id", "b_id", "distance")
 
 
+def _length_class(size: Column, threshold: float) -> Column:
+    """Lengths within threshold / (200 - threshold) of each other are in one class or in two side by side."""
+    return F.floor(F.log(F.greatest(size, F.lit(1)).cast("double")) / F.lit(-math.log(threshold / (200.0 - threshold)) * 1.0001)).cast("int")
+
+
+def near_clusters(clusters: DataFrame, limit: float) -> DataFrame:
+    """(a, b, distance) with a < b of clusters (key, id, words, tokens) of which no two names are further apart than
+    ``limit`` or conflict, at the greatest distance; the first name of ``words`` and ``tokens`` is the one of ``id``.
+
+    Clusters meet by their first names, as in ``candidate_pairs``: those of one token and class of length each other and
+    those of tokens that continue theirs and of classes beside. A block is a grid of chunks, a task compares two.
+    """
+    rows = clusters.withColumns({"token": F.col("tokens")[0], "band": _length_class(F.char_length(F.col("words")[0]), 100.0 - limit)})
+    block = ["key", "token", "band"]
+    prefixes = F.transform(F.sequence(F.lit(0), F.char_length("token")), lambda k: F.substring("token", F.lit(1), k))
+    meets = rows.withColumns({"own_token": F.col("token"), "own_band": F.col("band")}).withColumn("token", F.explode(prefixes)).withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
+    others = meets.filter("token <> own_token OR band < own_band").drop("own_token", "own_band")
+    parts = lambda: F.ceil(F.greatest(F.count("*") / CELL, F.sum(F.size("words")) / (8 * CELL))).cast("int")
+    held = rows.groupBy(*block).agg(parts().alias("n_own"))
+    sizes = cut(held.join(others.groupBy(*block).agg(parts().alias("n_other")), block, "left").withColumn("n_other", F.coalesce("n_other", F.lit(0))))
+    cells, blocks = sizes.agg(F.sum(F.col("n_own") * (F.greatest("n_own", "n_other"))), F.count("*")).first()
+    bins = int(blocks) // 1_000 + 1
+    tasks = min(int(cells or 0) - int(blocks) + 8 * bins, 10_000)
+    dealt = lambda df, n: df.join(sizes, block).withColumns({"bin": F.pmod(F.xxhash64(*block), F.lit(bins if blocks > 1_000 else 1 << 30)), n[0]: F.pmod(F.xxhash64("id"), n[1]).cast("int")})
+    whole = lambda n: F.sequence(F.lit(0), n - 1)
+    own = dealt(rows, ("x", "n_own"))
+    left = own.withColumn("y", F.explode(F.filter(whole(F.greatest("n_own", "n_other")), lambda y: (y >= F.col("x")) | (y < F.col("n_other")))))
+    same = own.withColumnRenamed("x", "y").withColumn("x", F.explode(F.sequence(F.lit(0), "y"))).withColumn("same", F.lit(True))
+    right = same.unionByName(dealt(others, ("y", "n_other")).withColumn("x", F.explode(whole(F.col("n_own")))).withColumn("same", F.lit(False)))
+    cell, columns = ["bin", "x", "y"], [*block, "id", "words", "tokens"]
+    side = lambda df, *more: df.select(*[F.col(x).alias(x) for x in (*cell, *columns, *more)]).repartition(tasks, *cell).groupBy(*cell)
+    return side(left).cogroup(side(right, "same")).applyInArrow(_near_in_cell(limit), "a long, b long, distance double")
+
+
+def _near_in_cell(limit: float):
+    def run(cell: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        import pandas as pd
+
+        _, x, y = (v.as_py() for v in cell)
+        block, kept = ["key", "token", "band"], ["id", "words", "tokens"]
+        one, two = left.to_pandas().sort_values("id"), right.to_pandas().sort_values("id")
+        groups = {k: g for k, g in two.groupby([*block, "same"], sort=False)[kept]} if len(two) else {}
+        found = []
+        for k, a in one.groupby(block, sort=False)[kept] if groups else ():
+            for same in (True, False):
+                b = groups.get((*k, same))
+                if b is None or (same and x == y and len(b) < 2):
+                    continue
+                i, j, d = near_lists([list(w) for w in a["words"]], [list(w) for w in b["words"]], limit, upper=same and x == y)
+                free_of = _without_conflicts(a["tokens"].tolist(), b["tokens"].tolist(), i, j)
+                ids_a, ids_b = a["id"].to_numpy()[i[free_of]], b["id"].to_numpy()[j[free_of]]
+                found.append(pd.DataFrame({"a": ids_a, "b": ids_b, "distance": d[free_of]}))
+        out = pd.concat(found) if found else pd.DataFrame({"a": [], "b": [], "distance": []})
+        low, high = out[["a", "b"]].min(axis=1), out[["a", "b"]].max(axis=1)
+        return pa.table({"a": pa.array(low.astype("int64")), "b": pa.array(high.astype("int64")), "distance": pa.array(out["distance"].astype("float64"))})
+
+    return run
+
+
+def _without_conflicts(a: list, b: list, i, j):
+    """Places of pairs (a[i], b[j]) of lists of tokens that are all prefixes of one another."""
+    import numpy as np
+
+    if len({t for x in a for t in x} | {t for x in b for t in x}) < 2:
+        return np.arange(len(i))
+    a, b = [set(x) for x in a], [set(x) for x in b]
+    agree = lambda x, y: all(s.startswith(t) or t.startswith(s) for s in x for t in y)
+    return np.flatnonzero(np.fromiter((agree(a[p], b[q]) for p, q in zip(i.tolist(), j.tolist(), strict=True)), bool, len(i)))
+
+
+def linked_by_levels(names: DataFrame, threshold: float) -> DataFrame:
+    """(id, cluster) of all names (key, name, id): complete linkage within each key, the nearest names first.
+
+    Clusters merge in order of their distance, so those up to a level follow from the pairs up to there. Further pairs are
+    looked for among the clusters found, which are few beside the names and of which few pairs are whole, so that the
+    table of all pairs of names within the limit is never made.
+    """
+    rows = cut(names.select("key", "id", token_sorted("name").alias("words"), first_name_token("name").alias("token")))
+    found = cut(rows.select("id", F.col("id").alias("cluster")))
+    for share in LEVELS:
+        members = F.array_sort(F.collect_list(F.struct("id", "words", "token")))
+        grouped = rows.join(found, "id").groupBy("key", "cluster").agg(members.alias("m"))
+        clusters = cut(grouped.select("key", F.col("cluster").alias("id"), F.col("m.words").alias("words"), F.col("m.token").alias("tokens")))
+        linked = complete_linkage(near_clusters(clusters, (100.0 - threshold) * share))
+        now = cut(found.join(linked.select(F.col("id").alias("cluster"), F.col("cluster").alias("to")), "cluster", "left").select("id", F.coalesce("to", "cluster").alias("cluster")))
+        free(found, clusters, linked)
+        found = now
+    free(rows)
+    return found
+
+
 def fuzzy_mapping(names: DataFrame, threshold: float = 90.0) -> DataFrame:
     """(key, name, canonical) of names (key, name, n, first): complete linkage within each key.
 
     Names are numbered by (first, name), which settles ties; pairs below the threshold are never linked, and names
-    without a partner keep themselves. Canonical: the most frequent, then the shortest, then the first seen.
+    without a partner keep themselves. Canonical: the most frequent, then the shortest, then the first seen. Keys of at
+    least ``CROWD`` names go by levels of distance, a single name meets no other.
     """
     names = cut(names.orderBy("first", "name").withColumn("id", F.monotonically_increasing_id()))
-    found = complete_linkage(candidate_pairs(names, threshold).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), "distance"))
+    sizes = cut(names.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1"))
+    of_size = lambda test: names.join(sizes.filter(test).select("key"), "key", "left_semi")
+    found = complete_linkage(candidate_pairs(of_size(F.col("size") < CROWD), threshold).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), "distance"))
+    if sizes.filter(F.col("size") >= CROWD).limit(1).count():
+        found = found.union(linked_by_levels(of_size(F.col("size") >= CROWD), threshold))
     rows = names.join(found, "id")
     rank = F.struct((-F.col("n")).alias("n"), F.char_length("name").alias("s"), F.col("id").alias("i"))
     best = rows.groupBy("cluster").agg(F.min_by("name", rank).alias("canonical"))

@@ -177,6 +177,70 @@ def test_far_pairs_wait_for_near_ones(spark, monkeypatch):
     assert set(seen) <= {1}
 
 
+def test_names_by_levels_of_distance(spark, monkeypatch):
+    """A crowded key: the clusters of all pairs, in cells of a few names, without a table of all pairs."""
+    import random
+
+    from tallyloom.functions.similarity import token_sort_ratio_py
+    from tallyloom.operators.linkage import merge_pairs
+
+    monkeypatch.setattr(RES, "CROWD", 2, raising=False)
+    monkeypatch.setattr(RES, "CELL", 60, raising=False)
+    r = random.Random(8)
+    words = ["ALDA", "ALDAN", "BREV", "BREVE", "CORIN", "VELL", "VELLE", "MR", "DR"]
+    names = {f"BOLT 77 RTGS {i:010d}" for i in r.sample(range(3000), 150)} | {" ".join(r.sample(words, r.choice([1, 2, 3]))) for _ in range(80)} | {"MR", "DR", "Z" * 70 + "A", "Z" * 70 + "B", "\u0416\u0416 \U0001f600\U0001f600\U0001f600\U0001f600\U0001f600\U0001f600"}
+    names = sorted(names, key=lambda n: r.random())
+    for threshold in (90.0, 70.0):
+        token = [next((w for w in n.split() if w not in ("MR", "DR")), "") for n in names]
+        pairs = [(i, j, 100.0 - token_sort_ratio_py(names[i], names[j])) for i in range(len(names)) for j in range(i + 1, len(names)) if token[i].startswith(token[j]) or token[j].startswith(token[i])]
+        pairs = [p for p in pairs if p[2] <= 100.0 - threshold]
+        found = merge_pairs(pairs)
+        seen, linked = [], RES.complete_linkage
+        with monkeypatch.context() as m:
+            m.setattr(RES, "complete_linkage", lambda pairs, linked=linked, seen=seen: seen.append(pairs.count()) or linked(pairs))
+            df = spark.createDataFrame([("", n, 1, i) for i, n in enumerate(names)] + [("single", "ALDA", 1, 9_999)], "key string, name string, n int, first int")
+            got = {(x.key, x.name): x.canonical for x in RES.fuzzy_mapping(df, threshold).collect()}
+        members = {}
+        for i in range(len(names)):
+            members.setdefault(found.get(i, i), []).append(i)
+        best = {i: names[min(g, key=lambda k: (len(names[k]), k))] for g in members.values() for i in g}
+        assert got == {("", n): best[i] for i, n in enumerate(names)} | {("single", "ALDA"): "ALDA"}
+        assert 0 < sum(seen) < 0.7 * len(pairs)
+
+
+def test_lists_near_as_a_whole():
+    import random
+
+    from tallyloom.functions.similarity import near_lists, ratio
+
+    r = random.Random(1)
+    for _ in range(60):
+        letters, long = r.choice(["AB1 ", "ABCDEFGHIJKLMNOP\u0416"]), r.choice([9, 9, 90])
+        lists = lambda n: [["X" + "".join(r.choice(letters) for _ in range(r.randrange(long))) + "Y" for _ in range(r.randrange(1, 5))] for _ in range(n)]  # noqa: B023, E731
+        a, b, limit = lists(12), lists(9), r.choice([10.0, 30.0, 50.0])
+        for x, y, upper in ((a, b, False), (a, a, True)):
+            far = {(i, j): max(100.0 - ratio(s, t) for s in p for t in q) for i, p in enumerate(x) for j, q in enumerate(y) if not upper or i < j}
+            i, j, d = near_lists(x, y, limit, upper)
+            assert dict(zip(zip(i.tolist(), j.tolist(), strict=True), d.tolist(), strict=True)) == {k: v for k, v in far.items() if v <= limit}
+
+
+def test_rounds_over_arrays(monkeypatch):
+    import itertools
+    import random
+
+    import numpy as np
+
+    from tallyloom.operators import linkage
+
+    for seed in range(300):
+        r = random.Random(seed)
+        monkeypatch.setattr(linkage, "QUEUED", r.choice([0, 0, 5]))
+        n, share, most = r.randrange(2, 40), r.random(), r.choice([2, 4, 9])
+        rows = [(*r.sample([7 * i, 7 * j], 2), float(r.randrange(1, most))) for i, j in itertools.combinations(range(n), 2) if r.random() < share] or [(0, 1, 1.0)]
+        ids, clusters = linkage.merge_arrays(*map(np.array, zip(*rows, strict=True)))
+        assert dict(zip(ids.tolist(), clusters.tolist(), strict=True)) == linkage.merge_pairs(rows)
+
+
 def test_resolver_and_merges(spark):
     rows = [(0, "Alda_Brev", "a@x"), (1, "ALDA BREV", "a@x"), (2, "ALDA BRE V", None), (3, "REVERSAL", "a@x"), (4, None, None), (5, "CORIN VELLAR", None), (6, "CORIN V", None), (7, "CORIN VELLUM", None), (8, "MERIDA", None), (9, "MERIDA SHOP", None)]
     df = spark.createDataFrame(rows, "row_id int, Recipient_Name string, UPI_ID string")
