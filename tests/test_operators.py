@@ -208,13 +208,16 @@ def test_names_by_levels_of_distance(spark, monkeypatch):
         assert 0 < sum(seen) < 0.7 * len(pairs)
 
 
-def test_lists_near_as_a_whole():
+def test_lists_near_as_a_whole(monkeypatch):
     import random
 
+    from tallyloom.functions import similarity
     from tallyloom.functions.similarity import near_lists, ratio
 
     r = random.Random(1)
-    for _ in range(60):
+    for k in range(60):
+        monkeypatch.setattr(similarity, "AT_ONCE", (1, 7, 1 << 17)[k % 3])
+        monkeypatch.setattr(similarity, "CELLS", (20, 1 << 18)[k % 2])
         letters, long = r.choice(["AB1 ", "ABCDEFGHIJKLMNOP\u0416"]), r.choice([9, 9, 90])
         lists = lambda n: [["X" + "".join(r.choice(letters) for _ in range(r.randrange(long))) + "Y" for _ in range(r.randrange(1, 5))] for _ in range(n)]  # noqa: B023, E731
         a, b, limit = lists(12), lists(9), r.choice([10.0, 30.0, 50.0])
